@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_files
-from .common import documents
+from . import bpe, ngram_lm, repeats, simhash, token_files, toxicity
+from .common import documents, fold
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -34,10 +34,51 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels, fold("doc_id", 3) != 1)
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        (fold("doc_id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir), words=3, radius=3)
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.cut_repeats(documents(spark, sf_dir).select("doc_id", "text"), depth=200)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept_bytes", 256).alias("kept_sha256"),
+    )
+
+
+def op10_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", (fold("doc_id", 10) == 0).alias("held_out"))
+    scored = ngram_lm.score(docs, F.col("held_out"))
+    return scored.select(
+        "doc_id", "held_out", F.col("n_tokens").cast("long"), F.col("n_known").cast("long"), "train_tokens", "base_score", "score"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_encode_decode": op1_bpe_encode_decode,
+        "op2_toxicity": op2_toxicity,
+        "op3_simhash_components": op3_simhash_components,
         "op5_token_files": op5_token_files,
+        "op9_repeated_bytes": op9_repeated_bytes,
+        "op10_log_frequency_bloom": op10_log_frequency_bloom,
     }
 
 
