@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_lm, repeats, simhash, token_files, toxicity
-from .common import documents, fold
+from . import bpe, edit_counts, mixing, ngram_lm, quality, repeats, simhash, sketches, token_files, toxicity
+from .common import documents, fold, text_or_empty
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -51,6 +51,41 @@ def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_sketch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.compare_with_edit(documents(spark, sf_dir))
+
+
+def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op7_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of every text: words struck out a quarter in, the text's own
+    beginning put in at the middle, a closing line appended."""
+    text = text_or_empty("text")
+    n = F.length(text)
+    edit = lambda place, delete, insert: F.struct(place.cast("int").alias("place"), F.lit(delete).alias("delete"), insert.alias("insert"))
+    edits = F.array(
+        edit(F.floor(n / 4), 25, F.lit("")),
+        edit(F.floor(n / 2), 3, F.substring(text, 1, 40)),
+        edit(F.lit(2**31 - 1), 0, F.lit("\nRevised and checked.")),
+    )
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("edits", edits)
+    return edit_counts.count_edits(docs, TOKENIZER)
+
+
+#: Wanted shares of the tokens of low (0) and high (1) quality.
+MIXTURE = {"0": 0.05, "1": 0.95}
+
+
+def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text"), labels, MIXTURE)
+    return mixed.select("doc_id", "tokens", F.round(F.get("p", F.lit(1)), 9).alias("high_quality"), F.round("rate", 6).alias("rate"), "copies")
+
+
 def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.cut_repeats(documents(spark, sf_dir).select("doc_id", "text"), depth=200)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -76,7 +111,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe_encode_decode": op1_bpe_encode_decode,
         "op2_toxicity": op2_toxicity,
         "op3_simhash_components": op3_simhash_components,
+        "op4_sketch_fingerprints": op4_sketch_fingerprints,
         "op5_token_files": op5_token_files,
+        "op6_line_quality": op6_line_quality,
+        "op7_edit_aware_counts": op7_edit_aware_counts,
+        "op8_soft_mixing": op8_soft_mixing,
         "op9_repeated_bytes": op9_repeated_bytes,
         "op10_log_frequency_bloom": op10_log_frequency_bloom,
     }
