@@ -1,7 +1,86 @@
-"""The corpus pipeline: raw documents to encoded training text, stage by stage."""
+"""The corpus pipeline: raw documents to encoded training text, stage by stage.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each
+stage's rows as Parquet in the shared folder and reads them back for the next.
+All stages but the last return the columns of ``documents``.
 
+Null texts count as empty and are kept; extra columns pass through the first four
+stages; null ids are scored, deduplicated by text and never learned from; an empty
+table runs through to an empty result.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scholia.llm import bpe, mixing, repeats, simhash, toxicity
+from scholia.llm.common import documents, fold, materialised, text_or_empty
+from scholia.llm.queries import MIXTURE, TOKENIZER
+
+#: A document scored so high is dropped.
+TOXIC = 0.7
+
+#: Words of a shingle and differing bits of 64 up to which documents are near copies
+#: (an agreement of over 0.9, which unrelated texts do not reach by chance).
+SHINGLE, RADIUS = 5, 6
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.fit(docs.select("doc_id", "text"), labels, fold("doc_id", 3) != 1)
+    return toxicity.score(docs, model, out="__score").filter(F.col("__score") < TOXIC).drop("__score")
+
+
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the smallest id of each group stays."""
+    text_hash = F.xxhash64(text_or_empty("text"))
+    prints = materialised(
+        simhash.with_fingerprint(docs.select("doc_id", "text", text_hash.alias("th")), "text", SHINGLE).select("doc_id", "th", "fp")
+    )
+    grouped = simhash.components(prints, RADIUS)
+    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("th"))
+    stay = grouped.groupBy(group.alias("group")).agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("stay_id"), F.col("first.th").alias("stay_th"))
+    keyed = docs.withColumn("__th", text_hash)
+    same = F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("__th") == F.col("stay_th"))
+    # equal rows share id and text: one of them stays
+    return keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "__th"]).drop("__th")
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = repeats.cut_repeats(docs, characters=True).withColumn("text", F.col("kept_bytes").cast("string"))
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    mixture, _ = mixing.fit(docs, labels, MIXTURE)
+    drawn = mixture.apply(docs).filter("copies > 0")
+    return drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_chars, n_tokens, ids, and whether they decode to the text."""
+    decoded = bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER)
+    same = F.col("decoded") == text_or_empty("text")
+    return decoded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("simhash_near_dedup", remove_near_copies),
+    ("suffix_array_dedup", remove_repeated_passages),
+    ("mixing_to_weights", mix_to_weights),
+    ("bpe_encode_decode", encode_text),
+]
+
+#: The stages learn models and group by fingerprint distance, which SQL cannot state.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES:
+        docs = materialised(stage(spark, docs, sf_dir))
+    return docs

@@ -58,55 +58,92 @@ def shape_features(text: Column, n_words: Column) -> dict[str, Column]:
     }
 
 
-def posteriors(df: DataFrame, labels: DataFrame, id_col: str, label_col: str, domains: list[str], text_col: str = "text") -> DataFrame:
-    """(every column of ``df`` but the text, tokens, p): p holds a probability per domain."""
-    kept = [c for c in df.columns if c not in (text_col, "tokens", "p")]
-    text = F.col("__text")
-    rows = df.select(*(F.col(f"`{c}`") for c in kept), text_or_empty(F.col(f"`{text_col}`")).alias("__text"))
-    rows = rows.select("*", F.size(words_of(text)).cast("long").alias("tokens"))
-    features = shape_features(text, F.col("tokens"))
-    rows = materialised(rows.select(*(F.col(f"`{c}`") for c in kept), "tokens", *(c.alias(f"__{n}") for n, c in features.items())))
-    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("string").alias("__domain")).filter(F.col("__domain").isin(domains))
-    taught = rows.join(known, F.col(f"`{id_col}`") == F.col("__id")).select("__domain", *(f"__{n}" for n in features))
-    cells = taught.select("__domain", F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(f"__{n}").alias("bin")) for n in features))).alias("x"))
-    counted = cells.groupBy("__domain", "x.feature", "x.bin").count().collect()  # domains x features x bins at most
-    seen = {(r["__domain"], r["feature"], r["bin"]): r["count"] for r in counted}
-    name = next(iter(features))
-    size = {d: sum(n for (e, f, _), n in seen.items() if e == d and f == name) for d in domains}
-    total = sum(size.values())
-
-    def evidence(domain: str) -> Column:
-        out = F.lit(math.log((size[domain] + ADDED) / (total + ADDED * len(domains))))
-        for n in features:
-            logs = [math.log((seen.get((domain, n, b), 0) + ADDED) / (size[domain] + ADDED * BINS)) for b in range(BINS)]
-            out = out + F.get(F.array(*map(F.lit, logs)), F.col(f"__{n}"))
+class Mixture:
+    """A fitted classifier and the steps that led from full rates to the mixture.
+
+    Both are a few numbers per domain, so ``apply`` is a projection over any rows.
+    """
+
+    def __init__(self, domains: list[str], seen: dict[tuple[str, str, int], int], max_rate: float):
+        self.domains, self.seen, self.max_rate = domains, seen, float(max_rate)
+        self.steps: list[list[float]] = []
+        self.size = {d: max((n for (e, _, _), n in self._totals().items() if e == d), default=0) for d in domains}
+
+    def _totals(self) -> dict[tuple[str, str, int], int]:
+        out: dict[tuple[str, str, int], int] = {}
+        for (domain, feature, _), n in self.seen.items():
+            out[domain, feature, 0] = out.get((domain, feature, 0), 0) + n
         return out
 
-    logs = rows.select(*(F.col(f"`{c}`") for c in kept), "tokens", F.array(*map(evidence, domains)).alias("__logs"))
-    top = logs.select("*", F.array_max("__logs").alias("__top"))
-    raw = top.select(*(F.col(f"`{c}`") for c in kept), "tokens", F.transform("__logs", lambda x: F.exp(x - F.col("__top"))).alias("__raw"))
-    norm = F.aggregate("__raw", F.lit(0.0), lambda a, x: a + x)
-    return raw.select(*(F.col(f"`{c}`") for c in kept), "tokens", norm.alias("__norm"), "__raw").select(
-        *(F.col(f"`{c}`") for c in kept), "tokens", F.transform("__raw", lambda x: x / F.col("__norm")).alias("p")
-    )
-
-
-def fit_rates(members: DataFrame, weights: list[float], max_rate: float = 1.0) -> DataFrame:
-    """``members`` (tokens, p) with rate."""
-    members = materialised(members)
-    sums = lambda df, rate: [x or 0.0 for x in df.agg(*(F.sum(rate * F.col("tokens") * F.get("p", F.lit(k))) for k in range(len(weights)))).first()]
-    whole = sums(members, F.lit(1.0))
-    budget = min((max_rate * a / w for a, w in zip(whole, weights) if w > 0), default=0.0)
-    targets = [w * budget for w in weights]
-    rate = F.lit(float(max_rate))
+    def _evidence(self, domain: str, features: list[str]) -> Column:
+        size, total = self.size[domain], sum(self.size.values())
+        out = F.lit(math.log((size + ADDED) / (total + ADDED * len(self.domains))))
+        for name in features:
+            logs = [math.log((self.seen.get((domain, name, b), 0) + ADDED) / (size + ADDED * BINS)) for b in range(BINS)]
+            out = out + F.get(F.array(*map(F.lit, logs)), F.col(f"__{name}"))
+        return out
+
+    def with_posteriors(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with binned features) with p, a probability per domain, for them."""
+        names = [c for c in rows.columns if c.startswith("__f_")]
+        kept = [F.col(f"`{c}`") for c in rows.columns if c not in (*names, "p")]
+        logs = rows.select(*kept, F.array(*(self._evidence(d, [n[2:] for n in names]) for d in self.domains)).alias("__logs"))
+        raw = logs.select(*kept, F.transform("__logs", lambda x: F.exp(x - F.array_max("__logs"))).alias("__raw"))
+        norm = raw.select("*", F.aggregate("__raw", F.lit(0.0), lambda a, x: a + x).alias("__norm"))
+        return norm.select(*kept, F.transform("__raw", lambda x: x / F.col("__norm")).alias("p"))
+
+    def rate(self) -> Column:
+        rate = F.lit(self.max_rate)
+        for excess in self.steps:
+            step = sum((F.get("p", F.lit(k)) * F.lit(e) for k, e in enumerate(excess)), F.lit(0.0))
+            rate = F.least(F.lit(self.max_rate), F.greatest(F.lit(0.0), rate - step))
+        return rate
+
+    def with_rates(self, members: DataFrame, id_col: str) -> DataFrame:
+        rated = members.withColumn("rate", F.round(self.rate(), 9))
+        return rated.withColumn("copies", draw(F.col("rate"), F.col(f"`{id_col}`")))
+
+    def apply(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """``df``, text and all, with tokens, p, rate and copies."""
+        return self.with_rates(self.with_posteriors(featurised(df, text_col)), id_col)
+
+
+def featurised(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with tokens and a column per binned feature."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("tokens", "p", "rate", "copies")]
+    text = text_or_empty(F.col(f"`{text_col}`"))
+    rows = df.select(*kept, F.size(words_of(text)).cast("long").alias("tokens"))
+    return rows.select("*", *(c.alias(f"__f_{n}") for n, c in shape_features(text, F.col("tokens")).items()))
+
+
+def fit(df: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", max_rate: float = 1.0) -> tuple[Mixture, DataFrame]:
+    """The mixture, and its members: ``df`` without the text, with tokens and p."""
+    domains = sorted(weights)
+    slim = featurised(df.select(F.col(id_col), F.col(text_col)), text_col).drop(text_col)
+    rows = materialised(slim)
+    names = [c for c in rows.columns if c.startswith("__f_")]
+    known = labels.select(F.col(id_col), F.col(label_col).cast("string").alias("__domain")).filter(F.col("__domain").isin(domains))
+    taught = rows.join(known, id_col).select("__domain", *names)
+    pairs = F.array(*(F.struct(F.lit(n[2:]).alias("feature"), F.col(n).alias("bin")) for n in names))
+    cells = taught.select("__domain", F.explode(pairs).alias("x")).groupBy("__domain", "x.feature", "x.bin").count()
+    seen = {(r["__domain"], r["feature"], r["bin"]): r["count"] for r in cells.collect()}  # domains x features x bins at most
+    mixture = Mixture(domains, seen, max_rate)
+    members = materialised(mixture.with_posteriors(rows))
+    wanted = [weights[d] for d in domains]
+
+    def sums(rate: Column) -> list[float]:
+        totals = (F.sum(rate * F.col("tokens") * F.get("p", F.lit(k))) for k in range(len(domains)))
+        return [x or 0.0 for x in members.agg(*totals).first()]
+
+    whole = sums(F.lit(1.0))
+    budget = min((mixture.max_rate * a / w for a, w in zip(whole, wanted) if w > 0), default=0.0)
     for _ in range(STEPS):
-        now = sums(members, rate)
-        excess = [(x - t) / a if a else 0.0 for x, t, a in zip(now, targets, whole)]
+        now = sums(mixture.rate())
+        excess = [(x - w * budget) / a if a else 0.0 for x, w, a in zip(now, wanted, whole)]
         if max(map(abs, excess)) < 1e-6:
             break
-        step = sum((F.get("p", F.lit(k)) * F.lit(e) for k, e in enumerate(excess)), F.lit(0.0))
-        rate = F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), rate - step))
-    return members.withColumn("rate", F.round(rate, 9))
+        mixture.steps.append(excess)
+    return mixture, members
 
 
 def draw(rate: Column, id_col: Column) -> Column:
@@ -117,9 +154,7 @@ def draw(rate: Column, id_col: Column) -> Column:
 
 
 def mix(df: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", max_rate: float = 1.0) -> DataFrame:
-    """``df`` without its text, with tokens, p, rate and copies; ``weights`` gives the
-    wanted share of tokens of each domain."""
-    domains = sorted(weights)
-    members = posteriors(df, labels, id_col, label_col, domains, text_col)
-    fitted = fit_rates(members, [weights[d] for d in domains], max_rate)
-    return fitted.withColumn("copies", draw(F.col("rate"), F.col(f"`{id_col}`")))
+    """(id, tokens, p, rate, copies) of every row; ``weights`` gives the wanted share
+    of tokens of each domain."""
+    mixture, members = fit(df, labels, weights, id_col, label_col, text_col, max_rate)
+    return mixture.with_rates(members, id_col)

@@ -291,9 +291,23 @@ def cover(windows: list[dict], depth: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def cut_repeats(df: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def whole_characters(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs without the parts of UTF-8 characters that they cut through."""
+    out = []
+    for a, b in runs:
+        while a < b and data[a] & 0xC0 == 0x80:
+            a += 1
+        while a < b < len(data) and data[b] & 0xC0 == 0x80:
+            b -= 1
+        if a < b:
+            out.append((a, b))
+    return out
+
+
+def cut_repeats(df: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", characters: bool = False) -> DataFrame:
     """``df`` without its text, with spans (array of struct start, end: the byte runs
-    removed), n_bytes (before) and kept_bytes (binary: the rest)."""
+    removed), n_bytes (before) and kept_bytes (binary: the rest).  ``characters``
+    leaves characters whole that a run cuts through."""
     kept = [c for c in df.columns if c not in (text_col, "spans", "n_bytes", "kept_bytes")]
     spans = repeated_spans(df, depth, id_col, text_col)
     keyed = _compressed(_keyed(df, id_col, text_col).select(*(F.col(f"`{c}`") for c in kept), "__id", "__th", "__text"))
@@ -312,6 +326,7 @@ def cut_repeats(df: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_
                 data = unpack(packed)
                 size.append(len(data))
                 runs = cover(windows or [], depth)
+                runs = whole_characters(data, runs) if characters else runs
                 spans.append([{"start": a, "end": b} for a, b in runs])
                 edges = [0, *(x for r in runs for x in r), len(data)]
                 rest.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
