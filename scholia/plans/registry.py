@@ -1,20 +1,49 @@
-"""All queries over the reference's own operators, with their oracle SQL."""
+"""Registration of queries: a function over (spark, sf_dir) and its oracle SQL."""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+Query = Callable[[SparkSession, str], DataFrame]
+
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+#: Modules that register queries when they are imported.
+MODULES = ("text_queries", "corpus_queries")
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def register(function: Query) -> Query:
+        _QUERIES[function.__name__] = function
+        if oracle is not None:
+            _ORACLES[function.__name__] = oracle
+        return function
+
+    return register
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").agg(F.count("*").alias("entries"))
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"scholia.plans.{name}")
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_ORACLES)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["bm25_topk"](spark, sf_dir)
