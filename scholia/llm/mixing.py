@@ -32,7 +32,10 @@ from .common import materialised, text_or_empty
 from .quality import words_of
 
 #: Bins of a shape feature, added count of the classifier, steps of the fit.
-BINS, ADDED, STEPS = 10, 1.0, 30
+BINS, ADDED, STEPS = 10, 1.0, 12
+
+#: Distance from a domain's target, as a share of its tokens, that ends the fit.
+TOLERANCE = 1e-4
 
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -132,15 +135,16 @@ def fit(df: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: str
     wanted = [weights[d] for d in domains]
 
     def sums(rate: Column) -> list[float]:
-        totals = (F.sum(rate * F.col("tokens") * F.get("p", F.lit(k))) for k in range(len(domains)))
-        return [x or 0.0 for x in members.agg(*totals).first()]
+        rated = members.select("p", (rate * F.col("tokens")).alias("weight"))
+        totals = (F.sum(F.col("weight") * F.get("p", F.lit(k))) for k in range(len(domains)))
+        return [x or 0.0 for x in rated.agg(*totals).first()]
 
     whole = sums(F.lit(1.0))
     budget = min((mixture.max_rate * a / w for a, w in zip(whole, wanted) if w > 0), default=0.0)
     for _ in range(STEPS):
         now = sums(mixture.rate())
         excess = [(x - w * budget) / a if a else 0.0 for x, w, a in zip(now, wanted, whole)]
-        if max(map(abs, excess)) < 1e-6:
+        if max(map(abs, excess)) < TOLERANCE:
             break
         mixture.steps.append(excess)
     return mixture, members
