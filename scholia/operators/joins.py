@@ -67,7 +67,7 @@ def fuzzy_best(left: DataFrame, right: DataFrame, block: list[str], name: str, o
     return best_per(pairs, [*block, name], [F.col("distance"), F.col(other)])
 
 
-def reassign_duplicates(rows, missing: DataFrame) -> DataFrame:
+def reassign_duplicates(rows: DataFrame, missing: DataFrame) -> DataFrame:
     """Duplicate index rows (id, seq, name, score) move to an id that is still missing.
 
     Candidates (alternative ids, by name) come from a join; what is left is settled
@@ -89,4 +89,4 @@ def reassign_duplicates(rows, missing: DataFrame) -> DataFrame:
             out.append((seq, part["id"].iloc[0], moved))
         return pd.DataFrame(out, columns=["seq", "id", "moved_to"])
 
-    return options.groupBy(F.lit(1)).applyInPandas(settle, "seq long, id string, moved_to string")
+    return options.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(settle, "seq long, id string, moved_to string")
