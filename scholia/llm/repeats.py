@@ -205,7 +205,8 @@ def repeated_spans(df: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", te
     units = materialised(docs.mapInArrow(make_units, "__id long, __th int, first int, more int, key long, span long"))
     # pass 1: anchors that stand alone drop out
     groups = units.groupBy("key").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).filter("n > 1")
-    groups = groups.select("key", (F.col("low") != F.col("high")).alias("mixed"))
+    # written out, so that the join below shuffles both sides anew and can split a hot key
+    groups = materialised(groups.select("key", (F.col("low") != F.col("high")).alias("mixed")))
     met = materialised(units.join(groups, "key"))
     # pass 2: equal spans are repeated; one unit of each span stays for pass 3
     mixed = met.filter("mixed")
@@ -213,7 +214,7 @@ def repeated_spans(df: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", te
     spans = materialised(mixed.groupBy("key", "span").agg(F.count("*").alias("copies"), F.min(sample).alias("unit")))
     settled = met.filter(~F.col("mixed")).select("__id", "__th", "first", "more")
     copied = mixed.join(spans.filter("copies > 1").select("key", "span"), ["key", "span"]).select("__id", "__th", "first", "more")
-    sizes = spans.groupBy("key").agg(F.count("*").alias("spans"))
+    sizes = materialised(spans.groupBy("key").agg(F.count("*").alias("spans")))
     wanted = spans.join(sizes, "key").select("key", "span", "unit.*", "spans", (F.col("copies") == 1).alias("open"))
     listed = wanted.groupBy("__id", "__th").agg(F.collect_list(F.struct("key", "span", "first", "more", "spans", "open")).alias("units"))
     # the bytes of those units, or the hashes of all their windows where a group is large
