@@ -10,9 +10,9 @@ sees as many numbers as there are domains.
 The classifier is naive Bayes over a few binned shape features of the text (signs,
 separators, capitals, word and line lengths), counted over all labelled rows.
 
-The targets are the given weights times the largest corpus that these weights
-allow without a rate above ``max_rate``; so documents of the scarce domains keep
-their full rate, and abundant domains are thinned out.
+The domain of the largest weight keeps its full rate and so fixes the size of the
+corpus; the targets of the others follow from their weights, and a domain that has
+less than its target is taken whole.
 
 Edge cases: null texts count as empty and have no tokens; labels that are null, or
 of ids without a document, teach nothing; an id with several labels counts with
@@ -140,10 +140,12 @@ def fit(df: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: str
         return [x or 0.0 for x in rated.agg(*totals).first()]
 
     whole = sums(F.lit(1.0))
-    budget = min((mixture.max_rate * a / w for a, w in zip(whole, wanted) if w > 0), default=0.0)
+    most = max(range(len(domains)), key=lambda k: (wanted[k], -k))
+    budget = mixture.max_rate * whole[most] / wanted[most]
+    targets = [min(mixture.max_rate * a, w * budget) for a, w in zip(whole, wanted)]
     for _ in range(STEPS):
         now = sums(mixture.rate())
-        excess = [(x - w * budget) / a if a else 0.0 for x, w, a in zip(now, wanted, whole)]
+        excess = [(x - t) / a if a else 0.0 for x, t, a in zip(now, targets, whole)]
         if max(map(abs, excess)) < TOLERANCE:
             break
         mixture.steps.append(excess)

@@ -303,18 +303,18 @@ def test_toxic_words_are_learned_from_positives_alone(spark):
     texts = []
     for i in range(600):
         words = random_texts(1, i, 60)[0].split()
-        if i % 6 == 0:
+        if i % 3 == 0:
             words[len(words) // 2 : len(words) // 2] = rng.sample(["Vileword,", "nastyling", "nastyness", "(vileword)"], 2)
         texts.append(" ".join(words))
     df = documents(spark, texts, [(None, "vileword nastyness"), (0, texts[0])]).drop("score")
-    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(0, 600, 2)] + [(None, 1), (3, None), (4, 0), (4, 0)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 600, 2)] + [(None, 1), (3, None), (4, 0), (4, 0)], "doc_id long, toxic int")
     trains = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
     model = toxicity.fit(df, labels, trains)
     got = toxicity.score(df, model).toPandas()
     assert len(got) == 602 and got.score.between(0, 1).all()
     assert got[got.doc_id.isna()].score.iloc[0] > 0.7
     known = got.dropna(subset=["doc_id"])
-    toxic = known.doc_id % 6 == 0
+    toxic = known.doc_id % 3 == 0
     held = known.doc_id.map(lambda i: zlib.crc32(str(int(i)).encode()) % 3 == 1)
     assert (known[held & toxic].score >= 0.7).mean() > 0.9 and (known[held & ~toxic].score >= 0.7).mean() < 0.05
 
@@ -341,7 +341,14 @@ def test_mixture_meets_its_targets(spark):
     clean = got[(got.doc_id < 400) & (got.doc_id % 3 > 0)]
     assert (clean.copies == 1).all()
     noisy = got[(got.doc_id < 400) & (got.doc_id % 3 == 0)]
-    assert 0 < noisy.copies.mean() < 0.5
+    assert 0 < noisy.copies.mean() < 0.7
+
+
+def test_scarce_domains_stay_whole(spark):
+    texts = ["A plain sentence, with words and stops. " * 9] * 95 + ["w### x*** y$$$ z%%% " * 2] * 5
+    labels = spark.createDataFrame([(i, int(i < 95)) for i in range(100)], "doc_id long, quality int")
+    got = mixing.mix(documents(spark, texts), labels, {"0": 0.2, "1": 0.8}).collect()
+    assert all(r.rate > 0.999 and r.copies == 1 for r in got)
 
 
 def test_mixture_without_labels_or_rows(spark):
