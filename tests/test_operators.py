@@ -1,0 +1,102 @@
+"""Operators that SQL cannot state, against small models."""
+
+import datetime
+
+from pyspark.sql import functions as F
+
+from scholia.operators import assembly, doses, joins, quality, records, search, survey
+
+
+def test_rows_cluster_by_running_mean(spark):
+    boxes = [(1, 0.0, 10.0, "b", 0.9), (1, 5.0, 0.0, "c", 0.8), (1, -5.0, 12.0, "a", 0.7), (1, 0.0, 60.0, "d", 0.6)]
+    rows = assembly.cluster_rows(spark.createDataFrame(boxes, "page int, x double, y double, text string, confidence double"), ["page"]).orderBy("row").collect()
+    assert [(r.text, r.confidence, r.n_boxes) for r in rows] == [("abc", 0.7, 3), ("d", 0.6, 1)]
+
+
+def test_ids_are_repaired_in_sequence(spark):
+    heads = [(1, 1, "00001", "桂枝汤", "桂枝汤"), (1, 2, "00082", "麻黄汤", "麻黄汤"), (1, 3, "00003", "x", "y"), (1, 4, "00094", "甲", "乙丙")]
+    df = spark.createDataFrame(heads, "volume int, place int, raw_id string, name string, toc_name string")
+    got = [r.id for r in assembly.repair_sequence(df, ["volume"], ["place"]).orderBy("place").collect()]
+    assert got == ["00001", "00002", "00003", "00094"]
+
+
+def test_pages_flatten_and_lose_headers(spark):
+    page = [(7, 1, None, "two_column", [("body", [0.0, 50.0], [("总论 12", 0.9, [[0.0, 51.0]]), ("00012 桂枝汤", 0.8, [[0.0, 51.0]]), ("正文", 0.7, [[0.0, 90.0]])])])]
+    schema = "pdf_page int, volume int, book_page int, layout string, regions array<struct<name:string,crop:array<double>,lines:array<struct<text:string,confidence:double,box:array<array<double>>>>>>"
+    lines = assembly.lines_of(spark.createDataFrame(page, schema), 1, 9)
+    assert lines.count() == 3 and assembly.lines_of(spark.createDataFrame(page, schema), 8).count() == 0
+    assert [r.text for r in assembly.drop_running_headers(lines).orderBy("line_index").collect()] == ["00012 桂枝汤", "正文"]
+
+
+def test_listing_precedence(spark):
+    rows = [("1", 0, 1, None, 0.9, "a"), ("1", 0, 2, None, 0.5, "b"), ("1", 1, 1, 12, 0.4, "c"), ("1", 1, 2, None, 0.8, "d"), ("2", 1, 1, None, 0.3, "e")]
+    df = spark.createDataFrame(rows, "id string, pass int, place int, page int, confidence double, name string")
+    assert {r.id: r.name for r in assembly.best_listing(df).collect()} == {"1": "d", "2": "e"}
+
+
+def test_corrections_apply_in_order(spark):
+    entries = spark.createDataFrame([("1", "aXbX"), ("2", "q")], "id string, text string")
+    fixes = spark.createDataFrame([("1", 1, "X", "Y"), ("1", 2, "X", "Z"), ("1", 3, "X", "!")], "id string, seq int, old string, new string")
+    got = {r.id: (r.text, r.n_missed) for r in assembly.corrected(entries, fixes).collect()}
+    assert got == {"1": ("aYbZ", 1), "2": ("q", 0)}
+
+
+def test_duplicates_move_to_missing_ids(spark):
+    rows = spark.createDataFrame([("1", 1, "甲", 0.9), ("1", 2, "乙", 0.8), ("1", 3, "乙", 0.7), ("1", 4, "丙", 0.6)], "id string, seq long, name string, score double")
+    missing = spark.createDataFrame([("5", "乙"), ("6", "丙"), ("7", "丙")], "id string, name string")
+    got = {r.seq: r.moved_to for r in joins.reassign_duplicates(rows, missing).collect()}
+    assert got == {2: "5", 3: None, 4: None}
+
+
+def test_overlaps_appear_once(spark):
+    left = spark.createDataFrame([(1, 0, 25), (1, 30, 31), (2, 0, 5)], "k int, l_start long, l_stop long")
+    right = spark.createDataFrame([(1, 5, 45), (2, 5, 9)], "k int, r_start long, r_stop long")
+    assert sorted(r.l_start for r in joins.overlaps(left, right, ["k"], 10).collect()) == [0, 30]
+
+
+def test_digest_ignores_order_and_sees_changes(spark):
+    df = spark.createDataFrame([(i, str(i % 7)) for i in range(50)], "a int, b string")
+    same = quality.digest(df.repartition(5).orderBy(F.desc("a"))).first()
+    assert quality.digest(df).first() == same and same.n_rows == 50
+    assert quality.digest(df.withColumn("b", F.lit("x"))).first().digest != same.digest
+
+
+def test_scores_of_one_person(spark):
+    rows = [("p", "first", 2, "defining"), ("p", "first", 2, "one_of"), ("p", "first", 2, "one_of"), ("p", "first", 0, "defining"), ("p", "second", 1, "one_of"), ("p", "second", 0, "one_of")]
+    got = survey.scores(spark.createDataFrame(rows, "person string, dimension string, level int, kind string")).first()
+    # level 2: max(6, 4 + 1) = 6, reference 6, so 6 / 6 * 6, and 0.3 at level 0
+    assert (got.first, got.second, got.first_level, got.second_level) == (6.3, round(1 / 3, 6), 3, 1)
+
+
+def test_outline(spark):
+    lines = [("d", 1, "一、情绪"), ("d", 2, "1.1 心慌（焦虑4级之一）"), ("d", 3, "说明"), ("d", 4, "1.1.1 夜间 是（ ）"), ("d", 5, "1.2 乏力")]
+    rows = survey.outline_rows(spark.createDataFrame(lines, "doc_id string, line_no int, text string")).orderBy("line_no").collect()
+    assert [(r.line_no, r.level, r.parent) for r in rows] == [(1, 0, None), (2, 1, 1), (4, 2, 2), (5, 1, 1)]
+    assert rows[1].title == "心慌" and rows[1].marks[0].level == 4
+
+
+def test_retention_and_upsert(spark):
+    df = spark.createDataFrame([(datetime.datetime(2024, 1, 1),), (datetime.datetime(2024, 1, 20),)], "ts timestamp")
+    assert [r.x for r in df.select(records.expired(F.col("ts"), datetime.datetime(2024, 2, 1)).alias("x")).collect()] == [True, False]
+    a = spark.createDataFrame([(1, "old", 9), (2, "kept", 1)], "k int, v string, at int")
+    b = spark.createDataFrame([(1, "new", 1)], "k int, v string, at int")
+    assert {r.k: r.v for r in records.upsert(a, b, ["k"], "at").collect()} == {1: "new", 2: "kept"}
+
+
+def test_frames(spark):
+    df = spark.createDataFrame([('{"a":1}endendend{"a":2}endendend',)], "value string")
+    assert [r.body for r in records.framed(df).orderBy("frame").collect()] == ['{"a":1}', '{"a":2}']
+
+
+def test_one_unknown_unit_keeps_all_unconverted(spark):
+    texts = spark.createDataFrame([("1", "桂枝三两，大枣十二枚"), ("2", "桂枝三两"), ("3", "各各")], "id string, text string")
+    items = doses.extract(texts, "id", "text")
+    got = {(r.id, r.herb): r.grams for r in doses.to_grams(items, spark.createDataFrame([("两", 15.625)], "unit string, factor double"), "id").collect()}
+    assert got["1", "桂枝"] is None and float(got["2", "桂枝"]) == 46.875
+
+
+def test_cover_represents_every_prototype(spark):
+    rows = [(i, ["a"] if i < 8 else ["b", "c"] if i == 8 else ["c"], float(i % 5)) for i in range(12)]
+    got = search.cover(spark.createDataFrame(rows, "id long, prototypes array<string>, quality double"), 3, 5).collect()
+    chosen = {r.id for r in got}
+    assert len(chosen) == 5 and {p for i, ps, _ in rows if i in chosen for p in ps} == {"a", "b", "c"}
