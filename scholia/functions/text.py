@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: CJK range of the search tokenizer, and separators of phrases.
 CJK = "㐀-鿿"
@@ -17,17 +18,17 @@ ID_REPAIR = ("OoIl", "0011")
 INDEX_REPAIR = ("OoIlQBS", "0011085")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of two short strings."""
     from difflib import SequenceMatcher

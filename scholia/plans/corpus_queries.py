@@ -16,9 +16,6 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
 
 
-_STATUS = F.when(F.col("toxic") == 1, "withheld").when(F.col("quality") == 0, "partial")
-
-
 @query("""
 WITH s AS (SELECT d.source, CASE WHEN l.toxic = 1 THEN 'withheld' WHEN l.quality = 0 THEN 'partial' ELSE 'complete' END AS status
            FROM documents d LEFT JOIN labels l USING (doc_id))
@@ -26,7 +23,8 @@ SELECT source, count(*) AS total, count(*) FILTER (status = 'complete') AS index
        count(*) FILTER (status = 'partial') AS partial FROM s GROUP BY source
 """)
 def index_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gated = quality.gate(labelled(spark, sf_dir), _STATUS)
+    status = F.when(F.col("toxic") == 1, "withheld").when(F.col("quality") == 0, "partial")
+    gated = quality.gate(labelled(spark, sf_dir), status)
     return gated.groupBy("source").agg(
         F.count("*").alias("total"),
         F.count_if("indexed").alias("indexed"),

@@ -10,7 +10,6 @@ from ..operators import search
 from .corpus_queries import labelled
 from .registry import query, table
 
-FIELDS = {"title": F.split_part("text", F.lit("\n"), F.lit(1)), "body": F.col("text"), "source": F.col("source")}
 WEIGHTS = {"title": 3.0, "body": 1.0, "source": 0.5}
 
 _TOKENS = """
@@ -29,7 +28,8 @@ bm AS (SELECT query, h.id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / (
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, lengths = search.postings(table(spark, sf_dir, "documents"), "doc_id", FIELDS)
+    fields = {"title": F.split_part("text", F.lit("\n"), F.lit(1)), "body": F.col("text"), "source": F.col("source")}
+    index, lengths = search.postings(table(spark, sf_dir, "documents"), "doc_id", fields)
     tokens = search.query_tokens(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
     return search.bm25(index, lengths, tokens, WEIGHTS)
 
