@@ -21,9 +21,9 @@ from scholia.llm.queries import MIXTURE, TOKENIZER
 #: A document scored so high is dropped.
 TOXIC = 0.7
 
-#: Words of a shingle and differing bits of 64 up to which documents are near copies
-#: (an agreement of over 0.9, which unrelated texts do not reach by chance).
-SHINGLE, RADIUS = 5, 6
+#: Words of a shingle; views of 64 bits; differing bits up to which documents are near
+#: copies, in one view and over all (the latter an agreement of about 0.8).
+SHINGLE, VIEWS, RADIUS, LIMIT = 5, 2, 7, 26
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +36,9 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """The row with the smallest id of each group stays."""
     text_hash = F.xxhash64(text_or_empty("text"))
     prints = materialised(
-        simhash.with_fingerprint(docs.select("doc_id", "text", text_hash.alias("th")), "text", SHINGLE).select("doc_id", "th", "fp")
+        simhash.with_fingerprint(docs.select("doc_id", "text", text_hash.alias("th")), "text", SHINGLE, views=VIEWS).drop("text")
     )
-    grouped = simhash.components(prints, RADIUS)
+    grouped = simhash.components(prints, RADIUS, views=VIEWS, limit=LIMIT)
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("th"))
     stay = grouped.groupBy(group.alias("group")).agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("stay_id"), F.col("first.th").alias("stay_th"))

@@ -11,6 +11,10 @@ A 64-bit search ball is wide for such trees, so one tree is grown for each of
 ``radius // 2 + 1`` bit blocks: a pair within the radius differs by at most one
 bit in one of the blocks, and that block's tree overlaps by a single step.
 
+Several fingerprints ("views") of a text can be searched side by side: documents then
+link if one view is within the radius and all views together within ``limit`` bits.
+That finds looser copies than one view and keeps chance neighbours of it apart.
+
 The trees are fitted on a bounded sample of distinct fingerprints (SAMPLE); all
 fingerprints are routed.  Leaves that turn out overfull are compared block by
 block, so no task holds more than a few thousand fingerprints.  A leaf gives a
@@ -42,42 +46,63 @@ SAMPLE = 1 << 17
 LEAF, MOST = 512, 8192
 
 
-def fingerprint(text: str, words: int) -> tuple[np.ndarray, int]:
-    """Counts of set bits over all shingle hashes, and the number of shingles."""
+#: Salts of the views after the first, which is the plain hash.
+_SALTS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+
+def _view(h: np.ndarray, number: int) -> np.ndarray:
+    if not number:
+        return h
+    h = (h ^ np.uint64(_SALTS[number])) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0xA0761D6478BD642F)
+
+
+def fingerprint(text: str, words: int, views: int = 1) -> tuple[np.ndarray, int]:
+    """Per view the counts of set bits over all shingle hashes; and how many shingles."""
     import xxhash
 
     tokens = text.encode().lower().split()  # bytes: A-Z alone, the six white-space bytes alone
+    counts = np.zeros((views, 64), np.int64)
     if not tokens:
-        return np.zeros(64, np.int64), 0
+        return counts, 0
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     span = min(words, len(tokens))
     digest = xxhash.xxh64_intdigest
-    counts, n = np.zeros(64, np.int64), len(tokens) - span + 1
+    n = len(tokens) - span + 1
     for at in range(0, n, 100_000):
         stop = min(n, at + 100_000)
         pairs = zip(starts[at:stop].tolist(), ends[at + span - 1 : stop + span - 1].tolist())
         h = np.fromiter((digest(joined[i:j], 42) for i, j in pairs), np.uint64, stop - at)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        for v in range(views):
+            bits = np.unpackbits(_view(h, v).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[v] += bits.sum(axis=0, dtype=np.int64)
     return counts, n
 
 
-def with_fingerprint(df: DataFrame, text_col: str = "text", words: int = 5, out: str = "fp") -> DataFrame:
-    """``df`` with the fingerprint as a signed 64-bit integer in ``out``."""
-    kept = [c for c in df.columns if c != out]
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(out, T.LongType())])
+def with_fingerprint(df: DataFrame, text_col: str = "text", words: int = 5, out: str = "fp", views: int = 1) -> DataFrame:
+    """``df`` with the fingerprint as a signed 64-bit integer in ``out``; further views in
+    ``out`` followed by their number."""
+    names = view_columns(out, views)
+    kept = [c for c in df.columns if c not in names]
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, T.LongType()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches, "__text"):
-            counted = [fingerprint(t, words) for t in batch.column("__text").to_pylist()]
+            counted = [fingerprint(t, words, views) for t in batch.column("__text").to_pylist()]
             set_bits = np.array([c * 2 > n for c, n in counted])
-            prints = np.packbits(set_bits, axis=1, bitorder="little").view("<i8").ravel()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(prints)], [*kept, out])
+            prints = np.packbits(set_bits, axis=2, bitorder="little").view("<i8")[:, :, 0]
+            columns = [pa.array(np.ascontiguousarray(prints[:, v])) for v in range(views)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], [*kept, *names])
 
     return df.select(*(F.col(f"`{c}`") for c in kept), text_or_empty(F.col(f"`{text_col}`")).alias("__text")).mapInArrow(run, schema)
 
 
+def view_columns(column: str, views: int) -> list[str]:
+    return [column, *(f"{column}{v}" for v in range(1, views))]
+
+
 def bit_blocks(radius: int) -> list[int]:
     """Masks that cut 64 bits into radius // 2 + 1 blocks."""
     parts = radius // 2 + 1
@@ -134,8 +159,9 @@ def route(prints: np.ndarray, nodes: list, mask: int, reach: int) -> Iterator[tu
         todo.append((outer, at[d > cut - reach]))
 
 
-def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Spanning edges (by position) of the graph of pairs within the radius."""
+def forest(prints: np.ndarray, radius: int, view: int = 0, limit: int | None = None) -> list[tuple[int, int]]:
+    """Spanning edges (by position) of the graph of pairs within the radius in one view
+    and within the limit over all views (rows are texts, columns their views)."""
     parent = list(range(len(prints)))
 
     def find(i: int) -> int:
@@ -145,11 +171,16 @@ def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
         return i
 
     edges = []
+    searched = np.ascontiguousarray(prints[:, view])
     for at in range(0, len(prints), 256):
-        rows = prints[at : at + 256, None]
-        i, j = np.nonzero(np.bitwise_count(rows ^ prints[None, at:]) <= radius)
+        rows = searched[at : at + 256, None]
+        i, j = np.nonzero(np.bitwise_count(rows ^ searched[None, at:]) <= radius)
         keep = i < j
-        for x, y in zip((i[keep] + at).tolist(), (j[keep] + at).tolist()):
+        i, j = i[keep] + at, j[keep] + at
+        if limit is not None:
+            close = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64) <= limit
+            i, j = i[close], j[close]
+        for x, y in zip(i.tolist(), j.tolist()):
             p, q = find(x), find(y)
             if p != q:
                 parent[p] = q
@@ -157,60 +188,66 @@ def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
-def links(prints: DataFrame, radius: int = 3, column: str = "fp") -> DataFrame:
-    """Edges (a, b) between distinct fingerprints whose components are those of all
-    pairs within ``radius`` bits."""
-    spark = prints.sparkSession
-    distinct = materialised(prints.select(F.col(column).alias("fp")).distinct())
-    total = distinct.count()
+def links(nodes: DataFrame, radius: int, columns: list[str], limit: int | None = None) -> DataFrame:
+    """Edges (a, b) between nodes whose components are those of all linked pairs.
+    ``nodes`` has a distinct row (node, views) per different fingerprint."""
+    spark = nodes.sparkSession
+    nodes = materialised(nodes.select("node", *columns))
+    total = nodes.count()
     # the smallest of a second hash: a sample that is the same on every run
-    sampled = distinct if total <= SAMPLE else distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE)
-    sample = np.array([r.fp for r in sampled.collect()], np.int64).view(np.uint64)
+    sampled = nodes if total <= SAMPLE else nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE)
+    rows = sampled.select(*columns).collect()
     masks = bit_blocks(radius)
-    leaf = max(4, LEAF * len(sample) // max(total, 1))
-    trees = spark.sparkContext.broadcast([grow(sample, m, 1, leaf) for m in masks])  # at most a few nodes per sampled row
+    leaf = max(4, LEAF * len(rows) // max(total, 1))
+    samples = [np.array([r[c] for r in rows], np.int64).view(np.uint64) for c in columns]
+    # one tree per view and block, each of at most a few nodes per sampled row
+    trees = spark.sparkContext.broadcast([(v, m, grow(x, m, 1, leaf)) for v, x in enumerate(samples) for m in masks])
+    names = ["tree", "leaf", "node", *columns]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = [b.column("fp").to_numpy() for b in batches]
-        if not values:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        whole = np.concatenate(values).view(np.uint64)
-        for at in range(0, len(whole), 100_000):
-            points = whole[at : at + 100_000]
-            for tree, (nodes, mask) in enumerate(zip(trees.value, masks)):
-                for leaf_no, where in route(points, nodes, mask, 1):
-                    n = len(where)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, tree, np.int32)), pa.array(np.full(n, leaf_no, np.int32)), pa.array(points[where].view(np.int64))],
-                        ["tree", "leaf", "fp"],
-                    )
-
-    # small batches of many leaves come out: one row group per leaf and input block
-    routed = materialised(distinct.mapInArrow(deal, "tree int, leaf int, fp long"))
+        table = pa.Table.from_batches(held).combine_chunks()
+        for at in range(0, table.num_rows, 100_000):
+            part = table.slice(at, 100_000).combine_chunks().to_batches()[0]
+            values = [part.column(c).to_numpy().view(np.uint64) for c in columns]
+            for number, (view, mask, tree) in enumerate(trees.value):
+                for leaf_no, where in route(values[view], tree, mask, 1):
+                    n, taken = len(where), pa.array(where)
+                    place = [pa.array(np.full(n, number, np.int32)), pa.array(np.full(n, leaf_no, np.int32))]
+                    yield pa.RecordBatch.from_arrays([*place, *(part.column(c).take(taken) for c in ("node", *columns))], names)
+
+    longs = ", ".join(f"`{c}` long" for c in ("node", *columns))
+    routed = materialised(nodes.mapInArrow(deal, f"tree int, leaf int, {longs}"))
     full = routed.groupBy("tree", "leaf").count().filter(F.col("count") > MOST)
     full = full.select("tree", "leaf", F.ceil(F.col("count") / (MOST // 2)).cast("int").alias("parts"))
     placed = routed.join(full, ["tree", "leaf"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.select("tree", "leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+    placed = placed.select("tree", "leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", *columns)
 
     def search(table: pa.Table) -> pa.Table:
-        values = table.column("fp").to_numpy()
-        found = forest(values.view(np.uint64), radius)
+        prints = np.stack([table.column(c).to_numpy() for c in columns], axis=1).view(np.uint64)
+        found = forest(prints, radius, table.column("tree")[0].as_py() // len(masks), limit)
         i, j = (np.array([e[k] for e in found], np.int64) for k in (0, 1))
-        return pa.table({"a": values[i], "b": values[j]})
+        named = table.column("node").to_numpy()
+        return pa.table({"a": named[i], "b": named[j]})
 
     return placed.groupBy("tree", "leaf", "i", "j").applyInArrow(search, "a long, b long").distinct()
 
 
-def components(prints: DataFrame, radius: int = 3, id_col: str = "doc_id", column: str = "fp") -> DataFrame:
-    """``prints`` (id and fingerprint) with component_id, the smallest id reachable."""
-    roots = connected_components(links(prints, radius, column)).select(F.col("node").alias(column), "root")
-    least = prints.groupBy(column).agg(F.min(id_col).alias("least"))
-    placed = least.join(roots, column, "left").withColumn("root", F.coalesce("root", column))
+def components(prints: DataFrame, radius: int = 3, id_col: str = "doc_id", column: str = "fp", views: int = 1, limit: int | None = None) -> DataFrame:
+    """``prints`` (id and fingerprints) with component_id, the smallest id reachable."""
+    columns = view_columns(column, views)
+    node = F.col(column) if views == 1 else F.xxhash64(*columns)
+    least = prints.groupBy(*columns).agg(F.min(id_col).alias("least")).withColumn("node", node)
+    least = materialised(least)
+    roots = connected_components(links(least, radius, columns, limit))
+    placed = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialised(placed.join(smallest, "root").select(column, "component_id"))
-    return prints.join(named, column)
+    named = materialised(placed.join(smallest, "root").select(*columns, "component_id"))
+    return prints.join(named, columns)
 
 
 def near_duplicates(df: DataFrame, words: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -74,6 +74,27 @@ def test_components_equal_brute_force(spark, radius, monkeypatch):
     assert {i: parent[i] for i in range(len(values))} | {None: 0} == got
 
 
+def test_two_views_link_by_both(spark):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(60):
+        a, b = rng.getrandbits(63), rng.getrandbits(63)
+        rows.append((a, b))
+        for _ in range(3):
+            flip = lambda x, n: x ^ sum(1 << i for i in rng.sample(range(63), n))
+            rows.append((flip(a, rng.randrange(9)), flip(b, rng.randrange(14))))
+    prints = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, fp long, fp1 long")
+    got = {r.doc_id: r.component_id for r in simhash.components(prints, 7, views=2, limit=16).collect()}
+    parent = list(range(len(rows)))
+    for i, x in enumerate(rows):
+        for j, y in enumerate(rows[:i]):
+            d = [(p ^ q).bit_count() for p, q in zip(x, y)]
+            if min(d) <= 7 and sum(d) <= 16:
+                a, b = parent[i], parent[j]
+                parent = [min(a, b) if p in (a, b) else p for p in parent]
+    assert got == dict(enumerate(parent))
+
+
 def test_trees_keep_every_pair_together():
     rng = np.random.default_rng(3)
     values = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
