@@ -81,8 +81,9 @@ class CountTree:
             i //= 2
             self._sum(i)
 
-    def edit(self, text: str, place: int, delete: int, insert: str, count: Callable[[list[str]], list[int]]) -> tuple[str, int]:
-        """The edited text, and how many of its characters were encoded again."""
+    def plan(self, text: str, place: int, delete: int, insert: str) -> tuple[str, int, int, list[str]]:
+        """The edited text, the leaves low..high that it touches (with one of context on
+        either side), and the parts that replace them."""
         place = max(0, min(place, len(text)))
         stop = max(place, min(place + delete, len(text)))
         low, begin = self.find(max(0, place - 1))
@@ -98,10 +99,17 @@ class CountTree:
         room = high - low + 1
         if len(parts) > room:
             parts = [*parts[: room - 1], "".join(parts[room - 1 :])]
-        counts = count(parts)
-        for i in range(room):
+        return text[:begin] + region + text[end:], low, high, parts
+
+    def replace(self, low: int, high: int, parts: list[str], counts: list[int]) -> None:
+        for i in range(high - low + 1):
             self.set(low + i, len(parts[i]) if i < len(parts) else 0, counts[i] if i < len(parts) else 0)
-        return text[:begin] + region + text[end:], len(region)
+
+    def edit(self, text: str, place: int, delete: int, insert: str, count: Callable[[list[str]], list[int]]) -> tuple[str, int]:
+        """The edited text, and how many of its characters were encoded again."""
+        text, low, high, parts = self.plan(text, place, delete, insert)
+        self.replace(low, high, parts, count(parts))
+        return text, sum(map(len, parts))
 
 
 EDITS = T.ArrayType(T.StructType([T.StructField("place", T.IntegerType()), T.StructField("delete", T.IntegerType()), T.StructField("insert", T.StringType())]))
@@ -122,14 +130,21 @@ def count_edits(df: DataFrame, tokenizer_path: str, text_col: str = "text", edit
             cut = [leaves_of(t) for t in texts]
             counted = iter(count([p for parts in cut for p in parts]))
             trees = [CountTree([len(p) for p in parts], [next(counted) for _ in parts]) for parts in cut]
-            rows = []
-            for text, tree, edits in zip(texts, trees, batch.column("__edits").to_pylist()):
-                before, again = tree.total, 0
-                for e in edits or []:
-                    if e is not None:
-                        text, n = tree.edit(text, e["place"] or 0, e["delete"] or 0, e["insert"] or "", count)
-                        again += n
-                rows.append((before, tree.total, len(text), again))
+            before, again = [t.total for t in trees], [0] * len(trees)
+            edits = [[e for e in es or [] if e is not None] for es in batch.column("__edits").to_pylist()]
+            # the first edits of all documents are encoded together, then the second, ...
+            for turn in range(max(map(len, edits), default=0)):
+                touched = [i for i, es in enumerate(edits) if turn < len(es)]
+                plans = []
+                for i in touched:
+                    e = edits[i][turn]
+                    plans.append(trees[i].plan(texts[i], e["place"] or 0, e["delete"] or 0, e["insert"] or ""))
+                counted = iter(count([p for plan in plans for p in plan[3]]))
+                for i, (text, low, high, parts) in zip(touched, plans):
+                    trees[i].replace(low, high, parts, [next(counted) for _ in parts])
+                    texts[i] = text
+                    again[i] += sum(map(len, parts))
+            rows = [(b, t.total, len(x), n) for b, t, x, n in zip(before, trees, texts, again)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(c, pa.int64()) for c in zip(*rows))], [*kept, *out])
 
     source = df.select(*(F.col(f"`{c}`") for c in kept), text_or_empty(F.col(f"`{text_col}`")).alias("__text"), F.col(f"`{edits_col}`").cast(EDITS).alias("__edits"))
