@@ -14,15 +14,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import bpe, mixing, repeats, simhash, toxicity
+from scholia.llm import bpe, mixing, near_copies, repeats, toxicity
 from scholia.llm.common import documents, fold, materialised, text_or_empty
 from scholia.llm.queries import MIXTURE, TOKENIZER
 
 #: A document scored so high is dropped.
 TOXIC = 0.7
 
-#: Words of a shingle; views of 64 bits; differing bits up to which documents are near
-#: copies, in one view and over all (the latter an agreement of about 0.8).
+#: Words of a shingle; views of 64 bits; differing bits up to which documents are proposed
+#: as near copies, in one view and over all.  What links them is verified: a Jaccard index
+#: of near_copies.NUM / near_copies.DEN.
 SHINGLE, VIEWS, RADIUS, LIMIT = 5, 2, 7, 26
 
 
@@ -33,15 +34,12 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each group stays."""
+    """Documents link from a shingle Jaccard index of 0.8 on; the row with the smallest id
+    of each group stays."""
     text_hash = F.xxhash64(text_or_empty("text"))
-    prints = materialised(
-        simhash.with_fingerprint(docs.select("doc_id", "text", text_hash.alias("th")), "text", SHINGLE, views=VIEWS).drop("text")
-    )
-    grouped = simhash.components(prints, RADIUS, views=VIEWS, limit=LIMIT)
-    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
+    grouped = near_copies.groups(docs, SHINGLE, VIEWS, RADIUS, LIMIT)
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("th"))
-    stay = grouped.groupBy(group.alias("group")).agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("stay_id"), F.col("first.th").alias("stay_th"))
+    stay = grouped.groupBy("near").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("stay_id"), F.col("first.th").alias("stay_th"))
     keyed = docs.withColumn("__th", text_hash)
     same = F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("__th") == F.col("stay_th"))
     # equal rows share id and text: one of them stays

@@ -57,28 +57,42 @@ def _view(h: np.ndarray, number: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))) * np.uint64(0xA0761D6478BD642F)
 
 
-def fingerprint(text: str, words: int, views: int = 1) -> tuple[np.ndarray, int]:
-    """Per view the counts of set bits over all shingle hashes; and how many shingles."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """The hash of every run of ``words`` words; of all words where there are fewer."""
     import xxhash
 
     tokens = text.encode().lower().split()  # bytes: A-Z alone, the six white-space bytes alone
-    counts = np.zeros((views, 64), np.int64)
     if not tokens:
-        return counts, 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     span = min(words, len(tokens))
     digest = xxhash.xxh64_intdigest
     n = len(tokens) - span + 1
+    out = np.empty(n, np.uint64)
     for at in range(0, n, 100_000):
         stop = min(n, at + 100_000)
         pairs = zip(starts[at:stop].tolist(), ends[at + span - 1 : stop + span - 1].tolist())
-        h = np.fromiter((digest(joined[i:j], 42) for i, j in pairs), np.uint64, stop - at)
+        out[at:stop] = np.fromiter((digest(joined[i:j], 42) for i, j in pairs), np.uint64, stop - at)
+    return out
+
+
+def set_bits(hashes: np.ndarray, views: int = 1) -> np.ndarray:
+    """Per view the counts of set bits over all hashes."""
+    counts = np.zeros((views, 64), np.int64)
+    for at in range(0, len(hashes), 100_000):
+        h = hashes[at : at + 100_000]
         for v in range(views):
             bits = np.unpackbits(_view(h, v).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             counts[v] += bits.sum(axis=0, dtype=np.int64)
-    return counts, n
+    return counts
+
+
+def fingerprint(text: str, words: int, views: int = 1) -> tuple[np.ndarray, int]:
+    """Per view the counts of set bits over all shingle hashes; and how many shingles."""
+    hashes = shingle_hashes(text, words)
+    return set_bits(hashes, views), len(hashes)
 
 
 def with_fingerprint(df: DataFrame, text_col: str = "text", words: int = 5, out: str = "fp", views: int = 1) -> DataFrame:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scholia.llm import components, edit_counts, mixing, ngram_lm, quality, repeats, simhash, sketches, toxicity
+from scholia.llm import components, edit_counts, mixing, near_copies, ngram_lm, quality, repeats, simhash, sketches, toxicity
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, score double, fp string, spans string"
@@ -121,6 +121,40 @@ def test_empty_table_has_no_components(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("most, sample", [(2000, 16), (3, 1)])
+def test_near_copies_equal_brute_force(spark, most, sample, monkeypatch):
+    monkeypatch.setattr(near_copies, "MOST", most)
+    monkeypatch.setattr(near_copies, "SAMPLE", sample)
+    rng = random.Random(most)
+    texts = ["", None, "two words", "Two  WORDS", "other words"]
+    line = " ".join(f"common{i}" for i in range(40))
+    for b in range(24):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([6, 40, 150]))] + (line.split() if b % 3 else [])
+        texts.append(" ".join(base))
+        for edits in range(1, 9):  # each substituted word breaks up to five shingles
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), min(len(copy), edits * len(base) // 150 + edits % 2)):
+                copy[at] = f"x{rng.randrange(10**9)}"
+            texts.append(" ".join(copy))
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    sets = [shingles((t or "").lower().split()) for t in texts]
+    parent, seen = list(range(len(texts))), Counter()
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            index = len(x & y) / len(x | y) if x | y else 1.0
+            seen[int(index * 20)] += 1
+            if 5 * len(x & y) >= 4 * len(x | y):
+                a, b = parent[i], parent[j]
+                parent = [min(a, b) if p in (a, b) else p for p in parent]
+    assert all(seen[k] for k in range(14, 19))  # 0.70 to 0.95
+    got = {r.doc_id: r.near for r in near_copies.groups(documents(spark, texts), 5, 2, 7, 26).collect()}
+    least = {}
+    for i in range(len(texts)):
+        least.setdefault(got[i], i)
+    assert [least[got[i]] for i in range(len(texts))] == parent
+    assert near_copies.groups(documents(spark, []), 5, 2, 7, 26).count() == 0
+
+
 # --- repeated passages -------------------------------------------------------------
 
 
