@@ -9,9 +9,8 @@ unigram one, both from such quantised counts.
 N-grams are counted as 64-bit hashes: each task sorts and pre-aggregates what it
 has seen and ships compressed runs, one per range of hashes; a range is merged
 by one task, which also builds its segment of the filter.  The number of ranges
-follows the corpus, so tasks stay small.  Bigrams seen once are left out of the
-filter (the usual cut-off: they say no more than the back-off), all unigrams are
-kept.  Segments are broadcast in passes of at most PASS_BYTES, so the size of
+follows the corpus, so tasks stay small.  Every n-gram enters the filter, those
+seen once with level 1.  Segments are broadcast in passes of at most PASS_BYTES, so the size of
 what is broadcast has a fixed bound; each further pass adds the levels of its
 own n-grams to a column of bytes.
 
@@ -188,8 +187,7 @@ def filter_segments(training: DataFrame, n_tokens: int, text_col: str = "text")
         keys, counts = keys[order], counts[order].astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         keys, counts = keys[start], np.add.reduceat(counts, start)
-        kept = (counts >= 2) | (keys & np.uint64(1) == 0)
-        bits = segment(keys[kept], counts[kept])
+        bits = segment(keys, counts)
         return pa.table({"range": pa.array([table.column("range")[0].as_py()], pa.int32()), "bits": pa.array([bits], pa.binary())})
 
     runs = training.select(text_or_empty(text_col).alias("text")).mapInArrow(count, "range int, run binary")

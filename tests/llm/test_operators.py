@@ -350,6 +350,18 @@ def test_filter_never_loses_a_count_and_passes_agree(spark, monkeypatch):
     assert once == pytest.approx(again)
 
 
+def test_filter_holds_bigrams_seen_once(spark):
+    texts = [f"left{i} right{i}" for i in range(300)]
+    segments = ngram_lm.filter_segments(documents(spark, texts), 900)
+    rows = segments.collect()
+    bloom = ngram_lm.Filter(rows[0].ranges, {r.range: bytes(r.bits) for r in rows})
+    _, two, first = ngram_lm.grams(texts, ngram_lm._Hashes())
+    assert (bloom.levels(two[~first]) >= 1).all()
+    swapped = [f"left{i} right{(i + 1) % 300}" for i in range(300)]
+    scores = {r.doc_id: r.lm for r in ngram_lm.model_scores(documents(spark, texts + swapped), segments, 900, 601, out="lm").collect()}
+    assert sum(scores[i] > scores[300 + i] + 0.1 for i in range(300)) > 280
+
+
 # --- toxicity --------------------------------------------------------------------
 
 
