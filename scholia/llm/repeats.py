@@ -161,10 +161,10 @@ def repeated_windows(buffer: np.ndarray, place: np.ndarray, group: np.ndarray, d
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row's key: its id and 32 bits of its text's hash; and the text."""
+    """A row's key: its id and its text's hash of 64 bits, which tells rows without id apart; and the text."""
     text = text_or_empty(F.col(f"`{text_col}`"))
     id_or_least = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))
-    return df.withColumn("__id", id_or_least).withColumn("__th", F.pmod(F.xxhash64(text), F.lit(1 << 31)).cast("int")).withColumn("__text", text)
+    return df.withColumn("__id", id_or_least).withColumn("__th", F.xxhash64(text)).withColumn("__text", text)
 
 
 def _compressed(df: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def repeated_spans(df: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", te
                 ["__id", "__th", "first", "more", "key", "span"],
             )
 
-    units = materialised(docs.mapInArrow(make_units, "__id long, __th int, first int, more int, key long, span long"))
+    units = materialised(docs.mapInArrow(make_units, "__id long, __th long, first int, more int, key long, span long"))
     # pass 1: anchors that stand alone drop out
     groups = units.groupBy("key").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).filter("n > 1")
     # written out, so that the join below shuffles both sides anew and can split a hot key

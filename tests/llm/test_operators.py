@@ -187,6 +187,17 @@ def test_repeats_equal_brute_force(spark, most, monkeypatch):
         assert "text" not in repeats.cut_repeats(df, depth).columns
 
 
+def test_rows_without_id_keep_their_own_ranges(spark):
+    rng = random.Random(4)
+    passage, alone = "".join(rng.choices("abcdefgh ", k=260)), "".join(rng.choices("ijklmnop ", k=300))
+    low = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) % (1 << 31)
+    ends = {low(f"{passage}{i}"): f"{passage}{i}" for i in range(150_000)}
+    other = next(t for i in range(10**6) if low(t := f"{alone}{i}") in ends)  # its hash agrees in 31 bits
+    df = documents(spark, [f"{passage} once more"], [(None, ends[low(other)]), (None, other)])
+    got = {r.n_bytes: (bytes(r.kept_bytes), r.spans) for r in repeats.cut_repeats(df, depth=200).collect()}
+    assert got[len(other)] == (other.encode(), []) and len(got[len(ends[low(other)])][1]) == 1
+
+
 def test_characters_stay_whole(spark):
     texts = ["漢" + "abcdefghijklmnopqrst" + "é", "字" + "abcdefghijklmnopqrst" + "è"]
     got = repeats.cut_repeats(documents(spark, texts), 20, characters=True).collect()
