@@ -7,6 +7,15 @@ expected token totals of the domains, sum(rate * tokens * posterior), match the
 targets.  A step needs one sum per domain over all documents, so the driver
 sees as many numbers as there are domains.
 
+What is made small is half the sum over domains of (total - target)**2 / size, with the
+domain's whole token total as its size.  Measured in tokens (a document's rate weighs as
+many as it has) the gradient is sum(posterior * excess), excess = (total - target) / size,
+and its Lipschitz constant is 1, so a step of length 1 is safe.  Steps carry momentum,
+which is dropped whenever the objective rises.  The fit ends when every excess is below
+TOLERANCE, or when rates stand still because the posteriors overlap too much for the
+targets to be met; ``Mixture.excess`` tells which.  A fit that does neither in STEPS steps
+raises an error.
+
 The classifier is naive Bayes over a few binned shape features of the text (signs,
 separators, capitals, word and line lengths), counted over all labelled rows.
 
@@ -31,11 +40,15 @@ from pyspark.sql import functions as F
 from .common import materialised, text_or_empty
 from .quality import words_of
 
-#: Bins of a shape feature, added count of the classifier, steps of the fit.
-BINS, ADDED, STEPS = 10, 1.0, 12
+#: Bins of a shape feature, added count of the classifier.
+BINS, ADDED = 10, 1.0
+
+#: Distance from a domain's target, as a share of its tokens, that ends the fit; so does a
+#: step that changes rates by less than STILL per token.
+TOLERANCE, STILL = 1e-4, 1e-6
 
-#: Distance from a domain's target, as a share of its tokens, that ends the fit.
-TOLERANCE = 1e-4
+#: Steps without an end that are an error; steps after which the rates are written out.
+STEPS, WRITTEN = 1000, 8
 
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -69,7 +82,8 @@ class Mixture:
 
     def __init__(self, domains: list[str], seen: dict[tuple[str, str, int], int], max_rate: float):
         self.domains, self.seen, self.max_rate = domains, seen, float(max_rate)
-        self.steps: list[list[float]] = []
+        self.steps: list[tuple[float, list[float]]] = []  # momentum, excess it leads to
+        self.excess: list[float] = []  # what is left at the end
         self.size = {d: max((n for (e, _, _), n in self._totals().items() if e == d), default=0) for d in domains}
 
     def _totals(self) -> dict[tuple[str, str, int], int]:
@@ -95,15 +109,23 @@ class Mixture:
         norm = raw.select("*", F.aggregate("__raw", F.lit(0.0), lambda a, x: a + x).alias("__norm"))
         return norm.select(*kept, F.transform("__raw", lambda x: x / F.col("__norm")).alias("p"))
 
-    def rate(self) -> Column:
-        rate = F.lit(self.max_rate)
-        for excess in self.steps:
-            step = sum((F.get("p", F.lit(k)) * F.lit(e) for k, e in enumerate(excess)), F.lit(0.0))
-            rate = F.least(F.lit(self.max_rate), F.greatest(F.lit(0.0), rate - step))
-        return rate
+    def taken(self, steps: list[tuple[float, list[float]]], now: Column, before: Column) -> Column:
+        """(now, before): the rates after some more steps and those one step earlier."""
+        state = lambda now, before: F.struct(now.alias("now"), before.alias("before"))
+        if not steps:
+            return state(now, before)
+
+        def step(at: Column, s: Column) -> Column:
+            downhill = sum((F.get("p", F.lit(k)) * F.get(s["excess"], F.lit(k)) for k in range(len(self.domains))), F.lit(0.0))
+            moved = at["now"] + s["momentum"] * (at["now"] - at["before"]) - downhill
+            return state(F.least(F.lit(self.max_rate), F.greatest(F.lit(0.0), moved)), at["now"])
+
+        listed = F.array(*(F.struct(F.lit(m).alias("momentum"), F.array(*map(F.lit, e)).alias("excess")) for m, e in steps))
+        return F.aggregate(listed, state(now, before), step)
 
     def with_rates(self, members: DataFrame, id_col: str) -> DataFrame:
-        rated = members.withColumn("rate", F.round(self.rate(), 9))
+        full = F.lit(self.max_rate)
+        rated = members.withColumn("rate", F.round(self.taken(self.steps, full, full)["now"], 9))
         return rated.withColumn("copies", draw(F.col("rate"), F.col(f"`{id_col}`")))
 
     def apply(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,37 +141,55 @@ def featurised(df: DataFrame, text_col: str) -> DataFrame:
     return rows.select("*", *(c.alias(f"__f_{n}") for n, c in shape_features(text, F.col("tokens")).items()))
 
 
-def fit(df: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", max_rate: float = 1.0) -> tuple[Mixture, DataFrame]:
-    """The mixture, and its members: ``df`` without the text, with tokens and p."""
+def fit(df: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", max_rate: float = 1.0, keep_text: bool = False) -> tuple[Mixture, DataFrame]:
+    """The mixture, and its members: ``df`` with tokens and p, the text only if kept."""
     domains = sorted(weights)
-    slim = featurised(df.select(F.col(id_col), F.col(text_col)), text_col).drop(text_col)
-    rows = materialised(slim)
+    rows = featurised(df, text_col)
+    rows = materialised(rows if keep_text else rows.drop(text_col))
     names = [c for c in rows.columns if c.startswith("__f_")]
     known = labels.select(F.col(id_col), F.col(label_col).cast("string").alias("__domain")).filter(F.col("__domain").isin(domains))
-    taught = rows.join(known, id_col).select("__domain", *names)
+    taught = rows.select(id_col, *names).join(known, id_col).select("__domain", *names)
     pairs = F.array(*(F.struct(F.lit(n[2:]).alias("feature"), F.col(n).alias("bin")) for n in names))
     cells = taught.select("__domain", F.explode(pairs).alias("x")).groupBy("__domain", "x.feature", "x.bin").count()
     seen = {(r["__domain"], r["feature"], r["bin"]): r["count"] for r in cells.collect()}  # domains x features x bins at most
     mixture = Mixture(domains, seen, max_rate)
-    members = materialised(mixture.with_posteriors(rows))
-    wanted = [weights[d] for d in domains]
-
-    def sums(rate: Column) -> list[float]:
-        rated = members.select("p", (rate * F.col("tokens")).alias("weight"))
-        totals = (F.sum(F.col("weight") * F.get("p", F.lit(k))) for k in range(len(domains)))
-        return [x or 0.0 for x in rated.agg(*totals).first()]
-
-    whole = sums(F.lit(1.0))
-    most = max(range(len(domains)), key=lambda k: (wanted[k], -k))
+    settle(mixture, mixture.with_posteriors(rows.select("tokens", *names)), [weights[d] for d in domains])
+    return mixture, mixture.with_posteriors(rows)
+
+
+def settle(mixture: Mixture, members: DataFrame, wanted: list[float]) -> None:
+    """Find the steps that lead from full rates to the wanted weights of ``members`` (tokens, p)."""
+    full = F.lit(mixture.max_rate)
+    count, order = len(wanted), range(len(wanted))
+    members = materialised(members.select("tokens", "p", full.alias("now"), full.alias("before")))
+    part = lambda rate, k: F.sum(rate * F.col("tokens") * F.get("p", F.lit(k)))
+    first = members.agg(*(part(F.lit(1.0), k) for k in order), F.sum("tokens")).first()
+    whole, tokens = [x or 0.0 for x in first[:count]], first[count] or 0
+    most = max(order, key=lambda k: (wanted[k], -k))
     budget = mixture.max_rate * whole[most] / wanted[most]
     targets = [min(mixture.max_rate * a, w * budget) for a, w in zip(whole, wanted)]
-    for _ in range(STEPS):
-        now = sums(mixture.rate())
-        excess = [(x - t) / a if a else 0.0 for x, t, a in zip(now, targets, whole)]
-        if max(map(abs, excess)) < TOLERANCE:
+    distance = lambda totals: [(x - t) / a if a else 0.0 for x, t, a in zip(totals, targets, whole)]
+    size = lambda excess: sum(a * e * e for a, e in zip(whole, excess))
+    now = before = distance([mixture.max_rate * a for a in whole])
+    since, written = 0, 0
+    while max(map(abs, now), default=0.0) >= TOLERANCE:
+        if len(mixture.steps) >= STEPS:
+            raise RuntimeError(f"no mixture after {STEPS} steps; excess by domain {dict(zip(mixture.domains, now))}")
+        since = since + 1 if size(now) <= size(before) else 0
+        momentum = max(0.0, (since - 1) / (since + 2))
+        mixture.steps.append((momentum, [n + momentum * (n - b) for n, b in zip(now, before)]))
+        state = mixture.taken(mixture.steps[written:], F.col("now"), F.col("before"))
+        stepped = members.select("tokens", "p", state.alias("__at"))
+        if len(mixture.steps) - written == WRITTEN:
+            members = materialised(stepped.select("tokens", "p", "__at.now", "__at.before"))
+            stepped = members.select("tokens", "p", F.struct("now", "before").alias("__at"))
+            written = len(mixture.steps)
+        moved = F.sum(F.abs(F.col("__at.now") - F.col("__at.before")) * F.col("tokens"))
+        sums = [x or 0.0 for x in stepped.agg(*(part(F.col("__at.now"), k) for k in order), moved).first()]
+        before, now = now, distance(sums[:count])
+        if sums[count] < STILL * tokens:
             break
-        mixture.steps.append(excess)
-    return mixture, members
+    mixture.excess = now
 
 
 def draw(rate: Column, id_col: Column) -> Column:

@@ -435,6 +435,35 @@ def test_mixture_without_labels_or_rows(spark):
     assert mixing.mix(documents(spark, []), labels, {"0": 0.5, "1": 0.5}).count() == 0
 
 
+@pytest.mark.parametrize("domains, blur", [(2, 0.4), (3, 1.0), (5, 0.6), (3, 50.0)])
+def test_overlapping_domains_settle_at_the_least_squares(spark, domains, blur):
+    rng = np.random.default_rng(domains)
+    p = rng.dirichlet(np.full(domains, blur), 300)
+    tokens = rng.integers(0, 2000, 300)
+    wanted = np.arange(1, domains + 1) / sum(range(1, domains + 1))
+    members = spark.createDataFrame([(int(t), [float(x) for x in row]) for t, row in zip(tokens, p)], "tokens long, p array<double>")
+    mixture = mixing.Mixture([str(k) for k in range(domains)], {}, 1.0)
+    mixing.settle(mixture, members, list(wanted))
+    full = F.lit(1.0)
+    rate = np.array([r[0] for r in members.select(mixture.taken(mixture.steps, full, full)["now"]).collect()])
+    whole = tokens @ p
+    target = np.minimum(whole, wanted * whole[-1] / wanted[-1])
+    objective = lambda r: sum(((r * tokens) @ p - target) ** 2 / whole) / whole.sum()
+    brute = np.ones(300)
+    for _ in range(20_000):
+        brute = np.clip(brute - p @ (((brute * tokens) @ p - target) / whole), 0, 1)
+    assert ((rate >= 0) & (rate <= 1)).all()
+    assert objective(rate) <= objective(brute) + 1e-7
+    assert np.allclose(mixture.excess, ((rate * tokens) @ p - target) / whole, atol=1e-6)
+
+
+def test_a_fit_without_an_end_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    members = spark.createDataFrame([(10, [0.9, 0.1]), (10, [0.4, 0.6])], "tokens long, p array<double>")
+    with pytest.raises(RuntimeError, match="no mixture"):
+        mixing.settle(mixing.Mixture(["0", "1"], {}, 1.0), members, [0.3, 0.7])
+
+
 # --- pipeline --------------------------------------------------------------------
 
 
