@@ -53,9 +53,11 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    mixture, _ = mixing.fit(docs, labels, MIXTURE)
-    drawn = mixture.apply(docs).filter("copies > 0")
-    return drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    mixture, members = mixing.fit(docs, labels, MIXTURE, keep_text=True)
+    # written out first: a filter on the copies, pushed below, would repeat the whole classifier
+    rated = materialised(mixture.with_rates(members, "doc_id").select(*docs.columns, F.col("copies").alias("__copies")))
+    drawn = rated.filter(F.col("__copies") > 0)
+    return drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
