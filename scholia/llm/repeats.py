@@ -14,9 +14,9 @@ its group after a digit is dropped before the next:
 3. within an anchor's group, for one unit of each different span, the remaining
    bytes of every window in digits of DIGIT bytes down to ``depth``.
 
-The first two passes are aggregations over hashes in Spark.  The third sorts each
-anchor's group in numpy; groups of over MOST spans are sorted by whole windows in
-Spark instead, where partial aggregation takes care of hot ones.
+The first two passes are aggregations over hashes in Spark.  The third sorts the
+anchors' groups in numpy, many groups at a time; groups of over MOST spans are sorted
+by whole windows in Spark instead, where partial aggregation takes care of hot ones.
 
 Edge cases: a null text is empty; texts shorter than ``depth`` have no window and
 stay whole; equal texts of at least ``depth`` bytes vanish; rows with equal id and
@@ -40,8 +40,8 @@ from .common import in_chunks, materialised, text_or_empty
 #: Bytes of a window, of an anchor, and of a digit of the third pass.
 DEPTH, ANCHOR, DIGIT = 200, 50, 50
 
-#: Spans of one anchor that a task sorts by itself, at most.
-MOST = 2000
+#: Spans of one anchor that a task sorts by itself, at most; bytes of groups sorted together.
+MOST, GROUPS_BYTES = 2000, 2_000_000
 
 #: Odd multipliers of the two rolling hashes, with their inverses modulo 2**64.
 _A, _B = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -213,46 +213,47 @@ def repeated_spans(df: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", te
     sample = F.struct("__id", "__th", "first", "more")
     spans = materialised(mixed.groupBy("key", "span").agg(F.count("*").alias("copies"), F.min(sample).alias("unit")))
     settled = met.filter(~F.col("mixed")).select("__id", "__th", "first", "more")
-    copied = mixed.join(spans.filter("copies > 1").select("key", "span"), ["key", "span"]).select("__id", "__th", "first", "more")
+    # nothing but this join runs on the exchange, so a span with very many copies is split
+    copied = materialised(mixed.join(spans.filter("copies > 1").select("key", "span"), ["key", "span"]).select("__id", "__th", "first", "more"))
     sizes = materialised(spans.groupBy("key").agg(F.count("*").alias("spans")))
     wanted = spans.join(sizes, "key").select("key", "span", "unit.*", "spans", (F.col("copies") == 1).alias("open"))
     listed = wanted.groupBy("__id", "__th").agg(F.collect_list(F.struct("key", "span", "first", "more", "spans", "open")).alias("units"))
     # the bytes of those units, or the hashes of all their windows where a group is large
-    pieces = materialised(_compressed(docs).join(listed, ["__id", "__th"]).select("__z", "units").mapInArrow(_pieces(depth), _PIECES))
-    small = pieces.filter("window = -1").groupBy("key").applyInArrow(_sort_group(depth), "key long, span long, starts array<int>")
+    pieces = materialised(_compressed(docs).join(listed, ["__id", "__th"]).select("__id", "__th", "__z", "units").mapInArrow(_pieces(depth), _PIECES))
+    # an open unit is the only one of its span, so what is found for it needs no way back to others
+    dealt = pieces.filter("window = -1").repartition("key").sortWithinPartitions("key", "span")
+    small = dealt.mapInArrow(_sort_groups(depth), "__id long, __th long, first int")
     large = pieces.filter("window >= 0")
     again = large.groupBy("key", "hash").agg(F.min("span").alias("low"), F.max("span").alias("high")).filter("low <> high").select("key", "hash")
-    large = large.filter("open").join(again, ["key", "hash"]).select("key", "span", F.array("window").alias("starts"))
-    unresolved = mixed.join(spans.filter("copies = 1").select("key", "span"), ["key", "span"])
-    found = unresolved.join(small.unionByName(large), ["key", "span"]).select("__id", "__th", F.col("first").alias("base"), F.explode("starts").alias("at"))
-    found = found.select("__id", "__th", (F.col("base") + F.col("at")).alias("first"), F.lit(0).alias("more"))
+    large = large.filter("open").join(again, ["key", "hash"]).select("__id", "__th", (F.col("first") + F.col("window")).alias("first"))
+    found = small.unionByName(large).withColumn("more", F.lit(0))
     every = settled.unionByName(copied).unionByName(found)
-    # first + more: windows; depth more bytes: what they cover
-    return every.groupBy("__id", "__th").agg(F.collect_list(F.struct("first", "more")).alias("windows"))
+    # first + more: windows; depth more bytes: what they cover; rows that are equal say it once
+    return every.groupBy("__id", "__th").agg(F.collect_set(F.struct("first", "more")).alias("windows"))
 
 
-_PIECES = "key long, span long, open boolean, more int, bytes binary, window int, hash long"
+_PIECES = "__id long, __th long, key long, span long, open boolean, first int, more int, bytes binary, window int, hash long"
 
 
 def _pieces(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "span", "open", "more", "bytes", "window", "hash"]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.int32(), pa.int64()]
+        names = ["__id", "__th", "key", "span", "open", "first", "more", "bytes", "window", "hash"]
+        kinds = [*[pa.int64()] * 4, pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64()]
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in in_chunks(batches, "__z", 200_000):
             rows = []
-            for packed, units in zip(batch.column("__z").to_pylist(), batch.column("units").to_pylist()):
+            for i, th, packed, units in zip(*(batch.column(c).to_pylist() for c in ("__id", "__th", "__z", "units"))):
                 data = unpack(packed)
                 for u in units:
                     piece = data[u["first"] : u["first"] + u["more"] + depth]
                     if u["spans"] <= MOST:
-                        rows.append((u["key"], u["span"], u["open"], u["more"], piece, -1, 0))
+                        rows.append((i, th, u["key"], u["span"], u["open"], u["first"], u["more"], piece, -1, 0))
                         continue
                     rolling = Rolling(np.frombuffer(piece, np.uint8), _B)
                     for w, h in enumerate(rolling.every(depth).view(np.int64).tolist()):
-                        rows.append((u["key"], u["span"], u["open"], 0, None, w, h))
+                        rows.append((i, th, u["key"], u["span"], u["open"], u["first"], 0, None, w, h))
             for at in range(0, len(rows), 50_000):
                 columns = zip(*rows[at : at + 50_000])
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
@@ -260,23 +261,48 @@ def _pieces(depth: int):
     return run
 
 
-def _sort_group(depth: int):
-    def run(table: pa.Table) -> pa.Table:
-        _, one_each = np.unique(table.column("span").to_numpy(), return_index=True)  # repeated rows
-        table = table.take(pa.array(one_each))
-        pieces = table.column("bytes").to_pylist()
-        more = table.column("more").to_numpy()
-        buffer = np.frombuffer(b"".join(pieces), np.uint8)
-        size = np.array([len(p) for p in pieces], np.int64)
-        begin = np.cumsum(size) - size
-        unit = np.repeat(np.arange(len(pieces)), more + 1)
-        start = np.arange(len(unit)) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
-        again = repeated_windows(buffer, begin[unit] + start, np.zeros(len(unit), np.int64), depth)
-        wanted = again & table.column("open").to_numpy(zero_copy_only=False)[unit]
-        rows = np.unique(unit[wanted])
-        starts = np.split(start[wanted].astype(np.int32), np.searchsorted(unit[wanted], rows)[1:]) if len(rows) else []
-        taken = table.take(pa.array(rows, pa.int64()))
-        return pa.table({"key": taken.column("key"), "span": taken.column("span"), "starts": pa.array([s.tolist() for s in starts], pa.list_(pa.int32()))})
+def _sort_groups(depth: int):
+    """Over rows ordered by key: whole groups, many at a time, sorted by their windows' digits."""
+
+    def again(table: pa.Table) -> pa.RecordBatch:
+        key, span = table.column("key").to_numpy(), table.column("span").to_numpy()
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (span[1:] != span[:-1])])
+        table, key = table.take(pa.array(np.flatnonzero(new))), key[new]  # repeated rows share a unit
+        pieces = table.column("bytes").combine_chunks()
+        pieces = pieces.chunk(0) if isinstance(pieces, pa.ChunkedArray) else pieces
+        offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64)
+        buffer = np.frombuffer(pieces.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        begin = offsets[:-1] - offsets[0]
+        many = table.column("more").to_numpy().astype(np.int64) + 1
+        unit = np.repeat(np.arange(len(many)), many)
+        start = np.arange(len(unit)) - np.repeat(np.cumsum(many) - many, many)
+        group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+        found = repeated_windows(buffer, begin[unit] + start, group[unit], depth)
+        found &= table.column("open").to_numpy()[unit]
+        taken = pa.array(unit[found])
+        first = table.column("first").to_numpy()[unit[found]] + start[found]
+        columns = [*(table.column(c).take(taken).combine_chunks() for c in ("__id", "__th")), pa.array(first, pa.int32())]
+        return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns], ["__id", "__th", "first"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size < GROUPS_BYTES:
+                continue
+            table = pa.Table.from_batches(held)
+            key = table.column("key").to_numpy()
+            whole = int(np.searchsorted(key == key[-1], True))  # the last group may go on
+            if whole:
+                yield again(table.slice(0, whole))
+                rest = table.slice(whole).combine_chunks()
+                held, size = rest.to_batches(), rest.nbytes
+        if held:
+            yield again(pa.Table.from_batches(held))
 
     return run
 
