@@ -317,59 +317,60 @@ def test_small_edits_touch_few_characters():
 # --- language model ----------------------------------------------------------------
 
 
-def test_unigram_scores_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ngram_lm, "FREQUENT", 10)
-    texts = [*random_texts(80, 8, 60), "", None, "New Words\tONLY here", "ÉA éa"]
-    df = documents(spark, texts).drop("score")
+@pytest.mark.parametrize("chunk, ranges", [(10**6, 10**6), (300, 100)])
+def test_scores_equal_brute_force(spark, monkeypatch, chunk, ranges):
+    monkeypatch.setattr(ngram_lm, "CHUNK_TOKENS", chunk)
+    monkeypatch.setattr(ngram_lm, "RANGE_TOKENS", ranges)
+    texts = [*random_texts(80, 8, 60), "", None, "New Words\tONLY here", "ÉA éa", "again and again"]
+    df = documents(spark, texts).drop("score").withColumn("n_tokens", F.lit("clash"))
     held = F.pmod("doc_id", F.lit(5)) == 0
-    got = {r.doc_id: r for r in ngram_lm.score(df, held).collect()}
-    tokens = [(t or "").encode().lower().split() for t in texts]
-    counts = Counter(w for i, ws in enumerate(tokens) if i % 5 for w in ws)
-    docs = sum(1 for i in range(len(texts)) if i % 5)
-    n, v = sum(counts.values()) + docs, len(counts) + 1
-    log = lambda c: math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+    # a filter so roomy that no probe is wrong
+    got = {r.doc_id: r for r in ngram_lm.score(df, held, bits_each=1000).collect()}
+    tokens = [[*(t or "").encode().lower().split(), "end"] for t in texts]
+    taught = [ws for i, ws in enumerate(tokens) if i % 5]
+    counts = Counter(w for ws in taught for w in ws)
+    pairs = Counter(p for ws in taught for p in zip(ws, ws[1:]))
+    n, v = sum(counts.values()), len(counts)
+
+    def seen(c):  # the middle of [2**k, 2**(k + 1))
+        low = 1 << (c.bit_length() - 1) if c else 0
+        return (low + max(low, 2 * low - 1)) / 2 if c else 0
+
+    assert len(got) == len(texts)
     for i, ws in enumerate(tokens):
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(ws) + 1, sum(counts[w] > 0 for w in ws) + 1, n)
-        assert got[i].base_score == pytest.approx(sum(log(counts[w]) for w in ws) + log(docs))
-        assert got[i].score < 0
-    assert ngram_lm.score(df.limit(0), held).count() == 0
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(ws), sum(counts[w] > 0 for w in ws), n)
+        assert got[i].base_score == pytest.approx(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
+        want = 0
+        for before, w in zip([None, *ws], ws):
+            p = (seen(counts[w]) + 0.1) / (n + 0.1 * (v + 1))
+            if before is not None and counts[before]:
+                p = 0.4 * min(1, seen(pairs[before, w]) / seen(counts[before])) + 0.6 * p
+            want += math.log10(min(p, 1))
+        assert got[i].score == pytest.approx(want)
+        assert got[i].fp == "clash"
+
+
+def test_scores_without_training_or_rows(spark):
+    df = documents(spark, ["a b", None, "a b"]).drop("score")
+    assert ngram_lm.score(df.limit(0), F.lit(False)).count() == 0
     untrained = ngram_lm.score(df, F.lit(True)).collect()
-    assert all(r.train_tokens == 0 and r.n_known == 0 for r in untrained)
-
-
-def test_filter_never_loses_a_count_and_passes_agree(spark, monkeypatch):
-    texts = random_texts(200, 12, 80)
-    df = documents(spark, texts)
-    counts = Counter()
-    for t in texts:
-        one, two, first = ngram_lm.grams([t], ngram_lm._Hashes())
-        counts.update(one.tolist())
-        counts.update(two[~first].tolist())
-    n = sum(len(t.split()) + 1 for t in texts)
-    monkeypatch.setattr(ngram_lm, "RANGE_TOKENS", 1000)
-    segments = ngram_lm.filter_segments(df, n)
-    rows = segments.collect()
-    assert len(rows) > 4
-    bloom = ngram_lm.Filter(rows[0].ranges, {r.range: bytes(r.bits) for r in rows})
-    kept = [k for k, c in counts.items() if c >= 2 or not k & 1]
-    levels = bloom.levels(np.array(kept, np.uint64))
-    truth = ngram_lm.level(np.array([counts[k] for k in kept]))
-    assert (levels >= truth).all() and (levels > truth).mean() < 0.1
-    once = {r.doc_id: r.lm for r in ngram_lm.model_scores(df, segments, n, 60, out="lm").collect()}
-    monkeypatch.setattr(ngram_lm, "PASS_BYTES", 200)
-    again = {r.doc_id: r.lm for r in ngram_lm.model_scores(df, segments, n, 60, out="lm").collect()}
-    assert once == pytest.approx(again)
-
-
-def test_filter_holds_bigrams_seen_once(spark):
-    texts = [f"left{i} right{i}" for i in range(300)]
-    segments = ngram_lm.filter_segments(documents(spark, texts), 900)
-    rows = segments.collect()
-    bloom = ngram_lm.Filter(rows[0].ranges, {r.range: bytes(r.bits) for r in rows})
-    _, two, first = ngram_lm.grams(texts, ngram_lm._Hashes())
-    assert (bloom.levels(two[~first]) >= 1).all()
-    swapped = [f"left{i} right{(i + 1) % 300}" for i in range(300)]
-    scores = {r.doc_id: r.lm for r in ngram_lm.model_scores(documents(spark, texts + swapped), segments, 900, 601, out="lm").collect()}
+    assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in untrained) and len(untrained) == 3
+    assert [r.n_known for r in ngram_lm.score(df, F.lit(None).cast("boolean")).orderBy("n_tokens").collect()] == [1, 3, 3]
+
+
+def test_a_segment_never_loses_a_count():
+    rng = np.random.default_rng(5)
+    keys = rng.integers(0, 1 << 62, 5000).astype(np.uint64) * np.uint64(2)
+    counts = np.concatenate([np.ones(3000, np.int64), rng.integers(2, 5000, 1000), np.zeros(1000, np.int64)])
+    levels = ngram_lm.Segment(keys, counts).levels(keys)
+    truth = ngram_lm.level(counts)
+    assert (levels >= truth).all() and (levels > truth).mean() < 0.03
+    assert truth.tolist() == [int(c).bit_length() for c in counts]
+
+
+def test_seen_pairs_score_above_unseen_ones(spark):
+    texts = [f"left{i} right{i}" for i in range(300)] + [f"left{i} right{(i + 1) % 300}" for i in range(300)]
+    scores = {r.doc_id: r.score for r in ngram_lm.score(documents(spark, texts).drop("score"), F.col("doc_id") >= 300).collect()}
     assert sum(scores[i] > scores[300 + i] + 0.1 for i in range(300)) > 280
 
 
