@@ -38,8 +38,11 @@ LONG_WORD = 64
 #: Multiplier and word size of the rolling hash over vocabulary prefixes.
 _STEP, _MASK = 0x9DDFEA08EB382D69, (1 << 64) - 1
 
-#: Cached words in a Python worker; beyond it the cache starts anew.
-CACHE_WORDS = 300_000
+#: Cached words in a Python worker; beyond it those met only once are forgotten.
+CACHE_WORDS = 400_000
+
+#: ASCII signs, none of which belongs to the letters before it.
+_SIGNS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 #: White space, a blank, then white space or the end: there a blank need not start a word.
 _RUN_OF_SPACE = re.compile(r"\s (?:\s|\Z)")
@@ -299,6 +302,7 @@ class CachedEncoder:
         self.encode_parts, self.encode_whole, self.special, self.size = encode_parts, encode_whole, special, size
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.again: set[str] = set()  # of later, those met again
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split: list[list[str] | None] = []
@@ -306,10 +310,13 @@ class CachedEncoder:
             whole = _RUN_OF_SPACE.search(text) or any(s in text for s in self.special)
             split.append(None if whole else text.split(" "))
         if len(self.first) + len(self.later) > self.size:
-            self.first, self.later = {}, {}
+            found = self.again if len(self.again) <= self.size // 2 else ()
+            self.first, self.later, self.again = {}, {w: self.later[w] for w in found}, set()
         first, later = self.first, self.later
-        new_first = [w for w in {p[0] for p in split if p} if w not in first]
-        new_later = [w for w in set().union(*(p[1:] for p in split if p)) if w not in later]
+        new_first = list({p[0] for p in split if p} - first.keys())
+        seen = set().union(*(p[1:] for p in split if p))
+        new_later = list(seen - later.keys())
+        self.again |= seen & later.keys()
         parts = [*new_first, *(" " + p for p in new_later)]
         if parts:
             coded = self.encode_parts(parts)
@@ -335,12 +342,14 @@ class _Words:
             self.cache.update(zip(new, self.model.encode_words(new)))
 
     def parts(self, parts: list[str]) -> list[bytes]:
-        find = self.model.pattern.findall  # a blank and letters are one pre-token
-        cut = [[p] if p[1:].isalpha() and p[0] == " " else find(p) for p in parts]
+        find = self.model.pattern.findall
+        # a blank and letters are one pre-token, a sign that ends them another
+        cut = [[p] if p[1:].isalpha() and p[0] == " " else [p[:-1], p[-1]] if p[1:-1].isalpha() and p[0] == " " and p[-1] in _SIGNS else find(p) for p in parts]
         if len(self.cache) > CACHE_WORDS:
             self.cache = {}
         self.learn(set().union(*cut))
-        return [b"".join(map(self.cache.__getitem__, c)) for c in cut]
+        cache = self.cache
+        return [cache[c[0]] if len(c) == 1 else b"".join(map(cache.__getitem__, c)) for c in cut]
 
     def whole(self, text: str) -> bytes:
         special = self.model.special

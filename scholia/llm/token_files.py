@@ -32,6 +32,9 @@ from .common import in_chunks, materialised, shared_folder, text_or_empty
 #: Ids in a sequence, and sequences in a record batch.
 SEQUENCE, BATCH = 2048, 256
 
+#: Bytes of text that go to one file.
+FILE_BYTES = 128 << 20
+
 _MANIFEST = "part int, path string, n_docs long, n_tokens long, first_doc long"
 
 
@@ -108,7 +111,6 @@ def write(
     spark = df.sparkSession
     folder = folder or shared_folder(spark)
     kind = np.dtype("<u4" if wide else "<u2")
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -130,6 +132,9 @@ def write(
             )
 
     rows = df.select(F.col("doc_id").cast("long"), text_or_empty("text").alias("__text"))
+    if partitions is None:
+        size = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     dealt = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("__text"))
     manifest = materialised(dealt.mapInArrow(run, _MANIFEST))
     # one row per file: few, however large the corpus
@@ -178,5 +183,6 @@ def read_documents(files: DataFrame) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    spread = files.repartition(F.col("path")).select("path", "start")
+    # a file to a task: a stated number of partitions is not merged again
+    spread = files.select("path", "start").repartition(max(1, files.count()), "path")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
