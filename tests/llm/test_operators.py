@@ -225,15 +225,43 @@ def brute_quality(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(inside), failed
 
 
-def test_quality_counts_equal_brute_force(spark):
+def brute_kept(text):
+    """The rules once more, line by line, in plain Python."""
+    phrases = [p for of_language in quality.BOILERPLATE.values() for p in of_language]
+    total = rest = 0
+    for line in (text or "").split("\n"):
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", line))
+        many = lambda x: x >= 3 and x >= n * quality.SHARE
+        closing = re.sub(r"[ \t\x0b\x0c\r]+$", "", line).rstrip("'\"”’»)]")
+        fails = n >= quality.OPEN_WORDS and closing[-1:] not in tuple(".!?;:…。！？")
+        fails |= many(sum(c in "|›»•·" for c in line)) or many(sum(c in "#*$%&<>" for c in line)) or many(line.count("!!"))
+        fails |= n <= quality.BOILERPLATE_WORDS and any(p in line.lower() for p in phrases)
+        total += n
+        rest += 0 if fails else n
+    return not brute_quality(text)[-1] and (total - rest) / total <= quality.LOSS
+
+
+@pytest.mark.parametrize("place_bits", [26, 60, 5])
+def test_quality_equals_brute_force(spark, place_bits, monkeypatch):
+    # 60: windows share four bits of hash; 5: most texts are too long to be packed
+    monkeypatch.setattr(quality, "_PLACE_BITS", place_bits)
+    monkeypatch.setattr(quality, "_PLACE", (1 << place_bits) - 1)
     rng = random.Random(2)
-    texts = ["".join(rng.choice(["a", "b", "cé", " ", " ", "\n", "\t", "#", "|", "\x0b"]) for _ in range(rng.randrange(0, 200))) for _ in range(150)]
+    texts = ["".join(rng.choice(["a", "b", "cé", " ", " ", "\n", "\t", "#", "|", "\x0b"]) for _ in range(rng.randrange(0, 200))) for _ in range(100)]
     texts += [None, "", "   ", "a b c " * 300, "one two", "a b c", "x y x y x y", "\n\n", " a\na \na"]
+    marks = [*["."] * 9, "!", "", ",", '."', " |", " ###", "!!", " › • |", "。", ") "]
+    lines = lambda n: [" ".join(f"w{rng.randrange(300)}{rng.choice([*[''] * 30, '|', '%'])}" for _ in range(rng.randrange(1, 30))) + rng.choice(marks) for _ in range(n)]
+    said = ["Alle Rechte vorbehalten.", "Cliquez ici !", "Sign up, log in. SUBSCRIBE!!", "Aviso legal »", "w1 w2 w3"]
+    for _ in range(60):
+        made = lines(rng.randrange(4, 14)) + rng.sample(said, 2)
+        rng.shuffle(made)
+        texts.append("\n".join(made))
     got = {r.doc_id: r for r in quality.assess(documents(spark, texts)).collect()}
     for i, t in enumerate(texts):
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_quality(t), t
-        assert not (r.kept and r.base_failed)
+        assert r.kept == brute_kept(t), t
+    assert 20 < sum(r.kept for r in got.values()) < 60
     assert quality.assess(documents(spark, [])).count() == 0
 
 
