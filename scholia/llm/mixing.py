@@ -12,9 +12,10 @@ domain's whole token total as its size.  Measured in tokens (a document's rate w
 many as it has) the gradient is sum(posterior * excess), excess = (total - target) / size,
 and its Lipschitz constant is 1, so a step of length 1 is safe.  Steps carry momentum,
 which is dropped whenever the objective rises.  The fit ends when every excess is below
-TOLERANCE, or when rates stand still because the posteriors overlap too much for the
-targets to be met; ``Mixture.excess`` tells which.  A fit that does neither in STEPS steps
-raises an error.
+TOLERANCE, or, where posteriors overlap too much for the targets to be met, when the
+objective is proven to be within GAP a token of the least one: no rates reach further
+down than the gradient at the present ones promises.  ``Mixture.excess`` tells what is
+left.  A fit that does neither in STEPS steps raises an error.
 
 The classifier is naive Bayes over a few binned shape features of the text (signs,
 separators, capitals, word and line lengths), counted over all labelled rows.
@@ -43,9 +44,9 @@ from .quality import words_of
 #: Bins of a shape feature, added count of the classifier.
 BINS, ADDED = 10, 1.0
 
-#: Distance from a domain's target, as a share of its tokens, that ends the fit; so does a
-#: step that changes rates by less than STILL per token.
-TOLERANCE, STILL = 1e-4, 1e-6
+#: Distance from a domain's target, as a share of its tokens, that ends the fit; so does
+#: this distance a token from the least objective.
+TOLERANCE, GAP = 1e-4, 1e-5
 
 #: Steps without an end that are an error; steps after which the rates are written out.
 STEPS, WRITTEN = 1000, 8
@@ -184,11 +185,15 @@ def settle(mixture: Mixture, members: DataFrame, wanted: list[float]) -> None:
             members = materialised(stepped.select("tokens", "p", "__at.now", "__at.before"))
             stepped = members.select("tokens", "p", F.struct("now", "before").alias("__at"))
             written = len(mixture.steps)
-        moved = F.sum(F.abs(F.col("__at.now") - F.col("__at.before")) * F.col("tokens"))
-        sums = [x or 0.0 for x in stepped.agg(*(part(F.col("__at.now"), k) for k in order), moved).first()]
-        before, now = now, distance(sums[:count])
-        if sums[count] < STILL * tokens:
+        # how far down the gradient at the rates before this step could lead at most
+        slope = sum((F.get("p", F.lit(k)) * F.lit(e) for k, e in enumerate(now)), F.lit(0.0))
+        rate = F.col("__at.before")
+        gap = F.sum(F.col("tokens") * F.when(slope > 0, slope * rate).otherwise(-slope * (full - rate)))
+        sums = [x or 0.0 for x in stepped.agg(*(part(F.col("__at.now"), k) for k in order), gap).first()]
+        if sums[count] <= GAP * tokens:
+            mixture.steps.pop()
             break
+        before, now = now, distance(sums[:count])
     mixture.excess = now
 
 
