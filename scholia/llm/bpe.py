@@ -7,7 +7,7 @@ merges along the seam.  Words with an unstable pair, and only those, are merged
 exactly.
 
 Edge cases: a null text encodes as an empty one (no ids); a null id list decodes
-to an empty text; ids outside the vocabulary raise; other columns pass through
+to an empty text; ids outside the vocabulary and null ones raise; other columns pass through
 untouched, whatever their names, except that an existing column with the output
 name is replaced; repeated rows are encoded independently; an empty table gives
 an empty table.  Words of any length take O(n log n) merging steps.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_chunks, text_or_empty
+from .common import CHUNK_BYTES, in_chunks, text_or_empty
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this family.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -39,7 +39,7 @@ LONG_WORD = 64
 _STEP, _MASK = 0x9DDFEA08EB382D69, (1 << 64) - 1
 
 #: Cached words in a Python worker; beyond it those met only once are forgotten.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 #: ASCII signs, none of which belongs to the letters before it.
 _SIGNS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
@@ -405,6 +405,33 @@ def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col:
     return df.select(*(F.col(f"`{c}`") for c in kept), text_or_empty(F.col(f"`{text_col}`")).alias("__text")).mapInArrow(run, schema)
 
 
+def _decoded(bytes_of: list[bytes], ids: list[int]) -> str:
+    return b"".join(map(bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+
+
+def _id_bounds(ids: pa.Array, size: int) -> None:
+    """Ids outside the vocabulary, null ones among them, are an error."""
+    values = ids.flatten()
+    if values.null_count or len(values) and not 0 <= values.to_numpy().min() <= values.to_numpy().max() < size:
+        raise ValueError("an id is null or outside the vocabulary")
+
+
+def round_trip(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``df`` with the ids of ``text_col`` and the text that those ids decode to, by the
+    same rules as encode() and decode(), in one pass of one worker."""
+    kept = [c for c in df.columns if c not in (ids_col, decoded_col)]
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(decoded_col, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, bytes_of = encoder(tokenizer_path), model(tokenizer_path).bytes_of
+        for batch in in_chunks(batches, "__text", CHUNK_BYTES // 2):
+            coded = coder.encode(batch.column("__text").to_pylist())
+            decoded = pa.array([_decoded(bytes_of, np.frombuffer(c, "<i4").tolist()) for c in coded], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), id_lists(coded), decoded], [*kept, ids_col, decoded_col])
+
+    return df.select(*(F.col(f"`{c}`") for c in kept), text_or_empty(F.col(f"`{text_col}`")).alias("__text")).mapInArrow(run, schema)
+
+
 def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with the text of the token ids in ``ids_col``, special tokens kept."""
     kept = [c for c in df.columns if c != text_col]
@@ -416,11 +443,12 @@ def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: s
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 ids = batch.column(ids_col)
+                _id_bounds(ids, len(bytes_of))
                 values = ids.flatten().to_pylist()
                 lengths = np.asarray(ids.value_lengths().fill_null(0))
                 texts, start = [], 0
                 for n in lengths.tolist():
-                    texts.append(b"".join(map(bytes_of.__getitem__, values[start : start + n])).decode("utf-8", "replace"))
+                    texts.append(_decoded(bytes_of, values[start : start + n]))
                     start += n
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, text_col])
 

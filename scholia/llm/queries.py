@@ -19,8 +19,7 @@ def _sha(column: str):
 
 
 def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER).drop("text")
-    decoded = bpe.decode(coded, TOKENIZER)
+    decoded = bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -49,7 +49,16 @@ def test_round_trip_and_edge_rows(spark, library):
     for r in got:
         assert r.decoded == (r.text or "")
         assert r.ids == library.encode(r.text or "", add_special_tokens=False).ids
-    assert bpe.encode(df.limit(0), PATH).count() == 0
+    assert bpe.encode(df.limit(0), PATH).count() == 0 and bpe.round_trip(df.limit(0), PATH).count() == 0
+    key = lambda r: (str(r.doc_id), str(r.text), r.ids, r.decoded)
+    assert sorted(map(key, bpe.round_trip(df, PATH).collect())) == sorted(map(key, got))
+
+
+@pytest.mark.parametrize("ids", [[-1], [10**6], [1, None]])
+def test_foreign_ids_are_an_error(spark, ids):
+    df = spark.createDataFrame([(1, ids)], "doc_id long, ids array<int>")
+    with pytest.raises(Exception, match="outside the vocabulary"):
+        bpe.decode(df, PATH).collect()
 
 
 def test_files_hold_the_stream(spark, library):
