@@ -62,7 +62,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars, n_tokens, ids, and whether they decode to the text."""
-    decoded = bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER)
+    decoded = bpe.round_trip(docs, TOKENIZER)
     same = F.col("decoded") == text_or_empty("text")
     return decoded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
