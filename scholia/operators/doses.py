@@ -1,102 +1,189 @@
-"""Doses out of composition text: quantities, units, shared doses, conversion.
+"""Doses out of composition text: herbs of a vocabulary, quantities, units, conversion.
 
-One pass over the corpus in Python (the grammar carries doses back over the herbs
-before them), then joins and decimal arithmetic in Spark.
+A composition is read as a whole or not at all: one pass over the corpus in Python (a
+dose can reach back over the herbs before it), then joins and decimals in Spark.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Chinese numerals and the units that are read.
-NUMERALS = {"零": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
-UNITS = ("kg", "mg", "g", "千克", "毫克", "克", "公斤", "斤", "两", "钱", "分", "枚", "个", "片", "升", "合", "毫升", "ml")
+#: Chinese digits and powers of ten, units, those of weight that need a
+#: confirmed factor, those that do not, and what may stand between herbs.
+DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
+TENS = {"十": 10, "百": 100, "千": 1000}
+UNITS = ("毫克", "mg", "克", "g", "钱匕", "两", "钱", "分", "厘", "斤", "铢", "枚", "个", "片", "升", "合", "盏")
+OLD_WEIGHTS = ("两", "钱", "分", "厘", "斤", "铢")
+METRIC = {"g": Decimal(1), "克": Decimal(1), "mg": Decimal("0.001"), "毫克": Decimal("0.001")}
+BETWEEN = " \t\r\n、，,；;。"
 
-_NUMBER = r"\d+(?:\.\d+)?|半|[零一二两三四五六七八九十百]+"
-_UNIT = "|".join(sorted(UNITS, key=len, reverse=True))
-_ITEM = re.compile(rf"^(?P<name>.*?)(?P<each>各)?(?:(?P<equal>等分)|(?P<number>{_NUMBER})(?P<unit>{_UNIT})(?P<half>半)?)?$")
-_NOTE = re.compile(r"[（(]([^()（）]*)[)）]")
+#: Half a unit, unless it begins the name of the herb 半夏.
+_QUANTITY = re.compile(rf"(\d+(?:\.\d+)?|[{''.join(DIGITS)}{''.join(TENS)}半]+)\s*({'|'.join(UNITS)})(半(?!夏))?", re.IGNORECASE)
+_NOTE = re.compile(r"\([^)]*\)|（[^）]*）")
 
+#: Texts of more characters than this do not read.
+LONGEST = 20_000
 
-def numeral(text: str) -> float | None:
-    """The value of digits or a Chinese numeral; None for what does not read as one."""
-    if re.fullmatch(r"\d+(\.\d+)?", text):
-        return float(text)
+_ITEM = "place int, herb string, dose string, quantities array<struct<amount:decimal(20,6),unit:string>>, note string"
+
+
+def numeral(text: str) -> Decimal | None:
+    """The value of digits or of a Chinese numeral; None where it is not clear."""
+    if text[0].isascii():
+        return Decimal(text)
     if text == "半":
-        return 0.5
+        return Decimal("0.5")
     total, digit = 0, None
-    for c in text:
-        if c in NUMERALS:
-            if digit is not None:
-                return None  # two digits side by side are ambiguous
-            digit = NUMERALS[c]
-        elif c in "十百":
-            total += (1 if digit is None else digit) * (10 if c == "十" else 100)
-            digit = None
-        else:
+    for sign in text:
+        if sign in TENS:
+            total, digit = total + (digit or 1) * TENS[sign], None
+        elif sign not in DIGITS or digit is not None:  # 一二 may be twelve or a slip, and 两 of 三两二钱 a digit or a unit
             return None
-    return float(total + (digit or 0))
-
-
-def parse(text: str) -> list[dict] | None:
-    """Items of a composition, or None if any part of it does not read as one."""
-    items: list[dict] = []
-    pending: list[dict] = []
-    for part in re.split(r"[,，、;；。\s]+", text or ""):
-        if not part:
-            continue
-        note = "；".join(_NOTE.findall(part)) or None
-        found = _ITEM.match(_NOTE.sub("", part))
-        name = (found["name"] if found else "").strip()
-        if not name:
-            return None
-        item = {"herb": name, "amount": None, "unit": None, "note": note}
-        items.append(item)
-        pending.append(item)
-        if found["equal"]:
-            for p in pending:
-                p["unit"] = "等分"
-            pending = []
-        elif found["number"]:
-            value = numeral(found["number"])
-            if value is None:
-                return None
-            value += 0.5 if found["half"] else 0
-            for p in pending if found["each"] else [item]:
-                p["amount"], p["unit"] = value, found["unit"]
-            # an item without a dose stays pending: a later shared dose reaches it
-            pending = [] if found["each"] else [p for p in pending if p is not item]
-    return items or None
-
-
-def extract(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, place, herb, amount, unit, note) of every entry that reads in full; an entry
-    that does not gives one row without a herb."""
+        else:
+            digit = DIGITS[sign]
+    return Decimal(total + (digit or 0))
+
+
+class Composer:
+    """Reads compositions with the herbs of a vocabulary, the longest name first."""
+
+    def __init__(self, herbs: Iterable[str]):
+        self.herb = re.compile("|".join(map(re.escape, sorted(set(herbs), key=lambda h: (-len(h), h)))))
+
+    def read(self, text: str | None) -> list[dict]:
+        """Items of a composition; none if any part of it does not read.
+
+        A herb without a dose waits: a dose shared by 各, or equal parts, reaches back
+        over the herbs that wait; any other dose ends their waiting without one."""
+        text = text or ""
+        if len(text) > LONGEST:
+            return []
+        items: list[dict] = []
+        waiting: list[dict] = []
+        at = 0
+
+        def past(place: int) -> int:
+            while place < len(text) and text[place] in BETWEEN:
+                place += 1
+            return place
+
+        at = past(at)
+        while at < len(text):
+            herb = self.herb.match(text, at)
+            if herb is None:
+                return []
+            item = {"herb": herb[0], "dose": "", "quantities": [], "note": ""}
+            items.append(item)
+            waiting.append(item)
+            at = past(herb.end())
+            if text[at : at + 1] in ("(", "（"):
+                note = _NOTE.match(text, at)
+                if note is None:
+                    return []
+                item["note"], at = note[0], past(note.end())
+            shared = text.startswith("各", at)
+            start = at = past(at + 1) if shared else at
+            equal = text.startswith("等分", at)
+            at += 2 * equal
+            found = []
+            while one := _QUANTITY.match(text, at):
+                amount = numeral(one[1])
+                if amount is None:
+                    return []
+                amount += Decimal("0.5") if one[3] else 0
+                if amount <= 0:
+                    return []
+                found.append((amount, one[2].lower()))
+                at = one.end()
+            if found or equal:
+                for target in waiting if shared else [item]:
+                    target["dose"], target["quantities"] = text[start:at], found
+                if equal and not shared:
+                    for target in waiting:
+                        target["dose"], target["quantities"] = "等分", []
+                waiting = []
+            elif shared:
+                return []
+            at = past(at)
+        return items
+
+
+def extract(df: DataFrame, id_col: str, text_col: str, herbs: Iterable[str]) -> DataFrame:
+    """(id, place, herb, dose, quantities, note) of every entry that reads in full; an
+    entry that does not gives one row with place 0 and no herb."""
+    herbs = tuple(herbs)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        composer = Composer(herbs)
         for frame in frames:
             rows = []
             for key, text in zip(frame[id_col], frame[text_col]):
-                items = parse(text)
-                if items is None:
+                items = composer.read(text)
+                if not items:
                     rows.append((key, 0, None, None, None, None))
-                for i, x in enumerate(items or [], 1):
-                    rows.append((key, i, x["herb"], x["amount"], x["unit"], x["note"]))
-            yield pd.DataFrame(rows, columns=[id_col, "place", "herb", "amount", "unit", "note"])
+                for place, x in enumerate(items, 1):
+                    rows.append((key, place, x["herb"], x["dose"], [{"amount": a, "unit": u} for a, u in x["quantities"]], x["note"]))
+            yield pd.DataFrame(rows, columns=[id_col, "place", "herb", "dose", "quantities", "note"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, place int, herb string, amount double, unit string, note string")
+    return df.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, {_ITEM}")
 
 
 def to_grams(items: DataFrame, factors: DataFrame, id_col: str) -> DataFrame:
-    """``items`` with grams (6 digits, half up) where every quantity of the entry has a
-    confirmed factor; one uncovered unit leaves the whole entry unconverted."""
-    grams = F.round(F.col("amount").cast("decimal(20,6)") * F.col("factor").cast("decimal(20,9)"), 6).cast("decimal(38,6)")
-    joined = items.join(F.broadcast(factors.select("unit", "factor")), "unit", "left").withColumn("grams", grams)  # one row per unit
-    whole = joined.groupBy(id_col).agg(F.min((F.col("grams").isNotNull()).cast("int")).alias("__all"))
-    return joined.join(whole, id_col).withColumn("grams", F.when(F.col("__all") == 1, F.col("grams"))).drop("__all", "factor")
+    """``items`` with grams (six digits, half up, null unless every quantity of the item
+    has a factor), the entry's units of old weight and whether its factors were refused.
+
+    Metric units convert of themselves.  Old weights need factors confirmed for the entry
+    (``factors``: id, unit, factor), one for each of its units and none besides."""
+    confirmed = factors.filter(F.col("unit").isin(*OLD_WEIGHTS) & (F.col("factor") > 0))
+    given = confirmed.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("unit", F.col("factor").cast("decimal(20,9)")))).alias("__given"))
+    used = F.filter(F.flatten(F.collect_list(F.transform(F.coalesce("quantities", F.array().cast("array<struct<amount:decimal(20,6),unit:string>>")), lambda q: q["unit"]))), lambda u: u.isin(*OLD_WEIGHTS))
+    units = items.groupBy(id_col).agg(F.array_sort(F.array_distinct(used)).alias("units"))
+    joined = items.join(units, id_col).join(given, id_col, "left")
+    fits = F.array_sort(F.map_keys("__given")) == F.col("units")
+    metric = F.create_map(*(F.lit(x) for kv in METRIC.items() for x in kv)).cast("map<string,decimal(20,9)>")
+    known = F.when(fits, F.map_concat(metric, "__given")).otherwise(metric)
+    grams = F.transform("quantities", lambda q: q["amount"] * F.element_at("__known", q["unit"]))
+    total = F.aggregate("__grams", F.lit(0).cast("decimal(38,15)"), lambda a, g: (a + g).cast("decimal(38,15)"))
+    rows = joined.withColumn("__known", known).withColumn("__grams", grams)
+    whole = (F.size("quantities") > 0) & ~F.exists("__grams", lambda g: g.isNull())
+    rounded = F.round(F.when(whole, total), 6).cast("decimal(30,6)")
+    return rows.withColumn("grams", rounded).withColumn("refused", F.col("__given").isNotNull() & ~fits).drop("__given", "__known", "__grams")
+
+
+def plain(number: Column) -> Column:
+    """A decimal without trailing zeros."""
+    return F.regexp_replace(number.cast("string"), r"\.?0+$", "")
+
+
+def references(texts: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, warnings): each composition as it is shown, an item's grams or its own
+    dose behind its name, and what a reader must check.  ``items`` come from to_grams()."""
+    dose = F.coalesce(F.concat(plain(F.col("grams")), F.lit("g")), F.nullif("dose", F.lit("")), F.lit("（剂量待核）"))
+    unit_kinds = F.transform("quantities", lambda q: q["unit"])
+    counted = F.exists(unit_kinds, lambda u: ~u.isin(*OLD_WEIGHTS, *METRIC))
+    shown = items.filter("herb is not null").withColumn("display", F.concat("herb", dose, "note"))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "display")))
+    per_entry = shown.groupBy(id_col).agg(
+        F.array_join(F.transform(ordered, lambda x: x["display"]), "、").alias("shown"),
+        F.max(F.col("dose") == "").alias("undosed"),
+        F.max(F.size("units") > 0).alias("old"),
+        F.max(counted).alias("counted"),
+    )
+    raw = F.trim(F.coalesce(text_col, F.lit("")))
+    whole = texts.select(F.col(id_col), raw.alias("raw")).join(per_entry, id_col, "left")
+    warnings = F.array_compact(
+        F.array(
+            F.when((F.col("raw") != "") & F.col("shown").isNull(), "not_separated"),
+            F.when(F.coalesce("undosed", F.lit(False)) | (F.col("raw") == ""), "dose_missing"),
+            F.when(F.col("old"), "old_weights"),
+            F.when(F.col("counted"), "counts_kept"),
+        )
+    )
+    return whole.select(id_col, F.coalesce("shown", "raw").alias("text"), warnings.alias("warnings"))

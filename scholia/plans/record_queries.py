@@ -1,4 +1,4 @@
-"""Queries over questionnaires, visits, prompts, doses and retention."""
+"""Queries over questionnaires, visits, prompts and retention."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import doses, filters, records, survey
+from ..operators import filters, records, survey
 from .registry import query, table
 
 
@@ -156,26 +156,6 @@ def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.join(pending, "o_custkey", "left").select("o_custkey", "o_orderstatus", F.col("o_orderkey").alias("newest"), F.coalesce("pending", F.lit(0)).alias("pending"))
 
 
-@query("""
-WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER) AS q, p_size FROM lineitem JOIN part ON p_partkey = l_partkey),
-     u AS (SELECT l_orderkey, q, CASE WHEN p_size <= 15 THEN '钱' WHEN p_size <= 45 THEN '克' ELSE '枚' END AS unit FROM l),
-     o AS (SELECT l_orderkey, bool_and(unit <> '枚') AS whole FROM u GROUP BY l_orderkey)
-SELECT u.l_orderkey, unit, count(*) AS n, round(sum(q)::DOUBLE, 6) AS amount, round(sum(CASE WHEN whole THEN q * CASE unit WHEN '钱' THEN 3.0 ELSE 1.0 END END)::DOUBLE, 6) AS grams FROM u JOIN o USING (l_orderkey) GROUP BY ALL
-""")
-def dose_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines rendered as a composition, read back as doses and converted to grams."""
-    size = F.col("p_size")
-    unit = F.when(size <= 15, "钱").when(size <= 45, "克").otherwise("枚")
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-    written = F.concat(F.lit("药甲"), F.col("l_quantity").cast("int").cast("string"), unit)
-    texts = lines.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(written)), "，").alias("composition"))
-    items = doses.extract(texts, "l_orderkey", "composition")
-    factors = spark.createDataFrame([("钱", 3.0), ("克", 1.0)], "unit string, factor double")
-    return doses.to_grams(items, factors, "l_orderkey").groupBy("l_orderkey", "unit").agg(
-        F.count("*").alias("n"), F.round(F.sum("amount"), 6).alias("amount"), F.round(F.sum("grams").cast("double"), 6).alias("grams")
-    )
-
-
 @query("""
 SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS n_chars, md5(string_agg(text, '' ORDER BY turn)) AS output, max(turn) AS last, arg_max(role, turn) AS usage, count(*) AS n_pieces FROM conversations GROUP BY conv_id
 """)

@@ -13,7 +13,7 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 #: Modules that register queries when they are imported.
-MODULES = ("text_queries", "corpus_queries", "join_queries", "search_queries", "record_queries", "stream_queries")
+MODULES = ("text_queries", "corpus_queries", "join_queries", "search_queries", "record_queries", "stream_queries", "entry_queries", "view_queries")
 
 
 def query(oracle: str | None = None) -> Callable[[Query], Query]:

@@ -88,11 +88,21 @@ def test_frames(spark):
     assert [r.body for r in records.framed(df).orderBy("frame").collect()] == ['{"a":1}', '{"a":2}']
 
 
-def test_one_unknown_unit_keeps_all_unconverted(spark):
-    texts = spark.createDataFrame([("1", "桂枝三两，大枣十二枚"), ("2", "桂枝三两"), ("3", "各各")], "id string, text string")
-    items = doses.extract(texts, "id", "text")
-    got = {(r.id, r.herb): r.grams for r in doses.to_grams(items, spark.createDataFrame([("两", 15.625)], "unit string, factor double"), "id").collect()}
-    assert got["1", "桂枝"] is None and float(got["2", "桂枝"]) == 46.875
+def test_grams_need_a_factor_for_every_unit_of_the_entry(spark):
+    raw = ["人参一两甘草二钱", "人参一两甘草二钱", "人参一两甘草二钱", "人参500mg甘草1.5克", "大枣三枚甘草", "未知药6g"]
+    texts = spark.createDataFrame(list(enumerate(raw)), "id int, text string")
+    factors = spark.createDataFrame([(1, "两", 30.0), (1, "钱", 3.0), (2, "两", 30.0), (4, "枚", 5.0)], "id int, unit string, factor double")
+    items = doses.to_grams(doses.extract(texts, "id", "text", ["人参", "甘草", "大枣"]), factors, "id")
+    got = {}
+    for r in items.orderBy("id", "place").collect():
+        got.setdefault(r.id, []).append((r.herb, None if r.grams is None else float(r.grams), r.refused))
+    none = [("人参", None, False), ("甘草", None, False)]
+    assert got[0] == none and got[1] == [("人参", 30, False), ("甘草", 6, False)]
+    assert got[2] == [("人参", None, True), ("甘草", None, True)] and got[3] == [("人参", 0.5, False), ("甘草", 1.5, False)]
+    assert got[4] == [("大枣", None, False), ("甘草", None, False)] and got[5] == [(None, None, False)]
+    shown = {r.id: (r.text, r.warnings) for r in doses.references(texts, items, "id", "text").collect()}
+    assert shown[0] == ("人参一两、甘草二钱", ["old_weights"]) and shown[1][0] == "人参30g、甘草6g" and shown[3] == ("人参0.5g、甘草1.5g", [])
+    assert shown[4] == ("大枣三枚、甘草（剂量待核）", ["dose_missing", "counts_kept"]) and shown[5] == ("未知药6g", ["not_separated"])
 
 
 def test_cover_represents_every_prototype(spark):

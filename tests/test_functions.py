@@ -1,5 +1,8 @@
 """Text functions against plain vectors."""
 
+from decimal import Decimal
+
+import pytest
 from pyspark.sql import functions as F
 
 from scholia.functions import text as X
@@ -63,12 +66,40 @@ def test_ratio(spark):
     assert [r.x for r in df.select(X.ratio("a", "b").alias("x")).collect()] == [2 / 3, None]
 
 
-def test_doses():
-    get = lambda t: None if (x := doses.parse(t)) is None else [(i["herb"], i["amount"], i["unit"]) for i in x]
-    assert get("桂枝三两，芍药三两，甘草二两") == [("桂枝", 3, "两"), ("芍药", 3, "两"), ("甘草", 2, "两")]
-    assert get("麻黄、杏仁各十五克") == [("麻黄", 15, "克"), ("杏仁", 15, "克")]
-    assert get("黄芩，黄连等分") == [("黄芩", None, "等分"), ("黄连", None, "等分")]
-    assert get("半夏半升（洗）") == [("半夏", 0.5, "升")]
-    assert get("桂枝一两半") == [("桂枝", 1.5, "两")]
-    assert get("桂枝一二两") is None
-    assert doses.numeral("二十五") == 25 and doses.numeral("一百") == 100
+HERBS = ["桂枝", "芍药", "甘草", "麻黄", "杏仁", "黄芩", "黄连", "半夏", "生地", "生地黄", "当归", "陈皮", "茯苓", "人参", "白茯苓", "白术", "大枣", "生姜"]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("桂枝三两，芍药三两，甘草二两", [("桂枝", "三两"), ("芍药", "三两"), ("甘草", "二两")]),
+        ("麻黄、杏仁各十五克", [("麻黄", "十五克"), ("杏仁", "十五克")]),
+        ("黄芩，黄连等分", [("黄芩", "等分"), ("黄连", "等分")]),
+        ("人参（切去顶）白茯苓（去皮）白术甘草等分", [("人参", "等分"), ("白茯苓", "等分"), ("白术", "等分"), ("甘草", "等分")]),
+        ("半夏半升（洗）", []),
+        ("半夏（洗）半升", [("半夏", "半升")]),
+        ("桂枝三两半夏半升", [("桂枝", "三两"), ("半夏", "半升")]),
+        ("陈皮一钱半夏一钱五分茯苓一钱", [("陈皮", "一钱"), ("半夏", "一钱五分"), ("茯苓", "一钱")]),
+        ("桂枝一两半", [("桂枝", "一两半")]),
+        ("甘草，生地黄三钱二分，当归各二两", [("甘草", ""), ("生地黄", "三钱二分"), ("当归", "二两")]),
+        ("桂枝三两二钱", []),
+        ("生地当归", [("生地", ""), ("当归", "")]),
+        ("大枣三枚生姜二片", [("大枣", "三枚"), ("生姜", "二片")]),
+        ("杏仁三铢", [("杏仁", "三铢")]),
+        ("桂枝一二两", []),
+        ("随便什么文字", []),
+        ("桂枝零两", []),
+        ("桂枝各", []),
+        ("桂枝（去皮", []),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_doses(text, want):
+    assert [(i["herb"], i["dose"]) for i in doses.Composer(HERBS).read(text)] == want
+
+
+def test_dose_amounts():
+    read = lambda t: [(str(a), u) for i in doses.Composer(HERBS).read(t) for a, u in i["quantities"]]
+    assert read("桂枝一两半") == [("1.5", "两")] and read("桂枝500MG") == [("500", "mg")] and read("桂枝三钱二分") == [("3", "钱"), ("2", "分")]
+    assert doses.numeral("二十五") == 25 and doses.numeral("一百") == 100 and doses.numeral("千二百") == 1200 and doses.numeral("半") == Decimal("0.5")
