@@ -63,14 +63,22 @@ def bigrams(run: Column) -> Column:
 
 def search_tokens(text: Column) -> Column:
     """Runs of a-z and 0-9 whole, CJK runs as overlapping pairs."""
-    runs = F.regexp_extract_all(normalize(text), F.lit(f"[a-z0-9]+|[{CJK}]+"), F.lit(0))
-    return F.flatten(F.transform(runs, lambda r: F.when(F.rlike(r, F.lit("^[a-z0-9]")), F.array(r)).otherwise(bigrams(r))))
+    plain = normalize(text)
+    runs = F.regexp_extract_all(plain, F.lit(f"[a-z0-9]+|[{CJK}]+"), F.lit(0))
+    paired = F.flatten(F.transform(runs, lambda r: F.when(F.rlike(r, F.lit("^[a-z0-9]")), F.array(r)).otherwise(bigrams(r))))
+    # most texts have no CJK run, and then the runs are the tokens
+    return F.when(F.rlike(plain, F.lit(f"[{CJK}]")), paired).otherwise(F.regexp_extract_all(plain, F.lit("[a-z0-9]+"), F.lit(0)))
 
 
-def phrase_similarity(phrase: Column, text: Column) -> Column:
+def phrase_grams(phrase: Column) -> Column:
+    """The different pairs of characters of a phrase; a single character is one."""
+    return F.array_distinct(F.when(F.length(phrase) <= 1, F.array(phrase)).otherwise(bigrams(phrase)))
+
+
+def phrase_similarity(phrase: Column, text: Column, grams: Column | None = None) -> Column:
     """1.0 where the text holds the phrase, else the share of its pairs of characters
-    that the text holds."""
-    grams = F.array_distinct(F.when(F.length(phrase) <= 1, F.array(phrase)).otherwise(bigrams(phrase)))
+    that the text holds.  ``grams`` are phrase_grams() where those are at hand."""
+    grams = phrase_grams(phrase) if grams is None else grams
     hits = F.size(F.filter(grams, lambda g: F.contains(text, g)))
     share = hits / F.greatest(F.size(grams), F.lit(1))
     return F.when((phrase == "") | (text == ""), F.lit(0.0)).when(F.contains(text, phrase), F.lit(1.0)).otherwise(share)
@@ -131,14 +139,17 @@ def outline_level(line: Column) -> Column:
 
 
 def annotations(text: Column) -> Column:
-    """(dimension, level, kind) of every mark such as （焦虑4级之一） in the text."""
-    marks = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[(（]([^()（）\d]+\d+级[^()（）]*)[)）]"), F.lit(1))
+    """(dimension, level, kind) of every mark of the text, several to a bracket as in
+    （焦虑4级之一，抑郁2级）; a mark without a number has level 0, one without 之一 is 定性."""
+    inside = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[(（]([\d焦虑抑郁症定性题级之一、，, ]*?)[)）]"), F.lit(1))
+    marks = F.flatten(F.transform(inside, lambda x: F.split(x, "[ ，,、]")))
+    named = F.filter(marks, lambda m: F.rlike(m, F.lit("抑郁|焦虑")))
     return F.transform(
-        marks,
+        named,
         lambda m: F.struct(
-            F.regexp_extract(m, r"^(\D+)\d+级", 1).alias("dimension"),
-            F.regexp_extract(m, r"(\d+)级", 1).cast("int").alias("level"),
-            F.regexp_extract(m, r"级(.*)$", 1).alias("kind"),
+            F.when(F.contains(m, F.lit("抑郁")), "抑郁").otherwise("焦虑").alias("dimension"),
+            F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(m, r"(\d+)", 1), F.lit("")), F.lit("999999")).cast("int"), F.lit(0)).alias("level"),
+            F.when(F.contains(m, F.lit("之一")), "之一").otherwise("定性").alias("kind"),
         ),
     )
 
@@ -148,7 +159,12 @@ def options(line: Column) -> Column:
     return F.transform(F.regexp_extract_all(line, F.lit(r"([^()（）\s]+)\s*[(（]\s*[)）]"), F.lit(1)), lambda x: F.trim(x))
 
 
-def first_meaning(text: Column, prefixes: str = "方论|方解|方义", limit: int = 1000) -> Column:
-    """The first line that begins with one of the prefixes, cut to ``limit``."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.rlike(x, F.lit(f"^({prefixes})")))
-    return F.substring(F.get(lines, 0), 1, limit)
+#: Fixed value: what a line on an entry's meaning begins with.
+MEANING = r"^(方论(?:选录)?|方解|方义|方剂解|方药解)[:：]\s*(.+)$"
+
+
+def first_meaning(text: Column, limit: int = 1000) -> Column:
+    """What follows the prefix in the first line on the entry's meaning, '' without one;
+    cut to ``limit`` with an ellipsis."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: F.rlike(x, F.lit(MEANING)))
+    return truncated(F.trim(F.coalesce(F.regexp_extract(F.get(lines, F.lit(0)), MEANING, 2), F.lit(""))), limit)

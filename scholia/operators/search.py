@@ -6,10 +6,11 @@ queries costs one pass over the postings it touches.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.store import shared_folder, stored
 
 #: Saturation and length weight of BM25, and the least idf.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -18,12 +19,40 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 ROUTE_CAP, NAME_CAP, TERM_CAP, FALLBACK_CAP, CANDIDATE_CAP, QUERY_TOKENS = 360, 100, 500, 300, 1200, 96
 
 
-def postings(entries: DataFrame, id_col: str, fields: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """(field, token, id, tf) and (id, n_tokens over all fields)."""
+def best_ranked(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` of each group with their rank, from 0."""
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
+    return df.withColumn("rank", rank).filter(F.col("rank") < n)
+
+
+#: Phrases of a query that the term and the fallback route use; points of a
+#: term that is the phrase, of one that holds it or is held by it, of a fallback hit, of a
+#: name that is asked for and of one that holds what is asked for.
+TERM_PHRASES, FALLBACK_PHRASES = 30, 10
+EXACT_TERM, PARTIAL_TERM, FALLBACK, SAME_NAME, LIKE_NAME = 22.0, 9.0, 4.0, 100.0, 55.0
+
+#: Rows of a query table that meet all entries at once.
+BLOCK = 2000
+
+
+def build_index(entries: DataFrame, id_col: str, fields: dict[str, Column], folder: str | None = None) -> str:
+    """Write postings (field, token, id, tf), ordered by token inside each file so that a
+    reader skips most row groups, and lengths (id, n_tokens).  Returns the folder.
+
+    Each text is cut into tokens once; lengths are added up from the postings."""
+    folder = folder or shared_folder(entries.sparkSession)
     per_field = F.array(*(F.struct(F.lit(n).alias("field"), X.search_tokens(c).alias("tokens")) for n, c in fields.items()))
-    long = entries.select(F.col(id_col).alias("id"), F.explode(per_field).alias("f")).select("id", "f.field", "f.tokens")
-    lengths = long.groupBy("id").agg(F.sum(F.size("tokens")).alias("n_tokens"))
-    return long.select("field", F.explode("tokens").alias("token"), "id").groupBy("field", "token", "id").agg(F.count("*").alias("tf")), lengths
+    long = entries.select(F.col(id_col).alias("id"), F.explode(per_field).alias("f")).select("id", "f.field", F.explode_outer("f.tokens").alias("token"))
+    counted = long.groupBy("token", "field", "id").agg(F.count("token").cast("int").alias("tf"))
+    counted.sortWithinPartitions("token").write.parquet(f"{folder}/postings")
+    index = entries.sparkSession.read.parquet(f"{folder}/postings")
+    index.groupBy("id").agg(F.sum("tf").alias("n_tokens")).write.parquet(f"{folder}/lengths")
+    return folder
+
+
+def open_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of a written index."""
+    return spark.read.parquet(f"{folder}/postings").filter("token is not null"), spark.read.parquet(f"{folder}/lengths")
 
 
 def query_tokens(queries: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -31,22 +60,43 @@ def query_tokens(queries: DataFrame, id_col: str, text: Column) -> DataFrame:
     return queries.select(F.col(id_col).alias("query"), F.explode(F.slice(F.array_distinct(X.search_tokens(text)), 1, QUERY_TOKENS)).alias("token"))
 
 
-def bm25(index: DataFrame, lengths: DataFrame, tokens: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(query, id, score): BM25 with a column weight per field; idf counts entries that
-    hold the token in any of the fields."""
-    weighted = F.element_at(F.create_map(*(x for n, w in weights.items() for x in (F.lit(n), F.lit(float(w))))), F.col("field"))
+def bm25_routes(index: DataFrame, lengths: DataFrame, tokens: DataFrame, weights: DataFrame) -> DataFrame:
+    """(query, route, id, score) for ``tokens`` (query, route, token) and ``weights`` (route,
+    field, weight), a fixed table: BM25 with a weight per field, where idf and hits count
+    within the fields of the route."""
     wanted = tokens.select("token").distinct()
-    hits = index.filter(F.col("field").isin(list(weights))).join(wanted, "token", "left_semi")
-    hits = hits.groupBy("token", "id").agg(F.sum(F.col("tf") * weighted).alias("tf"))
-    frequency = hits.groupBy("token").agg(F.count("*").alias("df"))
+    hits = index.join(wanted, "token", "left_semi").join(F.broadcast(weights), "field")
+    hits = hits.groupBy("route", "token", "id").agg(F.sum(F.col("tf") * F.col("weight")).alias("tf"))
+    frequency = hits.groupBy("route", "token").agg(F.count("*").alias("df"))
     corpus = lengths.agg(F.count("*").alias("n_entries"), F.avg("n_tokens").alias("mean_length"))  # one row
-    scored = tokens.join(frequency, "token").join(F.broadcast(corpus))
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("n_entries") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    scored = scored.withColumn("idf", idf).select("query", "token", "idf", "mean_length")
-    pairs = scored.join(hits, "token").join(lengths, "id")
+    asked = tokens.join(frequency, ["route", "token"]).join(F.broadcast(corpus)).select("query", "route", "token", idf.alias("idf"), "mean_length")
+    pairs = asked.join(hits, ["route", "token"]).join(lengths, "id")
     norm = 1 - B + B * F.col("n_tokens") / F.col("mean_length")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)
-    return pairs.groupBy("query", "id").agg(F.sum(part).alias("score"))
+    return pairs.groupBy("query", "route", "id").agg(F.sum(part).alias("score"))
+
+
+def bm25(index: DataFrame, lengths: DataFrame, tokens: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(query, id, score) over one set of weighted fields."""
+    table = index.sparkSession.createDataFrame([("all", f, float(w)) for f, w in weights.items()], "route string, field string, weight double")
+    return bm25_routes(index, lengths, tokens.withColumn("route", F.lit("all")), table).drop("route")
+
+
+def in_blocks(entries: DataFrame, queries: DataFrame, met: Column, block: int = BLOCK) -> DataFrame:
+    """Entries beside each row of a stated query table that they meet.
+
+    Queries are dealt to blocks of about ``block`` rows, and each block is broadcast: what
+    is sent stays the same however many queries there are."""
+    blocks = max(1, -(-queries.count() // block))
+    if blocks == 1:
+        return entries.join(F.broadcast(queries), met)
+    dealt = stored(queries.withColumn("__block", F.pmod(F.xxhash64(*queries.columns), F.lit(blocks))))
+    out = None
+    for number in range(blocks):
+        part = entries.join(F.broadcast(dealt.filter(F.col("__block") == number).drop("__block")), met)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def capped(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
@@ -57,8 +107,18 @@ def capped(df: DataFrame, group: list[str], order: list[Column], n: int) -> Data
 def route(df: DataFrame, name: str, boost: float, cap: int = ROUTE_CAP) -> DataFrame:
     """A route's candidates: the best of each query, boost plus at most 14 points."""
     best = capped(df, ["query"], [F.desc(F.round("score", 6)), F.col("id")], cap)
-    points = boost + F.least(F.lit(14.0), 2.5 * F.greatest(F.lit(0.0), F.col("score")))
-    return best.select("query", "id", points.alias("points"), F.lit(name).alias("route"))
+    return best.select("query", "id", text_points(F.lit(boost)).alias("points"), F.lit(name).alias("route"))
+
+
+def text_points(boost: Column) -> Column:
+    return boost + F.least(F.lit(14.0), 2.5 * F.greatest(F.lit(0.0), F.col("score")))
+
+
+def routes(scored: DataFrame, boosts: dict[str, float], cap: int = ROUTE_CAP) -> DataFrame:
+    """(query, id, points, route) of several full-text routes at once."""
+    best = capped(scored, ["query", "route"], [F.desc(F.round("score", 6)), F.col("id")], cap)
+    boost = F.element_at(F.create_map(*(F.lit(x) for kv in boosts.items() for x in kv)), F.col("route"))
+    return best.select("query", "id", text_points(boost).alias("points"), "route")
 
 
 def merge_routes(routes: list[DataFrame], cap: int = CANDIDATE_CAP) -> DataFrame:
@@ -70,26 +130,63 @@ def merge_routes(routes: list[DataFrame], cap: int = CANDIDATE_CAP) -> DataFrame
     return capped(merged, ["query"], [F.desc(F.round("points", 6)), F.col("id")], cap)
 
 
-def contains_either_way(phrases: DataFrame, names: DataFrame, phrase: str, name: str) -> DataFrame:
-    """Pairs where one of the two holds the other, words being words: candidates meet on
-    a shared token, so no phrase meets every name."""
-    a = phrases.withColumn("token", F.explode(F.array_distinct(X.search_tokens(F.col(phrase)))))
-    b = names.withColumn("token", F.explode(F.array_distinct(X.search_tokens(F.col(name)))))
-    pairs = a.join(b, "token").drop("token").distinct()
-    return pairs.filter(F.contains(phrase, F.col(name)) | F.contains(name, F.col(phrase)))
-
-
-def rerank(pairs: DataFrame, phrases: DataFrame, entries: DataFrame, fields: dict[str, float], least: float = 0.5) -> DataFrame:
-    """(query, id, fit, coverage): every phrase of a query adds its best field's
-    similarity times weight if the similarity reaches ``least``; coverage is the share
-    of what was possible, in per cent, half-even."""
+def name_route(names: DataFrame, asked: DataFrame, cap: int = NAME_CAP) -> DataFrame:
+    """Names (id, name) that are or hold what is asked for (query, asked), per asked name
+    at most ``cap``."""
+    same = F.col("name") == F.col("asked")
+    met = in_blocks(names.select("id", "name"), asked.filter("asked <> ''").distinct(), F.contains("name", F.col("asked")))
+    best = capped(met.withColumn("points", F.when(same, SAME_NAME).otherwise(LIKE_NAME)), ["query", "asked"], [F.desc("points"), F.col("id")], cap)
+    return best.select("query", "id", "points", F.lit("name").alias("route"))
+
+
+def either_way(phrases: DataFrame, terms: DataFrame, phrase: str, term: str) -> DataFrame:
+    """Pairs where one of the two texts is or holds the other; ``phrases`` are the stated
+    query set."""
+    return in_blocks(terms, phrases, F.contains(phrase, F.col(term)) | F.contains(term, F.col(phrase)))
+
+
+def term_route(terms: DataFrame, links: DataFrame, phrases: DataFrame, cap: int = TERM_CAP) -> DataFrame:
+    """Entries by way of an index of terms (term_id, term) with links (term_id, id): a term
+    that is a phrase (query, phrase) gives more than one that holds it or is held by it.
+    Terms and phrases of one character do not count."""
+    long = lambda c: F.length(c) >= 2
+    met = either_way(phrases.filter(long("phrase")), terms.filter(long("term")), "phrase", "term")
+    met = met.withColumn("points", F.when(F.col("term") == F.col("phrase"), EXACT_TERM).otherwise(PARTIAL_TERM))
+    best = capped(met, ["query", "phrase"], [F.desc("points"), F.col("term_id")], cap)
+    return best.join(links, "term_id").groupBy("query", "id").agg(F.sum("points").alias("points")).withColumn("route", F.lit("term"))
+
+
+def fallback_route(found: DataFrame, phrases: DataFrame, entries: DataFrame, fields: list[str], cap: int = FALLBACK_CAP) -> DataFrame:
+    """For queries that no route answers: entries that hold a phrase (query, phrase)."""
+    lost = phrases.join(found.select("query").distinct(), "query", "left_anti")
+    holds = F.lit(False)
+    for f in fields:
+        holds = holds | F.contains(F.col(f), F.col("phrase"))
+    met = in_blocks(entries.select("id", *fields), lost, holds).select("query", "phrase", "id")
+    best = capped(met, ["query", "phrase"], [F.col("id")], cap)
+    return best.groupBy("query", "id").agg((FALLBACK * F.count("*")).alias("points")).withColumn("route", F.lit("fallback"))
+
+
+def rerank(pairs: DataFrame, phrases: DataFrame, entries: DataFrame, weights: dict[str, dict[str, float]], least: float = 0.5, rich: list[str] | None = None) -> DataFrame:
+    """(query, id, fit, coverage): each phrase (query, channel, phrase) counts with the
+    field of its channel that is best by similarity times weight, if that similarity
+    reaches ``least``; ``rich`` fields that are not blank add 0.75 each, 6 at most.
+    coverage is the share of what was possible, in per cent, half-even."""
+    phrases = phrases.withColumn("grams", X.phrase_grams(F.col("phrase")))
     whole = pairs.select("query", "id").join(phrases, "query").join(entries, "id")
-    options = F.array(*(F.struct((X.phrase_similarity(F.col("phrase"), F.col(f)) * w).alias("worth"), F.lit(-i).alias("order"), X.phrase_similarity(F.col("phrase"), F.col(f)).alias("sim")) for i, (f, w) in enumerate(fields.items())))
-    best = whole.select("query", "id", F.array_max(options).alias("best"))
-    worth = F.when(F.col("best.sim") >= least, F.col("best.worth")).otherwise(0.0)
-    summed = best.groupBy("query", "id").agg(F.sum(worth).alias("fit"), F.sum(F.lit(max(fields.values()))).alias("possible"))
-    coverage = F.greatest(F.lit(0), F.least(F.lit(100), F.bround(100 * F.col("fit") / F.col("possible")).cast("int")))
-    return summed.select("query", "id", "fit", F.when(F.col("possible") > 0, coverage).otherwise(0).alias("coverage"))
+    richness = F.least(F.lit(6.0), 0.75 * sum((F.when(F.trim(f) != "", 1).otherwise(0) for f in rich or []), F.lit(0)))
+    fields = sorted({f for of in weights.values() for f in of})
+    whole = whole.select("query", "id", "channel", richness.alias("rich"), F.struct(*(X.phrase_similarity(F.col("phrase"), F.col(f), F.col("grams")).alias(f) for f in fields)).alias("sim"))
+    worth, possible = F.lit(None).cast("double"), F.lit(0.0)
+    for channel, of in weights.items():
+        options = F.array(*(F.struct((F.col(f"sim.{f}") * w).alias("worth"), F.lit(-i).alias("order"), F.col(f"sim.{f}").alias("sim")) for i, (f, w) in enumerate(of.items())))
+        best = F.array_max(options)
+        here = F.col("channel") == channel
+        worth = F.when(here, F.when(best["sim"] >= least, best["worth"]).otherwise(0.0)).otherwise(worth)
+        possible = F.when(here, F.lit(max(of.values()))).otherwise(possible)
+    summed = whole.groupBy("query", "id").agg(F.sum(worth).alias("matched"), F.sum(possible).alias("possible"), F.max("rich").alias("rich"))
+    coverage = F.greatest(F.lit(0), F.least(F.lit(100), F.bround(100 * F.col("matched") / F.col("possible")).cast("int")))
+    return summed.select("query", "id", (F.col("matched") + F.col("rich")).alias("fit"), F.when(F.col("possible") > 0, coverage).otherwise(0).alias("coverage"))
 
 
 def diversify(ranked: DataFrame, name: str, order: list[Column], top_k: int) -> DataFrame:

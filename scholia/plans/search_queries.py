@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import search
+from ..operators import layered, search
 from .corpus_queries import labelled
 from .registry import query, table
 
@@ -16,7 +16,7 @@ _TOKENS = """
 d AS (SELECT doc_id AS id, source, regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9]+') AS title, regexp_extract_all(lower(text), '[a-z0-9]+') AS body,
         regexp_extract_all(lower(source), '[a-z0-9]+') AS src FROM documents),
 len AS (SELECT id, len(title) + len(body) + len(src) AS n FROM d),
-tok AS (SELECT id, unnest(title) AS token, 3.0 AS w FROM d UNION ALL SELECT id, unnest(body), 1.0 FROM d UNION ALL SELECT id, unnest(src), 0.5 FROM d),
+tok AS (SELECT id, 'title' AS field, unnest(title) AS token, 3.0 AS w FROM d UNION ALL SELECT id, 'body', unnest(body), 1.0 FROM d UNION ALL SELECT id, 'source', unnest(src), 0.5 FROM d),
 q0 AS (SELECT item_id AS query, regexp_extract_all(lower(text), '[a-z0-9]+') AS a FROM benchmark),
 q1 AS (SELECT query, unnest(a) AS token, unnest(range(1, len(a) + 1)) AS i FROM q0),
 q AS (SELECT query, token FROM (SELECT query, token, row_number() OVER (PARTITION BY query ORDER BY min(i)) AS k FROM q1 GROUP BY query, token) WHERE k <= 96),
@@ -27,11 +27,23 @@ bm AS (SELECT query, h.id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / (
 """
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as entries (id, title, body, source)."""
+    title = F.split_part("text", F.lit("\n"), F.lit(1))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), title.alias("title"), F.col("text").alias("body"), "source")
+
+
+def index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    fields = {f: F.col(f) for f in ("title", "body", "source")}
+    return search.open_index(spark, search.build_index(parts(spark, sf_dir), "id", fields))
+
+
+def whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.query_tokens(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = {"title": F.split_part("text", F.lit("\n"), F.lit(1)), "body": F.col("text"), "source": F.col("source")}
-    index, lengths = search.postings(table(spark, sf_dir, "documents"), "doc_id", fields)
-    tokens = search.query_tokens(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
-    return search.bm25(index, lengths, tokens, WEIGHTS)
+    return search.bm25(*index(spark, sf_dir), whole_tokens(spark, sf_dir), WEIGHTS)
 
 
 @query("WITH " + _TOKENS + """,
@@ -47,70 +59,140 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("query", "id", "source", F.round("score", 4).alias("score"), "rank")
 
 
-@query("WITH " + _TOKENS + """,
-ft AS (SELECT query, id, 18 + least(14.0, 2.5 * greatest(0, score)) AS points FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS k FROM bm) WHERE k <= 360),
-ph AS (SELECT item_id AS query, trim(split_part(lower(trim(text)), '.', 1)) AS phrase FROM benchmark),
-nm AS (SELECT query, doc_id AS id, 55.0 AS points FROM ph JOIN documents ON contains(lower(text), phrase) AND phrase <> ''),
-nk AS (SELECT query, id, points FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY id) AS k FROM nm) WHERE k <= 100),
-m AS (SELECT query, id, sum(points) AS points, count(*) AS n_routes FROM (SELECT * FROM ft UNION ALL SELECT * FROM nk) GROUP BY ALL)
-SELECT query, id, round(points, 4) AS points, n_routes FROM m QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(points, 6) DESC, id) <= 1200
-""")
+#: Routes: boost, fields and the phrase of the query that they ask for (0: all of its text).
+ROUTES = {
+    "name": (36.0, ("title",), 1), "treatment": (18.0, ("body",), 2), "syndrome": (17.0, ("body",), 1), "mechanism": (14.0, ("title", "body"), 3),
+    "symptom": (13.0, ("body",), 2), "tongue": (10.0, ("source",), 1), "pulse": (10.0, ("source", "title"), 3), "all": (5.0, ("title", "body", "source"), 0),
+}
+FIELD_WEIGHTS = {"title": 12.0, "body": 9.0, "source": 1.5}
+
+_ROUTES = ", ".join(f"('{r}', {boost}, '{f}', {FIELD_WEIGHTS[f]}, {n})" for r, (boost, fields, n) in ROUTES.items() for f in fields)
+
+_FIRST = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+
+_PHRASES = """
+p0 AS (SELECT item_id AS query, text, list_filter(list_transform(regexp_split_to_array(lower(trim(text)), '[,，、;；。.\\n\\r|/]+'), lambda x: trim(x)), lambda x: x <> '') AS l FROM benchmark),
+p AS (SELECT query, text, """ + _FIRST.format("l") + """ AS p FROM p0)
+"""
+
+_HYBRID = "WITH " + _TOKENS + "," + _PHRASES + """,
+rt(route, boost, field, weight, n) AS (VALUES """ + _ROUTES + """),
+ch AS (SELECT query, route, regexp_extract_all(CASE WHEN n = 0 THEN lower(text) ELSE p[n] END, '[a-z0-9]+') AS a FROM p, (SELECT DISTINCT route, n FROM rt)),
+tk AS (SELECT query, route, unnest((""" + _FIRST.format("a") + """)[1:96]) AS token FROM ch),
+hh AS (SELECT route, token, id, sum(weight) AS tf FROM tok JOIN rt USING (field) WHERE token IN (SELECT token FROM tk) GROUP BY ALL),
+ff AS (SELECT route, token, greatest(0.000001, ln(((SELECT count(*) FROM len) - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM hh GROUP BY ALL),
+sc AS (SELECT query, route, h.id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / (SELECT avg(n) FROM len)))) AS score FROM tk JOIN ff USING (route, token) JOIN hh h USING (route, token) JOIN len l ON l.id = h.id GROUP BY ALL),
+ft AS (SELECT query, id, boost + least(14.0, 2.5 * greatest(0, score)) AS points, route FROM (SELECT *, row_number() OVER (PARTITION BY query, route ORDER BY round(score, 6) DESC, id) AS k FROM sc) JOIN (SELECT DISTINCT route, boost FROM rt) USING (route) WHERE k <= 360),
+e AS (SELECT doc_id AS id, lower(trim(split_part(text, chr(10), 1))) AS title, lower(trim(text)) AS body, lower(trim(source)) AS source FROM documents),
+nm AS (SELECT query, id, CASE WHEN title = p[1] THEN 100.0 ELSE 55.0 END AS points, 'name' AS route FROM p JOIN e ON contains(title, p[1]) QUALIFY row_number() OVER (PARTITION BY query ORDER BY points DESC, id) <= 100),
+tl AS (SELECT DISTINCT id, trim(unnest(regexp_split_to_array(title, '[,，、;；。.\\n\\r|/]+'))) AS term FROM e),
+te AS (SELECT DISTINCT term FROM tl WHERE length(term) >= 2),
+tp AS (SELECT query, unnest(p[1:30]) AS phrase FROM p),
+tm AS (SELECT query, phrase, term, CASE WHEN term = phrase THEN 22.0 ELSE 9.0 END AS points FROM tp JOIN te ON contains(phrase, term) OR contains(term, phrase) WHERE length(phrase) >= 2 QUALIFY row_number() OVER (PARTITION BY query, phrase ORDER BY points DESC, term) <= 500),
+tr AS (SELECT query, id, sum(points) AS points, 'term' AS route FROM tm JOIN tl USING (term) GROUP BY ALL),
+fd AS (SELECT * FROM ft UNION ALL SELECT * FROM nm UNION ALL SELECT * FROM tr),
+fp AS (SELECT query, unnest(p[1:10]) AS phrase FROM p WHERE query NOT IN (SELECT query FROM fd)),
+fb AS (SELECT query, id, 4.0 * count(*) AS points, 'fallback' AS route FROM (SELECT query, phrase, id FROM fp JOIN e ON contains(title, phrase) OR contains(body, phrase) QUALIFY row_number() OVER (PARTITION BY query, phrase ORDER BY id) <= 300) GROUP BY ALL),
+hy AS (SELECT query, id, sum(points) AS points, count(DISTINCT route) AS n_routes FROM (SELECT * FROM fd UNION ALL SELECT * FROM fb) GROUP BY query, id QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(sum(points), 6) DESC, id) <= 1200)
+"""
+
+
+def phrased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries (query, text, p): p holds their phrases, each once."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+    return asked.withColumn("p", X.split_phrases(X.normalize(F.col("text"))))
+
+
+def plain_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = parts(spark, sf_dir)
+    return rows.select("id", *(X.normalize(F.col(f)).alias(f) for f in ("title", "body", "source")))
+
+
+def recalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query, id, points, routes): full-text routes, names, terms, and what is left to the
+    last resort."""
+    asked, entries = phrased(spark, sf_dir), plain_parts(spark, sf_dir)
+    texts = F.array(*(F.struct(F.lit(r).alias("route"), (F.col("text") if n == 0 else F.get("p", F.lit(n - 1))).alias("text")) for r, (_, _, n) in ROUTES.items()))
+    channels = asked.select("query", F.explode(texts).alias("c")).select("query", "c.*")
+    tokens = channels.select("query", "route", F.explode(F.slice(F.array_distinct(X.search_tokens(F.col("text"))), 1, search.QUERY_TOKENS)).alias("token"))
+    weights = spark.createDataFrame([(r, f, FIELD_WEIGHTS[f]) for r, (_, fields, _) in ROUTES.items() for f in fields], "route string, field string, weight double")
+    text_routes = search.routes(search.bm25_routes(*index(spark, sf_dir), tokens, weights), {r: boost for r, (boost, _, _) in ROUTES.items()})
+    names = search.name_route(entries.select("id", F.col("title").alias("name")), asked.select("query", F.get("p", F.lit(0)).alias("asked")))
+    links = entries.select("id", F.explode(X.split_phrases(F.col("title"))).alias("term_id"))
+    terms = links.select("term_id", F.col("term_id").alias("term")).distinct()
+    phrases = lambda n: asked.select("query", F.explode(F.slice("p", 1, n)).alias("phrase"))
+    found = search.stored(text_routes.unionByName(names).unionByName(search.term_route(terms, links, phrases(search.TERM_PHRASES))))
+    last = search.fallback_route(found, phrases(search.FALLBACK_PHRASES), entries, ["title", "body"])
+    return search.merge_routes([found, last])
+
+
+@query(_HYBRID + "SELECT query, id, round(points, 4) AS points, n_routes FROM hy")
 def hybrid_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full-text and first-sentence routes added up, at most 1200 candidates a query."""
-    text_route = search.route(scored(spark, sf_dir), "text", 18.0)
-    phrase = F.trim(F.split_part(X.normalize(F.col("text")), F.lit("."), F.lit(1)))
-    phrases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), phrase.alias("phrase")).filter("phrase <> ''")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("low"))
-    named = docs.join(F.broadcast(phrases), F.contains("low", F.col("phrase"))).select("query", "id")  # a stated query set
-    name_route = search.capped(named, ["query"], [F.col("id")], search.NAME_CAP).select("query", "id", F.lit(55.0).alias("points"), F.lit("name").alias("route"))
-    merged = search.merge_routes([text_route, name_route])
-    return merged.select("query", "id", F.round("points", 4).alias("points"), F.size("routes").cast("long").alias("n_routes"))
+    """All routes added up, at most 1200 candidates a query."""
+    return recalled(spark, sf_dir).select("query", "id", F.round("points", 4).alias("points"), F.size("routes").cast("long").alias("n_routes"))
 
 
 @query("""
 SELECT a.p_partkey, count(*) AS n_recalled, max(CASE WHEN a.p_name = b.p_name THEN 100 ELSE 55 END) AS best FROM part a
-JOIN (SELECT p_name FROM (SELECT DISTINCT p_name FROM part)) b ON contains(a.p_name, split_part(b.p_name, ' ', 2)) GROUP BY a.p_partkey
+JOIN (SELECT DISTINCT p_name FROM part) b ON contains(a.p_name, split_part(b.p_name, ' ', 2)) GROUP BY a.p_partkey
 """)
 def name_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names recalled by a query word: 100 for the same name, 55 for one that holds it."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    wanted = part.select(F.col("p_name").alias("asked")).distinct().withColumn("word", F.split_part("asked", F.lit(" "), F.lit(2)))
-    names = part.withColumn("word", F.explode(F.array_distinct(F.split("p_name", " "))))
-    hits = names.join(wanted, "word").dropDuplicates(["p_partkey", "asked"])
-    return hits.groupBy("p_partkey").agg(F.count("*").alias("n_recalled"), F.max(F.when(F.col("p_name") == F.col("asked"), 100).otherwise(55)).alias("best"))
+    names = part.select("p_name").distinct()
+    wanted = names.select(F.col("p_name").alias("asked"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("word"))
+    hits = search.in_blocks(names, wanted, F.contains("p_name", F.col("word")))
+    best = hits.groupBy("p_name").agg(F.count("*").alias("n_recalled"), F.max(F.when(F.col("p_name") == F.col("asked"), 100).otherwise(55)).alias("best"))
+    return part.join(best, "p_name").select("p_partkey", "n_recalled", "best")
 
 
 @query("""
-WITH p AS (SELECT DISTINCT item_id, lower(trim(unnest(regexp_split_to_array(text, '[,，、;；。.\\n\\r|/ ]+')))) AS phrase FROM benchmark),
-     n AS (SELECT DISTINCT source AS name FROM documents UNION SELECT DISTINCT lower(trim(unnest(regexp_split_to_array(text, '[,，、;；。.\\n\\r|/ ]+')))) FROM conversations)
-SELECT item_id, count(*) AS n_terms, count(*) FILTER (phrase = name) AS n_exact FROM p JOIN n ON phrase = name WHERE length(phrase) >= 2 AND regexp_full_match(phrase, '[a-z0-9]+') GROUP BY item_id
+WITH p AS (SELECT DISTINCT item_id, trim(unnest(regexp_split_to_array(lower(text), '[,，、;；。.\\n\\r|/ ]+'))) AS phrase FROM benchmark),
+     n AS (SELECT DISTINCT lower(source) AS name FROM documents UNION SELECT DISTINCT trim(unnest(regexp_split_to_array(lower(text), '[,，、;；。.\\n\\r|/ ]+'))) FROM conversations
+           UNION SELECT DISTINCT lower(p_name) FROM part)
+SELECT item_id, count(*) AS n_terms, count(*) FILTER (phrase = name) AS n_exact, count(*) FILTER (phrase <> name AND contains(phrase, name)) AS n_held FROM p JOIN n ON contains(phrase, name) OR contains(name, phrase)
+WHERE length(phrase) >= 2 AND length(name) >= 2 GROUP BY item_id
 """)
 def bidir_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query words that are, hold or are held by a term; both sides are single words here,
-    so those that meet are equal."""
-    words = lambda df, out: df.select("*", F.explode(F.split(F.lower("text"), r"[,，、;；。.\n\r|/ ]+")).alias(out))
-    phrases = words(table(spark, sf_dir, "benchmark"), "phrase").select("item_id", F.trim("phrase").alias("phrase")).distinct()
-    phrases = phrases.filter((F.length("phrase") >= 2) & F.rlike("phrase", F.lit("^[a-z0-9]+$")))
-    names = words(table(spark, sf_dir, "conversations"), "name").select(F.trim("name").alias("name"))
-    names = names.union(table(spark, sf_dir, "documents").select(F.col("source"))).distinct().filter(F.rlike("name", F.lit("^[a-z0-9]+$")))
-    met = search.contains_either_way(phrases, names, "phrase", "name")
-    return met.groupBy("item_id").agg(F.count("*").alias("n_terms"), F.count_if(F.col("phrase") == F.col("name")).alias("n_exact"))
+    """Query words that are, hold or are held by a term: words in any script, and names of
+    several words."""
+    words = lambda name: table(spark, sf_dir, name).select("*", F.explode(F.split(F.lower("text"), r"[,，、;；。.\n\r|/ ]+")).alias("word"))
+    long = lambda df, c: df.filter(F.length(c) >= 2).distinct()
+    phrases = long(words("benchmark").select("item_id", F.trim("word").alias("phrase")), "phrase")
+    names = words("conversations").select(F.trim("word").alias("name"))
+    names = names.union(table(spark, sf_dir, "documents").select(F.lower("source"))).union(table(spark, sf_dir, "part").select(F.lower("p_name")))
+    met = search.either_way(phrases.select("phrase").distinct(), long(names, "name"), "phrase", "name")
+    held = F.contains("phrase", F.col("name"))
+    counts = met.groupBy("phrase").agg(F.count("*").alias("t"), F.count_if(F.col("phrase") == F.col("name")).alias("e"), F.count_if((F.col("phrase") != F.col("name")) & held).alias("h"))
+    return phrases.join(counts, "phrase").groupBy("item_id").agg(F.sum("t").alias("n_terms"), F.sum("e").alias("n_exact"), F.sum("h").alias("n_held"))
 
 
-@query("WITH " + _TOKENS + """,
-c AS (SELECT query, id FROM bm QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) <= 20),
-ph AS (SELECT DISTINCT item_id AS query, trim(unnest(regexp_split_to_array(lower(trim(text)), '[,，、;；。.\\n\\r|/]+'))) AS phrase FROM benchmark),
-x AS (SELECT c.query, c.id, phrase, lower(trim(text)) AS body FROM c JOIN ph USING (query) JOIN documents ON doc_id = c.id WHERE phrase <> ''),
-g AS (SELECT DISTINCT phrase, CASE WHEN length(phrase) = 1 THEN phrase ELSE substr(phrase, i, 2) END AS gram FROM (SELECT phrase, unnest(range(1, greatest(2, length(phrase)))) AS i FROM ph WHERE phrase <> '')),
-s AS (SELECT query, id, x.phrase, CASE WHEN bool_or(contains(body, x.phrase)) THEN 1.0 ELSE avg(contains(body, gram)::INT) END AS sim FROM x JOIN g ON g.phrase = x.phrase GROUP BY ALL)
-SELECT query, id, round(sum(CASE WHEN sim >= 0.5 THEN sim * 6 ELSE 0 END), 4) AS fit, CAST(round_even(100 * sum(CASE WHEN sim >= 0.5 THEN sim * 6 ELSE 0 END) / sum(6.0), 0) AS INTEGER) AS coverage FROM s GROUP BY ALL
+def sim(phrase: str, text: str) -> str:
+    """Phrase similarity in SQL."""
+    grams = f"list_distinct(list_transform(range(1, greatest(2, length({phrase}))), lambda i: substr({phrase}, i, 2)))"
+    share = f"list_avg(list_transform({grams}, lambda g: CAST(contains({text}, g) AS INTEGER)))"
+    return f"(CASE WHEN {phrase} = '' OR {text} = '' THEN 0.0 WHEN contains({text}, {phrase}) THEN 1.0 ELSE {share} END)"
+
+
+#: Weights of the fields that a query's first phrase and its others are matched with.
+RERANK = {"first": {"title": 10.0, "body": 6.0}, "rest": {"body": 6.0, "source": 2.0}}
+
+
+@query(_HYBRID + f""",
+ph AS (SELECT query, unnest(p) AS phrase, unnest(range(1, len(p) + 1)) AS i FROM p),
+y AS (SELECT hy.query, hy.id, i, {sim('phrase', 'title')} AS st, {sim('phrase', 'body')} AS sb, {sim('phrase', 'source')} AS ss,
+        0.75 * ((title <> '')::INT + (body <> '')::INT + (source <> '')::INT) AS rich FROM hy JOIN ph USING (query) JOIN e USING (id)),
+z AS (SELECT query, id, rich, CASE WHEN i = 1 THEN 10.0 ELSE 6.0 END AS possible,
+        CASE WHEN i = 1 THEN CASE WHEN st * 10 >= sb * 6 THEN CASE WHEN st >= 0.5 THEN st * 10 ELSE 0 END WHEN sb >= 0.5 THEN sb * 6 ELSE 0 END
+             ELSE CASE WHEN sb * 6 >= ss * 2 THEN CASE WHEN sb >= 0.5 THEN sb * 6 ELSE 0 END WHEN ss >= 0.5 THEN ss * 2 ELSE 0 END END AS worth FROM y)
+SELECT query, id, round(sum(worth) + max(rich), 4) AS fit, CAST(round_even(100 * sum(worth) / sum(possible), 0) AS INTEGER) AS coverage FROM z GROUP BY ALL
 """)
 def rerank_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best twenty candidates of each query, by how well they cover its phrases."""
-    best = search.capped(scored(spark, sf_dir), ["query"], [F.desc(F.round("score", 6)), F.col("id")], 20)
-    phrases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(X.split_phrases(X.normalize(F.col("text")))).alias("phrase"))
-    entries = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), X.normalize(F.col("text")).alias("body"))
-    return search.rerank(best, phrases, entries, {"body": 6.0}).withColumn("fit", F.round("fit", 4))
+    """All candidates of each query, by how well they cover its phrases."""
+    candidates = recalled(spark, sf_dir)
+    channel = F.when(F.col("place") == 0, "first").otherwise("rest")
+    phrases = phrased(spark, sf_dir).select("query", F.posexplode("p").alias("place", "phrase")).select("query", channel.alias("channel"), "phrase")
+    return search.rerank(candidates, phrases, plain_parts(spark, sf_dir), RERANK, rich=["title", "body", "source"]).withColumn("fit", F.round("fit", 4))
 
 
 @query("WITH " + _TOKENS + """,
@@ -124,27 +206,109 @@ def subset_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.capped(ranked, ["query"], [F.desc(F.round("points", 6)), F.col("id")], 12).withColumn("points", F.round("points", 4))
 
 
-@query("WITH " + _TOKENS + """,
-core AS (SELECT query, id, score FROM bm JOIN labels l ON l.doc_id = id WHERE quality = 1 AND toxic = 0),
-top AS (SELECT query, id, score, 'core' AS layer FROM core QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) <= 12),
-enough AS (SELECT query FROM top GROUP BY query HAVING max(score) >= 60),
-arch AS (SELECT query, id, score, 'archive' AS layer FROM bm WHERE query NOT IN (SELECT query FROM enough) QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) <= 12),
-u AS (SELECT query, id, max(score) AS score, max(layer) AS layer FROM (SELECT * FROM top UNION ALL SELECT * FROM arch) GROUP BY query, id)
-SELECT query, id, layer, round(score, 4) AS score, CASE WHEN score >= 60 THEN 'high' WHEN score >= 30 THEN 'review' ELSE 'low' END AS grade FROM u
-WHERE score >= 10 QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) <= 10
-""")
+#: Prototypes of layered search: treatment terms, mechanism terms, direction, attacking or not.
+PROTOTYPES = [
+    ("t1", ["the and", "that"], ["tion"], "neutral", False), ("t2", ["que la", "ment"], ["eau"], "cooling", False),
+    ("t3", ["und die", "der"], ["chen"], "warming", False), ("t4", ["ing", "ción que"], ["ed"], "neutral", True), ("t5", ["from"], ["wh"], "warming", True),
+]
+
+
+def _layered_sql() -> str:
+    """The same grades and scores, stated over lists."""
+    text = lambda x: "'" + x + "'"
+    values = ", ".join(f"('{n}', [{', '.join(map(text, t))}], [{', '.join(map(text, m))}], '{d}', {a})" for n, t, m, d, a in PROTOTYPES)
+    terms_of = f"map([{', '.join(text(p[0]) for p in PROTOTYPES)}], [{', '.join('[' + ', '.join(map(text, p[1])) + ']' for p in PROTOTYPES)}])"
+    way_of = f"map([{', '.join(text(p[0]) for p in PROTOTYPES)}], [{', '.join(text(p[3]) for p in PROTOTYPES)}])"
+    best = lambda term, terms: f"coalesce(list_max(list_transform({terms}, lambda o: {sim(term, 'o')})), 0.0)"
+    mean = lambda terms, f: f"(CASE WHEN len({terms}) > 0 THEN list_avg(list_transform({terms}, lambda t: {f('t')})) ELSE 1.0 END)"
+
+    def weighted(groups: list[tuple[str, float]], f) -> str:
+        total = " + ".join(f"(CASE WHEN len({g}) > 0 THEN {w} * {mean(g, f)} ELSE 0 END)" for g, w in groups)
+        weight = " + ".join(f"(CASE WHEN len({g}) > 0 THEN {w} ELSE 0 END)" for g, w in groups)
+        return f"(CASE WHEN {weight} > 0 THEN ({total}) / ({weight}) ELSE 1.0 END)"
+
+    treatments = [("t1", 0.6), ("t2", 0.25), ("t3", 0.15)]
+    paths = [("g1", 0.65), ("g2", 0.2)]
+    points = lambda terms, said, most, per, more: f"coalesce(list_max(list_transform(list_filter({terms}, lambda t: {sim('t', said)} >= 0.65), lambda t: {sim('t', said)} * least({most}, length(t) * {per} + {more}))), 0.0)"
+
+    def annotated(name: str, source: str) -> str:
+        return f"""{name}0 AS (SELECT c.*, e.*, pr.* EXCLUDE (query), list_filter(ep.ps, lambda x: list_contains(coalesce(r.ps, []), x)) AS shared, list_filter(ep.ps, lambda x: list_contains(['t4', 't5'], x) AND NOT list_contains(coalesce(r.ps, []), x)) AS unrouted
+  FROM {source} c JOIN e USING (id) JOIN prof pr USING (query) JOIN ep USING (id) LEFT JOIN rp r ON r.query = c.query),
+{name}1 AS (SELECT *, flatten(list_transform(shared, lambda x: {terms_of}[x])) AS rt, list_transform(shared, lambda x: {way_of}[x]) AS dirs FROM {name}0),
+{name} AS (SELECT query, id, source, layer, rank, unrouted,
+  greatest({weighted(treatments, lambda t: sim(t, 'title'))}, {weighted(treatments, lambda t: best(t, 'rt'))}) AS tc, {weighted(paths, lambda t: sim(t, "(body || '；' || title)"))} AS pc, {mean('cl', lambda t: sim(t, 'body'))} AS cc,
+  (title = '')::INT * 2 + (body = '')::INT AS missing,
+  CASE WHEN contains(nature, '寒') AND NOT contains(nature, '热') AND list_contains(dirs, 'cooling') AND NOT list_contains(dirs, 'warming') THEN 1
+       WHEN contains(nature, '热') AND NOT contains(nature, '寒') AND list_contains(dirs, 'warming') AND NOT list_contains(dirs, 'cooling') THEN 1 ELSE 0 END AS conflicts FROM {name}1),
+{name}g AS (SELECT *, CASE WHEN missing = 0 AND tc >= 0.5 AND (pc >= 0.2 OR cc >= 0.35) AND conflicts = 0 AND len(unrouted) = 0 THEN '较高' WHEN missing = 0 AND tc >= 0.3 AND conflicts = 0 THEN '需复核' ELSE '不足' END AS grade,
+  CASE WHEN layer = 'core' THEN 100 ELSE 82 END - 2 * rank + 28 * tc + 14 * pc + 12 * cc - 45 * conflicts - 12 * missing - 28 * len(unrouted) AS total FROM {name})"""
+
+    return _HYBRID + f""",
+pt(p, tt, mt, dir, attack) AS (VALUES {values}),
+prof AS (SELECT query, list_filter([p[1]], lambda x: x IS NOT NULL) AS t1, list_filter([p[2]], lambda x: x IS NOT NULL) AS t2, list_filter([p[3]], lambda x: x IS NOT NULL) AS t3, list_filter([p[2]], lambda x: x IS NOT NULL) AS g1,
+  list_filter([p[3]], lambda x: x IS NOT NULL) AS g2, list_filter([p[1], p[3]], lambda x: x IS NOT NULL) AS cl, CASE query % 3 WHEN 0 THEN '寒' WHEN 1 THEN '热' ELSE '' END || '；' || concat_ws('；', p[2], p[3]) AS nature FROM p),
+sd AS (SELECT query, array_to_string(t1 || t2 || t3, '；') AS st, array_to_string(g1 || g2, '；') AS sm, t1 || t2 || t3 AS ts FROM prof),
+rs AS (SELECT query, p, {points('tt', 'st', 14, 2, 0)} + 3 * len(list_filter(ts, lambda t: {best('t', 'tt')} >= 0.5)) + {points('mt', 'sm', 8, 1, 2)} AS s FROM sd, pt),
+rr AS (SELECT query, p, row_number() OVER (PARTITION BY query ORDER BY s DESC, p) - 1 AS position FROM rs WHERE s > 0 QUALIFY position < 3),
+rp AS (SELECT query, list(p) AS ps FROM rr GROUP BY query),
+ep AS (SELECT id, list(p ORDER BY p) FILTER (len(list_filter(tt, lambda t: contains(body, t))) > 0) AS ps0, coalesce(ps0, []) AS ps FROM e, pt GROUP BY id),
+co AS (SELECT query, id, min(position) AS position FROM (SELECT id, unnest(ps) AS p FROM ep JOIN labels l ON l.doc_id = id AND quality = 1 AND toxic = 0) JOIN rr USING (p) GROUP BY ALL),
+cr AS (SELECT query, id, 'core' AS layer, row_number() OVER (PARTITION BY query ORDER BY round(coalesce(score, 0) + 42 - 8 * position + CASE WHEN id % 10 = 0 THEN 5 ELSE 0 END, 6) DESC, id) - 1 AS rank FROM co LEFT JOIN bm USING (query, id) QUALIFY rank < 12),
+{annotated('ca', 'cr')},
+ar AS (SELECT query, id, 'archive' AS layer, row_number() OVER (PARTITION BY query ORDER BY round(points, 6) DESC, id) - 1 AS rank FROM hy WHERE query NOT IN (SELECT query FROM cag WHERE grade = '较高') QUALIFY rank < 12),
+{annotated('aa', 'ar')},
+un AS (SELECT * FROM cag UNION ALL SELECT * FROM aag),
+sg AS (SELECT * FROM un WHERE grade <> '不足' QUALIFY row_number() OVER (PARTITION BY query, source ORDER BY round(total, 6) DESC, id, layer) = 1)
+SELECT query, id, layer, grade AS consistency, round(total, 3) AS selection_score FROM sg QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(total, 6) DESC, id) <= 10
+"""
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries as profiles: their phrases as treatments, pathogenesis and clinical signs."""
+    given = lambda *places: F.array_compact(F.array(*(F.get("p", F.lit(i - 1)) for i in places)))
+    nature = F.when(F.col("query") % 3 == 0, "寒").when(F.col("query") % 3 == 1, "热").otherwise("")
+    return phrased(spark, sf_dir).select(
+        "query", F.array(nature).alias("nature"), given(1).alias("primary_treatment"), given(2).alias("secondary_treatment"), given(3).alias("adjunct_treatment"), given(2).alias("primary_pathogenesis"),
+        given(3).alias("secondary_pathogenesis"), F.array().cast("array<string>").alias("concurrent_pathogenesis"), given(1, 3).alias("clinical"), given(1, 2, 3).alias("treatments"), given(2, 3).alias("mechanisms"),
+    )
+
+
+@query(_layered_sql())
 def layered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Core entries first; the archive only for queries that the core does not answer."""
-    order = [F.desc(F.round("score", 6)), F.col("id")]
-    whole = scored(spark, sf_dir)
-    allowed = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select(F.col("doc_id").alias("id"))
-    core = search.capped(whole.join(allowed, "id", "left_semi"), ["query"], order, 12).withColumn("layer", F.lit("core"))
-    enough = core.groupBy("query").agg(F.max("score").alias("best")).filter("best >= 60").select("query")
-    archive = search.capped(whole.join(enough, "query", "left_anti"), ["query"], order, 12).withColumn("layer", F.lit("archive"))
-    both = core.unionByName(archive).groupBy("query", "id").agg(F.max("score").alias("score"), F.max("layer").alias("layer"))
-    top = search.capped(both.filter("score >= 10"), ["query"], order, 10)
-    grade = F.when(F.col("score") >= 60, "high").when(F.col("score") >= 30, "review").otherwise("low")
-    return top.select("query", "id", "layer", F.round("score", 4).alias("score"), grade.alias("grade"))
+    """Core entries by the prototypes that a profile is routed to; the archive for queries
+    whose core entries hold no high grade; grades and scores read backwards."""
+    profile = profiles(spark, sf_dir)
+    prototypes = spark.createDataFrame([p[:4] for p in PROTOTYPES], "prototype string, treatment_terms array<string>, mechanism_terms array<string>, direction string")
+    routed = layered.route(profile, prototypes)
+    holds = lambda terms: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains("body", t))
+    own = F.array_compact(F.array(*(F.when(holds(terms), F.lit(n)) for n, terms, _, _, _ in PROTOTYPES)))
+    entries = plain_parts(spark, sf_dir).withColumn("prototypes", own)
+    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select(F.col("doc_id").alias("id")).distinct()
+    core = layered.core_records(entries.join(good, "id", "left_semi").select("id", "prototypes"), routed)
+    boost = layered.core_boost(F.col("position"), F.lit(False), F.col("id") % 10 == 0)
+    ranked = core.join(scored(spark, sf_dir), ["query", "id"], "left").select("query", "id", (F.coalesce("score", F.lit(0.0)) + boost).alias("points"))
+
+    def annotated(found: DataFrame, layer: str) -> DataFrame:
+        top = search.best_ranked(found, ["query"], [F.desc(F.round("points", 6)), F.col("id")], 12)
+        fields = F.create_map(*(x for name, f in (("方源", "source"), ("组成", "title"), ("功用", "title"), ("主治", "body")) for x in (F.lit(name), F.col(f))))
+        said = routed.groupBy("query").agg(F.collect_set("prototype").alias("routed"))
+        rows = top.join(entries, "id").join(profile, "query").join(said, "query", "left").withColumn("routed", F.coalesce("routed", F.array().cast("array<string>")))
+        both = F.array_intersect("prototypes", "routed")
+        of = lambda place: F.create_map(*(x for p in PROTOTYPES for x in (F.lit(p[0]), F.array(*map(F.lit, p[place])) if isinstance(p[place], list) else F.lit(p[place]))))
+        attacking = F.array(*(F.lit(p[0]) for p in PROTOTYPES if p[4]))
+        return layered.annotate(
+            rows.select(
+                *profile.columns, "id", "source", F.lit(layer).alias("layer"), "rank", fields.alias("fields"), F.array().cast("array<string>").alias("flags"),
+                F.array_except(F.array_intersect("prototypes", attacking), "routed").alias("unrouted"), F.transform(both, lambda p: F.element_at(of(3), p)).alias("directions"),
+                F.flatten(F.transform(both, lambda p: F.element_at(of(1), p))).alias("routed_terms"),
+            )
+        ).select("query", "id", "source", "layer", "consistency", F.round("selection_score", 6).alias("selection_score"))
+
+    from_core = search.stored(annotated(ranked, "core"))
+    left = layered.still_open(from_core, profile.select("query"))
+    archive = annotated(recalled(spark, sf_dir).join(left, "query", "left_semi").select("query", "id", "points"), "archive")
+    best, _ = layered.gate_and_finish(from_core.unionByName(archive), "source", 10)
+    return best.select("query", "id", "layer", "consistency", F.round("selection_score", 3).alias("selection_score"))
 
 
 #: A small ontology: prototypes with treatment, mechanism and parent terms.

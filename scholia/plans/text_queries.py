@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import filters
+from ..operators import filters, search
 from .registry import query, table
 
 
@@ -34,21 +34,27 @@ def phrase_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT item_id, trim(unnest(regexp_split_to_array(lower(trim(text)), '[,，、;；。.\\n\\r|/]+'))) AS phrase FROM benchmark),
-     q AS (SELECT item_id, phrase FROM p WHERE phrase <> '' QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY length(phrase) DESC, phrase DESC) = 1),
-     g AS (SELECT DISTINCT item_id, phrase, substr(phrase, i, 2) AS gram FROM (SELECT *, unnest(range(1, length(phrase))) AS i FROM q)),
-     d AS (SELECT doc_id, lower(trim(text)) AS text FROM documents),
-     s AS (SELECT item_id, doc_id, phrase, avg(CASE WHEN contains(text, gram) THEN 1.0 ELSE 0.0 END) AS share, bool_or(contains(text, phrase)) AS whole
-           FROM g CROSS JOIN d GROUP BY item_id, doc_id, phrase)
-SELECT item_id, doc_id, round(CASE WHEN whole THEN 1.0 ELSE share END, 6) AS similarity FROM s WHERE whole OR share >= 0.98
+WITH p AS (SELECT DISTINCT item_id, trim(unnest(regexp_split_to_array(lower(trim(text)), '[,，、;；。.\\n\\r|/]+'))) AS phrase FROM benchmark),
+     u AS (SELECT DISTINCT phrase FROM p WHERE phrase <> ''),
+     g AS (SELECT phrase, list_distinct(list_transform(range(1, greatest(2, length(phrase))), lambda i: substr(phrase, i, 2))) AS grams FROM u),
+     d AS (SELECT lower(trim(text)) AS text FROM documents WHERE trim(text) <> ''),
+     s AS (SELECT phrase, CASE WHEN contains(text, phrase) THEN 1.0 ELSE list_avg(list_transform(grams, lambda g: CAST(contains(text, g) AS INTEGER))) END AS similarity FROM g CROSS JOIN d),
+     a AS (SELECT phrase, count(*) FILTER (similarity >= 0.5) AS n_like, count(*) FILTER (similarity >= 0.65) AS n_hit, count(*) FILTER (similarity = 1) AS n_whole, round(sum(similarity) FILTER (similarity >= 0.5), 4) AS total FROM s GROUP BY phrase)
+SELECT item_id, a.* FROM p JOIN a USING (phrase)
 """)
 def phrase_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries that resemble the longest phrase of a query; the queries are a stated set."""
+    """How many entries resemble each phrase of each query, from the thresholds of
+    reranking (0.5) and of routing (0.65) on; the queries are a stated set."""
     phrases = table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.split_phrases(X.normalize(F.col("text")))).alias("phrase"))
-    longest = phrases.groupBy("item_id").agg(F.max(F.struct(F.length("phrase").alias("n"), "phrase")).alias("best")).select("item_id", "best.phrase")
-    entries = table(spark, sf_dir, "documents").select("doc_id", X.normalize(F.col("text")).alias("text"))
-    scored = entries.join(F.broadcast(longest)).select("item_id", "doc_id", X.phrase_similarity(F.col("phrase"), F.col("text")).alias("similarity"))
-    return scored.filter("similarity >= 0.98").withColumn("similarity", F.round("similarity", 6))
+    asked = phrases.select("phrase").distinct().withColumn("grams", X.phrase_grams(F.col("phrase")))
+    entries = table(spark, sf_dir, "documents").select(X.normalize(F.col("text")).alias("text")).filter("text <> ''")
+    pairs = search.in_blocks(entries, asked, F.lit(True), 200)
+    scored = pairs.select("phrase", X.phrase_similarity(F.col("phrase"), F.col("text"), F.col("grams")).alias("s"))
+    like = F.col("s") >= 0.5
+    counts = scored.groupBy("phrase").agg(
+        F.count_if(like).alias("n_like"), F.count_if(F.col("s") >= 0.65).alias("n_hit"), F.count_if(F.col("s") == 1).alias("n_whole"), F.round(F.sum(F.when(like, F.col("s"))), 4).alias("total")
+    )
+    return phrases.join(counts, "phrase")
 
 
 @query("""
