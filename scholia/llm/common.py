@@ -35,14 +35,16 @@ def fold(doc_id: str | Column, modulus: int) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors all see.
 
-    It lies below ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a folder of its own is chosen.
+    It lies below ``spark.checkpoint.dir``; only where that is unset and Spark runs on
+    this machine alone (tests) a folder of its own is chosen.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
         base = context.getCheckpointDir()
         if base is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             import tempfile
 
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))

@@ -225,7 +225,8 @@ def repeated_spans(df: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", te
     small = dealt.mapInArrow(_sort_groups(depth), "__id long, __th long, first int")
     large = pieces.filter("window >= 0")
     again = large.groupBy("key", "hash").agg(F.min("span").alias("low"), F.max("span").alias("high")).filter("low <> high").select("key", "hash")
-    large = large.filter("open").join(again, ["key", "hash"]).select("__id", "__th", (F.col("first") + F.col("window")).alias("first"))
+    # written out on both sides of the join, so that a very common window is split
+    large = materialised(large.filter("open").join(materialised(again), ["key", "hash"]).select("__id", "__th", (F.col("first") + F.col("window")).alias("first")))
     found = small.unionByName(large).withColumn("more", F.lit(0))
     every = settled.unionByName(copied).unionByName(found)
     # first + more: windows; depth more bytes: what they cover; rows that are equal say it once
