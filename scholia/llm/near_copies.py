@@ -100,12 +100,16 @@ def _described(texts: DataFrame, words: int, views: int) -> DataFrame:
     return texts.mapInArrow(run, f"doc_id {kind}, th long, {fields}, n int, keys array<long>")
 
 
+def _packed(n: Column, pos: Column) -> Column:
+    """Size of a set and place of a shingle in its prefix, in one number."""
+    return F.shiftleft(n.cast("long"), 32).bitwiseOR(pos.cast("long"))
+
+
 def _possible(a: str, b: str) -> Column:
-    """Whether two sets that share the shingle at those places can be similar enough, if
-    it is the first they share."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    rest = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
-    return (DEN + NUM) * rest >= NUM * (n + m)
+    """Whether two sets that share the shingle at those packed places can be similar
+    enough, if it is the first they share."""
+    (n, i), (m, j) = ((F.shiftright(F.col(c), 32), F.col(c).bitwiseAND(F.lit((1 << 32) - 1))) for c in (a, b))
+    return (DEN + NUM) * F.least(n - i, m - j) >= NUM * (n + m)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -141,24 +145,26 @@ def groups(df: DataFrame, words: int, views: int, radius: int, limit: int) -> Da
     rows = materialised(_described(texts, words, views))
     first = rows.groupBy("node").agg(F.min(F.struct("th", *names)).alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = materialised(first.select("node", "row.*", "n", "keys"))
-    placed = nodes.select(F.posexplode("keys").alias("pos", "key"), F.struct("node", "n", "pos").alias("at"))
-    shared = placed.groupBy("key").agg(F.count("*").alias("many"), F.min("at").alias("start")).filter("many > 1")
-    met = materialised(placed.select("key", "at").join(shared, "key"))
-    star = met.filter((F.col("at.node") != F.col("start.node")) & _possible("at", "start")).select(F.col("start.node").alias("a"), F.col("at.node").alias("b"))
+    placed = nodes.select(F.posexplode("keys").alias("pos", "key"), "node", "n").select("key", "node", _packed(F.col("n"), F.col("pos")).alias("at"))
+    # most shingles are in one set only: they go before anything is gathered by the others
+    shared = placed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key")
+    common = materialised(placed.join(shared, "key"))
+    met = common.join(common.groupBy("key").agg(F.min(F.struct("node", "at")).alias("start")), "key")
+    star = met.filter((F.col("node") != F.col("start.node")) & _possible("at", "start.at")).select(F.col("start.node").alias("a"), F.col("node").alias("b"))
     proposed = simhash.links(nodes, radius, names, limit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tried = materialised(star.unionByName(proposed).distinct())
     edges = verified(tried, nodes, texts, words)
     roots = connected_components(edges).select("node", "root")
-    known = met.select("key", "at", F.col("at.node").alias("node")).join(roots, "node", "left").select("key", "at", F.coalesce("root", "node").alias("root"))
+    known = common.join(roots, "node", "left").select("key", "node", "at", F.coalesce("root", "node").alias("root"))
     apart = known.groupBy("key").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     parts = apart.select("key", F.ceil(F.col("many") / MOST).cast("int").alias("parts"))
-    open_rows = known.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("at.node"), F.col("parts")).cast("int"))
+    open_rows = known.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     open_rows = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    open_rows = materialised(open_rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "at", "root"))
-    side = lambda p: open_rows.select("key", "i", "j", F.col("own").alias(f"own_{p}"), F.col("at").alias(p), F.col("root").alias(f"root_{p}"))
+    open_rows = materialised(open_rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "at", "root"))
+    side = lambda p: open_rows.select("key", "i", "j", *(F.col(c).alias(f"{c}_{p}") for c in ("own", "node", "at", "root")))
     both = side("l").join(side("r"), ["key", "i", "j"])
-    both = both.filter((F.col("l.node") < F.col("r.node")) & (F.col("root_l") != F.col("root_r")) & ((F.col("i") == F.col("j")) | (F.col("own_l") != F.col("own_r"))))
-    more = both.filter(_possible("l", "r")).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    both = both.filter((F.col("node_l") < F.col("node_r")) & (F.col("root_l") != F.col("root_r")) & ((F.col("i") == F.col("j")) | (F.col("own_l") != F.col("own_r"))))
+    more = both.filter(_possible("at_l", "at_r")).select(F.col("node_l").alias("a"), F.col("node_r").alias("b")).distinct()
     more = materialised(more.join(tried, ["a", "b"], "left_anti"))
     edges = edges.unionByName(verified(more, nodes, texts, words))
     roots = connected_components(edges).select("node", "root")
