@@ -65,28 +65,3 @@ def fuzzy_best(left: DataFrame, right: DataFrame, block: list[str], name: str, o
     and then the first by name."""
     pairs = left.join(right, block).withColumn("distance", F.levenshtein(name, other, limit)).filter("distance >= 0")
     return best_per(pairs, [*block, name], [F.col("distance"), F.col(other)])
-
-
-def reassign_duplicates(rows: DataFrame, missing: DataFrame) -> DataFrame:
-    """Duplicate index rows (id, seq, name, score) move to an id that is still missing.
-
-    Candidates (alternative ids, by name) come from a join; what is left is settled
-    in order of seq, as every move shrinks the set of missing ids.  That residue is
-    a few hundred rows by construction and is handled as one group."""
-    import pandas as pd
-
-    best = best_per(rows, ["id"], [F.desc("score"), F.col("seq")])
-    others = rows.join(best.select("id", F.col("seq").alias("best_seq")), "id").filter("seq <> best_seq").drop("best_seq")
-    options = others.join(missing.select(F.col("id").alias("free"), F.col("name").alias("free_name")), F.col("name") == F.col("free_name"), "left")
-
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for seq, part in group.sort_values(["seq", "free"]).groupby("seq", sort=True):
-            free = [f for f in part["free"].dropna() if f not in taken]
-            moved = free[0] if len(free) == 1 else None
-            if moved is not None:
-                taken.add(moved)
-            out.append((seq, part["id"].iloc[0], moved))
-        return pd.DataFrame(out, columns=["seq", "id", "moved_to"])
-
-    return options.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(settle, "seq long, id string, moved_to string")

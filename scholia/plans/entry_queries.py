@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import entries
+from ..operators import appendix, entries
 from .registry import query, table
 
 #: Labels as OCR gives them: known, spaced, aliases, slightly wrong, and no label at all.
@@ -197,3 +197,49 @@ def audit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(entries.appendix_header(text)).alias("appendix_header"), F.count_if(entries.disputed(listed, flags, F.pmod(size, F.lit(2)) == 0)).alias("disputed"), F.sum(pages).alias("book_pages")
     )
     return counted.unpivot([], counted.columns, "rule", "n")
+
+
+_INDEX = """
+WITH c AS (SELECT p_partkey AS seq, lpad(CAST(p_partkey * 3 % 100000 AS VARCHAR), 5, '0') AS id, chr(CAST(19968 + p_partkey % 500 AS INTEGER)) AS name FROM part),
+     r AS (SELECT seq, name, CASE seq % 4 WHEN 0 THEN id WHEN 1 THEN substr(id, 1, 4) WHEN 2 THEN substr(id, 1, 2) || '9' || substr(id, 4, 2) ELSE id || '7' END AS digits FROM c),
+     d AS (SELECT r.seq, r.digits, c.id, least(levenshtein(r.digits, c.id), CASE WHEN length(r.digits) < 5 THEN levenshtein(lpad(r.digits, 5, '0'), c.id) ELSE 99 END) AS distance FROM r JOIN c USING (name)),
+     k AS (SELECT *, id = lpad(digits, 5, '0') AND length(digits) <= 5 AS own FROM d WHERE distance <= 3),
+     o AS (SELECT *, lead(distance) OVER w AS next, row_number() OVER w AS place, EXISTS (SELECT 1 FROM c WHERE c.id = lpad(k.digits, 5, '0') AND length(k.digits) <= 5) AS has FROM k WINDOW w AS (PARTITION BY seq ORDER BY own DESC, distance, id))
+"""
+
+
+@query(_INDEX + """
+SELECT r.seq, CASE WHEN own OR has OR next IS DISTINCT FROM distance THEN id END AS id, CASE WHEN o.seq IS NULL THEN 'invalid_id_or_name' WHEN own OR has OR next IS DISTINCT FROM distance THEN 'ok' ELSE 'ambiguous_repair' END AS reason
+FROM r LEFT JOIN o ON o.seq = r.seq AND place = 1
+""")
+def index_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index rows with damaged ids matched to entries; names are single signs, so that
+    similarity is one or nothing."""
+    rows, canonical = damaged_index(spark, sf_dir)
+    good, bad = appendix.matched(rows, canonical)
+    return good.select("seq", "id", F.lit("ok").alias("reason")).unionByName(bad.select("seq", F.lit(None).cast("string").alias("id"), "reason"))
+
+
+def damaged_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    part, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    name = F.decode(F.unhex(F.hex((19968 + key % 500).cast("int"))), "UTF-16BE")
+    own = F.lpad((key * 3 % 100000).cast("string"), 5, "0")
+    kind = key % 4
+    raw = F.when(kind == 0, own).when(kind == 1, F.substring(own, 1, 4)).when(kind == 2, F.concat(F.substring(own, 1, 2), F.lit("9"), F.substring(own, 4, 2))).otherwise(F.concat(own, F.lit("7")))
+    canonical = part.select(own.alias("id"), name.alias("name"))
+    return part.select(key.alias("seq"), F.translate(raw, "01", "QI").alias("raw_id"), name.alias("name"), F.lit(0.9).alias("confidence")), canonical
+
+
+@query("""
+WITH j AS (SELECT o_orderpriority AS major, o_orderstatus AS minor, o_orderkey, l_partkey, l_linenumber, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+     f AS (SELECT major, minor, l_partkey, min(o_orderkey) AS o FROM j GROUP BY ALL)
+SELECT major, minor, count(*) AS n_ids, min(l_partkey) AS least, (SELECT count(DISTINCT l_suppkey) FROM j WHERE j.major = f.major AND j.minor = f.minor) AS n_pages,
+       md5(string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY o, l_partkey)) AS ids FROM f GROUP BY ALL
+""")
+def term_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms (priority and status of orders) that are listed again and again, merged."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_set("l_partkey")).alias("ids"), F.collect_set("l_suppkey").alias("pages"))
+    rows = lines.join(table(spark, sf_dir, "orders"), "o_orderkey").select(F.col("o_orderpriority").alias("major"), F.col("o_orderstatus").alias("minor"), "o_orderkey", "ids", "pages")
+    merged = appendix.merged_terms(rows, ["major", "minor"], "o_orderkey", "ids", "pages")
+    text = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return merged.select("major", "minor", F.col("n_ids").cast("long").alias("n_ids"), F.array_min("ids").alias("least"), F.size("pages").cast("long").alias("n_pages"), F.md5(text.cast("binary")).alias("ids"))

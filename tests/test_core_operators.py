@@ -1,10 +1,14 @@
 """Operators that SQL cannot state, against small models."""
 
+import random
+import re
+from difflib import SequenceMatcher
+
 import datetime
 
 from pyspark.sql import functions as F
 
-from scholia.operators import assembly, doses, joins, quality, records, search, survey
+from scholia.operators import appendix, assembly, doses, joins, quality, records, search, survey
 
 
 def test_rows_cluster_by_running_mean(spark):
@@ -41,11 +45,73 @@ def test_corrections_apply_in_order(spark):
     assert got == {"1": ("aYbZ", 1), "2": ("q", 0)}
 
 
-def test_duplicates_move_to_missing_ids(spark):
-    rows = spark.createDataFrame([("1", 1, "甲", 0.9), ("1", 2, "乙", 0.8), ("1", 3, "乙", 0.7), ("1", 4, "丙", 0.6)], "id string, seq long, name string, score double")
-    missing = spark.createDataFrame([("5", "乙"), ("6", "丙"), ("7", "丙")], "id string, name string")
-    got = {r.seq: r.moved_to for r in joins.reassign_duplicates(rows, missing).collect()}
-    assert got == {2: "5", 3: None, 4: None}
+def plain_candidates(raw, name, canonical):
+    digits = re.sub(r"\D", "", raw.translate(str.maketrans("OoIlQBS", "0011085")))
+    n = len(digits)
+    ids = {digits.zfill(5)} if n <= 5 else set()
+    for i in range(6):
+        for d in "0123456789":
+            ids |= {digits[:i] + d + digits[i:]} if n == 4 and i < 5 else {digits[:i] + d + digits[i + 1 :]} if n == 5 and i < 5 else set()
+        ids |= {digits[:i] + digits[i + 1 :]} if n == 6 else set()
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for x in range(1, len(a) + 1):
+            row, old = [x], row
+            for y in range(1, len(b) + 1):
+                row.append(min(old[y] + 1, row[-1] + 1, old[y - 1] + (a[x - 1] != b[y - 1])))
+        return row[-1]
+
+    far = lambda i: min(edits(digits, i), edits(digits.zfill(5), i) if n < 5 else 99)
+    ids |= {i for i, other in canonical.items() if other == name and far(i) <= 3}
+    return [(SequenceMatcher(None, name, canonical[i]).ratio(), far(i), i) for i in ids if i in canonical]
+
+
+def test_doubles_move_to_free_entries_in_turn(spark):
+    rng = random.Random(4)
+    names = ["甲乙丙丁", "甲乙丙戊", "己庚辛壬", "子丑", "寅卯辰"]
+    canonical = {f"{100 + i:05d}": rng.choice(names) for i in range(60)}
+    held = sorted(canonical)[:20]
+    rows = []
+    for seq in range(80):
+        i = rng.choice(held)
+        rows.append((seq, i.replace("0", "O", 1), rng.choice(names), i, round(rng.random(), 3), round(rng.random(), 3)))
+    df = spark.createDataFrame(rows, "seq long, raw_id string, name string, id string, similarity double, confidence double")
+    entries = spark.createDataFrame(list(canonical.items()), "id string, name string")
+    got = {r.seq: (r.id, r.moved_from) for r in appendix.reassigned(df, entries).collect()}
+    by_id = {}
+    for r in rows:
+        by_id.setdefault(r[3], []).append(r)
+    free, want = set(canonical) - set(by_id), {}
+    for i, group in by_id.items():
+        for place, r in enumerate(sorted(group, key=lambda r: (-r[4], -r[5], r[0]))):
+            want[r[0]] = (i, None)
+            if place:
+                scored = sorted((-s, d, c) for s, d, c in plain_candidates(r[1], r[2], canonical) if c in free)
+                if scored and -scored[0][0] >= 0.65 and scored[0][:2] not in [x[:2] for x in scored[1:2]]:
+                    want[r[0]] = (scored[0][2], i)
+                    free.remove(scored[0][2])
+    assert got == want and sum(m is not None for _, m in want.values()) > 5
+
+
+def test_index_rows_find_their_entries(spark):
+    canonical = spark.createDataFrame([("00012", "桂枝汤"), ("00013", "麻黄汤"), ("00112", "桂枝汤"), ("00500", "四物汤")], "id string, name string")
+    rows = [(1, "OOOI2", "桂枝汤", 0.9), (2, "0012", "桂枝汤", 0.9), (3, "00500", "四 物汤", 0.8), (4, "00500", "四物物", 0.9), (5, "77777", "不明", 0.9), (6, "00019", "麻黄汤", 0.9), (7, "00013", "桂枝汤", 0.9)]
+    df = spark.createDataFrame(rows, "seq long, raw_id string, name string, confidence double")
+    good, bad = appendix.matched(df, canonical)
+    assert {r.seq: r.id for r in good.collect()} == {1: "00012", 2: "00012", 3: "00500", 4: "00500", 6: "00013", 7: "00012"}
+    assert [(r.seq, r.reason) for r in bad.collect()] == [(5, "invalid_id_or_name")]
+    index, review = appendix.build_index(df, canonical)
+    assert sorted(r.id for r in index.collect()) == ["00012", "00013", "00112", "00500"] or sorted(r.id for r in index.collect()) == ["00012", "00013", "00500"]
+    assert {r.reason for r in review.collect()} >= {"duplicate_id", "invalid_id_or_name"}
+
+
+def test_terms_are_merged_in_order(spark):
+    rows = spark.createDataFrame([("a", 2, ["3", "1"], [5]), ("a", 1, ["2", "1"], [4, 5]), ("b", 1, [], [])], "term string, seq int, ids array<string>, pages array<int>")
+    merged = appendix.merged_terms(rows, ["term"], "seq", "ids", "pages")
+    assert {r.term: (r.ids, r.pages, r.n_ids) for r in merged.collect()} == {"a": (["2", "1", "3"], [4, 5], 3), "b": ([], [], 0)}
+    report = appendix.terms_report(merged, spark.createDataFrame([("1",), ("2",)], "id string"), "ids").first()
+    assert (report.terms, report.relations, report.invalid, report.entries) == (2, 3, 1, 2)
 
 
 def test_overlaps_appear_once(spark):
