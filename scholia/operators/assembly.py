@@ -45,7 +45,7 @@ def cluster_rows(df: DataFrame, group: list[str], tolerance: float = 13.0) -> Da
                 rows.append([box])
             centre = sum(b.y for b in rows[-1]) / len(rows[-1])
         first = {k: page[k].iloc[0] for k in group}
-        out = [{**first, "row": i, "text": "".join(b.text for b in sorted(r, key=lambda b: b.x)), "confidence": min(b.confidence for b in r), "n_boxes": len(r)} for i, r in enumerate(rows)]
+        out = [{**first, "row": i, "text": " ".join(b.text for b in sorted(r, key=lambda b: b.x)), "confidence": min(b.confidence for b in r), "n_boxes": len(r)} for i, r in enumerate(rows)]
         return pd.DataFrame(out)
 
     return df.groupBy(*group).applyInPandas(fold, f"{keys}, row int, text string, confidence double, n_boxes int")

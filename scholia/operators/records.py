@@ -46,3 +46,19 @@ def framed(stream: DataFrame, column: str = "value", mark: str = "endendend") ->
 def user_line(pairs: list[tuple[str, Column]]) -> Column:
     """``name: value`` parts of what is not blank."""
     return F.concat_ws(", ", *(F.when(F.length(F.trim(v.cast("string"))) > 0, F.concat(F.lit(f"{k}: "), v.cast("string"))) for k, v in pairs))
+
+
+def offsets(total: Column, offset: int, size: int) -> tuple[Column, Column]:
+    """Offsets of the next and the previous page, null where there is none."""
+    after = F.when(total > offset + size, F.lit(offset + size))
+    return after, F.lit(max(0, offset - size) if offset > 0 else None).cast("int")
+
+
+def carried_forward(visits: DataFrame, person: str, order: list[Column], cleared: list[str], date: str, today: Column) -> DataFrame:
+    """A new visit for each person: the latest one again, with a new date and without what
+    belongs to a single visit."""
+    newest = latest(visits, [person], order).drop("place")
+    kinds = {f.name: f.dataType for f in visits.schema}
+    for c in cleared:
+        newest = newest.withColumn(c, F.lit(None).cast(kinds[c]))
+    return newest.withColumn(date, today.cast(kinds[date]))

@@ -51,17 +51,15 @@ def core_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT conv_id, turn, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS entry FROM conversations)
-SELECT conv_id, CAST(entry AS BIGINT) AS entry, CAST(count(*) AS INTEGER) AS n_lines, CAST(sum(length(trim(text))) AS BIGINT) AS n_letters FROM o WHERE entry > 0 GROUP BY ALL
+WITH o AS (SELECT conv_id, turn, trim(text) AS text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS entry FROM conversations),
+     p AS (SELECT *, lag(text) OVER (PARTITION BY conv_id, entry ORDER BY turn) AS before FROM o WHERE entry > 0 AND text <> ''),
+     t AS (SELECT conv_id, entry, string_agg(CASE WHEN regexp_full_match(right(before, 1), '[A-Za-z0-9]') AND regexp_full_match(left(text, 1), '[A-Za-z0-9]') THEN ' ' ELSE '' END || text, '' ORDER BY turn) AS text FROM p GROUP BY ALL)
+SELECT conv_id, CAST(entry AS BIGINT) AS entry, (SELECT CAST(count(*) AS INTEGER) FROM o WHERE o.conv_id = t.conv_id AND o.entry = t.entry) AS n_lines, md5(text) AS text FROM t
 """)
 def entry_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns open entries; lengths are compared without the blanks that joining adds."""
-    turns = table(spark, sf_dir, "conversations").withColumn("text", F.trim("text"))
-    entries = assembly.assemble(turns, ["conv_id"], ["turn"], F.col("role") == "user")
-    pieces = assembly.carry_forward(turns, ["conv_id"], ["turn"], F.when(F.col("role") == "user", F.col("turn")), "opened").filter("opened is not null")
-    letters = pieces.groupBy("conv_id", "opened").agg(F.sum(F.length("text")).alias("n_letters"))
-    numbered = letters.withColumn("entry", F.row_number().over(Window.partitionBy("conv_id").orderBy("opened")).cast("long"))
-    return entries.join(numbered, ["conv_id", "entry"]).select("conv_id", "entry", "n_lines", "n_letters")
+    """User turns open entries, and the turns of each are joined like wrapped lines."""
+    entries = assembly.assemble(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], F.col("role") == "user")
+    return entries.select("conv_id", "entry", "n_lines", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
 @query("""
@@ -184,15 +182,18 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, replace(CASE WHEN instr(text, ' ') > 0 THEN left(text, instr(text, ' ') - 1) || '_' || substr(text, instr(text, ' ') + 1) ELSE text END, chr(0), '') = text AS unchanged,
-       CAST((instr(text, ' ') = 0)::INT + (instr(text, source) = 0)::INT AS INTEGER) AS n_missed FROM documents
+WITH a AS (SELECT doc_id, source, CASE WHEN instr(text, ' ') > 0 THEN left(text, instr(text, ' ') - 1) || '_' || substr(text, instr(text, ' ') + 1) ELSE text END AS t, instr(text, ' ') = 0 AS missed FROM documents),
+     b AS (SELECT doc_id, CASE WHEN instr(t, 'the') > 0 THEN left(t, instr(t, 'the') - 1) || source || substr(t, instr(t, 'the') + 3) ELSE t END AS t, missed::INT + (instr(t, 'the') = 0)::INT AS n FROM a)
+SELECT doc_id, md5(t) AS text, CAST(n AS INTEGER) AS n_missed FROM b
 """)
 def ordered_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two first-occurrence corrections per entry; the second one's text is mostly absent."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", F.col("text").alias("before"))
-    fixes = docs.select("doc_id", F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit(" ").alias("old"), F.lit("_").alias("new")), F.struct(F.lit(2).alias("seq"), F.col("source").alias("old"), F.lit("*").alias("new")))).alias("x"))
+    """Two first-occurrence corrections per entry, in order; the second one's text is not
+    in every entry."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    fix = lambda seq, old, new: F.struct(F.lit(seq).alias("seq"), F.lit(old).alias("old"), new.alias("new"))
+    fixes = docs.select("doc_id", F.explode(F.array(fix(1, " ", F.lit("_")), fix(2, "the", F.col("source")))).alias("x"))
     done = assembly.corrected(docs, fixes.select("doc_id", "x.*"), "doc_id")
-    return done.select("doc_id", (F.col("text") == F.col("before")).alias("unchanged"), "n_missed")
+    return done.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text"), "n_missed")
 
 
 @query()

@@ -114,21 +114,33 @@ def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH o AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 250000 ORDER BY o_orderkey)
-SELECT o_orderkey, o_custkey, (SELECT count(*) FROM o) AS total FROM o WHERE o_orderkey > 5000 ORDER BY o_orderkey LIMIT 20
+SELECT o_orderkey, o_custkey, (SELECT count(*) FROM o) AS total, CASE WHEN (SELECT count(*) FROM o) > 60 THEN 60 END AS next_offset, 20 AS previous_offset FROM o WHERE o_orderkey > 5000 ORDER BY o_orderkey LIMIT 20
 """)
 def paging(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page of 20 after a key (the paging operator), with the total beside it."""
+    """A page of 20 after a key (the paging operator), the third of its kind, with the total
+    and the offsets of the pages beside it."""
     visits = table(spark, sf_dir, "orders").filter("o_totalprice > 250000").select("o_orderkey", "o_custkey")
-    return records.page(visits, "o_orderkey", 5000, 20).join(F.broadcast(visits.agg(F.count("*").alias("total"))))
+    after, before = records.offsets(F.col("total"), 40, 20)
+    paged = records.page(visits, "o_orderkey", 5000, 20).join(F.broadcast(visits.agg(F.count("*").alias("total"))))
+    return paged.withColumn("next_offset", after).withColumn("previous_offset", before)
 
 
 @query("""
-SELECT c_custkey, c_name, c_mktsegment FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE contains(lower(c_name || ' ' || n_name), 'customer') AND c_mktsegment = 'BUILDING' AND c_acctbal >= 0
+SELECT o_custkey, o_orderkey, NULL AS o_orderpriority, TIMESTAMP '2024-01-01 00:00:00' AS o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1
+""")
+def carried_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new visit for everybody: the latest one with today's date, its result blanked."""
+    visits = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderdate")
+    return records.carried_forward(visits, "o_custkey", [F.desc("o_orderkey")], ["o_orderpriority"], "o_orderdate", F.lit("2024-01-01 00:00:00"))
+
+
+@query("""
+SELECT c_custkey, c_name, c_mktsegment FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE (contains(c_name, '12') OR contains(n_name, '12')) AND (contains(lower(c_name), '1') OR contains(lower(n_name), '1')) AND c_mktsegment = 'BUILDING' AND c_acctbal >= 0
 """)
 def visit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visits by words over name and nation, and equality on the other columns."""
     joined = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
-    found = joined.filter(filters.matches_all("customer", [F.col("c_name"), F.col("n_name")]) & (F.col("c_mktsegment") == "BUILDING") & (F.col("c_acctbal") >= 0))
+    found = joined.filter(filters.matches_all("12 1", [F.col("c_name"), F.col("n_name")]) & (F.col("c_mktsegment") == "BUILDING") & (F.col("c_acctbal") >= 0))
     return found.select("c_custkey", "c_name", "c_mktsegment")
 
 

@@ -93,7 +93,12 @@ def chunk240(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "chunk", F.length("piece").alias("n_chars"), F.md5(F.col("piece").cast("binary")).alias("digest"))
 
 
-@query()
+@query("""
+WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
+     p AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM l WHERE x <> ''),
+     t AS (SELECT doc_id, string_agg(CASE WHEN regexp_full_match(right(before, 1), '[A-Za-z0-9]') AND regexp_full_match(left(x, 1), '[A-Za-z0-9]') THEN ' ' ELSE '' END || x, '' ORDER BY i) AS text FROM p GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(coalesce(t.text, '')) AS INTEGER) AS n_chars, md5(coalesce(t.text, '')) AS digest FROM documents d LEFT JOIN t USING (doc_id)
+""")
 def wrap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = table(spark, sf_dir, "documents").select("doc_id", X.join_wrapped(F.split("text", "\n")).alias("joined"))
     return joined.select("doc_id", F.length("joined").alias("n_chars"), F.md5(F.col("joined").cast("binary")).alias("digest"))
@@ -139,33 +144,41 @@ WITH d AS (
   SELECT 'header' AS rule, CASE WHEN len(string_split(text, chr(10))) > 40 THEN 'too_many_lines'
     WHEN length(split_part(text, chr(10), 1)) > 18 AND NOT contains(split_part(text, chr(10), 1), ' ') THEN 'running_header' ELSE 'ok' END AS reason FROM documents
   UNION ALL
-  SELECT 'range', CASE WHEN o_orderkey < 100 THEN 'below' WHEN o_orderkey > 9000 THEN 'above' ELSE 'ok' END FROM orders
+  SELECT 'query', CASE WHEN len(p) > 20 THEN 'too_many_phrases' WHEN len(list_filter(p, lambda x: length(x) > 240)) > 0 THEN 'phrase_too_long' WHEN length(text) > 1000 THEN 'text_too_long'
+    WHEN turn NOT BETWEEN 1 AND 20 THEN 'bad_top_k' WHEN len(p) = 0 AND trim(text) = '' THEN 'empty' ELSE 'ok' END
+  FROM (SELECT *, list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[,，、;；。.\\n\\r|/]+'), lambda x: trim(x)), lambda x: x <> '')) AS p FROM conversations)
   UNION ALL
-  SELECT 'query', CASE WHEN length(trim(text)) = 0 THEN 'empty' WHEN length(text) > 1000 THEN 'too_long'
-    WHEN length(text) - length(replace(text, ',', '')) >= 20 THEN 'too_many_phrases' ELSE 'ok' END FROM conversations
+  SELECT 'segment', CASE WHEN turn <= 0 THEN 'bad_index' WHEN turn * 10000 >= turn * 10000 + length(text) * 10 OR turn * 10000 + length(text) * 10 > 7200000 THEN 'bad_times' WHEN length(text) < 1 OR length(text) > 4000 THEN 'bad_text'
+    WHEN sum(length(text)) OVER (PARTITION BY conv_id) > 50000 THEN 'total_too_long' ELSE 'ok' END FROM conversations
   UNION ALL
-  SELECT 'segment', CASE WHEN turn < 0 THEN 'bad_index' WHEN length(text) < 1 OR length(text) > 4000 THEN 'bad_text'
-    WHEN sum(length(text)) OVER (PARTITION BY conv_id) > 5000 THEN 'total_too_long' ELSE 'ok' END FROM conversations
+  SELECT 'answer', 'ok' FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag <> 'N' AND p_size % 5 > 0 AND p_size % 7 > 0
+  UNION ALL
+  SELECT 'configured', CASE WHEN o_orderkey BETWEEN 100 AND 9000 THEN 'ok' ELSE 'outside' END FROM orders
   UNION ALL
   SELECT 'history', CASE WHEN event_type <> 'purchase' THEN 'not_shown' ELSE 'ok' END FROM events
 )
 SELECT rule, reason, count(*) AS n FROM d GROUP BY ALL
 """)
 def predicate_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kept and rejected rows by the first broken rule, for five validations."""
+    """Kept and rejected rows by the first broken rule, for six validations."""
     docs, turns = table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations")
     first = F.split_part("text", F.lit("\n"), F.lit(1))
-    total = F.expr("sum(length(text)) over (partition by conv_id)")
     key, text = F.col("o_orderkey"), F.col("text")
-    commas = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
+    asked = turns.select(X.split_phrases(text).alias("symptoms"), text.alias("free_text"), F.col("turn").alias("top_k"))
+    start = F.col("turn") * 10_000
+    segments = turns.select("conv_id", F.col("turn").alias("index"), start.alias("start_ms"), (start + F.length(text) * 10).alias("end_ms"), "text")
+    bank = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("q_id"), F.when(F.col("p_size") % 5 == 0, filters.UNCHANGED[0]).otherwise(F.col("p_name")).alias("title"), F.when(F.col("p_size") % 7 == 0, -1).otherwise(1).alias("mode")
+    )
+    answers = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("q_id"), F.when(F.col("l_returnflag") == "N", "0").otherwise("1").alias("value"))
+    volumes = spark.createDataFrame([("1", 100, 9000)], "volume string, first_entry_id long, last_entry_id long")
+    configured = filters.in_configured_range(table(spark, sf_dir, "orders").select(F.lit("1").alias("volume"), key.alias("id")), volumes)
     packs = {
         "header": (docs, [("too_many_lines", F.size(F.split("text", "\n")) <= 40), ("running_header", (F.length(first) <= 18) | F.contains(first, F.lit(" ")))]),
-        "range": (table(spark, sf_dir, "orders"), [("below", key >= 100), ("above", key <= 9000)]),
-        "query": (turns, [("empty", F.length(F.trim(text)) > 0), ("too_long", F.length(text) <= 1000), ("too_many_phrases", commas < 20)]),
-        "segment": (
-            turns.withColumn("total", total),
-            [("bad_index", F.col("turn") >= 0), ("bad_text", F.length(text).between(1, 4000)), ("total_too_long", F.col("total") <= 5000)],
-        ),
+        "query": (asked, filters.query_rules(["symptoms"])),
+        "segment": (segments, filters.segment_rules(["conv_id"])),
+        "answer": (filters.given_answers(answers, bank), []),
+        "configured": (configured, [("outside", F.col("in_range"))]),
         "history": (table(spark, sf_dir, "events"), [("not_shown", F.col("event_type") == "purchase")]),
     }
     out = None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.entries import BODY, FIELDS
 from ..operators.quality import contiguous, digest
 
 #: The schema of a recognised page, and the version that readers accept.
@@ -54,10 +55,39 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def entry_text(fields: Column, status: Column, notice: str = "［本条原页缺失］") -> Column:
-    """An entry as text: 【label】value lines, or a notice where its page is missing."""
-    lines = F.transform(F.array_sort(F.map_entries(fields)), lambda e: F.concat(F.lit("【"), e["key"], F.lit("】"), e["value"]))
-    return F.when(F.coalesce(status, F.lit("complete")) == "complete", F.array_join(lines, "\n")).otherwise(F.lit(notice))
+#: What stands in place of text that a missing page took along.
+NOTICES = {
+    "source_page_missing": "【资料状态】原始扫描缺页，正文尚待其他可靠版本补全；当前记录不得进入RAG。",
+    "partial_source_page_missing": "【资料状态】原始扫描前页缺失，仅保留可见的后半段；当前记录不得进入RAG。",
+}
+
+
+def entry_text(entry_id: Column, name: Column, fields: Column, status: Column, book_pages: Column) -> Column:
+    """An entry as text: its header, a notice where a page is missing, 【label】value lines in
+    the order of the labels, and its pages."""
+    rank = F.create_map(*(F.lit(x) for i, f in enumerate((BODY, *FIELDS)) for x in (f, i)))
+    placed = F.array_sort(F.transform(F.map_entries(fields), lambda e: F.struct(F.coalesce(F.element_at(rank, e["key"]), F.lit(99)).alias("place"), e["key"].alias("key"), e["value"].alias("value"))))
+    lines = F.transform(placed, lambda e: F.concat(F.lit("【"), e["key"], F.lit("】"), e["value"]))
+    notice = F.element_at(F.create_map(*(F.lit(x) for kv in NOTICES.items() for x in kv)), F.coalesce(status, F.lit("complete")))
+    pages = F.concat(F.lit("【页码】"), F.array_join(book_pages.cast("array<string>"), ","))
+    return F.array_join(F.concat(F.array(F.concat_ws(" ", entry_id, name)), F.array_compact(F.array(notice)), lines, F.array(pages)), "\n")
+
+
+def page_text(lines: DataFrame, group: list[str], first: int) -> DataFrame:
+    """(group, pdf_page, text): the lines of each page as read, under a banner that names
+    the page of the file and, from ``first`` on, of the book."""
+    number = F.lpad(F.col("pdf_page").cast("string"), 4, "0")
+    book = F.when(F.col("pdf_page") >= first, F.concat(F.lit(" / BOOK_PAGE "), (F.col("pdf_page") - (first - 1)).cast("string")))
+    banner = F.concat(F.lit("===== PDF_PAGE "), number, F.coalesce(book, F.lit("")), F.lit(" ====="))
+    ordered = F.array_sort(F.collect_list(F.struct("region_index", "line_index", "text")))
+    pages = lines.groupBy(*group, "pdf_page").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("said"))
+    return pages.select(*group, "pdf_page", F.concat_ws("\n", banner, "said").alias("text"))
+
+
+def section_lines(lines: DataFrame, sections: DataFrame) -> DataFrame:
+    """Lines of pages inside a section's range (section, first, last), labelled with it; the
+    ranges are a table of a few rows."""
+    return lines.join(F.broadcast(sections), F.col("pdf_page").between(F.col("first"), F.col("last"))).drop("first", "last")
 
 
 def write_text(entries: DataFrame, path: str, volume: str = "volume") -> None:
@@ -65,19 +95,39 @@ def write_text(entries: DataFrame, path: str, volume: str = "volume") -> None:
     entries.select(volume, F.col("text").alias("value")).write.mode("overwrite").partitionBy(volume).text(path)
 
 
-def write_outputs(entries: DataFrame, path: str, low: float = 0.7) -> DataFrame:
-    """Entries, those to review and those in doubt from one cached pass, and a manifest
-    row for each output."""
-    kept = entries.persist()
-    outputs = {"entries": kept, "needs_review": kept.filter(F.size("flags") > 0), "low_confidence": kept.filter(F.col("confidence") < low)}
-    manifest = None
-    for name, df in outputs.items():
+def write_outputs(entries: DataFrame, lines: DataFrame, listing: DataFrame, path: str, low: float = 0.7) -> DataFrame:
+    """Entries, their listing, what needs review and the lines in doubt, and a manifest row
+    for each output.  Entries are computed once: the rest is read from what was written."""
+    spark = entries.sparkSession
+    entries.write.mode("overwrite").parquet(f"{path}/entries")
+    written = spark.read.parquet(f"{path}/entries")
+    others = {"toc": listing, "needs_review": written.filter(F.size("flags") > 0), "low_confidence": lines.filter(F.col("confidence") < low)}
+    for name, df in others.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
-        row = digest(df).select(F.lit(name).alias("output"), F.lit(SCHEMA_VERSION).alias("schema_version"), "n_rows", "digest")
+    manifest = None
+    for name in ("entries", *others):
+        row = digest(spark.read.parquet(f"{path}/{name}")).select(F.lit(name).alias("output"), F.lit(SCHEMA_VERSION).alias("schema_version"), "n_rows", "digest")
         manifest = row if manifest is None else manifest.unionByName(row)
     manifest.write.mode("overwrite").json(f"{path}/manifest")
-    kept.unpersist()
-    return entries.sparkSession.read.json(f"{path}/manifest")
+    return spark.read.json(f"{path}/manifest")
+
+
+def merge_corpus(volumes: list[DataFrame], path: str) -> dict[str, DataFrame]:
+    """Volumes (volume, id, name, flags, record_status, ...) as one corpus, the entries kept
+    out of it, those to review, names still in dispute, and a summary per volume."""
+    whole = merge_volumes(volumes)
+    whole.write.mode("overwrite").partitionBy("volume").parquet(f"{path}/corpus")
+    corpus = whole.sparkSession.read.parquet(f"{path}/corpus")
+    complete = F.coalesce(F.col("record_status"), F.lit("complete")) == "complete"
+    outputs = {
+        "exclusions": corpus.filter(~complete).select("volume", "id", "name", "record_status"),
+        "review": corpus.filter(F.size("flags") > 0).select("volume", "id", "name", "flags"),
+        "unresolved": corpus.filter(F.array_contains("flags", "name_differs_from_toc")).select("volume", "id", "name"),
+        "summary": corpus.groupBy("volume").agg(F.count("*").alias("entries"), F.count_if(complete).alias("complete"), F.count_if(~complete).alias("excluded"), F.count_if(F.size("flags") > 0).alias("flagged")),
+    }
+    for name, df in outputs.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    return {"corpus": corpus, **{name: corpus.sparkSession.read.parquet(f"{path}/{name}") for name in outputs}}
 
 
 def export_visits(visits: DataFrame, path: str, names: dict[str, str]) -> None:

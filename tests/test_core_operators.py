@@ -14,7 +14,7 @@ from scholia.operators import appendix, assembly, doses, joins, quality, records
 def test_rows_cluster_by_running_mean(spark):
     boxes = [(1, 0.0, 10.0, "b", 0.9), (1, 5.0, 0.0, "c", 0.8), (1, -5.0, 12.0, "a", 0.7), (1, 0.0, 60.0, "d", 0.6)]
     rows = assembly.cluster_rows(spark.createDataFrame(boxes, "page int, x double, y double, text string, confidence double"), ["page"]).orderBy("row").collect()
-    assert [(r.text, r.confidence, r.n_boxes) for r in rows] == [("abc", 0.7, 3), ("d", 0.6, 1)]
+    assert [(r.text, r.confidence, r.n_boxes) for r in rows] == [("a b c", 0.7, 3), ("d", 0.6, 1)]
 
 
 def test_ids_are_repaired_in_sequence(spark):

@@ -28,14 +28,37 @@ def test_reference_table_and_lines(spark, tmp_path):
     assert S.read_lines(spark, str(tmp_path / "lines"), "id int, name string").exceptAll(df).count() == 0
 
 
+ENTRY = "volume int, id string, name string, fields map<string,string>, record_status string, confidence double, flags array<string>, book_pages array<int>"
+
+
+def entries(spark):
+    rows = [(1, "1", "甲", {"功用": "b", "主治": "a", "方源": "c"}, None, 0.9, [], [3, 4]), (1, "2", "乙", {}, "source_page_missing", 0.5, ["low"], []), (2, "3", "丙", {"正文": "x"}, "complete", 0.9, ["name_differs_from_toc"], [9])]
+    return spark.createDataFrame(rows, ENTRY)
+
+
 def test_text_outputs_and_manifest(spark, tmp_path):
-    df = spark.createDataFrame([(1, "1", {"功用": "b", "主治": "a"}, None, 0.9, []), (1, "2", {}, "source_page_missing", 0.5, ["low"])], "volume int, id string, fields map<string,string>, status string, confidence double, flags array<string>")
-    text = df.withColumn("text", S.entry_text(F.col("fields"), F.col("status")))
-    assert sorted(r.text for r in text.collect()) == ["【主治】a\n【功用】b", "［本条原页缺失］"]
+    df = entries(spark)
+    text = df.withColumn("text", S.entry_text(*(F.col(c) for c in ("id", "name", "fields", "record_status", "book_pages"))))
+    assert [r.text for r in text.orderBy("id").collect()] == ["1 甲\n【方源】c\n【功用】b\n【主治】a\n【页码】3,4", "2 乙\n" + S.NOTICES["source_page_missing"] + "\n【页码】", "3 丙\n【正文】x\n【页码】9"]
     S.write_text(text, str(tmp_path / "text"))
-    assert spark.read.text(str(tmp_path / "text")).count() == 3
-    manifest = {r.output: r.n_rows for r in S.write_outputs(df.drop("fields"), str(tmp_path / "out")).collect()}
-    assert manifest == {"entries": 2, "needs_review": 1, "low_confidence": 1}
+    assert spark.read.text(str(tmp_path / "text")).count() == 11
+    lines = spark.createDataFrame([(0.9,), (0.6,), (0.5,)], "confidence double")
+    manifest = {r.output: r.n_rows for r in S.write_outputs(df.drop("fields"), lines, spark.createDataFrame([("1", "甲")], "id string, name string"), str(tmp_path / "out")).collect()}
+    assert manifest == {"entries": 3, "toc": 1, "needs_review": 2, "low_confidence": 2}
+
+
+def test_pages_and_sections(spark):
+    lines = spark.createDataFrame([(7, 0, 1, "b"), (7, 0, 0, "a"), (2, 0, 0, "front")], "pdf_page int, region_index int, line_index int, text string").withColumn("volume", F.lit(1))
+    assert [r.text for r in S.page_text(lines, ["volume"], 5).orderBy("pdf_page").collect()] == ["===== PDF_PAGE 0002 =====\nfront", "===== PDF_PAGE 0007 / BOOK_PAGE 3 =====\na\nb"]
+    sections = spark.createDataFrame([("measures", 1, 3), ("books", 8, 9)], "section string, first int, last int")
+    assert [(r.text, r.section) for r in S.section_lines(lines, sections).collect()] == [("front", "measures")]
+
+
+def test_volumes_merge_with_exclusions_and_disputes(spark, tmp_path):
+    df = entries(spark)
+    out = S.merge_corpus([df.filter("volume = 1"), df.filter("volume = 2").drop("confidence")], str(tmp_path / "merged"))
+    assert out["corpus"].count() == 3 and [r.id for r in out["exclusions"].collect()] == ["2"] and [r.id for r in out["unresolved"].collect()] == ["3"]
+    assert sorted((r.volume, r.entries, r.excluded, r.flagged) for r in out["summary"].collect()) == [(1, 2, 1, 1), (2, 1, 0, 1)]
 
 
 def test_export_and_merge(spark, tmp_path):
