@@ -27,8 +27,9 @@ less than its target is taken whole.
 Edge cases: null texts count as empty and have no tokens; labels that are null, or
 of ids without a document, teach nothing; an id with several labels counts with
 each; without labels all posteriors follow the weights and rates stay at
-``max_rate``; null ids share one fixed draw; repeated rows are drawn alike; an
-empty table gives none; existing columns with an output's name are replaced.
+``max_rate``; null ids share one fixed draw; repeated rows and equal rates are drawn by
+their ids, alike; a very long text is one document with its whole tokens; an empty table
+gives none; existing columns with an output's name are replaced.
 """
 
 from __future__ import annotations

@@ -219,18 +219,16 @@ def links(nodes: DataFrame, radius: int, columns: list[str], limit: int | None =
     names = ["tree", "leaf", "node", *columns]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
-        for at in range(0, table.num_rows, 100_000):
-            part = table.slice(at, 100_000).combine_chunks().to_batches()[0]
+        for part in batches:
             values = [part.column(c).to_numpy().view(np.uint64) for c in columns]
             for number, (view, mask, tree) in enumerate(trees.value):
-                for leaf_no, where in route(values[view], tree, mask, 1):
-                    n, taken = len(where), pa.array(where)
-                    place = [pa.array(np.full(n, number, np.int32)), pa.array(np.full(n, leaf_no, np.int32))]
-                    yield pa.RecordBatch.from_arrays([*place, *(part.column(c).take(taken) for c in ("node", *columns))], names)
+                found = list(route(values[view], tree, mask, 1))
+                if not found:
+                    continue
+                leaves = np.repeat(np.array([leaf_no for leaf_no, _ in found], np.int32), [len(where) for _, where in found])
+                taken = pa.array(np.concatenate([where for _, where in found]))
+                place = [pa.array(np.full(len(leaves), number, np.int32)), pa.array(leaves)]
+                yield pa.RecordBatch.from_arrays([*place, *(part.column(c).take(taken) for c in ("node", *columns))], names)
 
     longs = ", ".join(f"`{c}` long" for c in ("node", *columns))
     routed = materialised(nodes.mapInArrow(deal, f"tree int, leaf int, {longs}"))

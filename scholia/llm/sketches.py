@@ -151,19 +151,20 @@ def with_successor(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     n = 4 * parts
     edges = sorted(set(docs.select(F.col("id").cast("double").alias("id")).stat.approxQuantile("id", [i / n for i in range(1, n)], 1 / (2 * n)))) if n > 1 else []
-    # bucket 0 holds the largest ids; null ids come after all
+    # bucket 0 holds the largest ids; null ids come after all, dealt by their texts' hashes
     below = F.array(*(F.lit(e) for e in edges)) if edges else F.array().cast("array<double>")
-    bucket = F.when(F.col("id").isNull(), F.lit(len(edges) + 1)).otherwise(F.size(F.filter(below, lambda e: e > F.col("id"))))
-    docs = docs.withColumn("bucket", bucket)
-    order = [F.desc_nulls_last("id"), F.xxhash64("text"), "text"]
-    heads = docs.groupBy("bucket").agg(F.max("id").alias("head"))  # one row per bucket
+    share = F.least(F.lit(n - 1), F.floor((F.col("h").cast("double") + 2.0**63) / 2.0**64 * n))
+    bucket = F.when(F.col("id").isNull(), len(edges) + 1 + share).otherwise(F.size(F.filter(below, lambda e: e > F.col("id"))))
+    docs = docs.withColumn("h", F.xxhash64("text")).withColumn("bucket", bucket.cast("int"))
+    order = [F.desc_nulls_last("id"), F.col("h"), F.col("text")]
+    heads = docs.groupBy("bucket").agg(F.min(F.struct((-F.col("id")).alias("i"), "h")).alias("head"))  # one row per bucket
     ring = Window.orderBy("bucket")
     following = heads.select(
         F.col("bucket").alias("host"), F.coalesce(F.lead("bucket").over(ring), F.first("bucket").over(ring)).alias("bucket"),
     ).join(heads, "bucket")
-    guests = docs.join(F.broadcast(following), "bucket").filter(F.col("id").eqNullSafe(F.col("head")))
-    rows = docs.select("bucket", F.lit(False).alias("guest"), "id", "text").union(guests.select(F.col("host"), F.lit(True), "id", "text"))
-    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", *order)
+    guests = docs.join(F.broadcast(following), "bucket").filter((-F.col("id")).eqNullSafe(F.col("head.i")) & (F.col("h") == F.col("head.h")))
+    rows = docs.select("bucket", F.lit(False).alias("guest"), "id", "text", "h").union(guests.select(F.col("host"), F.lit(True), "id", "text", "h"))
+    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", *order).drop("h")
 
 
 def compare_with_edit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

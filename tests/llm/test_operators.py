@@ -426,6 +426,27 @@ def test_toxic_words_are_learned_from_positives_alone(spark):
     assert (known[held & toxic].score >= 0.7).mean() > 0.9 and (known[held & ~toxic].score >= 0.7).mean() < 0.05
 
 
+def test_fit_lowers_the_non_negative_risk():
+    rng = np.random.default_rng(8)
+    x = (rng.random((240, 6)) < 0.3).astype(np.float32)
+    positive = np.arange(240) < 60
+    x[positive, 0] = rng.random(60) < 0.9
+    prior = 0.2
+
+    def risk(theta):
+        """The non-negative estimator, sample by sample."""
+        loss = lambda row, sign: math.log1p(math.exp(-sign * (row @ theta[:-1] + theta[-1])))
+        right = prior * np.mean([loss(r, 1) for r in x[positive]])
+        wrong = np.mean([loss(r, -1) for r in x[~positive]]) - prior * np.mean([loss(r, -1) for r in x[positive]])
+        return right + max(0.0, wrong)
+
+    weights, bias = toxicity.fit_nnpu(x, positive, prior, steps=600, rate=0.05, ridge=0.0)
+    least = risk(np.append(weights, bias))
+    assert least < risk(np.zeros(7)) - 0.05 and weights[0] > max(weights[1:])
+    nearby = [least - risk(np.append(weights, bias) + step) for step in rng.normal(0, 0.05, (60, 7))]
+    assert max(nearby) < 2e-3  # no step around leads further down
+
+
 def test_toxicity_without_positives_or_rows(spark):
     df = documents(spark, ["a", "", None])
     none = toxicity.fit(df, spark.createDataFrame([(0, 0)], "doc_id long, toxic int"), F.lit(True))
@@ -518,4 +539,10 @@ def test_pipeline_stages(spark, tmp_path):
     assert all("shared30 passage" not in (r.text or "") for r in cut) and len(cut) == len(kept)
     out = P.run(spark, str(tmp_path)).toPandas()
     assert out.round_trip.all() and not set(range(300, 310)) & set(out.doc_id.dropna()) and {0, 1, 2, 3} <= set(out.doc_id.dropna())
+    # an extra column passes through four stages; an empty table through all five
+    extra = docs.limit(5).withColumn("copies", F.lit("clash")).withColumn("p", F.lit(1.0))
+    for name, stage in P.STAGES[:-1]:
+        assert stage(spark, extra, str(tmp_path)).columns == extra.columns, name
+    for name, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
     assert isinstance(out, pd.DataFrame) and out.n_tokens.map(lambda n: n >= 0).all()
