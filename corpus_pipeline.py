@@ -4,9 +4,10 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each
 stage's rows as Parquet in the shared folder and reads them back for the next.
 All stages but the last return the columns of ``documents``.
 
-Null texts count as empty and are kept; extra columns pass through the first four
-stages; null ids are scored, deduplicated by text and never learned from; an empty
-table runs through to an empty result.
+Null texts count as empty and are kept; extra columns, whatever their names, pass
+through the first four stages; null ids are scored, deduplicated by text and never learned
+from; equal rows and equal texts leave one row, that with the smallest id; very long texts
+go through every stage whole; an empty table runs through to an empty result.
 """
 
 from __future__ import annotations
