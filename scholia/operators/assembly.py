@@ -102,13 +102,19 @@ def lines_of(pages: DataFrame, first: int | None = None, last: int | None = None
     return lines.select("pdf_page", "book_page", "layout", F.col("name").alias("region"), "crop", "region_index", "line_index", "line.text", "line.confidence", "line.box")
 
 
-def drop_running_headers(lines: DataFrame, header: str = r"^[0-9]{5}") -> DataFrame:
-    """Lines without those at the very top of a two-column page that look like a header."""
+#: Fixed value: signs that running headers are made of.
+HEADER_SIGNS = r"^[0-9A-Za-z/=<>@()（）\s一二三四五六七八九十画总页第上下入大万寸山干土千川久卫小飞马儿元刀回国了]+$"
+
+
+def drop_running_headers(lines: DataFrame, header: str = r"^\s*[0-9OoIl]{5}\s*([^\d].*?)?\s*$") -> DataFrame:
+    """Lines, their blanks normalised and empty ones left out, without those at the very top
+    of a two-column page that look like a running header and are not an entry's."""
     top = F.array_min(F.transform("box", lambda p: F.get(p, 1)))
     at_top = (F.col("layout") == "two_column") & (top <= F.get("crop", F.lit(1)) + 2.1)
     text = F.col("text")
-    banner = F.contains(text, F.lit("总")) | F.rlike(text, F.lit(r"^[\s\d·.一二三四五六七八九十画页]{1,18}$"))
-    return lines.filter(~F.coalesce(at_top & ~F.rlike(text, F.lit(header)) & banner, F.lit(False)))
+    banner = F.contains(text, F.lit("总")) | ((F.length(text) <= 18) & F.rlike(text, F.lit(HEADER_SIGNS)))
+    kept = lines.withColumn("text", X.normalize_space(text)).filter("text <> ''")
+    return kept.filter(~F.coalesce(at_top & ~F.rlike(text, F.lit(header)) & banner, F.lit(False)))
 
 
 def corrected(entries: DataFrame, fixes: DataFrame, id_col: str = "id", value: str = "text") -> DataFrame:

@@ -239,3 +239,26 @@ def cover(candidates: DataFrame, per_prototype: int, target: int) -> DataFrame:
         return pd.DataFrame(chosen, columns=["id", "reason", "quality"])
 
     return pool.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(choose, "id long, reason string, quality double")
+
+
+#: Characters that a result shows of each field; how its source is named.
+SHOWN = {"方源": 600, "组成": 2500, "用法": 1500, "功用": 2000, "主治": 4000, "加减": 3000, "宜忌": 1500, "正文及其他": 2500}
+DICTIONARY = "《中医方剂大辞典》"
+
+
+def shown_fields(fields: Column, full: bool = False, limits: dict[str, int] = SHOWN) -> tuple[Column, Column]:
+    """Fields that are not blank, cut to their limits, and the labels of those cut; all of
+    them whole where ``full``."""
+    there = F.map_filter(fields, lambda k, v: F.coalesce(v, F.lit("")) != "")
+    if full:
+        return there, F.array().cast("array<string>")
+    most = lambda k: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in limits.items() for x in kv)), k), F.lit(2**31 - 1))
+    cut = F.transform_values(there, lambda k, v: F.when(F.length(v) > most(k), F.concat(F.rtrim(F.substring(v, F.lit(1), most(k))), F.lit("……"))).otherwise(v))
+    return cut, F.filter(F.array(*map(F.lit, limits)), lambda k: F.coalesce(F.length(F.element_at(there, k)) > most(k), F.lit(False)))
+
+
+def citation(volume: Column, pdf_pages: Column, book_pages: Column) -> Column:
+    """Volume and pages as a sentence, parts that are not known left out."""
+    pages = lambda mark, p: F.when(F.size(p) > 0, F.concat(F.lit(mark), F.array_join(p.cast("array<string>"), "、"), F.lit("页")))
+    book = F.when(F.coalesce(volume, F.lit(0)) != 0, F.concat(F.lit(DICTIONARY + "第"), volume.cast("string"), F.lit("册"))).otherwise(F.lit(DICTIONARY))
+    return F.concat_ws("，", book, pages("PDF第", pdf_pages), pages("书内第", book_pages))

@@ -70,3 +70,23 @@ def outline_rows(lines: DataFrame, doc: str = "doc_id", place: str = "line_no",
     parent = F.when(F.col("level") > 0, F.greatest(*(F.when(F.col("level") > i, F.col(f"__p{i}")) for i in range(4))))
     title = F.trim(F.regexp_replace(F.regexp_replace(F.col(text), r"[(（][^()（）]*[)）]", ""), r"^\s*([一二三四五六七八九十]+、|\d+(\.\d+)+)", ""))
     return numbered.select(doc, place, "level", parent.alias("parent"), title.alias("title"), X.annotations(F.col(text)).alias("marks"), X.options(F.col(text)).alias("options"))
+
+
+def between_exclusions(nodes: DataFrame, titles: tuple[str, ...]) -> DataFrame:
+    """(id, clear_ids): a "nothing of this" node (one of the titles) clears every id between
+    its parent's and its own, and each of those clears it.  ``nodes`` is (id, parent_id,
+    title); ids between two nodes are enumerated and met by equality."""
+    none = nodes.filter(F.col("title").isin(*titles) & (F.col("parent_id") < F.col("id") - 1))
+    inside = none.select(F.col("id").alias("none_id"), F.explode(F.sequence(F.col("parent_id") + 1, F.col("id") - 1)).alias("id"))
+    pairs = inside.join(nodes.select("id"), "id")
+    clears = pairs.groupBy(F.col("none_id").alias("id")).agg(F.array_sort(F.collect_list("id")).alias("clear_ids"))
+    cleared = pairs.groupBy("id").agg(F.array(F.max("none_id")).alias("clear_ids"))
+    return clears.unionByName(cleared.join(clears.select("id"), "id", "left_anti"))
+
+
+def sibling_exclusions(branches: DataFrame, parent: str, branch: str, key: str) -> DataFrame:
+    """``branches`` (parent, branch, id) with clear_ids: the ids of all other branches of the
+    same parent; a parent's options are few."""
+    whole = F.collect_list(F.struct(branch, key)).over(Window.partitionBy(parent))
+    others = F.transform(F.filter("__all", lambda x: x[branch] != F.col(branch)), lambda x: x[key])
+    return branches.withColumn("__all", whole).withColumn("clear_ids", F.array_sort(others)).drop("__all")

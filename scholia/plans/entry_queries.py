@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import appendix, entries
+from ..operators import appendix, coreset, entries, search, survey
+from ..sources import pages
+from .corpus_queries import labelled
 from .registry import query, table
 
 #: Labels as OCR gives them: known, spaced, aliases, slightly wrong, and no label at all.
@@ -243,3 +245,129 @@ def term_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = appendix.merged_terms(rows, ["major", "minor"], "o_orderkey", "ids", "pages")
     text = F.array_join(F.col("ids").cast("array<string>"), ",")
     return merged.select("major", "minor", F.col("n_ids").cast("long").alias("n_ids"), F.array_min("ids").alias("least"), F.size("pages").cast("long").alias("n_pages"), F.md5(text.cast("binary")).alias("ids"))
+
+
+@query("""
+WITH r AS (SELECT p_partkey, p_name || ' ' || CASE p_size % 5 WHEN 0 THEN '《方剂学》' WHEN 1 THEN '《中国药典》《甲乙》' WHEN 2 THEN '《甲乙》《丙丁》《甲乙》' ELSE '' END AS actions, CASE WHEN p_size % 2 = 0 THEN ' ' ELSE '忌' END AS cautions, CASE p_size % 3 WHEN 0 THEN '方论选录：' WHEN 1 THEN '临证举例：' ELSE '' END AS other FROM part)
+SELECT p_partkey, contains(actions, '方剂学')::INT AS textbook, contains(actions, '药典')::INT AS standard, CAST(len(list_distinct(regexp_extract_all(actions, '《([^》]{2,40})》', 1))) AS INTEGER) AS works,
+       contains(other, '方论')::INT AS commentary, (trim(cautions) <> '')::INT AS cautions, contains(other, '临证')::INT AS cases FROM r
+""")
+def core_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six facts that speak for a record's authority."""
+    size = F.col("p_size")
+    cited = F.when(size % 5 == 0, "《方剂学》").when(size % 5 == 1, "《中国药典》《甲乙》").when(size % 5 == 2, "《甲乙》《丙丁》《甲乙》").otherwise("")
+    other = F.when(size % 3 == 0, "方论选录：").when(size % 3 == 1, "临证举例：").otherwise("")
+    facts = coreset.authority(F.concat_ws(" ", "p_name", cited), F.lit(""), F.when(size % 2 == 0, " ").otherwise("忌"), other)
+    return table(spark, sf_dir, "part").select("p_partkey", facts.alias("f")).select("p_partkey", "f.*")
+
+
+_CORE = """
+WITH r AS (SELECT p_partkey AS id, p_name AS name, p_brand || ' ' || p_type AS source, p_size, p_retailprice, p_type, p_brand FROM part
+           WHERE p_size > 5 AND p_size % 9 > 0 AND NOT regexp_matches(p_brand, '9')),
+     x AS (SELECT p_name AS name, CASE WHEN length(p_name) % 3 = 0 THEN 'brand#1' ELSE '' END AS official, CASE WHEN length(p_name) % 3 < 2 THEN 'brand#2' ELSE '' END AS parent FROM (SELECT DISTINCT p_name FROM part)),
+     t AS (SELECT r.*, CASE WHEN official <> '' AND contains(lower(source), official) THEN 0 WHEN parent <> '' AND contains(lower(source), parent) THEN 1 WHEN official = '' AND parent = '' THEN 2 END AS tier FROM r JOIN x USING (name)),
+     c AS (SELECT * FROM t WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY name ORDER BY tier, (p_size > 20) DESC, length(CAST(id AS VARCHAR)), CAST(id AS VARCHAR) DESC) = 1)
+"""
+
+
+def core_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    size, name = F.col("p_size"), F.col("p_name")
+    fact = F.when(size % 9 > 0, name).otherwise(" ")
+    key = F.col("p_partkey").cast("string")
+    pages = F.array("p_size")
+    flags = F.when(size > 5, F.array().cast("array<string>")).otherwise(F.array(F.lit("low_confidence_line")))
+    source = F.concat_ws(" ", F.regexp_replace("p_brand", "9", "医院"), "p_type")
+    kept = part.filter(coreset.admitted([name, fact], F.lit(1), [pages, pages], flags, name, source))
+    quality = coreset.record_quality([name, F.when(size > 20, name)], [pages, pages], key)
+    records = kept.select(F.col("p_partkey").alias("id"), name.alias("name"), F.concat_ws(" ", "p_brand", "p_type").alias("source"), quality.alias("quality"), "p_size", "p_retailprice", "p_type", "p_brand")
+    third = F.length("p_name") % 3
+    expected = part.select(name.alias("name"), F.when(third == 0, "Brand#1").otherwise("").alias("official_source"), F.when(third < 2, "Brand#2").otherwise("").alias("parent_source")).distinct()
+    return coreset.chosen_records(records, expected)
+
+
+@query(_CORE + "SELECT id, name, tier = 0 AS official FROM c")
+def core_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record for each name, from the source that is expected."""
+    return core_candidates(spark, sf_dir).select("id", "name", "official")
+
+
+@query(_CORE + """,
+k AS (SELECT *, CASE WHEN tier = 0 THEN 0 WHEN p_size % 7 = 0 THEN 1 END AS held, [p_type, p_brand] AS ps, p_size % 4 AS authority, p_size AS score, 1 + (p_size > 20)::INT AS complete FROM c),
+rep AS (SELECT DISTINCT unnest(ps) AS p FROM k WHERE held IS NOT NULL),
+sd AS (SELECT p, id, ps FROM (SELECT id, ps, authority, score, complete, name, unnest(ps) AS p FROM k WHERE held IS NULL) WHERE p NOT IN (SELECT p FROM rep) QUALIFY row_number() OVER (PARTITION BY p ORDER BY authority DESC, score DESC, complete DESC, lower(name)) = 1),
+ty AS (SELECT id, ps FROM sd WHERE p NOT LIKE 'Brand%'),
+se AS (SELECT id FROM ty UNION SELECT id FROM sd WHERE p LIKE 'Brand%' AND p NOT IN (SELECT unnest(ps) FROM ty)),
+o AS (SELECT id, CASE WHEN held IS NOT NULL THEN held WHEN id IN (SELECT id FROM se) THEN 2 ELSE 3 END AS tier, authority, score, complete, name FROM k),
+z AS (SELECT id, tier, row_number() OVER (ORDER BY tier, CASE WHEN tier = 0 THEN id ELSE 0 END, authority DESC, score DESC, complete DESC, lower(name)) AS place FROM o WHERE tier <> 2)
+SELECT tier, count(*) AS n, coalesce(md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY place)), '') AS ids FROM z GROUP BY tier
+UNION ALL SELECT 2, count(*), md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id)) FROM o WHERE tier = 2 HAVING count(*) > 0
+""")
+def core_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which a core set fills up: official, parents, coverage, authority."""
+    rows = core_candidates(spark, sf_dir)
+    kinds = sorted(r[0] for r in table(spark, sf_dir, "part").select("p_type").distinct().collect())  # the ontology: types, then brands
+    brands = sorted(r[0] for r in table(spark, sf_dir, "part").select("p_brand").distinct().collect())
+    candidates = rows.select(
+        "id", "name", F.when(F.col("official"), F.col("id")).alias("official_place"), (F.col("p_size") % 7 == 0).alias("parent"), F.array("p_type", "p_brand").alias("prototypes"),
+        (F.col("p_size") % 4).alias("authority"), F.col("p_size").alias("score"), "quality",
+    )
+    filled = coreset.fill(candidates, [*kinds, *brands], 1_000_000)
+    tier = F.array_position(F.array(*map(F.lit, ("official", "parent", "coverage", "authority"))), F.col("reason")).cast("int") - 1
+    ordered = F.array_sort(F.collect_list(F.struct(F.when(tier == 2, F.col("id")).otherwise(F.col("place")).alias("p"), "id")))
+    gathered = filled.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"), ordered.alias("l"))
+    return gathered.select("tier", "n", F.md5(F.array_join(F.transform("l", lambda x: x["id"].cast("string")), ",").cast("binary")).alias("ids"))
+
+
+@query("""
+SELECT doc_id, md5(CASE WHEN length(text) > 600 THEN rtrim(substr(text, 1, 600)) || '……' ELSE text END) AS shown, CASE WHEN length(text) > 600 THEN '方源' ELSE '' END AS cut, md5(text) AS whole,
+       '《中医方剂大辞典》' || CASE WHEN n_chars % 3 > 0 THEN '第' || n_chars % 3 || '册' ELSE '' END || CASE WHEN n_chars % 2 = 0 THEN '，PDF第' || n_chars || '、1页' ELSE '' END || '，书内第2页' AS citation
+FROM documents WHERE text <> ''
+""")
+def shown_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results as they are shown: fields cut to their limits, labels of those, citation."""
+    n = F.col("n_chars")
+    fields = F.create_map(F.lit("方源"), F.col("text"), F.lit("功用"), F.col("lang"), F.lit("主治"), F.lit(""))
+    cut, labels = search.shown_fields(fields)
+    whole, _ = search.shown_fields(fields, full=True)
+    pages = F.when(n % 2 == 0, F.array(n, F.lit(1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    md5 = lambda m: F.md5(F.element_at(m, F.lit("方源")).cast("binary"))
+    return table(spark, sf_dir, "documents").filter("text <> ''").select(
+        "doc_id", md5(cut).alias("shown"), F.array_join(labels, ",").alias("cut"), md5(whole).alias("whole"), search.citation(n % 3, pages, F.array(F.lit(2))).alias("citation")
+    )
+
+
+@query("""
+WITH e AS (SELECT doc_id, source, n_chars, CASE WHEN toxic = 1 THEN 'source_page_missing' WHEN quality = 0 THEN 'partial_source_page_missing' ELSE 'complete' END AS status FROM documents LEFT JOIN labels USING (doc_id))
+SELECT 'status ' || status AS fact, count(*) AS n FROM e WHERE status <> 'complete' GROUP BY status
+UNION ALL SELECT 'blank pages', count(*) FROM (SELECT DISTINCT source, unnest([n_chars % 40, n_chars % 7]) FROM e WHERE status = 'source_page_missing')
+""")
+def exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries kept out of the corpus by status, and the blank pages behind them."""
+    status = F.when(F.col("toxic") == 1, "source_page_missing").when(F.col("quality") == 0, "partial_source_page_missing").otherwise("complete")
+    rows = labelled(spark, sf_dir).select(F.col("source").alias("volume"), status.alias("record_status"), F.array(F.col("n_chars") % 40, F.col("n_chars") % 7).alias("pdf_pages"))
+    by_status, blank = pages.excluded(rows)
+    counted = blank.agg(F.count("*").alias("n")).select(F.lit("blank pages").alias("fact"), "n")
+    return by_status.select(F.concat(F.lit("status "), F.col("record_status")).alias("fact"), "n").unionByName(counted)
+
+
+@query("""
+WITH n AS (SELECT n_nationkey + 1 AS id, n_regionkey * 5 AS parent_id, n_nationkey % 6 = 5 AS none FROM nation),
+     p AS (SELECT a.id AS none_id, b.id FROM n a JOIN n b ON b.id > a.parent_id AND b.id < a.id WHERE a.none),
+     c AS (SELECT none_id AS id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS clear_ids FROM p GROUP BY none_id)
+SELECT * FROM c UNION ALL SELECT id, CAST(max(none_id) AS VARCHAR) FROM p WHERE id NOT IN (SELECT id FROM c) GROUP BY id
+""")
+def exclusion_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options that a "nothing of this" option clears, and that clear it."""
+    title = F.when(F.col("n_nationkey") % 6 == 5, "没有变化").otherwise(F.col("n_name"))
+    nodes = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).alias("id"), (F.col("n_regionkey") * 5).alias("parent_id"), title.alias("title"))
+    return survey.between_exclusions(nodes, ("没有变化",)).select("id", F.array_join(F.col("clear_ids").cast("array<string>"), ",").alias("clear_ids"))
+
+
+@query("""
+SELECT a.n_nationkey AS id, coalesce((SELECT string_agg(CAST(b.n_nationkey AS VARCHAR), ',' ORDER BY b.n_nationkey) FROM nation b WHERE b.n_regionkey = a.n_regionkey AND b.n_nationkey % 3 <> a.n_nationkey % 3), '') AS clear_ids FROM nation a
+""")
+def exclusion_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options of all other branches below the same parent."""
+    rows = table(spark, sf_dir, "nation").select("n_regionkey", (F.col("n_nationkey") % 3).alias("branch"), F.col("n_nationkey").alias("id"))
+    return survey.sibling_exclusions(rows, "n_regionkey", "branch", "id").select("id", F.array_join(F.col("clear_ids").cast("array<string>"), ",").alias("clear_ids"))

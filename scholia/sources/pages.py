@@ -30,6 +30,26 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+#: Schemas of the symptom index and of the event streams.
+SYMPTOMS = "term string, category struct<major:string,minor:string>, entry_ids array<string>, source struct<volume:int,pdf_pages:array<int>,book_pages:array<int>>"
+ACTIONS = "encounter string, at long, version long, action string, data string, ts timestamp"
+CHUNKS = "recording string, at long, index int, duration_ms int, checksum string, ts timestamp"
+SNAPSHOTS = "recording string, at long, sequence long, closed boolean, recover boolean, body string, ts timestamp"
+
+
+def read_symptoms(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(terms, links) of a symptom index: a term's id is a hash of where it stands, so that
+    it is the same on every run."""
+    rows = read_lines(spark, path, SYMPTOMS).withColumn("term_id", F.xxhash64("category.major", "category.minor", "term"))
+    terms = rows.select("term_id", "term", "category.major", "category.minor", "source.book_pages")
+    return terms, rows.select("term_id", F.explode(F.array_distinct("entry_ids")).alias("id"))
+
+
+def stream(spark: SparkSession, path: str, schema: str, files: int = 100) -> DataFrame:
+    """A stream over JSON files of events, at most so many files to a batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(path)
+
+
 def read_jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int = 32) -> DataFrame:
     """A database table read in ranges of its key."""
     return spark.read.jdbc(url, name, column=key, lowerBound=low, upperBound=high, numPartitions=parts)
@@ -150,3 +170,11 @@ def compatible(meta: DataFrame, corpus_digest: str, least: int = 300, most: int
         F.col("n_rows").between(least, most).alias("size_ok"),
         (F.col("corpus_digest") == corpus_digest).alias("corpus_ok"),
     )
+
+
+def excluded(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(status, n) of entries kept out of the corpus, and the (volume, page) that are blank,
+    each once."""
+    out = entries.filter(F.coalesce("record_status", F.lit("complete")) != "complete")
+    blank = out.filter("record_status = 'source_page_missing'").select("volume", F.explode("pdf_pages").alias("page")).distinct()
+    return out.groupBy("record_status").agg(F.count("*").alias("n")), blank
