@@ -118,23 +118,17 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches, "text"):
-            sets = [_set_of(t, words).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "hashes"])
+            sets = [_set_of(t, words).view(np.int64) for t in batch.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)])
+            arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), arrays], ["node", "hashes"])
 
     one_each = texts.select("th", "text").join(wanted, "th").dropDuplicates(["node"])
-    sets = materialised(one_each.select("node", "text").mapInArrow(hashed, "node long, hashes binary"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append((DEN + NUM) * both >= NUM * (len(x) + len(y)))
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
+    sets = materialised(one_each.select("node", "text").mapInArrow(hashed, "node long, hashes array<long>"))
     left, right = (sets.select(F.col("node").alias(p), F.col("hashes").alias(h)) for p, h in (("a", "x"), ("b", "y")))
-    return materialised(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
+    # pairs stream past one by one: long texts never gather in a batch
+    enough = (DEN + NUM) * F.size(F.array_intersect("x", "y")) >= NUM * (F.size("x") + F.size("y"))
+    return materialised(pairs.join(left, "a").join(right, "b").filter(enough).select("a", "b"))
 
 
 def groups(df: DataFrame, words: int, views: int, radius: int, limit: int) -> DataFrame:
