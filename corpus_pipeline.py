@@ -25,7 +25,7 @@ TOXIC = 0.7
 #: Words of a shingle; views of 64 bits; differing bits up to which documents are proposed
 #: as near copies, in one view and over all.  What links them is verified: a Jaccard index
 #: of near_copies.NUM / near_copies.DEN.
-SHINGLE, VIEWS, RADIUS, LIMIT = 5, 2, 7, 26
+SHINGLE, VIEWS, RADIUS, LIMIT = 5, 2, 3, 26
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
