@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from scholia.operators import coreset
+from scholia.operators import entries as entries_module
 from scholia.sources import pages as S
 
 
@@ -67,3 +69,28 @@ def test_export_and_merge(spark, tmp_path):
     assert merged.count() == 2 and merged.filter("name is null").count() == 1
     S.export_visits(a, str(tmp_path / "csv"), {"name": "姓名"})
     assert spark.read.csv(str(tmp_path / "csv"), header=True).columns == ["姓名"]
+
+
+def test_symptom_index_and_event_streams(spark, tmp_path):
+    (tmp_path / "s.jsonl").write_text(
+        '{"term": "头痛", "category": {"major": "一", "minor": "（一）"}, "entry_ids": ["1", "2", "1"], "source": {"volume": 11, "pdf_pages": [3], "book_pages": [1]}}\n'
+        '{"term": "头痛", "category": {"major": "二", "minor": "（一）"}, "entry_ids": []}\n'
+    )
+    terms, links = S.read_symptoms(spark, str(tmp_path / "s.jsonl"))
+    assert terms.count() == 2 and terms.select("term_id").distinct().count() == 2
+    assert sorted(r.id for r in links.collect()) == ["1", "2"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"recording": "r", "at": 1, "index": 0, "duration_ms": 10000, "checksum": "c", "ts": "2024-01-01T00:00:00Z"}\n')
+    out = S.stream(spark, str(tmp_path / "in"), S.CHUNKS)
+    run = out.writeStream.format("memory").queryName("chunks").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert [(r.recording, r["index"]) for r in spark.table("chunks").collect()] == [("r", 0)]
+
+
+def test_status_of_index_and_core(spark):
+    index = entries_module.index_metadata(spark.createDataFrame([("1", True), ("2", False)], "id string, ok boolean"), "1", F.lit("2024-01-01"), F.col("ok"))
+    row = index.first()
+    assert (row.total, row.indexed, row.excluded, row.schema_version) == (2, 1, 1, "1")
+    chosen = spark.createDataFrame([(str(i), str(i), ["a"]) for i in range(3)], "id string, name string, prototypes array<string>")
+    core = entries_module.core_ready(chosen, ["a"], row.digest, row.digest, least=3)
+    assert coreset.status(index, core).first().ready and not entries_module.core_ready(chosen, ["b"], "x", "y", least=3).first().ready
