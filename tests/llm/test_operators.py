@@ -485,7 +485,7 @@ def test_mixture_without_labels_or_rows(spark):
     assert mixing.mix(documents(spark, []), labels, {"0": 0.5, "1": 0.5}).count() == 0
 
 
-@pytest.mark.parametrize("domains, blur", [(2, 0.4), (3, 1.0), (5, 0.6), (3, 50.0)])
+@pytest.mark.parametrize("domains, blur", [(2, 0.4), (3, 1.0), (5, 50.0)])
 def test_overlapping_domains_settle_at_the_least_squares(spark, domains, blur):
     rng = np.random.default_rng(domains)
     p = rng.dirichlet(np.full(domains, blur), 300)
