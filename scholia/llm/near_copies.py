@@ -112,6 +112,19 @@ def _possible(a: str, b: str) -> Column:
     return (DEN + NUM) * F.least(n - i, m - j) >= NUM * (n + m)
 
 
+def _likely(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs of the nodes in columns ``a`` and ``b`` (packed places in ``a_at``, ``b_at``), a
+    row for each prefix shingle that they share, that share enough of them.
+
+    Of two prefixes the one that ends first hides at most its set's rest, so what two sets
+    have in common is at most the shared prefix shingles and that rest."""
+    size = lambda c: F.shiftright(F.col(c), 32)
+    rest = lambda c: F.floor((size(c) * NUM + DEN - 1) / DEN) - 1
+    marked = rows.select(F.col(a).alias("a"), F.col(b).alias("b"), _possible("a_at", "b_at").alias("may"), F.greatest(rest("a_at"), rest("b_at")).alias("rest"), (size("a_at") + size("b_at")).alias("sizes"))
+    counted = marked.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("may").alias("may"), F.max("rest").alias("rest"), F.max("sizes").alias("sizes"))
+    return counted.filter(F.col("may") & ((DEN + NUM) * (F.col("shared") + F.col("rest")) >= NUM * F.col("sizes"))).select("a", "b")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "th"), "node")
@@ -144,7 +157,8 @@ def groups(df: DataFrame, words: int, views: int, radius: int, limit: int) -> Da
     shared = placed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key")
     common = materialised(placed.join(shared, "key"))
     met = common.join(common.groupBy("key").agg(F.min(F.struct("node", "at")).alias("start")), "key")
-    star = met.filter((F.col("node") != F.col("start.node")) & _possible("at", "start.at")).select(F.col("start.node").alias("a"), F.col("node").alias("b"))
+    # pairs with a shingle's first node; one that shares others too may be missed here
+    star = _likely(met.filter(F.col("node") != F.col("start.node")).select(F.col("start.node").alias("a"), F.col("start.at").alias("a_at"), F.col("node").alias("b"), F.col("at").alias("b_at")), "a", "b")
     proposed = simhash.links(nodes, radius, names, limit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tried = materialised(star.unionByName(proposed).distinct())
     edges = verified(tried, nodes, texts, words)
@@ -158,7 +172,7 @@ def groups(df: DataFrame, words: int, views: int, radius: int, limit: int) -> Da
     side = lambda p: open_rows.select("key", "i", "j", *(F.col(c).alias(f"{c}_{p}") for c in ("own", "node", "at", "root")))
     both = side("l").join(side("r"), ["key", "i", "j"])
     both = both.filter((F.col("node_l") < F.col("node_r")) & (F.col("root_l") != F.col("root_r")) & ((F.col("i") == F.col("j")) | (F.col("own_l") != F.col("own_r"))))
-    more = both.filter(_possible("at_l", "at_r")).select(F.col("node_l").alias("a"), F.col("node_r").alias("b")).distinct()
+    more = _likely(both.withColumnsRenamed({"at_l": "a_at", "at_r": "b_at"}), "node_l", "node_r")
     more = materialised(more.join(tried, ["a", "b"], "left_anti"))
     edges = edges.unionByName(verified(more, nodes, texts, words))
     roots = connected_components(edges).select("node", "root")
