@@ -64,11 +64,9 @@ def ontology_coverage(groups: list[tuple[Column, float]], ontology: Column) -> C
 
 
 def route(profiles: DataFrame, prototypes: DataFrame, treatments: str = "treatments", mechanisms: str = "mechanisms") -> DataFrame:
-    """(query, prototype, position, matched_treatments, matched_mechanisms): the best three
-    prototypes of each profile.
-
-    Synonyms of one treatment count once, by the best of them; each treatment that a
-    prototype covers adds three points."""
+    """(query, prototype, position, matched_treatments, matched_mechanisms) of the ROUTES
+    prototypes that score best for each profile: their best treatment term, three points
+    for every treatment of the profile that they answer, and their best mechanism term."""
     pairs = profiles.join(F.broadcast(prototypes.select("prototype", "treatment_terms", "mechanism_terms")))
     said = F.array_join(treatments, "；"), F.array_join(mechanisms, "；")
     hits = lambda terms, text: F.filter(terms, lambda t: X.phrase_similarity(t, text) >= HIT)
