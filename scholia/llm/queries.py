@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, edit_counts, mixing, ngram_lm, quality, repeats, simhash, sketches, token_files, toxicity
+from . import bpe, conversation_repair, edit_counts, filter_audit, mixing, ngram_lm, quality, quality_classifier, repeats, simhash, sketches, token_files, toxicity
 from .common import documents, fold, text_or_empty
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -105,6 +105,44 @@ def op10_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    model = quality_classifier.fit(docs, labels, fold("doc_id", 5) != 0)
+    return quality_classifier.score(docs, model).select(
+        "doc_id",
+        (fold("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = text_or_empty("text")
+    words = quality.words_of(text)
+    without = lambda signs: F.length(F.translate(text, signs, ""))
+    filters = {
+        "A": F.size(words) < 50,
+        "B": 100 * F.size(F.array_distinct(words)) < 65 * F.size(words),
+        "C": 100 * (F.length(text) - without("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).cast("long") > 5 * F.length(text).cast("long"),
+        "D": F.length(text) > without("#$%&*|"),
+    }
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return filter_audit.audit(documents(spark, sf_dir), labels, filters, twin="E")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows are damaged first, by a checksum of their ids."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fate = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    marked = rows.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), fate.alias("fate"))
+    text = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    times = F.explode(F.when(F.col("fate") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    damaged = marked.select("conv_id", "turn", F.when(F.col("fate") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), (F.col("fate") != 0).alias("present"), times.alias("time"))
+    return conversation_repair.repair(damaged, present=F.col("present"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_encode_decode": op1_bpe_encode_decode,
@@ -117,8 +155,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_soft_mixing": op8_soft_mixing,
         "op9_repeated_bytes": op9_repeated_bytes,
         "op10_log_frequency_bloom": op10_log_frequency_bloom,
+        "op11_subword_quality": op11_subword_quality,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
+OP12_SQL = r"""
+with texts as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+), known as (
+  select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by doc_id
+), failing as (
+  select part, len(words) < 50 as a, 100 * list_unique(words) < 65 * len(words) as b,
+    100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) as c,
+    regexp_matches(text, '[#$%&*|]') as d, coalesce(texts.doc_id > min(texts.doc_id) over (partition by text), false) as e,
+    coalesce(quality = 1, false) as good, coalesce(toxic = 1, false) as toxic
+  from texts left join known on texts.doc_id = known.doc_id
+), masks as (
+  select part, a, b, c, d, e, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from failing group by all
+), letters(f) as (values ('A'), ('B'), ('C'), ('D'), ('E')), orders as (
+  select concat(v.f, w.f, x.f, y.f, z.f) as filter_order from letters v, letters w, letters x, letters y, letters z
+  where len(list_distinct([v.f, w.f, x.f, y.f, z.f])) = 5
+), gone as (
+  select m.*, filter_order, least(if(a, strpos(filter_order, 'A'), 9), if(b, strpos(filter_order, 'B'), 9), if(c, strpos(filter_order, 'C'), 9),
+    if(d, strpos(filter_order, 'D'), 9), if(e, strpos(filter_order, 'E'), 9)) as gone
+  from masks m, orders
+), stepped as (
+  select *, filter_order[step] as f, case filter_order[step] when 'A' then a when 'B' then b when 'C' then c when 'D' then d else e end as fails,
+    a::int + b::int + c::int + d::int + e::int as failed
+  from gone, (values (1), (2), (3), (4), (5)) s(step)
+), summed as (
+  select part, filter_order, step, f, sum(if(gone > step, n, 0)) as kept, sum(if(gone = step, n, 0)) as removed, sum(if(fails and gone < step, n, 0)) as redundant,
+    sum(if(fails and failed = 1, n, 0)) as unique_fails, sum(if(gone = step, good, 0)) as good_lost, sum(if(gone = step, toxic, 0)) as toxic_lost
+  from stepped group by all
+)
+select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+  good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, sum(removed) over (partition by part, f)::bigint as shapley
+from summed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_filter_audit": OP12_SQL}
