@@ -1,7 +1,8 @@
 """Quality scores from learned subword embeddings.
 
 Every word and every character n-gram of a word (its edges marked) is hashed to a bucket;
-a bucket has a learned vector.  The vectors of a document are averaged, and a softmax layer
+a bucket has a learned vector.  A word equal to the one before it has the bucket of such
+repeats instead, and every text one bucket for its end.  The vectors of a document are averaged, and a softmax layer
 over the average gives the probability of each label.  Vectors and layer are trained
 together in numpy by stochastic gradient descent over small batches, with a step size per
 coordinate that shrinks with the gradients it has seen.
@@ -14,7 +15,7 @@ Words are runs between white space (the six ASCII characters).  Texts are read i
 BLOCK characters that end behind the last white space in them, or after BLOCK characters
 if there is none; what a block has is added up, so memory does not grow with a text.
 
-Edge cases: null and empty texts have no buckets and get the layer's bias alone; null
+Edge cases: null and empty texts have the bucket of their end alone; null
 labels teach nothing; of several labels of an id the highest counts, of several texts the
 smallest is learned from; null ids are scored, never learned from; repeated rows score alike; with labels of one kind only, all scores
 are that label's share, 0 or 1; without labels all are 0.5; an empty table gives none.
@@ -39,6 +40,9 @@ PER_LABEL, BUCKETS, DIM = 2000, 1 << 16, 8
 #: Lengths of character n-grams, edges included.
 GRAMS = (2, 3)
 
+#: Buckets of a word that repeats the one before it, and of a text's end; hashes may meet them.
+AGAIN, END = 0, 1
+
 #: Characters of a long text that are read together.
 BLOCK = 1 << 20
 
@@ -57,26 +61,28 @@ def buckets_of(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     space = _SPACES[np.minimum(codes, 32)] & (codes < 33)
     edged = np.concatenate([[True], space, [True]])
+    starts = np.flatnonzero(edged[:-1] & ~edged[1:]) + 1
+    if not len(starts):
+        return np.zeros(0, np.int64)
     h = np.concatenate([[0], np.where(space, 0, codes), [0]]).astype(np.uint64)  # 0 marks an edge
-    found = []
+    sizes = np.flatnonzero(~edged[:-1] & edged[1:]) + 1 - starts
+    firsts = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(firsts, sizes)
+    words = np.add.reduceat(h[~edged] * _powers(int(sizes.max()))[place], firsts)
+    again = np.concatenate([[False], words[1:] == words[:-1]])
+    found = [np.full(int(again.sum()), AGAIN), _bucket(words[~again], 0)]
+    # of a word that repeats the one before it, only that counts
+    fresh = ~again[np.maximum(np.cumsum(edged[:-1] & ~edged[1:]) - 1, 0)]
     for n in GRAMS:
-        if len(h) < n:
-            continue
-        rolled, inner = h[: len(h) - n + 1].copy(), np.zeros(len(h) - n + 1, bool)
+        rolled = h[: len(h) - n + 1].copy()
         for k in range(1, n):
             rolled = rolled * _STEP + h[k : len(h) - n + 1 + k]
+        inner = edged[: len(rolled)] & edged[n - 1 :]
+        inner = inner if n == 2 else np.zeros_like(inner)
         for k in range(1, n - 1):
             inner |= edged[k : len(h) - n + 1 + k]
-        gaps = edged[: len(inner)] & edged[n - 1 :] if n == 2 else inner
-        found.append(_bucket(rolled[~gaps], n))
-    starts = np.flatnonzero(edged[:-1] & ~edged[1:]) + 1
-    if len(starts):
-        ends = np.flatnonzero(~edged[:-1] & edged[1:]) + 1
-        sizes = ends - starts
-        place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        inside = h[~edged] * _powers(int(sizes.max()))[place]
-        found.append(_bucket(np.add.reduceat(inside, np.cumsum(sizes) - sizes), 0))
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
+        found.append(_bucket(rolled[~inner & fresh[: len(rolled)]], n))
+    return np.concatenate(found)
 
 
 def _powers(n: int) -> np.ndarray:
@@ -102,21 +108,19 @@ class QualityModel:
     bias: float
 
     def score(self, text: str) -> float:
-        total, n = 0.0, 0
+        total, n = float(self.gain[END]), 1
         for block in blocks_of(text):
             found = buckets_of(block)
             total, n = total + float(self.gain[found].sum(dtype=np.float64)), n + len(found)
-        return float(1 / (1 + np.exp(-np.clip(self.bias + (total / n if n else 0.0), -60, 60))))
+        return float(1 / (1 + np.exp(-np.clip(self.bias + total / n, -60, 60))))
 
 
-def train(docs: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, weight: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.5, seed: int = 7) -> QualityModel:
+def train(docs: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, weight: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 1.0, seed: int = 7) -> QualityModel:
     """Vectors and softmax layer from documents (buckets, their shares), labels 0 / 1 and weights."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     seen_v, seen_l, seen_b = np.full((BUCKETS, DIM), 1e-8, np.float32), np.full((DIM, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-    # a document without buckets has bucket 0 with share 0
-    docs = [(i, s) if len(i) else (np.zeros(1, np.int64), np.zeros(1, np.float32)) for i, s in docs]
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         order = rng.permutation(len(docs))
@@ -136,10 +140,10 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, weight:
             firsts = np.flatnonzero(np.diff(at[by], prepend=-1))
             touched, grad = at[by][firsts], np.add.reduceat(down[by], firsts)
             seen_v[touched] += grad**2
-            vectors[touched] -= step * 0.1 * grad / np.sqrt(seen_v[touched])
+            vectors[touched] -= step * grad / np.sqrt(seen_v[touched])
             for value, seen, grad in ((layer, seen_l, mean.T @ slope), (bias, seen_b, slope.sum(axis=0))):
                 seen += grad**2
-                value -= step * 0.1 * grad / np.sqrt(seen)
+                value -= step * grad / np.sqrt(seen)
     return QualityModel(vectors @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0]))
 
 
@@ -158,8 +162,9 @@ def fit(df: DataFrame, labels: DataFrame, trains: Column, id_col: str = "doc_id"
             found = []
             for text in batch.column("text").to_pylist():
                 counts = sum((np.bincount(buckets_of(b), minlength=BUCKETS) for b in blocks_of(text)), np.zeros(BUCKETS, np.int64))
+                counts[END] += 1
                 at = np.flatnonzero(counts)
-                found.append((at.astype(np.int32), (counts[at] / max(1, counts.sum())).astype(np.float32)))
+                found.append((at.astype(np.int32), (counts[at] / counts.sum()).astype(np.float32)))
             lists = [pa.array([x[k] for x in found], pa.list_(t)) for k, t in ((0, pa.int32()), (1, pa.float32()))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), *lists], ["id", "label", "at", "share"])
 
