@@ -3,29 +3,55 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: CJK range of the search tokenizer, and separators of phrases.
+#: CJK range of the search tokenizer, white space, and separators of phrases.
 CJK = "㐀-鿿"
-SEPARATORS = r"[,，、;；。.\n\r|/]+"
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SEPARATORS = f"[{WHITE},，、;；。.!！?？:：/|]+"
 
 #: Letters that OCR confuses with digits, for entry ids and for index ids.
 ID_REPAIR = ("OoIl", "0011")
 INDEX_REPAIR = ("OoIlQBS", "0011085")
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+@cache
+def unsettled(form: str) -> str:
+    """A regular expression for characters that a normal form may change: those that it
+    changes alone, and those that may join the one before them."""
+    ranges: list[list[int]] = []
+    for code in range(0xA0, 0x110000):
+        c = chr(code)
+        if not 0xD800 <= code < 0xE000 and (unicodedata.combining(c) or 0x1160 <= code < 0x1200 or not unicodedata.is_normalized(form, c)):
+            if ranges and ranges[-1][1] == code - 1:
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+    listed = lambda some: "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in some) + "]"
+    latin, rest = [r for r in ranges if r[1] < 0x250] or [[0xFFFF, 0xFFFF]], [r for r in ranges if r[1] >= 0x250]
+    # most characters are ASCII, Latin or CJK: they are passed over before the long list is tried
+    return f"(?=[^\\x00-\\x9f])(?:{listed(latin)}|(?=[^\\x00-\\x{{24f}}{CJK}]){listed(rest)})"
 
 
-@F.pandas_udf(T.StringType())
-def nfc(values: pd.Series) -> pd.Series:
-    return values.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+def _composed(form: str):
+    @F.pandas_udf(T.StringType())
+    def compose(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: unicodedata.normalize(form, x), na_action="ignore")
+
+    return compose
+
+
+nfkc, nfc = _composed("NFKC"), _composed("NFC")
+
+
+def composed(text: Column, form: str) -> Column:
+    """The text in a normal form; only texts that may change reach Python."""
+    return F.coalesce((nfkc if form == "NFKC" else nfc)(F.when(F.rlike(text, F.lit(unsettled(form))), text)), text)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -36,48 +62,57 @@ def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)])
 
 
-def normalize(text: Column, compose: bool = False) -> Column:
-    """Lower case without outer blanks, null as ''; ``compose`` folds compatibility
-    forms first (Python, for text that is not plain)."""
-    text = F.coalesce(text, F.lit(""))
-    return F.lower(F.trim(nfkc(text) if compose else text))
+def plain(text: Column) -> Column:
+    """Lower case without white space at either end, null as ''."""
+    return F.trim(F.lower(F.coalesce(text, F.lit(""))), F.lit(WHITE))
+
 
+def normalize(text: Column) -> Column:
+    """Compatibility forms folded, lower case, no white space at either end; null as ''."""
+    return plain(composed(text, "NFKC"))
 
-def normalize_space(text: Column, compose: bool = False) -> Column:
-    """Wide blanks to blanks, no byte-order mark, runs of blanks as one."""
-    text = F.translate(nfc(text) if compose else text, "　﻿", " ")
-    return F.trim(F.regexp_replace(text, r"[ \t]+", " "))
+
+def normalize_space(text: Column) -> Column:
+    """Composed; wide blanks to blanks, no byte-order mark, runs of blanks as one."""
+    return F.trim(F.regexp_replace(F.translate(composed(text, "NFC"), "　\ufeff", " "), r"[ \t]+", " "))
 
 
 def split_phrases(text: Column) -> Column:
-    """Trimmed parts between separators, each once, in order of appearance."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda p: F.trim(p))
-    return F.array_distinct(F.filter(parts, lambda p: p != ""))
+    """The normalised text's parts between separators, each once, in order of appearance."""
+    return F.array_distinct(F.filter(F.split(normalize(text), SEPARATORS), lambda p: p != ""))
+
+
+def runs_of(text: Column, n: int) -> Column:
+    """All runs of ``n`` characters, in order; none of a shorter text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
 def bigrams(run: Column) -> Column:
-    return F.when(F.length(run) <= 1, F.array(run)).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(run) - 1)), lambda i: F.substring(run, i, F.lit(2)))
-    )
+    return F.when(F.length(run) <= 1, F.array(run)).otherwise(runs_of(run, 2))
 
 
-def search_tokens(text: Column) -> Column:
-    """Runs of a-z and 0-9 whole, CJK runs as overlapping pairs."""
-    plain = normalize(text)
-    runs = F.regexp_extract_all(plain, F.lit(f"[a-z0-9]+|[{CJK}]+"), F.lit(0))
+def tokens_of(text: Column) -> Column:
+    """Search tokens of a text that is normalised already."""
+    runs = F.regexp_extract_all(text, F.lit(f"[a-z0-9]+|[{CJK}]+"), F.lit(0))
     paired = F.flatten(F.transform(runs, lambda r: F.when(F.rlike(r, F.lit("^[a-z0-9]")), F.array(r)).otherwise(bigrams(r))))
     # most texts have no CJK run, and then the runs are the tokens
-    return F.when(F.rlike(plain, F.lit(f"[{CJK}]")), paired).otherwise(F.regexp_extract_all(plain, F.lit("[a-z0-9]+"), F.lit(0)))
+    return F.when(F.rlike(text, F.lit(f"[{CJK}]")), paired).otherwise(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)))
+
+
+def search_tokens(text: Column) -> Column:
+    """Runs of a-z and 0-9 whole, CJK runs as overlapping pairs."""
+    return tokens_of(normalize(text))
 
 
 def phrase_grams(phrase: Column) -> Column:
-    """The different pairs of characters of a phrase; a single character is one."""
-    return F.array_distinct(F.when(F.length(phrase) <= 1, F.array(phrase)).otherwise(bigrams(phrase)))
+    """The different search tokens of a normalised phrase."""
+    return F.array_distinct(tokens_of(phrase))
 
 
 def phrase_similarity(phrase: Column, text: Column, grams: Column | None = None) -> Column:
-    """1.0 where the text holds the phrase, else the share of its pairs of characters
-    that the text holds.  ``grams`` are phrase_grams() where those are at hand."""
+    """1.0 where the text holds the phrase, else the share of its search tokens that the
+    text holds, 0.0 without any; both are normalised.  ``grams`` are phrase_grams() where
+    those are at hand."""
     grams = phrase_grams(phrase) if grams is None else grams
     hits = F.size(F.filter(grams, lambda g: F.contains(text, g)))
     share = hits / F.greatest(F.size(grams), F.lit(1))

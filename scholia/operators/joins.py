@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 
 def two_tier(df: DataFrame, exact: DataFrame, loose: DataFrame, exact_keys: list[str], loose_keys: list[str], value: str) -> DataFrame:
     """``df`` with the value of the rule on all keys, else of the rule on the looser ones."""
@@ -40,17 +42,39 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], width: int) ->
     return pairs.filter(F.col("bucket") == F.floor(F.greatest("l_start", "r_start") / width)).drop("bucket")
 
 
-def ancestors(nodes: DataFrame, depth: int = 6) -> DataFrame:
-    """(id, path, level): names from the root down, from (id, parent, name).
-
-    One join per level; trees here are shallow (at most ``depth`` levels)."""
-    found = nodes.filter("parent is null").select("id", F.array("name").alias("path"))
-    out, level = found.withColumn("level", F.lit(0)), found
-    for i in range(1, depth):
-        above = level.select(F.col("id").alias("parent"), F.col("path").alias("above"))
-        level = nodes.join(above, "parent").select("id", F.concat("above", F.array("name")).alias("path"))
-        out = out.unionByName(level.withColumn("level", F.lit(i)))
-    return out
+def chains(nodes: DataFrame) -> DataFrame:
+    """(id, chain, state) of every node of (id, up, step): the steps from the top down to it.
+
+    Depth does not matter: each round doubles how far up every node has looked, so a chain
+    of a thousand takes ten.  ``state`` is "whole", "orphan" (the top's ``up`` is no node;
+    its chain starts there) or "cycle" (no top is reached; no chain)."""
+    nodes = stored(nodes.select("id", "up", "step"))
+    tops = nodes.select(F.col("id").alias("up"), F.lit(True).alias("known"))
+    based = nodes.join(tops, "up", "left").select("id", "step", F.when(F.col("known"), F.col("up")).alias("far"), (F.col("up").isNotNull() & F.col("known").isNull()).alias("orphan"))
+    based = stored(based)
+    looked, reach, n = based.select("id", "far"), 1, based.count()
+    while reach <= n and not looked.filter("far is not null").isEmpty():
+        beyond = looked.select(F.col("id").alias("far"), F.col("far").alias("next"))
+        looked = stored(looked.join(beyond, "far", "left").select("id", F.col("next").alias("far")))
+        reach *= 2
+    # who still looks at a node from further away than there are nodes goes round in circles
+    circles = looked.filter("far is not null").select("id")
+    chained = stored(based.join(circles, "id", "left_anti").select("id", "far", F.array("step").alias("chain"), "orphan"))
+    while not chained.filter("far is not null").isEmpty():
+        above = chained.select(F.col("id").alias("far"), F.col("far").alias("next"), F.col("chain").alias("above"), F.col("orphan").alias("lost"))
+        chained = stored(
+            chained.join(above, "far", "left").select(
+                "id", F.col("next").alias("far"), F.concat(F.coalesce("above", F.slice("chain", 1, 0)), "chain").alias("chain"), (F.col("orphan") | F.coalesce("lost", F.lit(False))).alias("orphan")
+            )
+        )
+    whole = chained.select("id", "chain", F.when(F.col("orphan"), "orphan").otherwise("whole").alias("state"))
+    return whole.unionByName(circles.select("id", F.lit("cycle").alias("state")), allowMissingColumns=True)
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(id, path, level, state): names from the root down, from (id, parent, name); see chains()."""
+    found = chains(nodes.select("id", F.col("parent").alias("up"), F.col("name").alias("step")))
+    return found.select("id", F.col("chain").alias("path"), (F.size("chain") - 1).alias("level"), "state")
 
 
 def best_per(df: DataFrame, group: list[str], order: list[Column], n: int = 1, out: str | None = None) -> DataFrame:
@@ -58,10 +82,3 @@ def best_per(df: DataFrame, group: list[str], order: list[Column], n: int = 1, o
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     ranked = df.withColumn(out or "__rank", rank).filter(F.col(out or "__rank") <= n)
     return ranked if out else ranked.drop("__rank")
-
-
-def fuzzy_best(left: DataFrame, right: DataFrame, block: list[str], name: str, other: str, limit: int) -> DataFrame:
-    """For each left row the right row of its block within ``limit`` edits, the nearest
-    and then the first by name."""
-    pairs = left.join(right, block).withColumn("distance", F.levenshtein(name, other, limit)).filter("distance >= 0")
-    return best_per(pairs, [*block, name], [F.col("distance"), F.col(other)])

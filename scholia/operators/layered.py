@@ -136,23 +136,23 @@ def selection_score(layer: Column, rank: Column, treatment: Column, pathogenesis
 def annotate(candidates: DataFrame) -> DataFrame:
     """Candidates with their coverages, conflicts, grade and selection score.
 
-    ``candidates`` has query, id, layer, rank, fields (map), flags, unrouted (names of
+    ``candidates`` has query, id, layer, rank, fields (map, in normal form), flags, unrouted (names of
     attacking prototypes that were not routed), directions and routed_terms (of the
     candidate's routed prototypes), and the profile: nature, primary_/secondary_/
     adjunct_treatment, primary_/secondary_/concurrent_pathogenesis, clinical."""
-    field = lambda f: F.coalesce(F.element_at("fields", F.lit(f)), F.lit(""))
+    field = lambda f: X.plain(F.element_at("fields", F.lit(f)))
     treatments = [(F.col(f"{n}_treatment"), w) for n, w in zip(("primary", "secondary", "adjunct"), TREATMENT_WEIGHTS)]
     paths = [(F.col(f"{n}_pathogenesis"), w) for n, w in zip(("primary", "secondary", "concurrent"), PATHOGENESIS_WEIGHTS)]
     action, indication = field("功用"), field("主治")
-    nature = X.normalize(F.concat_ws("；", "nature", *(t for t, _ in paths)))
+    nature = X.plain(F.concat_ws("；", "nature", *(t for t, _ in paths)))
     rows = candidates.select(
         "*",
         F.greatest(weighted_coverage(treatments, action), ontology_coverage(treatments, F.col("routed_terms"))).alias("treatment_coverage"),
         weighted_coverage(paths, F.concat_ws("；", indication, action)).alias("pathogenesis_coverage"),
         coverage(F.col("clinical"), indication).alias("clinical_coverage"),
         missing_facts(F.col("fields")).alias("missing"),
-        candidate_conflicts(nature, F.col("directions"), X.normalize(action)).alias("conflicts"),
-        X.first_meaning(field("正文及其他")).alias("meaning"),
+        candidate_conflicts(nature, F.col("directions"), action).alias("conflicts"),
+        X.first_meaning(F.coalesce(F.element_at("fields", F.lit("正文及其他")), F.lit(""))).alias("meaning"),
     )
     shared = [F.col(c) for c in ("treatment_coverage", "pathogenesis_coverage", "clinical_coverage", "missing", "flags", "conflicts", "unrouted")]
     every = F.concat(*(t for t, _ in treatments))
@@ -172,7 +172,7 @@ def gate_and_finish(annotated: DataFrame, name: str, top_k: int) -> tuple[DataFr
     """The best ``top_k`` of each query, one per name, without those graded low; and how
     many of each query were refused."""
     refused = annotated.groupBy("query").agg(F.count_if(F.col("consistency") == LOW).alias("n_refused"))
-    order = [F.desc("selection_score"), F.col("id")]
+    order = [F.desc(F.round("selection_score", 6)), F.col("id")]
     single = capped(annotated.filter(F.col("consistency") != LOW), ["query", name], order, 1)
     return capped(single, ["query"], order, top_k), refused
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import chains
+
 #: Fixed value: the number that a title begins with.
 NUMBER = r"^([一二三四五六七八九十\d.]+)"
 
@@ -28,22 +30,27 @@ def titles_above(nodes: DataFrame) -> DataFrame:
     return first.unionByName(nearest)
 
 
-def walk(nodes: DataFrame, roots: DataFrame, depth: int = 6) -> DataFrame:
-    """(root, id, path, has_children): options below each root in reading order, going down
-    only through headings (mode -1).  ``nodes`` is (id, parent_id, ord, mode), ``roots``
-    (root).  One join per level; ``path`` holds (ord, id) of each step and sorts the walk."""
+def walk(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, id, path, has_children, place): options below each root in reading order, going
+    down only through headings (mode -1), however deep.  ``nodes`` is (id, parent_id, ord,
+    mode), ``roots`` (root); ``path`` holds (ord, id) of each step and sorts the walk.  Options
+    that go round in circles are below no root."""
     nodes = nodes.select("id", "parent_id", "ord", "mode")
-    with_children = nodes.select(F.col("parent_id").alias("id"), F.lit(True).alias("has_children")).distinct()
-    known = nodes.join(with_children, "id", "left").withColumn("has_children", F.coalesce("has_children", F.lit(False)))
+    parents = nodes.select(F.col("parent_id").alias("id")).distinct().withColumn("has_children", F.lit(True))
     step = F.struct(F.col("ord").cast("long").alias("ord"), F.col("id").cast("long").alias("id"))
-    level = roots.join(known, F.col("root") == F.col("parent_id")).select("root", "id", "mode", "has_children", F.array(step).alias("path"))
-    out = level
-    for _ in range(depth - 1):
-        above = level.filter("mode = -1 and has_children").select("root", F.col("id").alias("parent_id"), F.col("path").alias("above"))
-        level = above.join(known, "parent_id").select("root", "id", "mode", "has_children", F.concat("above", F.array(step)).alias("path"))
-        out = out.unionByName(level)
-    order = Window.partitionBy("root").orderBy("path")
-    return out.withColumn("place", F.row_number().over(order))
+    # upwards: from an option to its parent, and on from there only if that is a heading
+    onward = F.when(F.col("mode") == -1, F.col("parent_id"))
+    up = chains(nodes.select("id", onward.alias("up"), step.alias("step"))).select(F.col("id").alias("parent_id"), F.col("chain").alias("above"), (F.col("state") == "cycle").alias("rings"))
+    own = nodes.join(up, "parent_id", "left").filter("not coalesce(rings, false)").select("id", "parent_id", F.concat(F.coalesce("above", F.array(F.struct(F.lit(None).cast("long").alias("ord"), F.col("parent_id").cast("long").alias("id")))), F.array(step)).alias("chain"))
+    # every node of a chain may be a root; what a chain's top hangs on may be one, too
+    top = nodes.select(F.col("id").cast("long").alias("top"), F.when(F.col("mode") == -1, F.col("parent_id")).cast("long").alias("hung"))
+    own = own.withColumn("top", F.get("chain", F.lit(0))["id"]).join(top, "top", "left")
+    outside = F.when(F.col("hung").isNotNull(), F.array(F.struct(F.lit(None).cast("long").alias("ord"), F.col("hung").alias("id")))).otherwise(F.slice("chain", 1, 0))
+    own = own.withColumn("chain", F.concat(outside, "chain"))
+    found = own.select("id", "chain", F.posexplode(F.slice("chain", F.lit(1), F.size("chain") - 1)).alias("at", "over")).join(roots.distinct(), F.col("over.id") == F.col("root"))
+    walked = found.select("root", "id", F.slice("chain", F.col("at") + 2, F.size("chain")).alias("path")).join(parents, "id", "left")
+    place = F.row_number().over(Window.partitionBy("root").orderBy("path"))
+    return walked.select("root", "id", "path", F.coalesce("has_children", F.lit(False)).alias("has_children"), place.alias("place"))
 
 
 def listing(answers: DataFrame, group: list[str], path: str, key: str) -> DataFrame:

@@ -31,8 +31,8 @@ def best_ranked(df: DataFrame, group: list[str], order: list[Column], n: int) ->
 TERM_PHRASES, FALLBACK_PHRASES = 30, 10
 EXACT_TERM, PARTIAL_TERM, FALLBACK, SAME_NAME, LIKE_NAME = 22.0, 9.0, 4.0, 100.0, 55.0
 
-#: Rows of a query table that meet all entries at once.
-BLOCK = 2000
+#: Characters of the runs that find texts by what they hold; phrases that one row carries.
+RUN, CARRIED = 3, 1000
 
 
 def build_index(entries: DataFrame, id_col: str, fields: dict[str, Column], folder: str | None = None) -> str:
@@ -50,6 +50,29 @@ def build_index(entries: DataFrame, id_col: str, fields: dict[str, Column], fold
     return folder
 
 
+def corpus_key(entries: DataFrame, fields: dict[str, Column]) -> str:
+    """A name for what an index is built from: the input files with their sizes and times,
+    and the fields.  Only file metadata is read."""
+    import hashlib
+
+    of = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    files = entries.select(of.alias("file")).distinct().agg(F.expr("bit_xor(file)"), F.count("*")).first()
+    return hashlib.sha256(repr((tuple(files), [(n, str(c)) for n, c in fields.items()])).encode()).hexdigest()[:24]
+
+
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def index_of(source: DataFrame, entries: DataFrame, id_col: str, fields: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of ``entries``, which are made of the file table ``source`` alone:
+    built once for an application and the same files, and opened again after that."""
+    spark = source.sparkSession
+    key = (spark.sparkContext.applicationId, corpus_key(source, fields))
+    if key not in _BUILT:
+        _BUILT[key] = build_index(entries, id_col, fields)
+    return open_index(spark, _BUILT[key])
+
+
 def open_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(postings, lengths) of a written index."""
     return spark.read.parquet(f"{folder}/postings").filter("token is not null"), spark.read.parquet(f"{folder}/lengths")
@@ -83,20 +106,42 @@ def bm25(index: DataFrame, lengths: DataFrame, tokens: DataFrame, weights: dict[
     return bm25_routes(index, lengths, tokens.withColumn("route", F.lit("all")), table).drop("route")
 
 
-def in_blocks(entries: DataFrame, queries: DataFrame, met: Column, block: int = BLOCK) -> DataFrame:
-    """Entries beside each row of a stated query table that they meet.
-
-    Queries are dealt to blocks of about ``block`` rows, and each block is broadcast: what
-    is sent stays the same however many queries there are."""
-    blocks = max(1, -(-queries.count() // block))
-    if blocks == 1:
-        return entries.join(F.broadcast(queries), met)
-    dealt = stored(queries.withColumn("__block", F.pmod(F.xxhash64(*queries.columns), F.lit(blocks))))
-    out = None
-    for number in range(blocks):
-        part = entries.join(F.broadcast(dealt.filter(F.col("__block") == number).drop("__block")), met)
-        out = part if out is None else out.unionByName(part)
-    return out
+def holding(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(phrase, id): the rows of ``texts`` (id, text) that hold each of ``phrases`` (phrase).
+
+    An index of character runs finds them: a phrase is looked up by that of its runs that
+    the fewest texts have, and only those texts are compared with it.  Texts are read twice,
+    however many phrases there are, and move once for each CARRIED phrases that they may hold."""
+    asked = stored(phrases.select("phrase").filter("phrase <> ''").distinct().withColumn("size", F.least(F.lit(RUN), F.length("phrase"))))
+    sizes = sorted(r["size"] for r in asked.select("size").distinct().collect())  # RUN rows at most
+    if not sizes:
+        return texts.select(F.lit("").alias("phrase"), "id").limit(0)
+    runs = lambda c: [F.array_distinct(X.runs_of(F.col(c), n)) for n in sizes]
+    own = F.coalesce(*(F.when(F.col("size") == n, r) for n, r in zip(sizes, runs("phrase"))))
+    wanted = asked.select("phrase", F.explode(own).alias("run"))
+    posted = stored(texts.select("id", F.explode(F.concat(*runs("text"))).alias("run")).join(wanted.select("run").distinct(), "run", "left_semi"))
+    rarity = wanted.join(posted.groupBy("run").count(), "run", "left").select("phrase", "run", F.coalesce("count", F.lit(0)).alias("n"))
+    rarest = rarity.groupBy("phrase").agg(F.min(F.struct("n", "run")).alias("best")).filter("best.n > 0").select("phrase", F.col("best.run").alias("run"))
+    met = rarest.join(posted, "run").select("phrase", "id")
+    # a phrase that is a run is held; longer ones are compared, many at once
+    whole = met.filter(F.length("phrase") <= RUN)
+    blocks = max(1, -(-asked.count() // CARRIED))
+    open_ = met.filter(F.length("phrase") > RUN).withColumn("block", F.pmod(F.xxhash64("phrase"), F.lit(blocks)))
+    gathered = open_.groupBy("id", "block").agg(F.collect_set("phrase").alias("phrases"))
+    found = texts.select("id", "text").join(gathered, "id").select("id", F.explode(F.filter("phrases", lambda p: F.contains("text", p))).alias("phrase"))
+    return whole.unionByName(found)
+
+
+def similarities(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(phrase, id, similarity) of normalised ``texts`` (id, text) and ``phrases`` (phrase)
+    wherever it is over 0: phrases meet texts by way of what both hold."""
+    asked = phrases.select("phrase").filter("phrase <> ''").distinct()
+    grams = asked.select("phrase", X.phrase_grams(F.col("phrase")).alias("grams"))
+    parts = grams.select("phrase", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    held = stored(holding(texts, asked.union(parts.select("gram"))).withColumnRenamed("phrase", "gram"))
+    shares = parts.join(held, "gram").groupBy("phrase", "id").agg((F.count("*") / F.first("n")).alias("similarity"))
+    wholes = held.join(asked.select(F.col("phrase").alias("gram")), "gram", "left_semi").select(F.col("gram").alias("phrase"), "id", F.lit(1.0).alias("similarity"))
+    return shares.unionByName(wholes).groupBy("phrase", "id").agg(F.max("similarity").alias("similarity"))
 
 
 def capped(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
@@ -104,12 +149,6 @@ def capped(df: DataFrame, group: list[str], order: list[Column], n: int) -> Data
     return df.withColumn("__rank", rank).filter(F.col("__rank") <= n).drop("__rank")
 
 
-def route(df: DataFrame, name: str, boost: float, cap: int = ROUTE_CAP) -> DataFrame:
-    """A route's candidates: the best of each query, boost plus at most 14 points."""
-    best = capped(df, ["query"], [F.desc(F.round("score", 6)), F.col("id")], cap)
-    return best.select("query", "id", text_points(F.lit(boost)).alias("points"), F.lit(name).alias("route"))
-
-
 def text_points(boost: Column) -> Column:
     return boost + F.least(F.lit(14.0), 2.5 * F.greatest(F.lit(0.0), F.col("score")))
 
@@ -130,63 +169,139 @@ def merge_routes(routes: list[DataFrame], cap: int = CANDIDATE_CAP) -> DataFrame
     return capped(merged, ["query"], [F.desc(F.round("points", 6)), F.col("id")], cap)
 
 
+#: Names of the routes, as results give them.
+SAME_NAME_ROUTE, LIKE_NAME_ROUTE, TERM_ROUTE, FALLBACK_ROUTE = "方名精确匹配", "方名包含匹配", "附编病证索引", "短词兜底召回"
+
+
 def name_route(names: DataFrame, asked: DataFrame, cap: int = NAME_CAP) -> DataFrame:
     """Names (id, name) that are or hold what is asked for (query, asked), per asked name
     at most ``cap``."""
     same = F.col("name") == F.col("asked")
-    met = in_blocks(names.select("id", "name"), asked.filter("asked <> ''").distinct(), F.contains("name", F.col("asked")))
+    texts = names.select(F.col("name").alias("id"), F.col("name").alias("text")).distinct()
+    held = holding(texts, asked.select(F.col("asked").alias("phrase"))).select(F.col("phrase").alias("asked"), F.col("id").alias("name"))
+    met = asked.filter("asked <> ''").distinct().join(held, "asked").join(names.select("id", "name"), "name")
     best = capped(met.withColumn("points", F.when(same, SAME_NAME).otherwise(LIKE_NAME)), ["query", "asked"], [F.desc("points"), F.col("id")], cap)
-    return best.select("query", "id", "points", F.lit("name").alias("route"))
+    return best.select("query", "id", "points", F.when(same, SAME_NAME_ROUTE).otherwise(LIKE_NAME_ROUTE).alias("route"))
 
 
 def either_way(phrases: DataFrame, terms: DataFrame, phrase: str, term: str) -> DataFrame:
-    """Pairs where one of the two texts is or holds the other; ``phrases`` are the stated
-    query set."""
-    return in_blocks(terms, phrases, F.contains(phrase, F.col(term)) | F.contains(term, F.col(phrase)))
+    """Different pairs of ``phrase`` and ``term`` where one of the two is or holds the other."""
+    one = lambda df, c, name: df.select(F.col(c).alias(name)).distinct()
+    texts = lambda df, c: one(df, c, "id").withColumn("text", F.col("id"))
+    held = holding(texts(terms, term), one(phrases, phrase, "phrase")).select(F.col("phrase").alias(phrase), F.col("id").alias(term))
+    holds = holding(texts(phrases, phrase), one(terms, term, "phrase")).select(F.col("id").alias(phrase), F.col("phrase").alias(term))
+    return held.unionByName(holds).distinct()
+
+
+def term_hits(terms: DataFrame, links: DataFrame, phrases: DataFrame, cap: int = TERM_CAP) -> DataFrame:
+    """(query, phrase, id, points and the columns of ``terms``) by way of an index of terms
+    (term_id, term) with links (term_id, id): a term that is a phrase (query, phrase) gives
+    more than one that holds it or is held by it; per phrase at most ``cap`` links.  Terms
+    and phrases of one character do not count."""
+    long = lambda df, c: df.filter(F.length(c) >= 2)
+    met = phrases.join(either_way(long(phrases, "phrase"), long(terms, "term"), "phrase", "term"), "phrase").join(terms, "term").join(links, "term_id")
+    met = met.withColumn("points", F.when(F.col("term") == F.col("phrase"), EXACT_TERM).otherwise(PARTIAL_TERM))
+    return capped(met, ["query", "phrase"], [F.desc("points"), F.col("term_id"), F.col("id")], cap)
 
 
-def term_route(terms: DataFrame, links: DataFrame, phrases: DataFrame, cap: int = TERM_CAP) -> DataFrame:
-    """Entries by way of an index of terms (term_id, term) with links (term_id, id): a term
-    that is a phrase (query, phrase) gives more than one that holds it or is held by it.
-    Terms and phrases of one character do not count."""
-    long = lambda c: F.length(c) >= 2
-    met = either_way(phrases.filter(long("phrase")), terms.filter(long("term")), "phrase", "term")
-    met = met.withColumn("points", F.when(F.col("term") == F.col("phrase"), EXACT_TERM).otherwise(PARTIAL_TERM))
-    best = capped(met, ["query", "phrase"], [F.desc("points"), F.col("term_id")], cap)
-    return best.join(links, "term_id").groupBy("query", "id").agg(F.sum("points").alias("points")).withColumn("route", F.lit("term"))
+def term_route(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("query", "id").agg(F.sum("points").alias("points")).withColumn("route", F.lit(TERM_ROUTE))
 
 
 def fallback_route(found: DataFrame, phrases: DataFrame, entries: DataFrame, fields: list[str], cap: int = FALLBACK_CAP) -> DataFrame:
     """For queries that no route answers: entries that hold a phrase (query, phrase)."""
-    lost = phrases.join(found.select("query").distinct(), "query", "left_anti")
-    holds = F.lit(False)
-    for f in fields:
-        holds = holds | F.contains(F.col(f), F.col("phrase"))
-    met = in_blocks(entries.select("id", *fields), lost, holds).select("query", "phrase", "id")
+    lost = stored(phrases.join(found.select("query").distinct(), "query", "left_anti"))
+    texts = entries.select("id", F.explode(F.array(*fields)).alias("text"))
+    met = lost.join(holding(texts, lost).distinct(), "phrase")
     best = capped(met, ["query", "phrase"], [F.col("id")], cap)
-    return best.groupBy("query", "id").agg((FALLBACK * F.count("*")).alias("points")).withColumn("route", F.lit("fallback"))
+    return best.groupBy("query", "id").agg((FALLBACK * F.count("*")).alias("points")).withColumn("route", F.lit(FALLBACK_ROUTE))
+
+
+#: A phrase counts where its best field is at least so similar.
+LIKE = 0.5
+
+
+Channels = dict[str, list[tuple[str, float, str]]]
+
+
+def matches(phrases: DataFrame, entries: DataFrame, channels: Channels) -> DataFrame:
+    """(channel, phrase, id, worth, label): what each of ``phrases`` (channel, phrase) is worth
+    to each of ``entries``, the best of its channel's fields by similarity times weight,
+    wherever that field's similarity reaches LIKE.  ``channels`` has (field, weight, label)
+    in order."""
+    fields = sorted({f for of in channels.values() for f, _, _ in of})
+    texts = entries.select("id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))).alias("f"))
+    asked = phrases.select("channel", "phrase").distinct()
+    like = similarities(texts.select(F.struct("id", "f.field").alias("id"), "f.text"), asked).select("phrase", "id.id", "id.field", "similarity")
+    weights = entries.sparkSession.createDataFrame([(c, f, w, k, label) for c, of in channels.items() for k, (f, w, label) in enumerate(of)], "channel string, field string, weight double, choice int, label string")
+    option = F.struct((F.col("similarity") * F.col("weight")).alias("worth"), (-F.col("choice")).alias("order"), "similarity", "label")
+    met = asked.join(F.broadcast(weights), "channel").join(like, ["phrase", "field"])
+    best = met.groupBy("channel", "phrase", "id").agg(F.max(option).alias("best")).filter(F.col("best.similarity") >= LIKE)
+    return stored(best.select("channel", "phrase", "id", "best.worth", "best.label"))
+
+
+def richness(rich: list[str]) -> Column:
+    """0.75 for each of the fields that is not blank, 6 at most."""
+    return F.least(F.lit(6.0), 0.75 * sum((F.when(F.col(f) != "", 1).otherwise(0) for f in rich), F.lit(0)))
 
 
-def rerank(pairs: DataFrame, phrases: DataFrame, entries: DataFrame, weights: dict[str, dict[str, float]], least: float = 0.5, rich: list[str] | None = None) -> DataFrame:
-    """(query, id, fit, coverage): each phrase (query, channel, phrase) counts with the
-    field of its channel that is best by similarity times weight, if that similarity
-    reaches ``least``; ``rich`` fields that are not blank add 0.75 each, 6 at most.
+def fitted(pairs: DataFrame, phrases: DataFrame, entries: DataFrame, found: DataFrame, channels: Channels, rich: list[str]) -> DataFrame:
+    """(query, id, fit, coverage) of different ``pairs``: every one of ``phrases`` (query,
+    channel, place, phrase) that matches adds its worth, filled fields add their richness;
     coverage is the share of what was possible, in per cent, half-even."""
-    phrases = phrases.withColumn("grams", X.phrase_grams(F.col("phrase")))
-    whole = pairs.select("query", "id").join(phrases, "query").join(entries, "id")
-    richness = F.least(F.lit(6.0), 0.75 * sum((F.when(F.trim(f) != "", 1).otherwise(0) for f in rich or []), F.lit(0)))
-    fields = sorted({f for of in weights.values() for f in of})
-    whole = whole.select("query", "id", "channel", richness.alias("rich"), F.struct(*(X.phrase_similarity(F.col("phrase"), F.col(f), F.col("grams")).alias(f) for f in fields)).alias("sim"))
-    worth, possible = F.lit(None).cast("double"), F.lit(0.0)
-    for channel, of in weights.items():
-        options = F.array(*(F.struct((F.col(f"sim.{f}") * w).alias("worth"), F.lit(-i).alias("order"), F.col(f"sim.{f}").alias("sim")) for i, (f, w) in enumerate(of.items())))
-        best = F.array_max(options)
-        here = F.col("channel") == channel
-        worth = F.when(here, F.when(best["sim"] >= least, best["worth"]).otherwise(0.0)).otherwise(worth)
-        possible = F.when(here, F.lit(max(of.values()))).otherwise(possible)
-    summed = whole.groupBy("query", "id").agg(F.sum(worth).alias("matched"), F.sum(possible).alias("possible"), F.max("rich").alias("rich"))
-    coverage = F.greatest(F.lit(0), F.least(F.lit(100), F.bround(100 * F.col("matched") / F.col("possible")).cast("int")))
-    return summed.select("query", "id", (F.col("matched") + F.col("rich")).alias("fit"), F.when(F.col("possible") > 0, coverage).otherwise(0).alias("coverage"))
+    won = phrases.select("query", "channel", "phrase").join(found, ["channel", "phrase"]).join(pairs, ["query", "id"], "left_semi")
+    won = won.groupBy("query", "id").agg(F.sum("worth").alias("won"))
+    most = F.create_map(*(x for c, of in channels.items() for x in (F.lit(c), F.lit(max(w for _, w, _ in of)))))
+    possible = phrases.filter(F.col("channel").isin(list(channels))).groupBy("query").agg(F.sum(F.element_at(most, F.col("channel"))).alias("possible"))
+    whole = pairs.join(entries.select("id", richness(rich).alias("rich")), "id").join(won, ["query", "id"], "left").join(possible, "query", "left")
+    gained = F.coalesce("won", F.lit(0.0))
+    coverage = F.greatest(F.lit(0), F.least(F.lit(100), F.bround(100 * gained / F.col("possible")).cast("int")))
+    return whole.select("query", "id", (gained + F.col("rich")).alias("fit"), F.when(F.col("possible") > 0, coverage).otherwise(0).alias("coverage"))
+
+
+def rerank(pairs: DataFrame, phrases: DataFrame, entries: DataFrame, channels: Channels, rich: list[str]) -> tuple[DataFrame, DataFrame]:
+    """How well ``pairs`` (query, id) fit, see fitted(), and the matches that this rests on."""
+    pairs = stored(pairs.select("query", "id").distinct())
+    found = matches(phrases, entries.join(pairs.select("id").distinct(), "id", "left_semi"), channels)
+    return fitted(pairs, phrases, entries, found, channels, rich), found
+
+
+def within(allowed: DataFrame, queries: DataFrame, phrases: DataFrame, entries: DataFrame, channels: Channels, rich: list[str], top_k: int) -> DataFrame:
+    """(query, id, score, coverage, rank) inside an audited subset ``allowed`` (id, boost), the
+    best ``top_k`` of each query.
+
+    Entries without a match rank by boost and richness alone, so the best ``top_k`` by these
+    are the only ones of them that can be among a query's best."""
+    inside = entries.join(allowed, "id")
+    found = matches(phrases, inside, channels)
+    met = phrases.select("query", "channel", "phrase").join(found.select("channel", "phrase", "id"), ["channel", "phrase"]).select("query", "id")
+    plain = inside.select("id", (F.col("boost") + richness(rich)).alias("base")).orderBy(F.desc("base"), "id").limit(top_k).select("id")  # top_k rows
+    pairs = stored(met.unionByName(queries.select("query").join(F.broadcast(plain))).distinct())
+    ranked = fitted(pairs, phrases, inside, found, channels, rich).join(allowed, "id").withColumn("score", F.col("fit") + F.col("boost"))
+    return best_ranked(ranked, ["query"], [F.desc(F.round("score", 6)), F.desc("coverage"), F.col("id")], top_k)
+
+
+#: Reasons and term hits that a result gives.
+REASONS, TERM_HITS = 12, 8
+
+
+def explained(answers: DataFrame, phrases: DataFrame, found: DataFrame, channels: Channels, hits: DataFrame) -> DataFrame:
+    """``answers`` (query, id, routes) with reasons, matched_terms (channel: phrases) and
+    term_hits: why each was found, in the order of channels, phrases and terms."""
+    turn = F.element_at(F.create_map(*(x for n, c in enumerate(channels) for x in (F.lit(c), F.lit(n)))), F.col("channel"))
+    # an answer has as many matches as its query has phrases, at most
+    won = phrases.join(found, ["channel", "phrase"]).join(answers.select("query", "id"), ["query", "id"], "left_semi")
+    won = won.groupBy("query", "id").agg(F.array_sort(F.collect_list(F.struct(turn.alias("turn"), "place", "channel", "phrase", "label"))).alias("won"))
+    shown = ["phrase", *(c for c in hits.columns if c not in ("query", "id", "points", "phrase"))]
+    order = [F.desc("points"), F.col("term_id"), F.col("phrase")]
+    first = capped(hits.join(answers.select("query", "id"), ["query", "id"], "left_semi"), ["query", "id"], order, TERM_HITS)
+    first = first.groupBy("query", "id").agg(F.array_sort(F.collect_list(F.struct((-F.col("points")).alias("__points"), "term_id", *(c for c in shown if c != "term_id")))).alias("term_hits"))
+    whole = answers.join(won, ["query", "id"], "left").join(first, ["query", "id"], "left")
+    listed = F.coalesce("won", F.array().cast("array<struct<turn:int,place:int,channel:string,phrase:string,label:string>>"))
+    said = F.transform(listed, lambda x: F.concat(x["label"], F.lit("命中："), x["phrase"]))
+    of = lambda c: F.transform(F.filter(listed, lambda x: x["channel"] == c), lambda x: x["phrase"])
+    terms = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, channels)), F.array(*map(of, channels))), lambda k, v: F.size(v) > 0)
+    return whole.select(*answers.columns, F.slice(F.array_distinct(F.concat("routes", said)), 1, REASONS).alias("reasons"), terms.alias("matched_terms"), "term_hits")
 
 
 def diversify(ranked: DataFrame, name: str, order: list[Column], top_k: int) -> DataFrame:

@@ -12,6 +12,16 @@ from .registry import query, table
 
 WEIGHTS = {"title": 3.0, "body": 1.0, "source": 0.5}
 
+#: Separators of phrases and distinct elements of a list in their first order, in SQL.
+SEP = r"[\s,，、;；。.!！?？:：/|]+"
+FIRST = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+
+
+def phrases_sql(text: str) -> str:
+    """Different phrases of a text, in order."""
+    return FIRST.format(f"list_filter(regexp_split_to_array(lower(trim({text})), '{SEP}'), lambda x: x <> '')")
+
+
 _TOKENS = """
 d AS (SELECT doc_id AS id, source, regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9]+') AS title, regexp_extract_all(lower(text), '[a-z0-9]+') AS body,
         regexp_extract_all(lower(source), '[a-z0-9]+') AS src FROM documents),
@@ -35,7 +45,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     fields = {f: F.col(f) for f in ("title", "body", "source")}
-    return search.open_index(spark, search.build_index(parts(spark, sf_dir), "id", fields))
+    return search.index_of(table(spark, sf_dir, "documents"), parts(spark, sf_dir), "id", fields)
 
 
 def whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,74 +69,167 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("query", "id", "source", F.round("score", 4).alias("score"), "rank")
 
 
-#: Routes: boost, fields and the phrase of the query that they ask for (0: all of its text).
-ROUTES = {
-    "name": (36.0, ("title",), 1), "treatment": (18.0, ("body",), 2), "syndrome": (17.0, ("body",), 1), "mechanism": (14.0, ("title", "body"), 3),
-    "symptom": (13.0, ("body",), 2), "tongue": (10.0, ("source",), 1), "pulse": (10.0, ("source", "title"), 3), "all": (5.0, ("title", "body", "source"), 0),
-}
-FIELD_WEIGHTS = {"title": 12.0, "body": 9.0, "source": 1.5}
+#: Full-text routes (label, channel, column, boost), weights of the columns, and
+#: what a phrase of a channel counts in each field.
+ROUTES = (
+    ("方名", "formula_names", "name", 36.0), ("治法", "treatments", "action", 18.0), ("证型", "syndromes", "indication", 17.0), ("病机", "mechanisms", "indication", 14.0),
+    ("症状", "symptoms", "indication", 13.0), ("舌象", "tongue", "indication", 10.0), ("脉象", "pulse", "indication", 10.0), ("全字段", "all", "all", 5.0),
+)
+COLUMN_WEIGHTS = {"name": 12.0, "action": 7.0, "indication": 9.0, "composition": 1.5, "modification": 3.0, "all": 1.0}
+CHANNELS: search.Channels = {
+    "formula_names": [("name", 90.0, "方名")],
+    "treatments": [("actions", 18.0, "功用"), ("indications", 7.0, "主治"), ("other_text", 3.0, "正文")],
+    "syndromes": [("indications", 17.0, "主治"), ("actions", 7.0, "功用"), ("other_text", 4.0, "正文")],
+    "mechanisms": [("indications", 14.0, "主治"), ("actions", 7.0, "功用"), ("other_text", 4.0, "正文")],
+    "symptoms": [("indications", 12.0, "主治"), ("modifications", 4.0, "加减"), ("other_text", 2.0, "正文")],
+    "tongue": [("indications", 10.0, "主治"), ("other_text", 3.0, "正文")],
+    "pulse": [("indications", 10.0, "主治"), ("other_text", 3.0, "正文")],
+    "complexion": [("indications", 8.0, "主治"), ("other_text", 2.0, "正文")],
+    "voice": [("indications", 7.0, "主治"), ("other_text", 2.0, "正文")],
+    "doctor_notes": [("indications", 7.0, "主治"), ("actions", 5.0, "功用"), ("other_text", 2.0, "正文")],
+    "free_text": [("name", 12.0, "方名"), ("indications", 8.0, "主治"), ("actions", 6.0, "功用"), ("other_text", 2.0, "正文")],
+}
+
+#: Channels that a query's phrases are dealt to in turn; all of them are its free text, too.
+DEALT = ("symptoms", "treatments", "syndromes", "mechanisms", "formula_names", "tongue", "pulse", "complexion", "voice", "doctor_notes")
+
+#: Fields of an entry, and their names in a result.
+FIELDS = {"source_text": "方源", "composition": "组成", "usage_text": "用法", "actions": "功用", "indications": "主治", "modifications": "加减", "cautions": "宜忌", "other_text": "正文及其他"}
+
+_TURN = f"(i - 1) % {len(DEALT)}"
+_DEALT = "CASE " + _TURN + " " + " ".join(f"WHEN {n} THEN '{c}'" for n, c in enumerate(DEALT)) + " END"
+_ROUTES = ", ".join(f"('{label}字段召回', '{channel}', '{column}', {COLUMN_WEIGHTS[column]}, {boost})" for label, channel, column, boost in ROUTES)
+_SPECS = ", ".join(f"('{c}', {n}, '{f}', {w}, {k}, '{label}')" for n, (c, of) in enumerate(CHANNELS.items()) for k, (f, w, label) in enumerate(of))
+_COLUMNS = {"name": "name", "action": "actions", "indication": "indications", "composition": "composition", "modification": "modifications"}
+_ALL = "name || ' ' || " + " || ' ' || ".join(FIELDS)
 
-_ROUTES = ", ".join(f"('{r}', {boost}, '{f}', {FIELD_WEIGHTS[f]}, {n})" for r, (boost, fields, n) in ROUTES.items() for f in fields)
 
-_FIRST = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+def sim(phrase: str, text: str) -> str:
+    """Phrase similarity in SQL; the tables hold no CJK text but that of single constants."""
+    grams = f"list_distinct(regexp_extract_all({phrase}, '[a-z0-9]+'))"
+    share = f"coalesce(list_avg(list_transform({grams}, lambda g: CAST(contains({text}, g) AS INTEGER))), 0.0)"
+    return f"(CASE WHEN {phrase} = '' OR {text} = '' THEN 0.0 WHEN contains({text}, {phrase}) THEN 1.0 ELSE {share} END)"
+
 
-_PHRASES = """
-p0 AS (SELECT item_id AS query, text, list_filter(list_transform(regexp_split_to_array(lower(trim(text)), '[,，、;；。.\\n\\r|/]+'), lambda x: trim(x)), lambda x: x <> '') AS l FROM benchmark),
-p AS (SELECT query, text, """ + _FIRST.format("l") + """ AS p FROM p0)
+_ENTRIES = f"""
+p AS (SELECT item_id AS query, text, {phrases_sql('text')} AS p FROM benchmark),
+ln0 AS (SELECT doc_id AS id, string_split(lower(trim(text)), chr(10)) AS l, lower(trim(source)) AS source, lang FROM documents),
+e AS (SELECT id, trim(l[1]) AS name, source AS source_text, coalesce(trim(l[4]), '') AS composition, lang AS usage_text, coalesce(trim(l[2]), '') AS actions, coalesce(trim(l[3]), '') AS indications,
+        coalesce(trim(l[5]), '') AS modifications, coalesce(trim(l[6]), '') AS cautions, trim(array_to_string(l[7:], chr(10))) AS other_text FROM ln0)
 """
 
-_HYBRID = "WITH " + _TOKENS + "," + _PHRASES + """,
-rt(route, boost, field, weight, n) AS (VALUES """ + _ROUTES + """),
-ch AS (SELECT query, route, regexp_extract_all(CASE WHEN n = 0 THEN lower(text) ELSE p[n] END, '[a-z0-9]+') AS a FROM p, (SELECT DISTINCT route, n FROM rt)),
-tk AS (SELECT query, route, unnest((""" + _FIRST.format("a") + """)[1:96]) AS token FROM ch),
-hh AS (SELECT route, token, id, sum(weight) AS tf FROM tok JOIN rt USING (field) WHERE token IN (SELECT token FROM tk) GROUP BY ALL),
-ff AS (SELECT route, token, greatest(0.000001, ln(((SELECT count(*) FROM len) - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM hh GROUP BY ALL),
-sc AS (SELECT query, route, h.id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / (SELECT avg(n) FROM len)))) AS score FROM tk JOIN ff USING (route, token) JOIN hh h USING (route, token) JOIN len l ON l.id = h.id GROUP BY ALL),
-ft AS (SELECT query, id, boost + least(14.0, 2.5 * greatest(0, score)) AS points, route FROM (SELECT *, row_number() OVER (PARTITION BY query, route ORDER BY round(score, 6) DESC, id) AS k FROM sc) JOIN (SELECT DISTINCT route, boost FROM rt) USING (route) WHERE k <= 360),
-e AS (SELECT doc_id AS id, lower(trim(split_part(text, chr(10), 1))) AS title, lower(trim(text)) AS body, lower(trim(source)) AS source FROM documents),
-nm AS (SELECT query, id, CASE WHEN title = p[1] THEN 100.0 ELSE 55.0 END AS points, 'name' AS route FROM p JOIN e ON contains(title, p[1]) QUALIFY row_number() OVER (PARTITION BY query ORDER BY points DESC, id) <= 100),
-tl AS (SELECT DISTINCT id, trim(unnest(regexp_split_to_array(title, '[,，、;；。.\\n\\r|/]+'))) AS term FROM e),
+_HYBRID = "WITH " + _ENTRIES + f""",
+rt(route, channel, col, weight, boost) AS (VALUES {_ROUTES}),
+x AS (SELECT id, {', '.join(f"regexp_extract_all({f}, '[a-z0-9]+') AS {c}" for c, f in _COLUMNS.items())}, regexp_extract_all({_ALL}, '[a-z0-9]+') AS "all" FROM e),
+len AS (SELECT id, {' + '.join(f'len("{c}")' for c in COLUMN_WEIGHTS)} AS n FROM x),
+tok AS ({' UNION ALL '.join(f"SELECT id, '{c}' AS col, unnest(" + '"' + c + '"' + ") AS token FROM x" for c in COLUMN_WEIGHTS)}),
+ph AS (SELECT query, channel, i, phrase FROM (SELECT query, unnest(p) AS phrase, unnest(range(1, len(p) + 1)) AS i FROM p), LATERAL (SELECT {_DEALT} AS channel)),
+pa AS (SELECT * FROM ph UNION ALL SELECT query, 'all', i, phrase FROM ph),
+tk0 AS (SELECT query, route, col, weight, i, unnest(regexp_extract_all(phrase, '[a-z0-9]+')) AS token FROM pa JOIN rt USING (channel)),
+tk1 AS (SELECT query, route, col, weight, token, min(i) AS i FROM tk0 GROUP BY ALL),
+tk AS (SELECT * FROM tk1 QUALIFY row_number() OVER (PARTITION BY query, route ORDER BY i) <= 96),
+hh AS (SELECT col, token, id, count(*) AS tf FROM tok WHERE token IN (SELECT token FROM tk) GROUP BY ALL),
+ff AS (SELECT col, token, greatest(0.000001, ln(((SELECT count(*) FROM len) - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM hh GROUP BY ALL),
+sc AS (SELECT query, route, h.id, sum(idf * tf * weight * 2.2 / (tf * weight + 1.2 * (0.25 + 0.75 * n / (SELECT avg(n) FROM len)))) AS score FROM tk JOIN ff USING (col, token) JOIN hh h USING (col, token) JOIN len l ON l.id = h.id GROUP BY ALL),
+ft AS (SELECT query, id, boost + least(14.0, 2.5 * greatest(0, score)) AS points, route FROM (SELECT *, row_number() OVER (PARTITION BY query, route ORDER BY round(score, 6) DESC, id) AS k FROM sc) JOIN rt USING (route) WHERE k <= 360),
+nm AS (SELECT query, id, CASE WHEN name = phrase THEN 100.0 ELSE 55.0 END AS points, CASE WHEN name = phrase THEN '方名精确匹配' ELSE '方名包含匹配' END AS route FROM ph JOIN e ON contains(name, phrase) WHERE channel = 'formula_names'
+       QUALIFY row_number() OVER (PARTITION BY query, phrase ORDER BY points DESC, id) <= 100),
+tl AS (SELECT DISTINCT id, unnest({phrases_sql('name')}) AS term FROM e),
 te AS (SELECT DISTINCT term FROM tl WHERE length(term) >= 2),
-tp AS (SELECT query, unnest(p[1:30]) AS phrase FROM p),
-tm AS (SELECT query, phrase, term, CASE WHEN term = phrase THEN 22.0 ELSE 9.0 END AS points FROM tp JOIN te ON contains(phrase, term) OR contains(term, phrase) WHERE length(phrase) >= 2 QUALIFY row_number() OVER (PARTITION BY query, phrase ORDER BY points DESC, term) <= 500),
-tr AS (SELECT query, id, sum(points) AS points, 'term' AS route FROM tm JOIN tl USING (term) GROUP BY ALL),
+tq AS (SELECT query, phrase FROM (SELECT query, phrase, CASE channel WHEN 'symptoms' THEN 1 WHEN 'syndromes' THEN 2 ELSE 3 END AS c, i FROM ph) QUALIFY row_number() OVER (PARTITION BY query ORDER BY c, i) <= 30),
+tm AS (SELECT query, phrase, term, id, CASE WHEN term = phrase THEN 22.0 ELSE 9.0 END AS points FROM tq JOIN te ON contains(phrase, term) OR contains(term, phrase) JOIN tl USING (term) WHERE length(phrase) >= 2
+       QUALIFY row_number() OVER (PARTITION BY query, phrase ORDER BY points DESC, term, id) <= 500),
+tr AS (SELECT query, id, sum(points) AS points, '附编病证索引' AS route FROM tm GROUP BY ALL),
 fd AS (SELECT * FROM ft UNION ALL SELECT * FROM nm UNION ALL SELECT * FROM tr),
 fp AS (SELECT query, unnest(p[1:10]) AS phrase FROM p WHERE query NOT IN (SELECT query FROM fd)),
-fb AS (SELECT query, id, 4.0 * count(*) AS points, 'fallback' AS route FROM (SELECT query, phrase, id FROM fp JOIN e ON contains(title, phrase) OR contains(body, phrase) QUALIFY row_number() OVER (PARTITION BY query, phrase ORDER BY id) <= 300) GROUP BY ALL),
-hy AS (SELECT query, id, sum(points) AS points, count(DISTINCT route) AS n_routes FROM (SELECT * FROM fd UNION ALL SELECT * FROM fb) GROUP BY query, id QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(sum(points), 6) DESC, id) <= 1200)
+fb AS (SELECT query, id, 4.0 * count(*) AS points, '短词兜底召回' AS route FROM (SELECT query, phrase, id FROM fp JOIN e ON contains(name, phrase) OR contains(indications, phrase) OR contains(actions, phrase)
+       QUALIFY row_number() OVER (PARTITION BY query, phrase ORDER BY id) <= 300) GROUP BY ALL),
+hy AS (SELECT query, id, sum(points) AS points, list_sort(list_distinct(list(route))) AS routes FROM (SELECT * FROM fd UNION ALL SELECT * FROM fb) GROUP BY query, id QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(sum(points), 6) DESC, id) <= 1200)
+"""
+
+
+def _fit_sql(candidates: str, phrases: str = "ph") -> str:
+    """fit(query, id, worth, rich, possible, found) of the rows of ``candidates`` (query, id)."""
+    return f"""
+sp(channel, turn, field, weight, choice, label) AS (VALUES {_SPECS}),
+pc AS (SELECT query, channel, i, phrase FROM {phrases} UNION ALL SELECT query, 'free_text', i, phrase FROM {phrases}),
+up AS (SELECT DISTINCT phrase FROM pc),
+uf AS ({' UNION ALL '.join(f"SELECT id, '{f}' AS field, {f} AS text FROM e WHERE id IN (SELECT id FROM {candidates})" for f in ('name', 'actions', 'indications', 'modifications', 'other_text'))}),
+si AS (SELECT phrase, id, field, {sim('phrase', 'text')} AS s FROM up, uf WHERE s > 0),
+ma AS (SELECT * FROM (SELECT channel, turn, phrase, id, s, label, s * weight AS worth FROM (SELECT DISTINCT channel, phrase FROM pc) JOIN sp USING (channel) JOIN si USING (phrase, field)
+       QUALIFY row_number() OVER (PARTITION BY channel, phrase, id ORDER BY s * weight DESC, choice) = 1) WHERE s >= 0.5),
+wo AS (SELECT query, id, sum(worth) AS worth, list(struct_pack(turn := turn, i := i, channel := channel, phrase := phrase, label := label) ORDER BY turn, i) AS found FROM pc JOIN ma USING (channel, phrase) JOIN {candidates} USING (query, id) GROUP BY ALL),
+po AS (SELECT query, sum(m) AS possible FROM pc JOIN (SELECT channel, max(weight) AS m FROM sp GROUP BY channel) USING (channel) GROUP BY query),
+fit AS (SELECT c.query, c.id, coalesce(worth, 0) AS worth, least(6.0, 0.75 * ({' + '.join(f"({f} <> '')::INT" for f in FIELDS)})) AS rich, possible, coalesce(found, []) AS found,
+  CASE WHEN possible > 0 THEN CAST(round_even(100 * coalesce(worth, 0) / possible, 0) AS INTEGER) ELSE 0 END AS coverage
+  FROM {candidates} c JOIN e USING (id) LEFT JOIN wo USING (query, id) LEFT JOIN po USING (query))
 """
 
 
+def entries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as entries: lines are fields, in normal form."""
+    docs = table(spark, sf_dir, "documents")
+    lines = F.split("text", "\n")
+    line = lambda n: X.plain(F.get(lines, F.lit(n - 1)))
+    rows = docs.select(F.col("doc_id").alias("id"), X.normalize(F.col("text")).alias("text"), X.normalize(F.col("source")).alias("source_text"), F.col("lang").alias("usage_text"))
+    return rows.select(
+        "id", line(1).alias("name"), "source_text", line(4).alias("composition"), "usage_text", line(2).alias("actions"), line(3).alias("indications"), line(5).alias("modifications"), line(6).alias("cautions"),
+        F.trim(F.array_join(F.slice(lines, 7, 2**31 - 1), "\n"), F.lit(X.WHITE)).alias("other_text"),
+    )
+
+
+def column_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    columns = {c: F.col(f) for c, f in _COLUMNS.items()} | {"all": F.concat_ws(" ", "name", *FIELDS)}
+    return search.index_of(table(spark, sf_dir, "documents"), entries_of(spark, sf_dir), "id", columns)
+
+
+def asked_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query, channel, place, phrase): every phrase of a query, dealt to the channels in turn."""
+    placed = phrased(spark, sf_dir).select("query", F.posexplode("p").alias("place", "phrase"))
+    return placed.select("query", F.element_at(F.array(*map(F.lit, DEALT)), F.col("place") % len(DEALT) + 1).alias("channel"), "place", "phrase")
+
+
+def with_free_text(asked: DataFrame) -> DataFrame:
+    return asked.unionByName(asked.withColumn("channel", F.lit("free_text")))
+
+
 def phrased(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries (query, text, p): p holds their phrases, each once."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
-    return asked.withColumn("p", X.split_phrases(X.normalize(F.col("text"))))
+    return asked.withColumn("p", X.split_phrases(F.col("text")))
 
 
-def plain_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = parts(spark, sf_dir)
-    return rows.select("id", *(X.normalize(F.col(f)).alias(f) for f in ("title", "body", "source")))
+def term_index_hits(spark: SparkSession, sf_dir: str, entries: DataFrame, asked: DataFrame) -> DataFrame:
+    """Hits of the symptom, syndrome and free phrases of each query, the first of them, in an
+    index of the words of names."""
+    links = search.stored(entries.select("id", F.explode(X.split_phrases(F.col("name"))).alias("term_id")))
+    terms = links.select("term_id", F.col("term_id").alias("term")).distinct()
+    turn = F.when(F.col("channel") == "symptoms", 1).when(F.col("channel") == "syndromes", 2).otherwise(3)
+    first = search.capped(asked, ["query"], [turn, F.col("place")], search.TERM_PHRASES).select("query", "phrase")
+    return search.stored(search.term_hits(terms, links, first).select("query", "phrase", "id", "points", "term_id"))
 
 
-def recalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def recalled(spark: SparkSession, sf_dir: str, hits: DataFrame | None = None) -> DataFrame:
     """(query, id, points, routes): full-text routes, names, terms, and what is left to the
     last resort."""
-    asked, entries = phrased(spark, sf_dir), plain_parts(spark, sf_dir)
-    texts = F.array(*(F.struct(F.lit(r).alias("route"), (F.col("text") if n == 0 else F.get("p", F.lit(n - 1))).alias("text")) for r, (_, _, n) in ROUTES.items()))
-    channels = asked.select("query", F.explode(texts).alias("c")).select("query", "c.*")
-    tokens = channels.select("query", "route", F.explode(F.slice(F.array_distinct(X.search_tokens(F.col("text"))), 1, search.QUERY_TOKENS)).alias("token"))
-    weights = spark.createDataFrame([(r, f, FIELD_WEIGHTS[f]) for r, (_, fields, _) in ROUTES.items() for f in fields], "route string, field string, weight double")
-    text_routes = search.routes(search.bm25_routes(*index(spark, sf_dir), tokens, weights), {r: boost for r, (boost, _, _) in ROUTES.items()})
-    names = search.name_route(entries.select("id", F.col("title").alias("name")), asked.select("query", F.get("p", F.lit(0)).alias("asked")))
-    links = entries.select("id", F.explode(X.split_phrases(F.col("title"))).alias("term_id"))
-    terms = links.select("term_id", F.col("term_id").alias("term")).distinct()
-    phrases = lambda n: asked.select("query", F.explode(F.slice("p", 1, n)).alias("phrase"))
-    found = search.stored(text_routes.unionByName(names).unionByName(search.term_route(terms, links, phrases(search.TERM_PHRASES))))
-    last = search.fallback_route(found, phrases(search.FALLBACK_PHRASES), entries, ["title", "body"])
+    asked, entries = search.stored(asked_phrases(spark, sf_dir)), entries_of(spark, sf_dir)
+    hits = term_index_hits(spark, sf_dir, entries, asked) if hits is None else hits
+    label = {channel: f"{name}字段召回" for name, channel, _, _ in ROUTES}
+    routed = asked.filter(F.col("channel").isin(list(label))).unionByName(asked.withColumn("channel", F.lit("all")))
+    named = F.element_at(F.create_map(*(F.lit(x) for kv in label.items() for x in kv)), F.col("channel"))
+    parts = routed.select("query", named.alias("route"), "place", F.posexplode(X.tokens_of(F.col("phrase"))).alias("part", "token"))
+    once = parts.groupBy("query", "route", "token").agg(F.min(F.struct("place", "part")).alias("at"))
+    tokens = search.capped(once, ["query", "route"], [F.col("at")], search.QUERY_TOKENS).select("query", "route", "token")
+    weights = spark.createDataFrame([(label[channel], column, COLUMN_WEIGHTS[column]) for _, channel, column, _ in ROUTES], "route string, field string, weight double")
+    text_routes = search.routes(search.bm25_routes(*column_index(spark, sf_dir), tokens, weights), {label[channel]: boost for _, channel, _, boost in ROUTES})
+    names = search.name_route(entries.select("id", "name"), asked.filter("channel = 'formula_names'").select("query", F.col("phrase").alias("asked")))
+    found = search.stored(text_routes.unionByName(names).unionByName(search.term_route(hits)))
+    first = asked.filter(F.col("place") < search.FALLBACK_PHRASES).select("query", "phrase")
+    last = search.fallback_route(found, first, entries, ["name", "indications", "actions"])
     return search.merge_routes([found, last])
 
 
-@query(_HYBRID + "SELECT query, id, round(points, 4) AS points, n_routes FROM hy")
+@query(_HYBRID + "SELECT query, id, round(points, 4) AS points, len(routes) AS n_routes FROM hy")
 def hybrid_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All routes added up, at most 1200 candidates a query."""
     return recalled(spark, sf_dir).select("query", "id", F.round("points", 4).alias("points"), F.size("routes").cast("long").alias("n_routes"))
@@ -141,7 +244,9 @@ def name_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     names = part.select("p_name").distinct()
     wanted = names.select(F.col("p_name").alias("asked"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("word"))
-    hits = search.in_blocks(names, wanted, F.contains("p_name", F.col("word")))
+    texts = names.select(F.col("p_name").alias("id"), F.col("p_name").alias("text"))
+    held = search.holding(texts, wanted.select(F.col("word").alias("phrase"))).select(F.col("phrase").alias("word"), F.col("id").alias("p_name"))
+    hits = wanted.join(held, "word")
     best = hits.groupBy("p_name").agg(F.count("*").alias("n_recalled"), F.max(F.when(F.col("p_name") == F.col("asked"), 100).otherwise(55)).alias("best"))
     return part.join(best, "p_name").select("p_partkey", "n_recalled", "best")
 
@@ -167,43 +272,68 @@ def bidir_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.join(counts, "phrase").groupBy("item_id").agg(F.sum("t").alias("n_terms"), F.sum("e").alias("n_exact"), F.sum("h").alias("n_held"))
 
 
-def sim(phrase: str, text: str) -> str:
-    """Phrase similarity in SQL."""
-    grams = f"list_distinct(list_transform(range(1, greatest(2, length({phrase}))), lambda i: substr({phrase}, i, 2)))"
-    share = f"list_avg(list_transform({grams}, lambda g: CAST(contains({text}, g) AS INTEGER)))"
-    return f"(CASE WHEN {phrase} = '' OR {text} = '' THEN 0.0 WHEN contains({text}, {phrase}) THEN 1.0 ELSE {share} END)"
+@query(_HYBRID + "," + _fit_sql("hy") + "SELECT query, id, round(worth + rich, 4) AS fit, coverage FROM fit")
+def rerank_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates of each query, by how well they cover its phrases."""
+    asked = search.stored(with_free_text(asked_phrases(spark, sf_dir)))
+    fitted, _ = search.rerank(recalled(spark, sf_dir), asked, entries_of(spark, sf_dir), CHANNELS, list(FIELDS))
+    return fitted.withColumn("fit", F.round("fit", 4))
 
 
-#: Weights of the fields that a query's first phrase and its others are matched with.
-RERANK = {"first": {"title": 10.0, "body": 6.0}, "rest": {"body": 6.0, "source": 2.0}}
+_LIMITS = ", ".join(f"('{label}', {search.SHOWN[label]}, '{f}')" for f, label in FIELDS.items())
 
 
-@query(_HYBRID + f""",
-ph AS (SELECT query, unnest(p) AS phrase, unnest(range(1, len(p) + 1)) AS i FROM p),
-y AS (SELECT hy.query, hy.id, i, {sim('phrase', 'title')} AS st, {sim('phrase', 'body')} AS sb, {sim('phrase', 'source')} AS ss,
-        0.75 * ((title <> '')::INT + (body <> '')::INT + (source <> '')::INT) AS rich FROM hy JOIN ph USING (query) JOIN e USING (id)),
-z AS (SELECT query, id, rich, CASE WHEN i = 1 THEN 10.0 ELSE 6.0 END AS possible,
-        CASE WHEN i = 1 THEN CASE WHEN st * 10 >= sb * 6 THEN CASE WHEN st >= 0.5 THEN st * 10 ELSE 0 END WHEN sb >= 0.5 THEN sb * 6 ELSE 0 END
-             ELSE CASE WHEN sb * 6 >= ss * 2 THEN CASE WHEN sb >= 0.5 THEN sb * 6 ELSE 0 END WHEN ss >= 0.5 THEN ss * 2 ELSE 0 END END AS worth FROM y)
-SELECT query, id, round(sum(worth) + max(rich), 4) AS fit, CAST(round_even(100 * sum(worth) / sum(possible), 0) AS INTEGER) AS coverage FROM z GROUP BY ALL
+@query(_HYBRID + "," + _fit_sql("hy") + f""",
+sco AS (SELECT hy.query, hy.id, name, points + worth + rich AS score, coverage, routes, found FROM hy JOIN fit USING (query, id) JOIN e USING (id)),
+one AS (SELECT * FROM sco QUALIFY row_number() OVER (PARTITION BY query, name ORDER BY round(score, 6) DESC, coverage DESC, id) = 1),
+top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, coverage DESC, id) AS rank FROM one QUALIFY rank <= 5),
+why AS (SELECT *, routes || list_transform(found, lambda f: f.label || '命中：' || f.phrase) AS r FROM top),
+th AS (SELECT query, id, string_agg(phrase || '>' || term, ';' ORDER BY points DESC, term, phrase) AS term_hits FROM (SELECT tm.* FROM tm JOIN top USING (query, id) QUALIFY row_number() OVER (PARTITION BY query, id ORDER BY points DESC, term, phrase) <= 8) GROUP BY ALL)
+SELECT why.query, CAST(rank AS INTEGER) AS rank, why.id, why.name, round(score, 4) AS score, coverage, array_to_string(({FIRST.format('r')})[1:12], ';') AS reasons,
+  array_to_string(list_transform(found, lambda f: f.channel || '=' || f.phrase), ';') AS matched, coalesce(term_hits, '') AS term_hits,
+  array_to_string(list_filter([{', '.join(f"CASE WHEN length({f}) > {search.SHOWN[label]} THEN '{label}' END" for f, label in FIELDS.items())}], lambda x: x IS NOT NULL), ';') AS cut,
+  '《中医方剂大辞典》第' || (why.id % 10 + 1) || '册，PDF第' || (why.id % 700) || '页' AS citation
+FROM why JOIN e ON e.id = why.id LEFT JOIN th ON th.query = why.query AND th.id = why.id
 """)
-def rerank_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All candidates of each query, by how well they cover its phrases."""
-    candidates = recalled(spark, sf_dir)
-    channel = F.when(F.col("place") == 0, "first").otherwise("rest")
-    phrases = phrased(spark, sf_dir).select("query", F.posexplode("p").alias("place", "phrase")).select("query", channel.alias("channel"), "phrase")
-    return search.rerank(candidates, phrases, plain_parts(spark, sf_dir), RERANK, rich=["title", "body", "source"]).withColumn("fit", F.round("fit", 4))
+def search_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole search: recall over all routes, reranking with the points of recall, one
+    entry of a name, the best five with reasons, matched terms, hits and citations."""
+    entries = entries_of(spark, sf_dir)
+    asked = search.stored(asked_phrases(spark, sf_dir))
+    hits = term_index_hits(spark, sf_dir, entries, asked)
+    candidates = search.stored(recalled(spark, sf_dir, hits))
+    every = search.stored(with_free_text(asked))
+    fitted, found = search.rerank(candidates, every, entries, CHANNELS, list(FIELDS))
+    scored = candidates.join(fitted, ["query", "id"]).join(entries.select("id", "name"), "id").withColumn("score", F.col("points") + F.col("fit"))
+    order = [F.desc(F.round("score", 6)), F.desc("coverage"), F.col("id")]
+    top = search.stored(search.diversify(scored, "name", order, 5).select("query", "rank", "id", "name", "score", "coverage", "routes"))
+    why = search.explained(top, every, found, CHANNELS, hits).join(entries.drop("name"), "id")
+    fields = F.create_map(*(x for f, label in FIELDS.items() for x in (F.lit(label), F.col(f))))
+    _, cut = search.shown_fields(fields)
+    matched = F.flatten(F.transform(F.map_entries("matched_terms"), lambda e: F.transform(e["value"], lambda v: F.concat(e["key"], F.lit("="), v))))
+    listed = F.transform(F.coalesce("term_hits", F.array().cast("array<struct<__points:double,term_id:string,phrase:string>>")), lambda h: F.concat(h["phrase"], F.lit(">"), h["term_id"]))
+    cited = search.citation((F.col("id") % 10 + 1), F.array(F.col("id") % 700), F.array().cast("array<int>"))
+    return why.select(
+        "query", "rank", "id", "name", F.round("score", 4).alias("score"), "coverage", F.array_join("reasons", ";").alias("reasons"), F.array_join(matched, ";").alias("matched"),
+        F.array_join(listed, ";").alias("term_hits"), F.array_join(cut, ";").alias("cut"), cited.alias("citation"),
+    )
 
 
-@query("WITH " + _TOKENS + """,
-a AS (SELECT query, id, score + CASE WHEN lang = 'en' THEN 18 ELSE 5 END AS points FROM bm JOIN labels l ON l.doc_id = id JOIN documents t ON t.doc_id = id WHERE quality = 1)
-SELECT query, id, round(points, 4) AS points FROM a QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(points, 6) DESC, id) <= 12
+@query("WITH " + _ENTRIES + f""",
+ph AS (SELECT query, channel, i, phrase FROM (SELECT query, unnest(p) AS phrase, unnest(range(1, len(p) + 1)) AS i FROM p), LATERAL (SELECT {_DEALT} AS channel)),
+al AS (SELECT l.doc_id AS id, max(CASE WHEN lang = 'en' THEN 18 ELSE 5 END) AS boost FROM labels l JOIN documents t USING (doc_id) WHERE quality = 1 GROUP BY 1),
+cd AS (SELECT query, id FROM p, al),
+{_fit_sql('cd')}
+SELECT query, id, round(boost + worth + rich, 4) AS points, coverage FROM fit JOIN al USING (id) QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(boost + worth + rich, 6) DESC, coverage DESC, id) <= 12
 """)
 def subset_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search inside an audited subset, with boosts."""
-    allowed = labelled(spark, sf_dir).filter("quality = 1").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", 18).otherwise(5).alias("boost"))
-    ranked = scored(spark, sf_dir).join(allowed, "id").select("query", "id", (F.col("score") + F.col("boost")).alias("points"))
-    return search.capped(ranked, ["query"], [F.desc(F.round("points", 6)), F.col("id")], 12).withColumn("points", F.round("points", 4))
+    boost = F.max(F.when(F.col("lang") == "en", 18).otherwise(5)).cast("double")
+    allowed = search.stored(labelled(spark, sf_dir).filter("quality = 1").groupBy(F.col("doc_id").alias("id")).agg(boost.alias("boost")))
+    asked = search.stored(with_free_text(asked_phrases(spark, sf_dir)))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"))
+    best = search.within(allowed, queries, asked, entries_of(spark, sf_dir), CHANNELS, list(FIELDS), 12)
+    return best.select("query", "id", F.round("score", 4).alias("points"), "coverage")
 
 
 #: Prototypes of layered search: treatment terms, mechanism terms, direction, attacking or not.
@@ -213,6 +343,10 @@ PROTOTYPES = [
 ]
 
 
+#: Parts of a profile that a query's phrases are dealt to in turn.
+SLOTS = ("primary_treatment", "secondary_treatment", "adjunct_treatment", "primary_pathogenesis", "secondary_pathogenesis", "concurrent_pathogenesis", "clinical")
+
+
 def _layered_sql() -> str:
     """The same grades and scores, stated over lists."""
     text = lambda x: "'" + x + "'"
@@ -228,68 +362,84 @@ def _layered_sql() -> str:
         return f"(CASE WHEN {weight} > 0 THEN ({total}) / ({weight}) ELSE 1.0 END)"
 
     treatments = [("t1", 0.6), ("t2", 0.25), ("t3", 0.15)]
-    paths = [("g1", 0.65), ("g2", 0.2)]
+    paths = [("g1", 0.65), ("g2", 0.2), ("g3", 0.15)]
     points = lambda terms, said, most, per, more: f"coalesce(list_max(list_transform(list_filter({terms}, lambda t: {sim('t', said)} >= 0.65), lambda t: {sim('t', said)} * least({most}, length(t) * {per} + {more}))), 0.0)"
 
     def annotated(name: str, source: str) -> str:
         return f"""{name}0 AS (SELECT c.*, e.*, pr.* EXCLUDE (query), list_filter(ep.ps, lambda x: list_contains(coalesce(r.ps, []), x)) AS shared, list_filter(ep.ps, lambda x: list_contains(['t4', 't5'], x) AND NOT list_contains(coalesce(r.ps, []), x)) AS unrouted
-  FROM {source} c JOIN e USING (id) JOIN prof pr USING (query) JOIN ep USING (id) LEFT JOIN rp r ON r.query = c.query),
+  FROM {source} c JOIN le e USING (id) JOIN prof pr USING (query) JOIN ep USING (id) LEFT JOIN rp r ON r.query = c.query),
 {name}1 AS (SELECT *, flatten(list_transform(shared, lambda x: {terms_of}[x])) AS rt, list_transform(shared, lambda x: {way_of}[x]) AS dirs FROM {name}0),
 {name} AS (SELECT query, id, source, layer, rank, unrouted,
   greatest({weighted(treatments, lambda t: sim(t, 'title'))}, {weighted(treatments, lambda t: best(t, 'rt'))}) AS tc, {weighted(paths, lambda t: sim(t, "(body || '；' || title)"))} AS pc, {mean('cl', lambda t: sim(t, 'body'))} AS cc,
   (title = '')::INT * 2 + (body = '')::INT AS missing,
-  CASE WHEN contains(nature, '寒') AND NOT contains(nature, '热') AND list_contains(dirs, 'cooling') AND NOT list_contains(dirs, 'warming') THEN 1
-       WHEN contains(nature, '热') AND NOT contains(nature, '寒') AND list_contains(dirs, 'warming') AND NOT list_contains(dirs, 'cooling') THEN 1 ELSE 0 END AS conflicts FROM {name}1),
+  contains(nature, '寒') AND list_contains(dirs, 'cooling') AND NOT list_contains(dirs, 'warming') AS cold,
+  contains(nature, '热') AND list_contains(dirs, 'warming') AND NOT list_contains(dirs, 'cooling') AS heat, cold::INT + heat::INT AS conflicts, t1, t2, t3, title, rt FROM {name}1),
 {name}g AS (SELECT *, CASE WHEN missing = 0 AND tc >= 0.5 AND (pc >= 0.2 OR cc >= 0.35) AND conflicts = 0 AND len(unrouted) = 0 THEN '较高' WHEN missing = 0 AND tc >= 0.3 AND conflicts = 0 THEN '需复核' ELSE '不足' END AS grade,
-  CASE WHEN layer = 'core' THEN 100 ELSE 82 END - 2 * rank + 28 * tc + 14 * pc + 12 * cc - 45 * conflicts - 12 * missing - 28 * len(unrouted) AS total FROM {name})"""
+  CASE WHEN layer = 'core' THEN 100 ELSE 82 END - 2 * rank + 28 * tc + 14 * pc + 12 * cc - 45 * conflicts - 12 * missing - 28 * len(unrouted) AS total,
+  concat_ws(';', CASE WHEN len(list_filter(t1 || t2 || t3, lambda t: {sim('t', 'title')} < 0.5 AND {best('t', 'rt')} < 0.5)) > 0 THEN 'treatment_not_covered' END, CASE WHEN missing > 0 THEN 'facts_missing' END,
+    CASE WHEN cold THEN 'cold_but_cooling' END, CASE WHEN heat THEN 'heat_but_warming' END, CASE WHEN len(unrouted) > 0 THEN 'attacking_not_routed' END) AS cautions FROM {name})"""
 
+    dealt = ", ".join(f"list_filter(p, lambda x, i: (i - 1) % {len(SLOTS)} = {n}) AS {s}" for n, s in enumerate(("t1", "t2", "t3", "g1", "g2", "g3", "cl")))
     return _HYBRID + f""",
+le AS (SELECT e.id, name AS title, lower(trim(text)) AS body, source_text AS source FROM e JOIN documents ON doc_id = e.id),
 pt(p, tt, mt, dir, attack) AS (VALUES {values}),
-prof AS (SELECT query, list_filter([p[1]], lambda x: x IS NOT NULL) AS t1, list_filter([p[2]], lambda x: x IS NOT NULL) AS t2, list_filter([p[3]], lambda x: x IS NOT NULL) AS t3, list_filter([p[2]], lambda x: x IS NOT NULL) AS g1,
-  list_filter([p[3]], lambda x: x IS NOT NULL) AS g2, list_filter([p[1], p[3]], lambda x: x IS NOT NULL) AS cl, CASE query % 3 WHEN 0 THEN '寒' WHEN 1 THEN '热' ELSE '' END || '；' || concat_ws('；', p[2], p[3]) AS nature FROM p),
-sd AS (SELECT query, array_to_string(t1 || t2 || t3, '；') AS st, array_to_string(g1 || g2, '；') AS sm, t1 || t2 || t3 AS ts FROM prof),
+prof0 AS (SELECT query, {dealt} FROM p),
+prof AS (SELECT *, CASE query % 3 WHEN 0 THEN '寒' WHEN 1 THEN '热' ELSE '' END AS nature FROM prof0),
+sd AS (SELECT query, array_to_string(t1 || t2 || t3, '；') AS st, array_to_string(g1 || g2 || g3, '；') AS sm, t1 || t2 || t3 AS ts FROM prof),
 rs AS (SELECT query, p, {points('tt', 'st', 14, 2, 0)} + 3 * len(list_filter(ts, lambda t: {best('t', 'tt')} >= 0.5)) + {points('mt', 'sm', 8, 1, 2)} AS s FROM sd, pt),
 rr AS (SELECT query, p, row_number() OVER (PARTITION BY query ORDER BY s DESC, p) - 1 AS position FROM rs WHERE s > 0 QUALIFY position < 3),
 rp AS (SELECT query, list(p) AS ps FROM rr GROUP BY query),
-ep AS (SELECT id, list(p ORDER BY p) FILTER (len(list_filter(tt, lambda t: contains(body, t))) > 0) AS ps0, coalesce(ps0, []) AS ps FROM e, pt GROUP BY id),
+ep AS (SELECT id, list(p ORDER BY p) FILTER (len(list_filter(tt, lambda t: contains(body, t))) > 0) AS ps0, coalesce(ps0, []) AS ps FROM le, pt GROUP BY id),
 co AS (SELECT query, id, min(position) AS position FROM (SELECT id, unnest(ps) AS p FROM ep JOIN labels l ON l.doc_id = id AND quality = 1 AND toxic = 0) JOIN rr USING (p) GROUP BY ALL),
-cr AS (SELECT query, id, 'core' AS layer, row_number() OVER (PARTITION BY query ORDER BY round(coalesce(score, 0) + 42 - 8 * position + CASE WHEN id % 10 = 0 THEN 5 ELSE 0 END, 6) DESC, id) - 1 AS rank FROM co LEFT JOIN bm USING (query, id) QUALIFY rank < 12),
+bo AS (SELECT query, id FROM co UNION SELECT query, id FROM hy),
+{_fit_sql('bo')},
+cr AS (SELECT query, id, 'core' AS layer, row_number() OVER (PARTITION BY query ORDER BY round(worth + rich + 42 - 8 * position + CASE WHEN id % 10 = 0 THEN 5 ELSE 0 END, 6) DESC, coverage DESC, id) - 1 AS rank FROM co JOIN fit USING (query, id) QUALIFY rank < 12),
 {annotated('ca', 'cr')},
-ar AS (SELECT query, id, 'archive' AS layer, row_number() OVER (PARTITION BY query ORDER BY round(points, 6) DESC, id) - 1 AS rank FROM hy WHERE query NOT IN (SELECT query FROM cag WHERE grade = '较高') QUALIFY rank < 12),
+ar AS (SELECT query, id, 'archive' AS layer, row_number() OVER (PARTITION BY query ORDER BY round(points + worth + rich, 6) DESC, coverage DESC, id) - 1 AS rank FROM hy JOIN fit USING (query, id) WHERE query NOT IN (SELECT query FROM cag WHERE grade = '较高') QUALIFY rank < 12),
 {annotated('aa', 'ar')},
 un AS (SELECT * FROM cag UNION ALL SELECT * FROM aag),
 sg AS (SELECT * FROM un WHERE grade <> '不足' QUALIFY row_number() OVER (PARTITION BY query, source ORDER BY round(total, 6) DESC, id, layer) = 1)
-SELECT query, id, layer, grade AS consistency, round(total, 3) AS selection_score FROM sg QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(total, 6) DESC, id) <= 10
+SELECT query, id, layer, grade AS consistency, round(total, 8) AS selection_score, cautions FROM sg QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(total, 6) DESC, id) <= 10
 """
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries as profiles: their phrases as treatments, pathogenesis and clinical signs."""
-    given = lambda *places: F.array_compact(F.array(*(F.get("p", F.lit(i - 1)) for i in places)))
+    """Queries as profiles: their phrases dealt to treatments, pathogenesis and clinical signs."""
+    of = lambda n: F.filter("p", lambda x, i: i % len(SLOTS) == n)
+    dealt = [of(n).alias(s) for n, s in enumerate(SLOTS)]
     nature = F.when(F.col("query") % 3 == 0, "寒").when(F.col("query") % 3 == 1, "热").otherwise("")
-    return phrased(spark, sf_dir).select(
-        "query", F.array(nature).alias("nature"), given(1).alias("primary_treatment"), given(2).alias("secondary_treatment"), given(3).alias("adjunct_treatment"), given(2).alias("primary_pathogenesis"),
-        given(3).alias("secondary_pathogenesis"), F.array().cast("array<string>").alias("concurrent_pathogenesis"), given(1, 3).alias("clinical"), given(1, 2, 3).alias("treatments"), given(2, 3).alias("mechanisms"),
-    )
+    rows = phrased(spark, sf_dir).select("query", F.array(nature).alias("nature"), *dealt)
+    return rows.select("*", F.concat(*SLOTS[:3]).alias("treatments"), F.concat(*SLOTS[3:6]).alias("mechanisms"))
+
+
+def plain_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries as a title, the whole text and a source, in normal form."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), X.normalize(F.col("text")).alias("body"), X.normalize(F.col("source")).alias("source"))
+    return docs.select("id", X.plain(F.split_part("body", F.lit("\n"), F.lit(1))).alias("title"), "body", "source")
 
 
 @query(_layered_sql())
 def layered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Core entries by the prototypes that a profile is routed to; the archive for queries
     whose core entries hold no high grade; grades and scores read backwards."""
-    profile = profiles(spark, sf_dir)
+    profile = search.stored(profiles(spark, sf_dir))
     prototypes = spark.createDataFrame([p[:4] for p in PROTOTYPES], "prototype string, treatment_terms array<string>, mechanism_terms array<string>, direction string")
-    routed = layered.route(profile, prototypes)
+    routed = search.stored(layered.route(profile, prototypes))
     holds = lambda terms: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains("body", t))
     own = F.array_compact(F.array(*(F.when(holds(terms), F.lit(n)) for n, terms, _, _, _ in PROTOTYPES)))
-    entries = plain_parts(spark, sf_dir).withColumn("prototypes", own)
+    entries = search.stored(plain_parts(spark, sf_dir).withColumn("prototypes", own))
     good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select(F.col("doc_id").alias("id")).distinct()
-    core = layered.core_records(entries.join(good, "id", "left_semi").select("id", "prototypes"), routed)
+    core = search.stored(layered.core_records(entries.join(good, "id", "left_semi").select("id", "prototypes"), routed))
+    asked = search.stored(with_free_text(asked_phrases(spark, sf_dir)))
+    whole = entries_of(spark, sf_dir)
+    candidates = search.stored(recalled(spark, sf_dir))
+    ids = core.select("id").union(candidates.select("id")).distinct()
+    found = search.matches(asked, whole.join(ids, "id", "left_semi"), CHANNELS)
     boost = layered.core_boost(F.col("position"), F.lit(False), F.col("id") % 10 == 0)
-    ranked = core.join(scored(spark, sf_dir), ["query", "id"], "left").select("query", "id", (F.coalesce("score", F.lit(0.0)) + boost).alias("points"))
+    ranked = core.join(search.fitted(core.select("query", "id"), asked, whole, found, CHANNELS, list(FIELDS)), ["query", "id"]).withColumn("points", F.col("fit") + boost)
 
-    def annotated(found: DataFrame, layer: str) -> DataFrame:
-        top = search.best_ranked(found, ["query"], [F.desc(F.round("points", 6)), F.col("id")], 12)
+    def annotated(rows: DataFrame, layer: str) -> DataFrame:
+        top = search.best_ranked(rows, ["query"], [F.desc(F.round("points", 6)), F.desc("coverage"), F.col("id")], 12)
         fields = F.create_map(*(x for name, f in (("方源", "source"), ("组成", "title"), ("功用", "title"), ("主治", "body")) for x in (F.lit(name), F.col(f))))
         said = routed.groupBy("query").agg(F.collect_set("prototype").alias("routed"))
         rows = top.join(entries, "id").join(profile, "query").join(said, "query", "left").withColumn("routed", F.coalesce("routed", F.array().cast("array<string>")))
@@ -302,13 +452,15 @@ def layered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.array_except(F.array_intersect("prototypes", attacking), "routed").alias("unrouted"), F.transform(both, lambda p: F.element_at(of(3), p)).alias("directions"),
                 F.flatten(F.transform(both, lambda p: F.element_at(of(1), p))).alias("routed_terms"),
             )
-        ).select("query", "id", "source", "layer", "consistency", F.round("selection_score", 6).alias("selection_score"))
+        ).select("query", "id", "source", "layer", "consistency", "selection_score", "cautions")
 
     from_core = search.stored(annotated(ranked, "core"))
     left = layered.still_open(from_core, profile.select("query"))
-    archive = annotated(recalled(spark, sf_dir).join(left, "query", "left_semi").select("query", "id", "points"), "archive")
+    open_ = candidates.join(left, "query", "left_semi")
+    fit = search.fitted(search.stored(open_.select("query", "id")), asked, whole, found, CHANNELS, list(FIELDS))
+    archive = annotated(open_.join(fit, ["query", "id"]).withColumn("points", F.col("points") + F.col("fit")), "archive")
     best, _ = layered.gate_and_finish(from_core.unionByName(archive), "source", 10)
-    return best.select("query", "id", "layer", "consistency", F.round("selection_score", 3).alias("selection_score"))
+    return best.select("query", "id", "layer", "consistency", F.round("selection_score", 8).alias("selection_score"), F.array_join("cautions", ";").alias("cautions"))
 
 
 #: A small ontology: prototypes with treatment, mechanism and parent terms.

@@ -19,11 +19,11 @@ def tok_bigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.size(F.array_distinct("tokens")).cast("long").alias("n_distinct"))
 
 
-@query("""
+@query(r"""
 WITH p AS (
-  SELECT conv_id, turn, trim(x) AS phrase, i
+  SELECT conv_id, turn, x AS phrase, i
   FROM (SELECT conv_id, turn, unnest(a) AS x, unnest(range(1, len(a) + 1)) AS i
-        FROM (SELECT conv_id, turn, regexp_split_to_array(text, '[,，、;；。.\\n\\r|/]+') AS a FROM conversations))
+        FROM (SELECT conv_id, turn, regexp_split_to_array(lower(trim(text)), '[\s,，、;；。.!！?？:：/|]+') AS a FROM conversations))
 ), d AS (SELECT conv_id, turn, phrase, min(i) AS i FROM p WHERE phrase <> '' GROUP BY ALL)
 SELECT conv_id, turn, phrase, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS INTEGER) AS place FROM d
 """)
@@ -33,28 +33,24 @@ def phrase_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("place", F.col("place") + 1)
 
 
-@query("""
-WITH p AS (SELECT DISTINCT item_id, trim(unnest(regexp_split_to_array(lower(trim(text)), '[,，、;；。.\\n\\r|/]+'))) AS phrase FROM benchmark),
+@query(r"""
+WITH p AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(trim(text)), '[\s,，、;；。.!！?？:：/|]+')) AS phrase FROM benchmark),
      u AS (SELECT DISTINCT phrase FROM p WHERE phrase <> ''),
-     g AS (SELECT phrase, list_distinct(list_transform(range(1, greatest(2, length(phrase))), lambda i: substr(phrase, i, 2))) AS grams FROM u),
+     g AS (SELECT phrase, list_distinct(regexp_extract_all(phrase, '[a-z0-9]+')) AS grams FROM u),
      d AS (SELECT lower(trim(text)) AS text FROM documents WHERE trim(text) <> ''),
-     s AS (SELECT phrase, CASE WHEN contains(text, phrase) THEN 1.0 ELSE list_avg(list_transform(grams, lambda g: CAST(contains(text, g) AS INTEGER))) END AS similarity FROM g CROSS JOIN d),
+     s AS (SELECT phrase, CASE WHEN contains(text, phrase) THEN 1.0 ELSE coalesce(list_avg(list_transform(grams, lambda g: CAST(contains(text, g) AS INTEGER))), 0.0) END AS similarity FROM g CROSS JOIN d),
      a AS (SELECT phrase, count(*) FILTER (similarity >= 0.5) AS n_like, count(*) FILTER (similarity >= 0.65) AS n_hit, count(*) FILTER (similarity = 1) AS n_whole, round(sum(similarity) FILTER (similarity >= 0.5), 4) AS total FROM s GROUP BY phrase)
 SELECT item_id, a.* FROM p JOIN a USING (phrase)
 """)
 def phrase_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many entries resemble each phrase of each query, from the thresholds of
-    reranking (0.5) and of routing (0.65) on; the queries are a stated set."""
-    phrases = table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.split_phrases(X.normalize(F.col("text")))).alias("phrase"))
-    asked = phrases.select("phrase").distinct().withColumn("grams", X.phrase_grams(F.col("phrase")))
-    entries = table(spark, sf_dir, "documents").select(X.normalize(F.col("text")).alias("text")).filter("text <> ''")
-    pairs = search.in_blocks(entries, asked, F.lit(True), 200)
-    scored = pairs.select("phrase", X.phrase_similarity(F.col("phrase"), F.col("text"), F.col("grams")).alias("s"))
-    like = F.col("s") >= 0.5
-    counts = scored.groupBy("phrase").agg(
-        F.count_if(like).alias("n_like"), F.count_if(F.col("s") >= 0.65).alias("n_hit"), F.count_if(F.col("s") == 1).alias("n_whole"), F.round(F.sum(F.when(like, F.col("s"))), 4).alias("total")
-    )
-    return phrases.join(counts, "phrase")
+    reranking (0.5) and of routing (0.65) on."""
+    phrases = search.stored(table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.split_phrases(F.col("text"))).alias("phrase")))
+    entries = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), X.normalize(F.col("text")).alias("text"))
+    like = search.similarities(entries, phrases).select("phrase", F.col("similarity").alias("s")).filter("s >= 0.5")
+    counts = like.groupBy("phrase").agg(F.count("*").alias("n_like"), F.count_if(F.col("s") >= 0.65).alias("n_hit"), F.count_if(F.col("s") == 1).alias("n_whole"), F.round(F.sum("s"), 4).alias("total"))
+    none = F.lit(0).cast("long")
+    return phrases.join(counts, "phrase", "left").select("item_id", "phrase", *(F.coalesce(c, none).alias(c) for c in ("n_like", "n_hit", "n_whole")), "total")
 
 
 @query("""
@@ -146,7 +142,7 @@ WITH d AS (
   UNION ALL
   SELECT 'query', CASE WHEN len(p) > 20 THEN 'too_many_phrases' WHEN len(list_filter(p, lambda x: length(x) > 240)) > 0 THEN 'phrase_too_long' WHEN length(text) > 1000 THEN 'text_too_long'
     WHEN turn NOT BETWEEN 1 AND 20 THEN 'bad_top_k' WHEN len(p) = 0 AND trim(text) = '' THEN 'empty' ELSE 'ok' END
-  FROM (SELECT *, list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[,，、;；。.\\n\\r|/]+'), lambda x: trim(x)), lambda x: x <> '')) AS p FROM conversations)
+  FROM (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(trim(text)), '[\\s,，、;；。.!！?？:：/|]+'), lambda x: x <> '')) AS p FROM conversations)
   UNION ALL
   SELECT 'segment', CASE WHEN turn <= 0 THEN 'bad_index' WHEN turn * 10000 >= turn * 10000 + length(text) * 10 OR turn * 10000 + length(text) * 10 > 7200000 THEN 'bad_times' WHEN length(text) < 1 OR length(text) > 4000 THEN 'bad_text'
     WHEN sum(length(text)) OVER (PARTITION BY conv_id) > 50000 THEN 'total_too_long' ELSE 'ok' END FROM conversations

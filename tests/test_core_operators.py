@@ -8,7 +8,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from scholia.operators import appendix, assembly, doses, joins, quality, records, search, survey
+from scholia.operators import appendix, assembly, doses, joins, quality, questions, records, search, survey
 
 
 def test_rows_cluster_by_running_mean(spark):
@@ -176,3 +176,24 @@ def test_cover_represents_every_prototype(spark):
     got = search.cover(spark.createDataFrame(rows, "id long, prototypes array<string>, quality double"), 3, 5).collect()
     chosen = {r.id for r in got}
     assert len(chosen) == 5 and {p for i, ps, _ in rows if i in chosen for p in ps} == {"a", "b", "c"}
+
+
+def test_trees_of_any_depth(spark):
+    chain = [(i, i - 1 if i else None, f"n{i}") for i in range(1000)]
+    extra = [(2000, 2001, "x"), (2001, 2002, "y"), (2002, 2000, "z"), (2003, 2000, "below a ring"), (3000, 9999, "lost"), (3001, 3000, "under it"), (4000, 4000, "own parent")]
+    got = {r.id: r for r in joins.ancestors(spark.createDataFrame(chain + extra, "id long, parent long, name string")).collect()}
+    assert len(got) == 1007 and all(got[i].level == i and got[i].state == "whole" for i in range(1000))
+    assert got[999].path == [f"n{i}" for i in range(1000)]
+    assert {i for i in got if got[i].state == "cycle"} == {2000, 2001, 2002, 2003, 4000} and got[2000].path is None
+    assert [(got[i].path, got[i].state) for i in (3000, 3001)] == [(["lost"], "orphan"), (["lost", "under it"], "orphan")]
+    assert joins.ancestors(spark.createDataFrame([], "id long, parent long, name string")).count() == 0
+
+
+def test_options_of_any_depth(spark):
+    # 1 - 2 - ... - 300 are headings, 301 an option below, 302 hangs below the option 301
+    nodes = [(i, i - 1 if i > 1 else None, 1, -1) for i in range(1, 301)] + [(301, 300, 2, 0), (302, 301, 1, 0), (303, 300, 1, 1), (400, 401, 1, -1), (401, 400, 1, -1)]
+    df = spark.createDataFrame(nodes, "id long, parent_id long, ord int, mode int")
+    got = questions.walk(df, spark.createDataFrame([(1,), (299,), (301,), (400,)], "root long")).collect()
+    of = lambda root: [r.id for r in sorted(got, key=lambda r: r.place) if r.root == root]
+    assert of(1) == [*range(2, 301), 303, 301] and of(299) == [300, 303, 301] and of(301) == [302] and of(400) == []
+    assert {r.id: r.has_children for r in got if r.root == 299} == {300: True, 303: False, 301: True}

@@ -1,12 +1,13 @@
 """Text functions against plain vectors."""
 
+import random
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from scholia.functions import text as X
-from scholia.operators import doses
+from scholia.operators import doses, search
 
 
 def one(spark, column, **values):
@@ -20,19 +21,72 @@ def test_tokens_of_mixed_text(spark):
 
 
 def test_normalising(spark):
-    assert one(spark, X.normalize(F.col("t"), compose=True), t=" ＡＢ１ ") == "ab1"
-    assert one(spark, X.normalize_space(F.col("t"), compose=True), t="﻿a　 b\t\tc ") == "a b c"
-
-
-def test_phrases_are_distinct_and_in_order(spark):
-    assert one(spark, X.split_phrases(F.col("t")), t="头痛，发热; 头痛\n咳嗽") == ["头痛", "发热", "咳嗽"]
+    assert one(spark, X.normalize(F.col("t")), t=" ＡＢ１ ") == "ab1"
+    assert one(spark, X.normalize_space(F.col("t")), t="\ufeffa\u3000 b\t\tc ") == "a b c"
+    assert one(spark, X.normalize_space(F.col("t")), t="cafe\u0301") == "caf\u00e9"
+
+
+#: Normal form, phrases and search tokens of mixed texts, worked out by hand.
+CASES = [
+    ("", "", [], []),
+    ("abc xyz", "abc xyz", ["abc", "xyz"], ["abc", "xyz"]),
+    ("头痛，发热; 头痛\n咳嗽", "头痛,发热; 头痛\n咳嗽", ["头痛", "发热", "咳嗽"], ["头痛", "发热", "头痛", "咳嗽"]),
+    ("ＦＥＶＥＲ！头痛？", "fever!头痛?", ["fever", "头痛"], ["fever", "头痛"]),
+    ("脉：弦/数|滑", "脉:弦/数|滑", ["脉", "弦", "数", "滑"], ["脉", "弦", "数", "滑"]),
+    ("食少便溏", "食少便溏", ["食少便溏"], ["食少", "少便", "便溏"]),
+    ("术", "术", ["术"], ["术"]),
+    ("ABC-12", "abc-12", ["abc-12"], ["abc", "12"]),
+    ("  外　寒\t内热  ", "外 寒\t内热", ["外", "寒", "内热"], ["外", "寒", "内热"]),
+    ("①证。②证", "1证。2证", ["1证", "2证"], ["1", "证", "2", "证"]),
+    ("ﬁne", "fine", ["fine"], ["fine"]),
+    ("Ⅳ期", "iv期", ["iv期"], ["iv", "期"]),
+    ("ｶﾞ", "ガ", ["ガ"], []),
+    ("café", "café", ["café"], ["caf"]),
+    ("cafe\u0301", "café", ["café"], ["caf"]),
+    ("a、b、a", "a、b、a", ["a", "b"], ["a", "b", "a"]),
+    ("１２３４５", "12345", ["12345"], ["12345"]),
+    ("气；血；；津", "气;血;;津", ["气", "血", "津"], ["气", "血", "津"]),
+    ("。。。", "。。。", [], []),
+    ("\u00a0x\u2003y\u00a0", "x y", ["x", "y"], ["x", "y"]),
+    ("头痛fever头痛", "头痛fever头痛", ["头痛fever头痛"], ["头痛", "fever", "头痛"]),
+    ("㎎", "mg", ["mg"], ["mg"]),
+    ("A.B", "a.b", ["a", "b"], ["a", "b"]),
+    ("½", "1⁄2", ["1⁄2"], ["1", "2"]),
+    ("Ｑ：何证？", "q:何证?", ["q", "何证"], ["q", "何证"]),
+]
+
+
+def test_normal_form_phrases_and_tokens(spark):
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "i int, t string")
+    t = F.col("t")
+    got = {r.i: (r.n, r.p, r.k) for r in df.select("i", X.normalize(t).alias("n"), X.split_phrases(t).alias("p"), X.search_tokens(t).alias("k")).collect()}
+    assert got == {i: tuple(c[1:]) for i, c in enumerate(CASES)}
+    assert spark.sql("select cast(null as string) t").select(X.normalize(t).alias("n"), X.split_phrases(t).alias("p"), X.search_tokens(t).alias("k")).first() == ("", [], [])
 
 
 def test_similarity(spark):
-    sim = lambda p, t: one(spark, X.phrase_similarity(F.col("p"), F.col("t")), p=p, t=t)
-    assert sim("桂枝汤", "用桂枝汤主之") == 1.0
-    assert sim("桂枝汤", "桂枝") == 0.5
-    assert sim("", "x") == 0.0
+    vectors = [
+        ("桂枝汤", "用桂枝汤主之", 1.0), ("桂枝汤", "桂枝", 0.5), ("", "x", 0.0), ("x", "", 0.0), ("头痛 fever", "头痛", 0.5), ("头痛fever", "发热fever", 0.5), ("...", "a", 0.0),
+        ("é", "café", 1.0), ("abc def", "def abc", 1.0), ("食少便溏", "少便", 1 / 3), ("术", "白术", 1.0), ("ab ab cd", "xcdx", 0.5),
+    ]
+    df = spark.createDataFrame(vectors, "p string, t string, want double")
+    got = df.select("p", "t", "want", X.phrase_similarity(F.col("p"), F.col("t")).alias("s")).collect()
+    assert [(r.p, r.t, r.s) for r in got if abs(r.s - r.want) > 1e-12] == []
+    # the same by way of what phrases and texts share
+    texts = df.select(F.col("t").alias("id"), F.col("t").alias("text")).distinct()
+    found = {(r.phrase, r.id): r.similarity for r in search.similarities(texts, df.select(F.col("p").alias("phrase"))).collect()}
+    assert all(abs(found.get((p, t), 0.0) - want) < 1e-12 for p, t, want in vectors)
+
+
+def test_holding_equals_contains(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ab头痛 😀") for _ in range(n))
+    texts = [(i, word(rng.randint(0, 30))) for i in range(60)] + [(60, "a" * 50), (61, "a" * 50)]
+    phrases = sorted({word(rng.randint(1, 5)) for _ in range(60)} | {"a" * 40, "", "zz"})
+    got = search.holding(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(p,) for p in phrases], "phrase string")).collect()
+    assert sorted((r.phrase, r.id) for r in got) == sorted((p, i) for p in phrases for i, t in texts if p and p in t)
+    empty = search.holding(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([("",)], "phrase string"))
+    assert empty.count() == 0
 
 
 def test_digit_repairs(spark):
