@@ -1,7 +1,9 @@
 """Doses out of composition text: herbs of a vocabulary, quantities, units, conversion.
 
-A composition is read as a whole or not at all: one pass over the corpus in Python (a
-dose can reach back over the herbs before it), then joins and decimals in Spark.
+A composition is read as a whole or not at all.  A table function turns each text into its
+items: a pattern cuts the text into tokens, one for each herb with what follows it, and a
+fold from the last token to the first hands doses back over the herbs before them.  Joins
+and decimals in Spark do the rest.
 """
 
 from __future__ import annotations
@@ -9,8 +11,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from decimal import Decimal
+from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,116 +25,125 @@ OLD_WEIGHTS = ("两", "钱", "分", "厘", "斤", "铢")
 METRIC = {"g": Decimal(1), "克": Decimal(1), "mg": Decimal("0.001"), "毫克": Decimal("0.001")}
 BETWEEN = " \t\r\n、，,；;。"
 
-#: Half a unit, unless it begins the name of the herb 半夏.
-_QUANTITY = re.compile(rf"(\d+(?:\.\d+)?|[{''.join(DIGITS)}{''.join(TENS)}半]+)\s*({'|'.join(UNITS)})(半(?!夏))?", re.IGNORECASE)
-_NOTE = re.compile(r"\([^)]*\)|（[^）]*）")
-
-#: Texts of more characters than this do not read.
+#: Texts of more characters than this do not read: fixed value.
 LONGEST = 20_000
 
+_DIGIT, _TEN = "".join(DIGITS), "".join(TENS)
+#: A quantity: a number, a unit, and half a unit unless that begins the name of the herb 半夏.
+_QUANTITY = rf"(?i:(\d+(?:\.\d+)?|[{_DIGIT}{_TEN}半]+)\s*({'|'.join(UNITS)})(半(?!夏))?)"
+_QUANTITIES = re.compile(_QUANTITY)
+_NUMERAL, _PLACE = re.compile(rf"(?:[{_DIGIT}]?[{_TEN}])*[{_DIGIT}]?"), re.compile(rf"([{_DIGIT}]?)([{_TEN}]|$)")
+
 _ITEM = "place int, herb string, dose string, quantities array<struct<amount:decimal(20,6),unit:string>>, note string"
+Dose = tuple[str, list[tuple[Decimal, str]]]
+
+
+class Token(NamedTuple):
+    """A herb with its note, whether 各 or 等分 stand before its dose, and the dose."""
+
+    herb: str
+    note: str
+    shared: bool
+    equal: bool
+    dose: Dose
+
+
+class Unreadable(Exception):
+    """Some part of a composition does not read."""
 
 
 def numeral(text: str) -> Decimal | None:
-    """The value of digits or of a Chinese numeral; None where it is not clear."""
+    """The value of digits or of a Chinese numeral; None where it is not clear: 一二 may be
+    twelve or a slip, and 两 of 三两二钱 a digit or a unit."""
     if text[0].isascii():
         return Decimal(text)
     if text == "半":
         return Decimal("0.5")
-    total, digit = 0, None
-    for sign in text:
-        if sign in TENS:
-            total, digit = total + (digit or 1) * TENS[sign], None
-        elif sign not in DIGITS or digit is not None:  # 一二 may be twelve or a slip, and 两 of 三两二钱 a digit or a unit
-            return None
-        else:
-            digit = DIGITS[sign]
-    return Decimal(total + (digit or 0))
+    if not _NUMERAL.fullmatch(text):
+        return None
+    return Decimal(sum((DIGITS.get(digit) or 1) * TENS[ten] if ten else DIGITS.get(digit, 0) for digit, ten in _PLACE.findall(text)))
+
 
+def amounts(dose: str) -> list[tuple[Decimal, str]]:
+    found = []
+    for number, unit, half in _QUANTITIES.findall(dose):
+        value = numeral(number)
+        value = value if value is None else value + (Decimal("0.5") if half else 0)
+        if value is None or value <= 0:
+            raise Unreadable(dose)
+        found.append((value, unit.lower()))
+    return found
 
-class Composer:
-    """Reads compositions with the herbs of a vocabulary, the longest name first."""
+
+class Lexer:
+    """Cuts compositions into tokens with the herbs of a vocabulary, the longest name first."""
 
     def __init__(self, herbs: Iterable[str]):
-        self.herb = re.compile("|".join(map(re.escape, sorted(set(herbs), key=lambda h: (-len(h), h)))))
-
-    def read(self, text: str | None) -> list[dict]:
-        """Items of a composition; none if any part of it does not read.
-
-        A herb without a dose waits: a dose shared by 各, or equal parts, reaches back
-        over the herbs that wait; any other dose ends their waiting without one."""
-        text = text or ""
-        if len(text) > LONGEST:
-            return []
-        items: list[dict] = []
-        waiting: list[dict] = []
-        at = 0
-
-        def past(place: int) -> int:
-            while place < len(text) and text[place] in BETWEEN:
-                place += 1
-            return place
-
-        at = past(at)
+        names = "|".join(map(re.escape, sorted(set(herbs), key=lambda h: (-len(h), h))))
+        gap = f"[{BETWEEN}]*"
+        plain = re.sub(r"\((?!\?)", "(?:", _QUANTITY)
+        self.token = re.compile(rf"{gap}(?P<herb>{names}){gap}(?P<note>\([^)]*\)|（[^）]*）)?{gap}(?P<shared>各{gap})?(?P<dose>(?P<equal>等分)?(?:{plain})*){gap}")
+        self.gap = re.compile(gap)
+
+    def tokens(self, text: str) -> Iterator[Token]:
+        at = self.gap.match(text).end()
         while at < len(text):
-            herb = self.herb.match(text, at)
-            if herb is None:
-                return []
-            item = {"herb": herb[0], "dose": "", "quantities": [], "note": ""}
-            items.append(item)
-            waiting.append(item)
-            at = past(herb.end())
-            if text[at : at + 1] in ("(", "（"):
-                note = _NOTE.match(text, at)
-                if note is None:
-                    return []
-                item["note"], at = note[0], past(note.end())
-            shared = text.startswith("各", at)
-            start = at = past(at + 1) if shared else at
-            equal = text.startswith("等分", at)
-            at += 2 * equal
-            found = []
-            while one := _QUANTITY.match(text, at):
-                amount = numeral(one[1])
-                if amount is None:
-                    return []
-                amount += Decimal("0.5") if one[3] else 0
-                if amount <= 0:
-                    return []
-                found.append((amount, one[2].lower()))
-                at = one.end()
-            if found or equal:
-                for target in waiting if shared else [item]:
-                    target["dose"], target["quantities"] = text[start:at], found
-                if equal and not shared:
-                    for target in waiting:
-                        target["dose"], target["quantities"] = "等分", []
-                waiting = []
-            elif shared:
-                return []
-            at = past(at)
-        return items
+            found = self.token.match(text, at)
+            if found is None or (found["shared"] and not found["dose"]):
+                raise Unreadable(text[at:])
+            yield Token(found["herb"], found["note"] or "", bool(found["shared"]), bool(found["equal"]), (found["dose"], amounts(found["dose"])))
+            at = found.end()
+
+
+def handed_back(tokens: list[Token]) -> list[Dose]:
+    """The dose of each token.  Herbs without one take what the next dose after them hands
+    back: a shared dose itself, equal parts their name, any other nothing."""
+    none, equal = ("", []), ("等分", [])
+    doses, back = [], none
+    for token in reversed(tokens):
+        if token.dose[0]:
+            back = token.dose if token.shared else equal if token.equal else none
+            doses.append(equal if token.equal and not token.shared else token.dose)
+        else:
+            doses.append(back)
+    return doses[::-1]
+
+
+def read(lexer: Lexer, text: str | None) -> list[tuple[Token, Dose]]:
+    """Tokens with their doses; none if any part of the text does not read."""
+    if not text or len(text) > LONGEST:
+        return []
+    try:
+        tokens = list(lexer.tokens(text))
+    except Unreadable:
+        return []
+    return list(zip(tokens, handed_back(tokens)))
+
+
+def compositions(herbs: Iterable[str]):
+    """A table function: the items of a text, or one row with place 0 if it does not read."""
+    herbs = tuple(herbs)
+
+    @F.udtf(returnType=_ITEM)
+    class Compositions:
+        def __init__(self):
+            self.lexer = Lexer(herbs)
+
+        def eval(self, text: str):
+            items = read(self.lexer, text)
+            if not items:
+                yield 0, None, None, None, None
+            for place, (token, (dose, quantities)) in enumerate(items, 1):
+                yield place, token.herb, dose, [(amount.quantize(Decimal("0.000001")), unit) for amount, unit in quantities], token.note
+
+    return Compositions
 
 
 def extract(df: DataFrame, id_col: str, text_col: str, herbs: Iterable[str]) -> DataFrame:
     """(id, place, herb, dose, quantities, note) of every entry that reads in full; an
     entry that does not gives one row with place 0 and no herb."""
-    herbs = tuple(herbs)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        composer = Composer(herbs)
-        for frame in frames:
-            rows = []
-            for key, text in zip(frame[id_col], frame[text_col]):
-                items = composer.read(text)
-                if not items:
-                    rows.append((key, 0, None, None, None, None))
-                for place, x in enumerate(items, 1):
-                    rows.append((key, place, x["herb"], x["dose"], [{"amount": a, "unit": u} for a, u in x["quantities"]], x["note"]))
-            yield pd.DataFrame(rows, columns=[id_col, "place", "herb", "dose", "quantities", "note"])
-
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, {_ITEM}")
+    texts = df.select(id_col, text_col)
+    return texts.lateralJoin(compositions(herbs)(F.col(text_col).outer())).drop(text_col)
 
 
 def to_grams(items: DataFrame, factors: DataFrame, id_col: str) -> DataFrame:

@@ -160,14 +160,15 @@ def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 50 = 0 THEN p_partkey + 1 WHEN p_partkey % 50 = 1 AND p_partkey > 50 THEN p_partkey - 1 WHEN p_partkey % 10 = 7 THEN -p_partkey WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent FROM part),
   t AS (SELECT id, CAST(id AS VARCHAR) AS path, 0 AS level, CASE WHEN parent IS NULL THEN 'whole' ELSE 'orphan' END AS state FROM n WHERE parent IS NULL OR parent NOT IN (SELECT id FROM n)
         UNION ALL SELECT n.id, t.path || '/' || n.id, t.level + 1, state FROM n JOIN t ON n.parent = t.id)
-SELECT n.id, t.path, CAST(t.level AS INTEGER) AS level, coalesce(t.state, 'cycle') AS state FROM n LEFT JOIN t ON t.id = n.id
+SELECT n.id, coalesce(t.path, '') AS path, CAST(coalesce(t.level, -1) AS INTEGER) AS level, coalesce(t.state, 'cycle') AS state FROM n LEFT JOIN t ON t.id = n.id
 """)
 def deep_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths in a tree whose depth grows with the table, with lost parents and rings in it."""
     key = F.col("p_partkey").cast("long")
     parent = F.when(key % 50 == 0, key + 1).when((key % 50 == 1) & (key > 50), key - 1).when(key % 10 == 7, -key).when(key > 1, F.floor(key / 2))
     nodes = table(spark, sf_dir, "part").select(key.alias("id"), parent.alias("parent"), key.cast("string").alias("name"))
-    return joins.ancestors(nodes).select("id", F.array_join("path", "/").alias("path"), "level", "state")
+    path, level = F.coalesce(F.array_join("path", "/"), F.lit("")), F.coalesce("level", F.lit(-1))
+    return joins.ancestors(nodes).select("id", path.alias("path"), level.alias("level"), "state")
 
 
 @query("""

@@ -150,10 +150,10 @@ HERBS = ["桂枝", "芍药", "甘草", "麻黄", "杏仁", "黄芩", "黄连", "
     ],
 )
 def test_doses(text, want):
-    assert [(i["herb"], i["dose"]) for i in doses.Composer(HERBS).read(text)] == want
+    assert [(token.herb, dose) for token, (dose, _) in doses.read(doses.Lexer(HERBS), text)] == want
 
 
 def test_dose_amounts():
-    read = lambda t: [(str(a), u) for i in doses.Composer(HERBS).read(t) for a, u in i["quantities"]]
+    read = lambda t: [(str(a), u) for _, (_, quantities) in doses.read(doses.Lexer(HERBS), t) for a, u in quantities]
     assert read("桂枝一两半") == [("1.5", "两")] and read("桂枝500MG") == [("500", "mg")] and read("桂枝三钱二分") == [("3", "钱"), ("2", "分")]
     assert doses.numeral("二十五") == 25 and doses.numeral("一百") == 100 and doses.numeral("千二百") == 1200 and doses.numeral("半") == Decimal("0.5")
