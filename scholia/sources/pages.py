@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.entries import BODY, FIELDS
 from ..operators.quality import contiguous, digest
+from .versions import publish
 
 #: The schema of a recognised page, and the version that readers accept.
 PAGE = (
@@ -116,38 +119,41 @@ def write_text(entries: DataFrame, path: str, volume: str = "volume") -> None:
 
 
 def write_outputs(entries: DataFrame, lines: DataFrame, listing: DataFrame, path: str, low: float = 0.7) -> DataFrame:
-    """Entries, their listing, what needs review and the lines in doubt, and a manifest row
-    for each output.  Entries are computed once: the rest is read from what was written."""
-    spark = entries.sparkSession
-    entries.write.mode("overwrite").parquet(f"{path}/entries")
-    written = spark.read.parquet(f"{path}/entries")
-    others = {"toc": listing, "needs_review": written.filter(F.size("flags") > 0), "low_confidence": lines.filter(F.col("confidence") < low)}
-    for name, df in others.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    manifest = None
-    for name in ("entries", *others):
-        row = digest(spark.read.parquet(f"{path}/{name}")).select(F.lit(name).alias("output"), F.lit(SCHEMA_VERSION).alias("schema_version"), "n_rows", "digest")
-        manifest = row if manifest is None else manifest.unionByName(row)
-    manifest.write.mode("overwrite").json(f"{path}/manifest")
-    return spark.read.json(f"{path}/manifest")
+    """Entries, their listing, what needs review, the lines in doubt and a quality report, with
+    a manifest row for each: one version, visible all at once.  Entries are computed once:
+    the rest is read from what was written."""
+    names = ("entries", "toc", "needs_review", "low_confidence", "quality")
+
+    def manifest(done: dict[str, DataFrame]) -> DataFrame:
+        rows = [digest(done[n]).select(F.lit(n).alias("output"), F.lit(SCHEMA_VERSION).alias("schema_version"), "n_rows", "digest") for n in names]
+        return reduce(DataFrame.unionByName, rows)
+
+    def quality(done: dict[str, DataFrame]) -> DataFrame:
+        kept = done["entries"]
+        doubtful = lines.agg(F.count_if(F.col("confidence") < low).alias("lines_in_doubt"), F.count("*").alias("lines"), F.avg("confidence").alias("mean_confidence"))
+        flagged = kept.agg(F.count("*").alias("entries"), F.count_if(F.size("flags") > 0).alias("flagged"))
+        return flagged.join(doubtful)  # one row each
+
+    outputs = {
+        "entries": entries, "toc": listing, "needs_review": lambda done: done["entries"].filter(F.size("flags") > 0), "low_confidence": lines.filter(F.col("confidence") < low),
+        "quality": quality, "manifest": manifest,
+    }
+    return publish(entries.sparkSession, path, outputs)["manifest"]
 
 
 def merge_corpus(volumes: list[DataFrame], path: str) -> dict[str, DataFrame]:
     """Volumes (volume, id, name, flags, record_status, ...) as one corpus, the entries kept
-    out of it, those to review, names still in dispute, and a summary per volume."""
-    whole = merge_volumes(volumes)
-    whole.write.mode("overwrite").partitionBy("volume").parquet(f"{path}/corpus")
-    corpus = whole.sparkSession.read.parquet(f"{path}/corpus")
+    out of it, those to review, names still in dispute, and a summary per volume: one
+    version, visible all at once."""
     complete = F.coalesce(F.col("record_status"), F.lit("complete")) == "complete"
     outputs = {
-        "exclusions": corpus.filter(~complete).select("volume", "id", "name", "record_status"),
-        "review": corpus.filter(F.size("flags") > 0).select("volume", "id", "name", "flags"),
-        "unresolved": corpus.filter(F.array_contains("flags", "name_differs_from_toc")).select("volume", "id", "name"),
-        "summary": corpus.groupBy("volume").agg(F.count("*").alias("entries"), F.count_if(complete).alias("complete"), F.count_if(~complete).alias("excluded"), F.count_if(F.size("flags") > 0).alias("flagged")),
+        "corpus": merge_volumes(volumes),
+        "exclusions": lambda done: done["corpus"].filter(~complete).select("volume", "id", "name", "record_status"),
+        "review": lambda done: done["corpus"].filter(F.size("flags") > 0).select("volume", "id", "name", "flags"),
+        "unresolved": lambda done: done["corpus"].filter(F.array_contains("flags", "name_differs_from_toc")).select("volume", "id", "name"),
+        "summary": lambda done: done["corpus"].groupBy("volume").agg(F.count("*").alias("entries"), F.count_if(complete).alias("complete"), F.count_if(~complete).alias("excluded"), F.count_if(F.size("flags") > 0).alias("flagged")),
     }
-    for name, df in outputs.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    return {"corpus": corpus, **{name: corpus.sparkSession.read.parquet(f"{path}/{name}") for name in outputs}}
+    return publish(volumes[0].sparkSession, path, outputs, {"corpus": "volume"})
 
 
 def export_visits(visits: DataFrame, path: str, names: dict[str, str]) -> None:

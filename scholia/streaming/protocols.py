@@ -74,28 +74,6 @@ def until_expiry(fold: Fold, at: str = "at", days: int = DAYS) -> Fold:
     return limited
 
 
-STAGES = 5
-
-
-def encounter(state: dict, event: dict) -> tuple[dict, dict]:
-    """Versioned actions over five stages: a confirmation sets its slot, an edit that
-    changes something clears its slot and all later ones; a wrong version conflicts."""
-    version, confirmed = state.get("version", 0), list(state.get("confirmed", [False] * STAGES))
-    data = dict(state.get("data", {}))
-    if event["version"] != version:
-        return state, {"accepted": False, "reason": "conflict", "version": version, "confirmed": confirmed}
-    stage = event["stage"]
-    if event["action"] == "confirm":
-        if any(not c for c in confirmed[:stage]):
-            return state, {"accepted": False, "reason": "earlier_stage_open", "version": version, "confirmed": confirmed}
-        confirmed[stage] = True
-    elif data.get(str(stage)) != event.get("body"):
-        data[str(stage)] = event.get("body")
-        confirmed = [c and i < stage for i, c in enumerate(confirmed)]
-    state = {"version": version + 1, "confirmed": confirmed, "data": data}
-    return state, {"accepted": True, "reason": "ok", "version": version + 1, "confirmed": confirmed}
-
-
 def sentence(state: dict, event: dict) -> tuple[dict, dict]:
     """Partial results replace each other by sentence; only a changed final one counts.
     A sentence is held as its length, a digest and whether it is final."""
@@ -170,26 +148,28 @@ def previewed(held: tuple[str, str, int], arrived: str | None, now: int, wait_ms
     return (shown, waiting, due), None
 
 
-def previews(stream: DataFrame, key: str, text: str, wait_ms: int = 4000) -> DataFrame:
+def previews(stream: DataFrame, key: str, text: str, wait_ms: int = 4000, at: str = "at") -> DataFrame:
     """Previews of a key's text, one every ``wait_ms`` of processing time at most, and only
-    if the text has changed since the one before."""
+    if the text has changed since the one before.  The text is that of the largest ``at``
+    so far, whatever the order in which rows arrive."""
     kind = dict(stream.dtypes)[key]
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, now = (state.get if state.exists else ("", "", 0)), state.getCurrentProcessingTimeMs()
-        arrived = None
+        *held, newest = state.get if state.exists else ("", "", 0, -(1 << 63))
+        now, arrived = state.getCurrentProcessingTimeMs(), None
         if not state.hasTimedOut:
             for frame in frames:
-                if len(frame):
-                    arrived = frame[text].iloc[-1]
+                if len(frame) and frame[at].max() > newest:
+                    last = frame.loc[frame[at].idxmax()]
+                    newest, arrived = int(last[at]), last[text]
         held, due = previewed(tuple(held), arrived, now, wait_ms)
-        state.update(held)
+        state.update((*held, newest))
         if held[2]:
             state.setTimeoutDuration(max(1, held[2] - now))
         if due is not None:
             yield pd.DataFrame({key: [group[0]], "preview": [due]})
 
-    return stream.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, preview string", "shown string, waiting string, due long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, preview string", "shown string, waiting string, due long, newest long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def slots(stream: DataFrame, ts: str, seconds: int = 10, delay: str = "30 days") -> DataFrame:

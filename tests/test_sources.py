@@ -46,7 +46,7 @@ def test_text_outputs_and_manifest(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "text")).count() == 11
     lines = spark.createDataFrame([(0.9,), (0.6,), (0.5,)], "confidence double")
     manifest = {r.output: r.n_rows for r in S.write_outputs(df.drop("fields"), lines, spark.createDataFrame([("1", "甲")], "id string, name string"), str(tmp_path / "out")).collect()}
-    assert manifest == {"entries": 3, "toc": 1, "needs_review": 2, "low_confidence": 2}
+    assert manifest == {"entries": 3, "toc": 1, "needs_review": 2, "low_confidence": 2, "quality": 1}
 
 
 def test_pages_and_sections(spark):

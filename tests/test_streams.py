@@ -27,16 +27,6 @@ def test_chunk_fold():
     assert folded(P.chunk, [c(0), c(0), c(0, "b"), c(2), c(1, ms=500), c(2)]) == ["ok", "repeat", "conflict", "gap", "ok", "after_short"]
 
 
-def test_encounter_fold():
-    a = lambda v, action, stage, body=None: {"version": v, "action": action, "stage": stage, "body": body}
-    state = {}
-    for e in (a(0, "edit", 0, "x"), a(1, "confirm", 0), a(2, "confirm", 1), a(3, "edit", 0, "x"), a(4, "edit", 1, "y")):
-        state, said = P.encounter(state, e)
-    assert said["confirmed"] == [True, False, False, False, False] and state["version"] == 5
-    assert P.encounter(state, a(4, "confirm", 1))[1]["reason"] == "conflict"
-    assert P.encounter(state, a(5, "confirm", 3))[1]["reason"] == "earlier_stage_open"
-
-
 def test_sentence_and_delta_folds():
     s = lambda i, t, f: {"index": i, "text": t, "final": f}
     assert folded(P.sentence, [s(0, "a", False), s(0, "ab", True), s(0, "ab", True), s(0, "a", False)]) == ["partial", "final", "partial", "already_final"]
