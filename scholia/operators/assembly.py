@@ -7,12 +7,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.store import stored
 
 
-def carry_forward(df: DataFrame, group: list[str], order: list[str], value: Column, out: str) -> DataFrame:
-    """The latest non-null value at or before each row."""
-    seen = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(out, F.last(value, ignorenulls=True).over(seen))
+def carry_forward(df: DataFrame, group: list[str], order: list[str], value: Column, out: str, bucket: Column | None = None) -> DataFrame:
+    """The latest non-null value at or before each row.
+
+    With a ``bucket`` (a number that never falls along the order) a group is not one task:
+    each bucket carries its own values, and gets what those before it end with."""
+    if bucket is None:
+        seen = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(seen))
+    marked = df.withColumn("__value", value).withColumn("__bucket", bucket)
+    ends = marked.groupBy(*group, "__bucket").agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.struct(*order))).alias("__end"))
+    earlier = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*group, "__bucket", F.last("__end", ignorenulls=True).over(earlier).alias("__carried"))
+    inside = Window.partitionBy(*group, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = marked.withColumn("__own", F.last("__value", ignorenulls=True).over(inside))
+    kept = [F.col(c) for c in df.columns if c != out]
+    joined = own.alias("own").join(carried.withColumnsRenamed({c: f"__of_{c}" for c in (*group, "__bucket")}).alias("carried"), [F.col(f"own.{c}").eqNullSafe(F.col(f"carried.__of_{c}")) for c in (*group, "__bucket")], "left")
+    return joined.select(*kept, F.coalesce("__own", "__carried").alias(out))
 
 
 def assemble(df: DataFrame, group: list[str], order: list[str], opens: Column, text: str = "text") -> DataFrame:
@@ -61,33 +75,60 @@ def gap_islands(df: DataFrame, group: list[str], at: str, tie: str, gap_seconds:
     return df.withColumn("__opens", opens).withColumn("island", F.sum("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__opens")
 
 
-def repair_sequence(df: DataFrame, group: list[str], order: list[str], raw: str = "raw_id", name: str = "name", toc_name: str = "toc_name") -> DataFrame:
-    """Damaged header ids by what must follow: an id one digit off the expected next one
-    is that one if the name resembles the listed name (ratio of 0.55 or more).
+def _accepted(found: str | None, last: str | None, alike: float) -> str | None:
+    """The id of a header after ``last``: an id one digit off the expected next one is that
+    one if the name resembles the listed name (ratio of 0.55 or more)."""
+    if last is None or found is None:
+        return found
+    wanted = f"{int(last) + 1:05d}"
+    off = sum(a != b for a, b in zip(found, wanted)) + abs(len(found) - len(wanted))
+    return wanted if found != wanted and off <= 1 and alike >= 0.55 else found
+
+
+def repair_sequence(df: DataFrame, group: list[str], order: list[str], raw: str = "raw_id", name: str = "name", toc_name: str = "toc_name", parts: int | None = None) -> DataFrame:
+    """Damaged header ids by what must follow, see _accepted(); adds id and repaired.
+
+    The expected id depends on the one accepted before.  Rows are dealt out by ranges of
+    their order, and a range starts from what the range before it ended with in the last
+    pass; passes go on until no range starts from anything else.  Mostly the second changes
+    nothing, since an undamaged id forgets what was before it."""
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    alike = X.ratio(F.coalesce(name, F.lit("")), F.coalesce(toc_name, F.lit("")))
+    ranged = df.withColumn("__alike", alike).repartitionByRange(parts, *group, *order).sortWithinPartitions(*group, *order)
+    rows = stored(ranged.withColumn("__part", F.spark_partition_id()))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def folded(frame: pd.DataFrame, starts: dict) -> tuple[pd.DataFrame, dict]:
+        frame = frame.sort_values([*group, *order])
+        ids, last, at, first = [], None, None, None
+        for row in frame.to_dict("records"):
+            volume = repr([row[g] for g in group])
+            if volume != at:
+                last = starts.get((row["__part"], volume)) if at is None else None
+                at, first = volume, first or volume
+            found = _accepted(row[raw], last, row["__alike"])
+            ids.append(found)
+            last = found if found is not None and found.isdigit() else last
+        changed = [b is not None and a != b for a, b in zip(frame[raw], ids)]
+        return frame.assign(id=ids, repaired=changed), {"part": int(frame["__part"].iloc[0]), "first": first, "end": at, "last": last}
 
-    The expected id depends on the id accepted before, so a volume's header rows (its
-    candidates alone, not its lines) form one group."""
-    from difflib import SequenceMatcher
+    def ends(starts: dict) -> list:
+        run = lambda frame: pd.DataFrame([folded(frame, starts)[1]])
+        return sorted(rows.groupBy("__part").applyInPandas(run, "part int, first string, end string, last string").collect())  # a row for each part
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", id string, repaired boolean"
+    starts: dict = {}
+    while True:
+        found = ends(starts)
+        following = {(b.part, b.first): a.last for a, b in zip(found, found[1:]) if a.end == b.first}
+        if following == starts:
+            break
+        starts = following
 
-    def fold(volume: pd.DataFrame) -> pd.DataFrame:
-        volume = volume.sort_values(order)
-        ids, repaired, last = [], [], None
-        for row in volume.to_dict("records"):
-            found, changed = row[raw], False
-            if last is not None and found is not None:
-                wanted = f"{int(last) + 1:05d}"
-                off = sum(a != b for a, b in zip(found, wanted)) + abs(len(found) - len(wanted))
-                alike = SequenceMatcher(None, row[name] or "", row[toc_name] or "").ratio()
-                if found != wanted and off <= 1 and alike >= 0.55:
-                    found, changed = wanted, True
-            ids.append(found)
-            repaired.append(changed)
-            last = found if found is not None and found.isdigit() else last
-        return volume.assign(id=ids, repaired=repaired)
+    def final(frame: pd.DataFrame) -> pd.DataFrame:
+        return folded(frame, starts)[0].drop(columns=["__part", "__alike"])
 
-    return df.groupBy(*group).applyInPandas(fold, schema)
+    return rows.groupBy("__part").applyInPandas(final, f"{kinds}, id string, repaired boolean")
 
 
 def lines_of(pages: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:

@@ -21,6 +21,9 @@ LISTED = r"^\s*([0-9OoIl]{5})\s*(.+?)\s*[.·…]{2,}\s*(\d{1,4})\s*$"
 INDEX_ID = r"(?<![0-9OoIl])([0-9OoIl]{5})(?![0-9OoIl])"
 EDGE = " -—·."
 
+#: Pages of a volume that are read together.
+PAGES = 32
+
 #: Similarity from which an unknown label is a known one, below which a name differs from
 #: its listing; confidence below which a line is unsure.
 LIKE_LABEL, LIKE_NAME, SURE = 0.72, 0.70, 0.70
@@ -123,12 +126,13 @@ def build_volume(lines: DataFrame, listing: DataFrame, low: int, high: int, firs
     before a volume's first header are dropped.  A field's lines are an entry's at most,
     so the fold over them is small."""
     place = [*order, "piece"]
+    bucket = F.floor(F.col(order[0]) / PAGES)  # a large volume is many tasks
     cut = lines.select("*", F.posexplode(split_fields(F.col("text"))).alias("piece", "cut"))
     cut = cut.withColumn("split", F.col("cut") != F.col("text")).withColumn("text", F.col("cut")).drop("cut")
     header = header_of(F.col("text"))
     inside = F.try_to_number(header["id"], F.lit("99999")).between(low, high)
     opened = cut.withColumn("header", F.when(inside, header))
-    opened = carry_forward(opened, [group], place, F.when(F.col("header").isNotNull(), F.struct("header", *place)), "entry").filter("entry is not null")
+    opened = carry_forward(opened, [group], place, F.when(F.col("header").isNotNull(), F.struct("header", *place)), "entry", bucket).filter("entry is not null")
     named = labels(opened.withColumn("labelled", F.when(F.col("header").isNull(), field_of(F.col("text")))).withColumn("raw", F.col("labelled.raw")), "raw")
     # a line whose label is unknown is ordinary text
     known = F.col("label").isNotNull()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import assembly, quality
+from ..operators import assembly, digests, quality
 from .registry import query, table
 
 
@@ -206,6 +206,18 @@ def manifest_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query("""
+WITH n AS (SELECT doc_id, doc_id // 100 AS leaf, doc_id % 97 = 5 AS touched, doc_id % 113 = 7 AS gone FROM documents)
+SELECT leaf * 100 AS low, leaf * 100 + 100 AS high, count(*) AS n_before, count(*) FILTER (NOT gone) AS n_now FROM n GROUP BY leaf HAVING bool_or(touched OR gone)
+""")
+def changed_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of ids in which two builds of the corpus differ: rows changed, rows gone."""
+    docs = table(spark, sf_dir, "documents")
+    key = F.col("doc_id")
+    later = docs.filter(key % 113 != 7).withColumn("text", F.when(key % 97 == 5, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return digests.changed(digests.tree(docs, "doc_id", 100), digests.tree(later.repartition(7), "doc_id", 100), 100)
+
+
 @query("""
 SELECT doc_id, md5(CASE WHEN length(text) > 90 THEN rtrim(substr(text, 1, 90)) || '……' ELSE text END) AS shown, length(text) > 90 AS cut,
        '第' || source || '，' || CAST(CAST(floor(n_chars / 1000) AS BIGINT) + 1 AS VARCHAR) || '、' || CAST(CAST(floor(n_chars / 1000) AS BIGINT) + 2 AS VARCHAR) AS citation,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import joins
+from ..operators import fuzzy, joins
 from .registry import query, table
 
 
@@ -59,10 +59,9 @@ SELECT p_brand, p_name, other, CAST(distance AS INTEGER) AS distance FROM p WHER
 QUALIFY row_number() OVER (PARTITION BY p_brand, p_name ORDER BY distance, other) = 1
 """)
 def fuzzy_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest other name of the same brand; names repeat, so distinct ones are few."""
+    """The nearest other name of the same brand, up to five edits away."""
     names = table(spark, sf_dir, "part").select("p_brand", "p_name").distinct()
-    others = names.withColumnRenamed("p_name", "other")
-    pairs = names.join(others, "p_brand").filter("p_name <> other").withColumn("distance", F.levenshtein("p_name", "other", 5)).filter("distance >= 0")
+    pairs = fuzzy.within(names, names.withColumnRenamed("p_name", "other"), ["p_brand"], "p_name", "other", 5).filter("p_name <> other")
     return joins.best_per(pairs, ["p_brand", "p_name"], [F.col("distance"), F.col("other")])
 
 

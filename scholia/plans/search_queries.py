@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import layered, search
+from ..operators import layered, search, topk
 from .corpus_queries import labelled
 from .registry import query, table
 
@@ -69,6 +69,17 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("query", "id", "source", F.round("score", 4).alias("score"), "rank")
 
 
+@query("WITH " + _TOKENS + """
+SELECT query, id, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS INTEGER) AS place FROM bm
+QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) <= 360
+""")
+def pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 360 best entries of each query, blocks passed over that cannot hold one."""
+    blocks, frequencies = topk.impact_blocks(*index(spark, sf_dir), WEIGHTS)
+    best, _ = topk.best(blocks, frequencies, whole_tokens(spark, sf_dir), 360)
+    return best.select("query", "id", F.round("score", 4).alias("score"), (F.col("rank") + 1).cast("int").alias("place"))
+
+
 #: Full-text routes (label, channel, column, boost), weights of the columns, and
 #: what a phrase of a channel counts in each field.
 ROUTES = (

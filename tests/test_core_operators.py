@@ -8,7 +8,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from scholia.operators import appendix, assembly, doses, joins, quality, questions, records, search, survey
+from scholia.operators import appendix, assembly, digests, doses, fuzzy, joins, quality, questions, records, search, survey, topk
 
 
 def test_rows_cluster_by_running_mean(spark):
@@ -197,3 +197,83 @@ def test_options_of_any_depth(spark):
     of = lambda root: [r.id for r in sorted(got, key=lambda r: r.place) if r.root == root]
     assert of(1) == [*range(2, 301), 303, 301] and of(299) == [300, 303, 301] and of(301) == [302] and of(400) == []
     assert {r.id: r.has_children for r in got if r.root == 299} == {300: True, 303: False, 301: True}
+
+
+def test_sequence_repair_is_the_same_on_any_cut(spark):
+    rng = random.Random(8)
+    rows = []
+    for volume in (1, 2, 3):
+        n = 100 * volume
+        for place in range(70 if volume < 3 else 3):
+            n += 1
+            raw = f"{n:05d}"
+            if rng.random() < 0.5:
+                at = rng.randrange(5)
+                raw = raw[:at] + rng.choice("0123456789") + raw[at + 1 :]
+            rows.append((volume, place, rng.choice([raw, raw, raw, None, "x"]) if rng.random() < 0.2 else raw, "桂枝汤", rng.choice(["桂枝汤", "桂枝汤", "四逆散"])))
+    df = spark.createDataFrame(rows, "volume int, place int, raw_id string, name string, toc_name string")
+
+    def plain():
+        out, last, at = {}, None, None
+        for volume, place, raw, name, toc in rows:
+            last, at = (last if volume == at else None), volume
+            found = assembly._accepted(raw, last, SequenceMatcher(None, name, toc).ratio())
+            out[volume, place] = (found, found is not None and found != raw)
+            last = found if found is not None and found.isdigit() else last
+        return out
+
+    want = plain()
+    assert sum(r for _, r in want.values()) > 20
+    for parts in (1, 3, 17):
+        got = {(r.volume, r.place): (r.id, r.repaired) for r in assembly.repair_sequence(df, ["volume"], ["place"], parts=parts).collect()}
+        assert got == want
+
+
+def test_values_carry_over_buckets(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", None]), i, rng.choice([None, None, None, i])) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, at int, v int")
+    whole = {(r.g, r["at"]): r.last for r in assembly.carry_forward(df, ["g"], ["at"], F.col("v"), "last").collect()}
+    for width in (1, 7, 1000):
+        cut = assembly.carry_forward(df, ["g"], ["at"], F.col("v"), "last", F.floor(F.col("at") / width))
+        assert cut.columns == ["g", "at", "v", "last"] and {(r.g, r["at"]): r.last for r in cut.collect()} == whole
+
+
+def test_pairs_within_edits_equal_all_pairs(spark):
+    rng = random.Random(10)
+    names = sorted({"".join(rng.choice("abc头") for _ in range(rng.randint(0, 9))) for _ in range(120)})
+    df = spark.createDataFrame([("hot" if i % 4 else "x", n) for i, n in enumerate(names)], "block string, name string")
+    other = df.withColumnRenamed("name", "other")
+    pairs = df.join(other, "block").withColumn("distance", F.levenshtein("name", "other"))
+    for edits in (1, 2, 3):
+        got = fuzzy.within(df, other, ["block"], "name", "other", edits)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.filter(F.col("distance") <= edits).select("block", "name", "other", "distance").collect()))
+    far = spark.createDataFrame([("hot", "".join(rng.choice("abcdefghijklmnop") for _ in range(24))) for _ in range(500)], "block string, name string")
+    assert fuzzy.candidates(far, far.withColumnRenamed("name", "other"), ["block"], "name", "other", 2).count() < 2000
+
+
+def test_a_changed_row_names_its_range(spark):
+    df = spark.createDataFrame([(i, f"t{i}", None if i % 3 else "x") for i in range(1000)] + [(None, "no key", "y")], "id long, text string, extra string")
+    before = digests.tree(df, "id", 10)
+    assert digests.changed(before, digests.tree(df.select("extra", "id", "text").orderBy(F.desc("text")).repartition(3), "id", 10), 10).count() == 0
+    now = df.filter("id is null or id <> 777").withColumn("text", F.when(F.col("id") == 123, "new").otherwise(F.col("text"))).union(spark.createDataFrame([(99_999, "far", "z")], "id long, text string, extra string"))
+    got = digests.changed(before, digests.tree(now, "id", 10), 10).collect()
+    assert sorted(map(tuple, got)) == [(120, 130, 10, 10), (770, 780, 10, 9), (99_990, 100_000, 0, 1)]
+    assert [r.low for r in digests.changed(before, digests.tree(df.filter("id is not null"), "id", 10), 10).collect()] == [None]
+
+
+def test_pruned_top_k_equals_scoring_everything(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    weights = [1 / (i + 1) for i in range(60)]
+    texts = [(i, " ".join(rng.choices(words, weights, k=rng.choice([4, 20, 100, 400])))) for i in range(2400)]
+    folder = search.build_index(spark.createDataFrame(texts, "id long, body string"), "id", {"body": F.col("body")})
+    index, lengths = search.open_index(spark, folder)
+    tokens = spark.createDataFrame([(q, t) for q in range(12) for t in rng.sample(words, 3)] + [(99, "absent")], "query int, token string")
+    exact = search.bm25(index, lengths, tokens, {"body": 1.0})
+    want = search.best_ranked(exact, ["query"], [F.desc(F.round("score", 6)), F.col("id")], 10)
+    top, report = topk.best(*topk.impact_blocks(index, lengths, {"body": 1.0}, 4), tokens, 10)
+    show = lambda df: sorted((r.query, r["rank"], r.id, round(r.score, 6)) for r in df.collect())
+    assert show(top) == show(want) and len(show(top)) >= 100
+    row = report.first()
+    assert 0 < row.read < 0.9 * row.matched
