@@ -163,6 +163,8 @@ def settle(mixture: Mixture, members: DataFrame, wanted: list[float]) -> None:
     """Find the steps that lead from full rates to the wanted weights of ``members`` (tokens, p)."""
     full = F.lit(mixture.max_rate)
     count, order = len(wanted), range(len(wanted))
+    # documents of one posterior keep one rate: they count as one member with all their tokens
+    members = members.groupBy("p").agg(F.sum("tokens").alias("tokens"))
     members = materialised(members.select("tokens", "p", full.alias("now"), full.alias("before")))
     part = lambda rate, k: F.sum(rate * F.col("tokens") * F.get("p", F.lit(k)))
     first = members.agg(*(part(F.lit(1.0), k) for k in order), F.sum("tokens")).first()
