@@ -219,7 +219,7 @@ def repeated_spans(df: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", te
     wanted = spans.join(sizes, "key").select("key", "span", "unit.*", "spans", (F.col("copies") == 1).alias("open"))
     listed = wanted.groupBy("__id", "__th").agg(F.collect_list(F.struct("key", "span", "first", "more", "spans", "open")).alias("units"))
     # the bytes of those units, or the hashes of all their windows where a group is large
-    pieces = materialised(_compressed(docs).join(listed, ["__id", "__th"]).select("__id", "__th", "__z", "units").mapInArrow(_pieces(depth), _PIECES))
+    pieces = materialised(_one_of_equal(_compressed(docs), docs).join(listed, ["__id", "__th"]).select("__id", "__th", "__z", "units").mapInArrow(_pieces(depth), _PIECES))
     # an open unit is the only one of its span, so what is found for it needs no way back to others
     dealt = pieces.filter("window = -1").repartition("key").sortWithinPartitions("key", "span")
     small = dealt.mapInArrow(_sort_groups(depth), "__id long, __th long, first int")
@@ -233,6 +233,15 @@ def repeated_spans(df: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", te
     return every.groupBy("__id", "__th").agg(F.collect_set(F.struct("first", "more")).alias("windows"))
 
 
+def _one_of_equal(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` with one row of those that share id and text: more would only repeat its pieces."""
+    keys = ["__id", "__th"]
+    again = materialised(docs.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys))
+    if again.isEmpty():
+        return rows
+    return rows.join(again, keys, "left_anti").unionByName(rows.join(again, keys, "left_semi").dropDuplicates(keys))
+
+
 _PIECES = "__id long, __th long, key long, span long, open boolean, first int, more int, bytes binary, window int, hash long"
 
 
