@@ -10,8 +10,8 @@ document.  Files are written under a name of the attempt's own and then renamed,
 so a task that runs twice leaves one whole file.
 
 Edge cases: a null text is an empty document (its end id alone); null doc_ids
-come first; rows with equal doc_id are ordered by their text's hash, so repeated
-rows follow each other; an empty table gives no files and no rows; other columns
+come first; rows with equal or null doc_id are dealt out and ordered by their text's
+hash, so repeated rows follow each other; an empty table gives no files and no rows; other columns
 of the input are not written.
 """
 
@@ -97,20 +97,33 @@ class _Writer:
         self.fs.move(self.own + ".docs", place + ".docs")
 
 
+def largest_id(tokenizer_path: str) -> int:
+    import json
+
+    with open(tokenizer_path, encoding="utf-8") as file:
+        spec = json.load(file)
+    return max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))])
+
+
 def write(
     df: DataFrame,
     tokenizer_path: str,
     folder: str | None = None,
     end_id: int = 0,
-    wide: bool = False,
+    wide: bool | None = None,
     length: int = SEQUENCE,
     partitions: int | None = None,
 ) -> DataFrame:
     """Write the files and return one row per file: part, path, n_docs, n_tokens
-    and start (ids in the files before it).  ``wide`` keeps ids in 32 bits."""
+    and start (ids in the files before it).  Ids take 32 bits if ``wide``; if it is not
+    given, where the vocabulary or the end id does not fit in 16.  An id that does not fit
+    is an error."""
     spark = df.sparkSession
     folder = folder or shared_folder(spark)
+    if wide is None:
+        wide = max(largest_id(tokenizer_path), end_id) >= 1 << 16
     kind = np.dtype("<u4" if wide else "<u2")
+    most = np.iinfo(kind).max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -122,7 +135,10 @@ def write(
             coded = coder.encode(batch.column("__text").to_pylist())
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coded):
                 first = doc_id if first is None else first
-                writer.add(doc_id, np.append(np.frombuffer(ids, "<i4"), end_id).astype(kind))
+                whole = np.append(np.frombuffer(ids, "<i4"), end_id).astype(np.int64)
+                if whole.max() > most:
+                    raise OverflowError(f"id {whole.max()} does not fit in {kind.itemsize} bytes")
+                writer.add(doc_id, whole.astype(kind))
         if writer:
             path = f"{folder}/part-{part:06d}.arrow"
             writer.close(path)
@@ -135,7 +151,7 @@ def write(
     if partitions is None:
         size = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
         partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
-    dealt = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("__text"))
+    dealt = rows.repartitionByRange(partitions, "doc_id", F.xxhash64("__text")).sortWithinPartitions("doc_id", F.xxhash64("__text"))
     manifest = materialised(dealt.mapInArrow(run, _MANIFEST))
     # one row per file: few, however large the corpus
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
