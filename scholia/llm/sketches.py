@@ -9,7 +9,9 @@ digest are peeled, one after the other, until nothing is left.  If peeling gets
 stuck the sketches are built again with four times as many cells.
 
 The fingerprint is the sketch of CELLS cells with the number of passages, in
-base64.  Likeness is the Jaccard index of the passage sets, from the peeled count.
+base64.  Likeness is the Jaccard index of the passage sets, from the peeled count; it is
+read off two fingerprints alone wherever their difference peels (``compare``), and only
+where it does not, texts are asked for larger sketches.
 
 Edge cases: null and empty texts have no passage and the same fingerprint, and are
 wholly alike (1.0); repeated passages count each time; ties in doc_id are ordered
@@ -47,6 +49,10 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _check(keys: np.ndarray) -> np.ndarray:
+    return _mix(keys, 9).astype(np.uint32)
+
+
 def digests(text: str) -> np.ndarray:
     """One digest per passage; the n-th equal passage has a digest of its own."""
     import xxhash
@@ -65,21 +71,30 @@ class Sketches:
 
     def __init__(self, keys: np.ndarray, owner: np.ndarray, texts: int, cells: int):
         self.cells, shape = cells, texts * cells
-        self.count, self.keys, self.checks = np.zeros(shape, np.int64), np.zeros(shape, np.uint64), np.zeros(shape, np.uint64)
+        self.count, self.keys, self.checks = np.zeros(shape, np.int64), np.zeros(shape, np.uint64), np.zeros(shape, np.uint32)
         self.add(keys, owner, np.ones(len(keys), np.int64))
 
     def add(self, keys: np.ndarray, owner: np.ndarray, sign: np.ndarray) -> None:
-        check, width = _mix(keys, 9), self.cells // HASHES
+        check, width = _check(keys), self.cells // HASHES
         up = sign.astype(np.uint64)  # -1 wraps around, as the sums do
         for j in range(HASHES):
             at = owner * self.cells + j * width + (_mix(keys, j + 1) % np.uint64(width)).astype(np.int64)
             np.add.at(self.count, at, sign)
             np.add.at(self.keys, at, keys * up)
-            np.add.at(self.checks, at, check * up)
+            np.add.at(self.checks, at, check * up.astype(np.uint32))
 
     def packed(self, number: int) -> bytes:
         part = slice(number * self.cells, (number + 1) * self.cells)
-        return self.count[part].astype("<u2").tobytes() + self.keys[part].tobytes() + self.checks[part].astype("<u4").tobytes()
+        return self.count[part].astype("<u4").tobytes() + self.keys[part].astype("<u8").tobytes() + self.checks[part].astype("<u4").tobytes()
+
+    @classmethod
+    def unpacked(cls, packed: list[bytes], cells: int) -> Sketches:
+        out = object.__new__(cls)
+        out.cells = cells
+        rows = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), cells * 16)
+        part = lambda a, b, kind: np.ascontiguousarray(rows[:, cells * a : cells * b]).view(kind).ravel()
+        out.count, out.keys, out.checks = part(0, 4, "<u4").astype(np.int64), part(4, 12, "<u8").astype(np.uint64), part(12, 16, "<u4").astype(np.uint32)
+        return out
 
     def minus(self, other: Sketches) -> Sketches:
         out = object.__new__(Sketches)
@@ -97,7 +112,7 @@ class Sketches:
             cell = cell[np.abs(self.count[cell]) == 1]
             sign = self.count[cell]
             keys = self.keys[cell] * sign.astype(np.uint64)
-            pure = self.checks[cell] * sign.astype(np.uint64) == _mix(keys, 9)
+            pure = self.checks[cell] * sign.astype(np.uint32) == _check(keys)
             cell, sign, keys = cell[pure], sign[pure], keys[pure]
             owner = cell // self.cells
             order = np.lexsort((keys, owner))
@@ -111,11 +126,29 @@ class Sketches:
         return found, ~(rows(self.count).any(axis=1) | rows(self.keys).any(axis=1))
 
 
-def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Jaccard index of each pair of digest sets, by subtracting and peeling."""
+def _jaccard(na: np.ndarray, nb: np.ndarray, differing: np.ndarray) -> np.ndarray:
+    return np.where(na + nb > 0, (na + nb - differing) / np.maximum(1, na + nb + differing), 1.0)
+
+
+def compare(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Likeness of each pair of stored fingerprints, and whether it could be read off them:
+    one sketch is subtracted from the other, and the rest peeled."""
+    if not a:
+        return np.zeros(0), np.zeros(0, bool)
+    sizes, sides = [], []
+    for prints in (a, b):
+        split = [p.split(".", 1) for p in prints]
+        sizes.append(np.array([int(n, 16) for n, _ in split], np.int64))
+        sides.append(Sketches.unpacked([base64.b64decode(x) for _, x in split], CELLS))
+    differing, whole = sides[0].minus(sides[1]).peel(len(a))
+    return _jaccard(*sizes, differing), whole
+
+
+def likeness(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) -> np.ndarray:
+    """Jaccard index of each pair of digest sets, by sketches of ``cells`` cells on."""
     na, nb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
     differing = np.zeros(len(a), np.int64)
-    todo, cells = np.arange(len(a)), CELLS
+    todo = np.arange(len(a))
     while len(todo):
         # a sketch cannot give back more digests than it has cells
         ready = todo[np.abs(na - nb)[todo] <= cells]
@@ -129,7 +162,16 @@ def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
             differing[ready[whole]] = found[whole]
             todo = np.setdiff1d(todo, ready[whole])
         cells *= GROWTH
-    return np.where(na + nb > 0, (na + nb - differing) / np.maximum(1, na + nb + differing), 1.0)
+    return _jaccard(na, nb, differing)
+
+
+def settled(prints: tuple[list[str], list[str]], sets: tuple[list[np.ndarray], list[np.ndarray]]) -> np.ndarray:
+    """Likeness of each pair of fingerprints; of the texts' larger sketches where they fail."""
+    out, whole = compare(*prints)
+    again = np.flatnonzero(~whole).tolist()
+    if again:
+        out[again] = likeness(*([side[i] for i in again] for side in sets), cells=CELLS * GROWTH)
+    return out
 
 
 def fingerprints(sets: list[np.ndarray]) -> list[str]:
@@ -184,16 +226,19 @@ def compare_with_edit(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for x in (t, u):
                 if x not in known:
                     known[x] = digests(x)
-        own, after = [known[t] for _, t, _ in pairs], [known[u] for _, _, u in pairs]
+        printed = dict(zip(known, fingerprints(list(known.values()))))
+        own, after = ([known[p[k]] for p in pairs] for k in (1, 2))
+        own_print, after_print = ([printed[p[k]] for p in pairs] for k in (1, 2))
         changed = [digests(t) for t in edited]
+        changed_print = fingerprints(changed)
         columns = [
             pa.array([i for i, _, _ in pairs], pa.int64()),
             pa.array([len(t) for _, t, _ in pairs], pa.int64()),
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
-            pa.array(fingerprints(own)),
-            pa.array(fingerprints(changed)),
-            pa.array(likeness(own, changed)),
-            pa.array(likeness(own, after)),
+            pa.array(own_print),
+            pa.array(changed_print),
+            pa.array(settled((own_print, changed_print), (own, changed))),
+            pa.array(settled((own_print, after_print), (own, after))),
         ]
         return pa.RecordBatch.from_arrays(columns, names)
 
