@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +61,15 @@ def materialised(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discarded(df: DataFrame) -> None:
+    """Remove the files of a table that materialised() wrote, once nothing reads it again."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if files:
+        place = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def in_chunks(
     batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES
 ) -> Iterator[pa.RecordBatch]:
@@ -79,7 +88,3 @@ def in_chunks(
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
-
-
-def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)

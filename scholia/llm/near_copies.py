@@ -6,15 +6,19 @@ order of all shingles that puts common ones last, two sets that similar share on
 of their first ``n - ceil(n * NUM / DEN) + 1`` shingles, so no pair is missed.
 
 Texts with equal sets are one node.  The first round verifies the SimHash links and,
-per shared shingle, the pairs with its first node; the second round every pair of the
-prefix join that the first has not put into one component.  Shingles in more than MOST
-nodes are joined block by block.
+per shared shingle, the pairs with its first node.  While the pairs of the prefix join that
+lie in different components are many more than its rows, rounds of stars follow: a shingle's
+nodes meet STARS of them, other ones each time, and what links is contracted.  The last
+round takes every pair that is left.  Shingles in more than MOST nodes are joined block
+by block.
 
 The order is by counts over a sample of texts (1 of SAMPLE): any order that is the
 same for all texts is exact, a better one only makes fewer candidates.
 
 Edge cases: null texts are empty and form one node, as do texts with less words than
-a shingle that have the same ones; an empty table gives none.
+a shingle that have the same ones; null and repeated ids do no harm, rows are told apart
+by their texts; repeated rows are one node and each gets its row; a very long text is one
+set, in one row of a batch; further columns are not read; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import in_chunks, materialised, text_or_empty
+from .common import discarded, in_chunks, materialised, text_or_empty
 from .components import connected_components
 
 #: The least Jaccard index.
@@ -39,6 +43,10 @@ SAMPLE, COMMON = 16, 1 << 17
 #: Nodes of a shingle that are joined at once.
 MOST = 2000
 
+#: Nodes of a shingle that the others meet in a round of stars; rounds at most; pairs for
+#: each row of the prefix join from which on another round is worth it.
+STARS, ROUNDS, WORTH = 4, 8, 4
+
 
 def _set_of(text: str, words: int) -> np.ndarray:
     return np.unique(simhash.shingle_hashes(text, words))
@@ -141,7 +149,29 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -
     left, right = (sets.select(F.col("node").alias(p), F.col("hashes").alias(h)) for p, h in (("a", "x"), ("b", "y")))
     # pairs stream past one by one: long texts never gather in a batch
     enough = (DEN + NUM) * F.size(F.array_intersect("x", "y")) >= NUM * (F.size("x") + F.size("y"))
-    return materialised(pairs.join(left, "a").join(right, "b").filter(enough).select("a", "b"))
+    kept = materialised(pairs.join(left, "a").join(right, "b").filter(enough).select("a", "b"))
+    discarded(sets)
+    return kept
+
+
+def _pairs_left(known: DataFrame) -> int:
+    """Pairs of nodes of different roots that share a shingle, shingle by shingle."""
+    of_root = known.groupBy("key", "root").agg(F.count("*").alias("n"))
+    of_key = of_root.groupBy("key").agg((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))).alias("pairs"))
+    return int((of_key.agg(F.sum("pairs")).first()[0] or 0) / 2)
+
+
+def _stars(known: DataFrame, turn: int) -> DataFrame:
+    """Likely pairs (a, b) of the nodes of each shingle with STARS of them that have other
+    roots; ``turn`` tells which these are.  Nodes are chosen alike for all shingles, so that
+    what two nodes share is counted whole."""
+    chosen = [F.min(F.struct(F.xxhash64("node", F.lit(turn * STARS + k)).alias("draw"), "node", "at", "root")).alias(f"s{k}") for k in range(STARS)]
+    stars = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), *chosen).filter("low <> high")
+    bare = lambda k: F.struct(*(F.col(f"s{k}.{c}").alias(c) for c in ("node", "at", "root")))
+    stars = stars.select("key", F.array_distinct(F.array(*map(bare, range(STARS)))).alias("stars"))
+    met = known.join(stars, "key").select("node", "at", "root", F.explode("stars").alias("star")).filter(F.col("star.root") != F.col("root"))
+    likely = _likely(met.select(F.col("star.node").alias("a"), F.col("star.at").alias("a_at"), F.col("node").alias("b"), F.col("at").alias("b_at")), "a", "b")
+    return likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def groups(df: DataFrame, words: int, views: int, radius: int, limit: int) -> DataFrame:
@@ -162,8 +192,20 @@ def groups(df: DataFrame, words: int, views: int, radius: int, limit: int) -> Da
     proposed = simhash.links(nodes, radius, names, limit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tried = materialised(star.unionByName(proposed).distinct())
     edges = verified(tried, nodes, texts, words)
-    roots = connected_components(edges).select("node", "root")
-    known = common.join(roots, "node", "left").select("key", "node", "at", F.coalesce("root", "node").alias("root"))
+    placed_rows = common.count()
+
+    def rooted() -> DataFrame:
+        roots = connected_components(edges).select("node", "root")
+        return materialised(common.join(roots, "node", "left").select("key", "node", "at", F.coalesce("root", "node").alias("root")))
+
+    known = rooted()
+    for turn in range(1, ROUNDS + 1):
+        if _pairs_left(known) <= WORTH * placed_rows:
+            break
+        drawn = materialised(_stars(known, turn).join(tried, ["a", "b"], "left_anti"))
+        edges, tried = edges.unionByName(verified(drawn, nodes, texts, words)), tried.unionByName(drawn)
+        before, known = known, rooted()
+        discarded(before)
     apart = known.groupBy("key").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     parts = apart.select("key", F.ceil(F.col("many") / MOST).cast("int").alias("parts"))
     open_rows = known.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
@@ -174,6 +216,7 @@ def groups(df: DataFrame, words: int, views: int, radius: int, limit: int) -> Da
     both = both.filter((F.col("node_l") < F.col("node_r")) & (F.col("root_l") != F.col("root_r")) & ((F.col("i") == F.col("j")) | (F.col("own_l") != F.col("own_r"))))
     more = _likely(both.withColumnsRenamed({"at_l": "a_at", "at_r": "b_at"}), "node_l", "node_r")
     more = materialised(more.join(tried, ["a", "b"], "left_anti"))
+    discarded(open_rows)
     edges = edges.unionByName(verified(more, nodes, texts, words))
     roots = connected_components(edges).select("node", "root")
     return rows.select("doc_id", "th", "node").join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("near"))
