@@ -4,14 +4,18 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each
 stage's rows as Parquet in the shared folder and reads them back for the next.
 All stages but the last return the columns of ``documents``.
 
-Null texts count as empty and are kept; extra columns, whatever their names, pass
-through the first four stages; null ids are scored, deduplicated by text and never learned
+Null texts count as empty and are kept; columns besides those of ``documents``, whatever
+their names, pass through the first four stages in one struct, so that no operator's own
+columns meet them; null ids are scored, deduplicated by text and never learned
 from; equal rows and equal texts leave one row, that with the smallest id; very long texts
 go through every stage whole; an empty table runs through to an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +32,35 @@ TOXIC = 0.7
 SHINGLE, VIEWS, RADIUS, LIMIT = 5, 2, 3, 26
 
 
+#: Columns of documents, and the one that holds all others inside a stage.
+COLUMNS, CARRIED = ("doc_id", "text", "lang", "source", "n_chars"), "carried"
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def carrying(stage: Stage) -> Stage:
+    """The stage with all columns that are not those of documents as one struct."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        further = [c for c in docs.columns if c not in COLUMNS]
+        if not further:
+            return stage(spark, docs, sf_dir)
+        packed = F.struct(*(F.col(f"`{c}`") for c in further)).alias(CARRIED)
+        out = stage(spark, docs.select(*(c for c in docs.columns if c in COLUMNS), packed), sf_dir)
+        return out.select(*(F.col(f"{CARRIED}.`{c}`").alias(c) if c in further else F.col(c) for c in docs.columns))
+
+    return run
+
+
+@carrying
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs.select("doc_id", "text"), labels, fold("doc_id", 3) != 1)
     return toxicity.score(docs, model, out="__score").filter(F.col("__score") < TOXIC).drop("__score")
 
 
+@carrying
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents link from a shingle Jaccard index of 0.8 on; the row with the smallest id
     of each group stays."""
@@ -47,11 +74,13 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "__th"]).drop("__th")
 
 
+@carrying
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = repeats.cut_repeats(docs, characters=True).withColumn("text", F.col("kept_bytes").cast("string"))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@carrying
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     mixture, members = mixing.fit(docs, labels, MIXTURE, keep_text=True)
