@@ -45,7 +45,7 @@ MOST = 2000
 
 #: Nodes of a shingle that the others meet in a round of stars; rounds at most; pairs for
 #: each row of the prefix join from which on another round is worth it.
-STARS, ROUNDS, WORTH = 4, 8, 4
+STARS, ROUNDS, WORTH = 4, 2, 4
 
 
 def _set_of(text: str, words: int) -> np.ndarray:
