@@ -5,11 +5,13 @@ views (vantage-point trees, see ``simhash``) and from an exact prefix join: in a
 order of all shingles that puts common ones last, two sets that similar share one
 of their first ``n - ceil(n * NUM / DEN) + 1`` shingles, so no pair is missed.
 
-Texts with equal sets are one node.  The first round verifies the SimHash links and,
-per shared shingle, the pairs with its first node.  While the pairs of the prefix join that
-lie in different components are many more than its rows, rounds of stars follow: a shingle's
-nodes meet STARS of them, other ones each time, and what links is contracted.  The last
-round takes every pair that is left.  Shingles in more than MOST nodes are joined block
+Texts with equal sets are one node.  A first round takes the SimHash links and, per shingle,
+the pairs with its star: the node that has it nearest to the front, so with the fewest rarer
+shingles of its own, which is the middle of a group of edited copies.  What links is
+contracted.  The last round takes every pair of different components that is left and whose
+places of the shingle still allow enough in common; in the smaller set, only a place among
+the first ``n * (DEN - NUM) / (DEN + NUM)`` does.  Pairs are compared by their prefixes, and
+by their whole sets if those share enough.  Shingles in more than MOST nodes are joined block
 by block.
 
 The order is by counts over a sample of texts (1 of SAMPLE): any order that is the
@@ -40,13 +42,9 @@ NUM, DEN = 4, 5
 #: One of so many texts is counted for the order; its most common shingles at most.
 SAMPLE, COMMON = 16, 1 << 17
 
-#: Nodes of a shingle that are joined at once.
+#: Nodes of a shingle that are joined at once, on either side.
 MOST = 2000
 
-#: Nodes of a shingle that the others meet in a round of stars; rounds at most; pairs for
-#: each row of the prefix join from which on another round is worth it.
-STARS, ROUNDS, WORTH = 4, 2, 4
-
 
 def _set_of(text: str, words: int) -> np.ndarray:
     return np.unique(simhash.shingle_hashes(text, words))
@@ -108,29 +106,25 @@ def _described(texts: DataFrame, words: int, views: int) -> DataFrame:
     return texts.mapInArrow(run, f"doc_id {kind}, th long, {fields}, n int, keys array<long>")
 
 
-def _packed(n: Column, pos: Column) -> Column:
-    """Size of a set and place of a shingle in its prefix, in one number."""
-    return F.shiftleft(n.cast("long"), 32).bitwiseOR(pos.cast("long"))
+def _possible(n: str, i: str, m: str, j: str) -> Column:
+    """Whether sets of n and m shingles that share those at places i and j can be similar
+    enough, if it is the first they share."""
+    return (DEN + NUM) * F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) >= NUM * (F.col(n) + F.col(m))
 
 
-def _possible(a: str, b: str) -> Column:
-    """Whether two sets that share the shingle at those packed places can be similar
-    enough, if it is the first they share."""
-    (n, i), (m, j) = ((F.shiftright(F.col(c), 32), F.col(c).bitwiseAND(F.lit((1 << 32) - 1))) for c in (a, b))
-    return (DEN + NUM) * F.least(n - i, m - j) >= NUM * (n + m)
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _likely(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs of the nodes in columns ``a`` and ``b`` (packed places in ``a_at``, ``b_at``), a
-    row for each prefix shingle that they share, that share enough of them.
+def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose prefixes share enough.
 
     Of two prefixes the one that ends first hides at most its set's rest, so what two sets
     have in common is at most the shared prefix shingles and that rest."""
-    size = lambda c: F.shiftright(F.col(c), 32)
-    rest = lambda c: F.floor((size(c) * NUM + DEN - 1) / DEN) - 1
-    marked = rows.select(F.col(a).alias("a"), F.col(b).alias("b"), _possible("a_at", "b_at").alias("may"), F.greatest(rest("a_at"), rest("b_at")).alias("rest"), (size("a_at") + size("b_at")).alias("sizes"))
-    counted = marked.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("may").alias("may"), F.max("rest").alias("rest"), F.max("sizes").alias("sizes"))
-    return counted.filter(F.col("may") & ((DEN + NUM) * (F.col("shared") + F.col("rest")) >= NUM * F.col("sizes"))).select("a", "b")
+    left, right = (nodes.select(F.col("node").alias(p), F.col("n").alias(f"n_{p}"), F.col("keys").alias(f"keys_{p}")) for p in "ab")
+    rest = F.greatest(*(F.col(f"n_{p}") - F.size(f"keys_{p}") for p in "ab"))
+    enough = (DEN + NUM) * (F.size(F.array_intersect("keys_a", "keys_b")) + rest) >= NUM * (F.col("n_a") + F.col("n_b"))
+    return pairs.join(left, "a").join(right, "b").filter(enough).select("a", "b")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -154,24 +148,23 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -
     return kept
 
 
-def _pairs_left(known: DataFrame) -> int:
-    """Pairs of nodes of different roots that share a shingle, shingle by shingle."""
-    of_root = known.groupBy("key", "root").agg(F.count("*").alias("n"))
-    of_key = of_root.groupBy("key").agg((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))).alias("pairs"))
-    return int((of_key.agg(F.sum("pairs")).first()[0] or 0) / 2)
+def _left(known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots that share a shingle at possible places."""
+    of_key = known.groupBy("key").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high"))
+    parts = of_key.filter("low <> high").select("key", F.ceil(F.col("many") / MOST).cast("int").alias("parts"))
+    met = materialised(known.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
 
+    def side(p: str, own: str, other: str) -> DataFrame:
+        named = (F.col(c).alias(f"{c}_{p}") for c in ("node", "n", "pos", "root"))
+        return met.select("key", F.col("own").alias(own), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(other), *named)
 
-def _stars(known: DataFrame, turn: int) -> DataFrame:
-    """Likely pairs (a, b) of the nodes of each shingle with STARS of them that have other
-    roots; ``turn`` tells which these are.  Nodes are chosen alike for all shingles, so that
-    what two nodes share is counted whole."""
-    chosen = [F.min(F.struct(F.xxhash64("node", F.lit(turn * STARS + k)).alias("draw"), "node", "at", "root")).alias(f"s{k}") for k in range(STARS)]
-    stars = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), *chosen).filter("low <> high")
-    bare = lambda k: F.struct(*(F.col(f"s{k}.{c}").alias(c) for c in ("node", "at", "root")))
-    stars = stars.select("key", F.array_distinct(F.array(*map(bare, range(STARS)))).alias("stars"))
-    met = known.join(stars, "key").select("node", "at", "root", F.explode("stars").alias("star")).filter(F.col("star.root") != F.col("root"))
-    likely = _likely(met.select(F.col("star.node").alias("a"), F.col("star.at").alias("a_at"), F.col("node").alias("b"), F.col("at").alias("b_at")), "a", "b")
-    return likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # the smaller set is on the left, in block i; the larger in block j
+    small = side("l", "i", "j").filter((DEN + NUM) * F.col("pos_l") <= (DEN - NUM) * F.col("n_l"))
+    both = small.join(side("r", "j", "i"), ["key", "i", "j"]).filter(F.struct("n_l", "node_l") < F.struct(F.col("n_r").alias("n_l"), F.col("node_r").alias("node_l")))
+    both = both.filter((F.col("root_l") != F.col("root_r")) & _possible("n_l", "pos_l", "n_r", "pos_r"))
+    left = materialised(both.select(*_ordered("node_l", "node_r")).distinct())
+    discarded(met)
+    return left
 
 
 def groups(df: DataFrame, words: int, views: int, radius: int, limit: int) -> DataFrame:
@@ -182,41 +175,20 @@ def groups(df: DataFrame, words: int, views: int, radius: int, limit: int) -> Da
     rows = materialised(_described(texts, words, views))
     first = rows.groupBy("node").agg(F.min(F.struct("th", *names)).alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = materialised(first.select("node", "row.*", "n", "keys"))
-    placed = nodes.select(F.posexplode("keys").alias("pos", "key"), "node", "n").select("key", "node", _packed(F.col("n"), F.col("pos")).alias("at"))
+    placed = nodes.select(F.posexplode("keys").alias("pos", "key"), "node", "n")
     # most shingles are in one set only: they go before anything is gathered by the others
     shared = placed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key")
-    common = materialised(placed.join(shared, "key"))
-    met = common.join(common.groupBy("key").agg(F.min(F.struct("node", "at")).alias("start")), "key")
-    # pairs with a shingle's first node; one that shares others too may be missed here
-    star = _likely(met.filter(F.col("node") != F.col("start.node")).select(F.col("start.node").alias("a"), F.col("start.at").alias("a_at"), F.col("node").alias("b"), F.col("at").alias("b_at")), "a", "b")
-    proposed = simhash.links(nodes, radius, names, limit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tried = materialised(star.unionByName(proposed).distinct())
-    edges = verified(tried, nodes, texts, words)
-    placed_rows = common.count()
-
-    def rooted() -> DataFrame:
-        roots = connected_components(edges).select("node", "root")
-        return materialised(common.join(roots, "node", "left").select("key", "node", "at", F.coalesce("root", "node").alias("root")))
-
-    known = rooted()
-    for turn in range(1, ROUNDS + 1):
-        if _pairs_left(known) <= WORTH * placed_rows:
-            break
-        drawn = materialised(_stars(known, turn).join(tried, ["a", "b"], "left_anti"))
-        edges, tried = edges.unionByName(verified(drawn, nodes, texts, words)), tried.unionByName(drawn)
-        before, known = known, rooted()
-        discarded(before)
-    apart = known.groupBy("key").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    parts = apart.select("key", F.ceil(F.col("many") / MOST).cast("int").alias("parts"))
-    open_rows = known.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    open_rows = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    open_rows = materialised(open_rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "at", "root"))
-    side = lambda p: open_rows.select("key", "i", "j", *(F.col(c).alias(f"{c}_{p}") for c in ("own", "node", "at", "root")))
-    both = side("l").join(side("r"), ["key", "i", "j"])
-    both = both.filter((F.col("node_l") < F.col("node_r")) & (F.col("root_l") != F.col("root_r")) & ((F.col("i") == F.col("j")) | (F.col("own_l") != F.col("own_r"))))
-    more = _likely(both.withColumnsRenamed({"at_l": "a_at", "at_r": "b_at"}), "node_l", "node_r")
-    more = materialised(more.join(tried, ["a", "b"], "left_anti"))
-    discarded(open_rows)
-    edges = edges.unionByName(verified(more, nodes, texts, words))
+    common = materialised(placed.join(shared, "key").select("key", "node", "n", "pos"))
+    stars = common.groupBy("key").agg(F.min(F.struct("pos", "node", "n")).alias("star")).select("key", *(F.col(f"star.{c}").alias(f"star_{c}") for c in ("pos", "node", "n")))
+    met = common.join(stars, "key").filter((F.col("node") != F.col("star_node")) & _possible("n", "pos", "star_n", "star_pos"))
+    proposed = simhash.links(nodes, radius, names, limit).select(*_ordered("a", "b"))
+    tried = materialised(met.select(*_ordered("node", "star_node")).unionByName(proposed).distinct())
+    edges = verified(materialised(likely(tried, nodes)), nodes, texts, words)
+    roots = connected_components(edges).select("node", "root")
+    known = materialised(common.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    left = _left(known).join(tried, ["a", "b"], "left_anti")
+    edges = edges.unionByName(verified(materialised(likely(left, nodes)), nodes, texts, words))
+    for table in (common, known, tried):
+        discarded(table)
     roots = connected_components(edges).select("node", "root")
     return rows.select("doc_id", "th", "node").join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("near"))
