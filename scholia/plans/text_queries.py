@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import filters, search
+from ..operators import filters, passes, search
 from .registry import query, table
 
 
@@ -47,8 +47,9 @@ def phrase_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     reranking (0.5) and of routing (0.65) on."""
     phrases = search.stored(table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.split_phrases(F.col("text"))).alias("phrase")))
     entries = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), X.normalize(F.col("text")).alias("text"))
-    like = search.similarities(entries, phrases).select("phrase", F.col("similarity").alias("s")).filter("s >= 0.5")
-    counts = like.groupBy("phrase").agg(F.count("*").alias("n_like"), F.count_if(F.col("s") >= 0.65).alias("n_hit"), F.count_if(F.col("s") == 1).alias("n_whole"), F.round(F.sum("s"), 4).alias("total"))
+    like = passes.similarity_counts(entries, phrases).withColumnRenamed("similarity", "s").filter("s >= 0.5")
+    of = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    counts = like.groupBy("phrase").agg(F.sum("n").alias("n_like"), of(F.col("s") >= 0.65).alias("n_hit"), of(F.col("s") == 1).alias("n_whole"), F.round(F.sum(F.col("s") * F.col("n")), 4).alias("total"))
     none = F.lit(0).cast("long")
     return phrases.join(counts, "phrase", "left").select("item_id", "phrase", *(F.coalesce(c, none).alias(c) for c in ("n_like", "n_hit", "n_whole")), "total")
 
