@@ -56,10 +56,12 @@ def composed(text: Column, form: str) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of two short strings."""
+    """Ratcliff-Obershelp similarity of two short strings; a pair that comes again is not compared again."""
     from difflib import SequenceMatcher
 
-    return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)])
+    pairs = list(zip(left, right))
+    of = {(a, b): None if a is None or b is None else 1.0 if a == b else SequenceMatcher(None, a, b).ratio() for a, b in set(pairs)}
+    return pd.Series([of[pair] for pair in pairs], dtype="float64")
 
 
 def plain(text: Column) -> Column:
