@@ -1,7 +1,6 @@
 """Doses out of composition text: herbs of a vocabulary, quantities, units, conversion.
 
-A composition is read as a whole or not at all.  A table function turns each text into its
-items: a pattern cuts the text into tokens, one for each herb with what follows it, and a
+A composition is read as a whole or not at all.  Each text turns into its items: a pattern cuts the text into tokens, one for each herb with what follows it, and a
 fold from the last token to the first hands doses back over the herbs before them.  Joins
 and decimals in Spark do the rest.
 """
@@ -11,9 +10,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from decimal import Decimal
+from functools import lru_cache
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Chinese digits and powers of ten, units, those of weight that need a
@@ -34,6 +36,9 @@ _QUANTITY = rf"(?i:(\d+(?:\.\d+)?|[{_DIGIT}{_TEN}半]+)\s*({'|'.join(UNITS)})(
 _QUANTITIES = re.compile(_QUANTITY)
 _NUMERAL, _PLACE = re.compile(rf"(?:[{_DIGIT}]?[{_TEN}])*[{_DIGIT}]?"), re.compile(rf"([{_DIGIT}]?)([{_TEN}]|$)")
 
+_ARROW = pa.struct(
+    [("place", pa.int32()), ("herb", pa.string()), ("dose", pa.string()), ("quantities", pa.list_(pa.struct([("amount", pa.decimal128(20, 6)), ("unit", pa.string())]))), ("note", pa.string())]
+)
 _ITEM = "place int, herb string, dose string, quantities array<struct<amount:decimal(20,6),unit:string>>, note string"
 Dose = tuple[str, list[tuple[Decimal, str]]]
 
@@ -120,30 +125,48 @@ def read(lexer: Lexer, text: str | None) -> list[tuple[Token, Dose]]:
     return list(zip(tokens, handed_back(tokens)))
 
 
-def compositions(herbs: Iterable[str]):
-    """A table function: the items of a text, or one row with place 0 if it does not read."""
-    herbs = tuple(herbs)
+#: Texts that a worker remembers.
+KNOWN = 100_000
+
 
-    @F.udtf(returnType=_ITEM)
-    class Compositions:
-        def __init__(self):
-            self.lexer = Lexer(herbs)
+@lru_cache(4)
+def _reader(herbs: tuple[str, ...]):
+    lexer = Lexer(herbs)
 
-        def eval(self, text: str):
-            items = read(self.lexer, text)
-            if not items:
-                yield 0, None, None, None, None
-            for place, (token, (dose, quantities)) in enumerate(items, 1):
-                yield place, token.herb, dose, [(amount.quantize(Decimal("0.000001")), unit) for amount, unit in quantities], token.note
+    @lru_cache(KNOWN)
+    def items(text: str | None) -> list[dict]:
+        """The items of a text, or one with place 0 if it does not read."""
+        found = read(lexer, text)
+        rows = [
+            {"place": place, "herb": token.herb, "dose": dose, "quantities": [{"amount": a.quantize(Decimal("0.000001")), "unit": u} for a, u in quantities], "note": token.note}
+            for place, (token, (dose, quantities)) in enumerate(found, 1)
+        ]
+        return rows or [{"place": 0, "herb": None, "dose": None, "quantities": None, "note": None}]
 
-    return Compositions
+    return items
 
 
 def extract(df: DataFrame, id_col: str, text_col: str, herbs: Iterable[str]) -> DataFrame:
     """(id, place, herb, dose, quantities, note) of every entry that reads in full; an
     entry that does not gives one row with place 0 and no herb."""
-    texts = df.select(id_col, text_col)
-    return texts.lateralJoin(compositions(herbs)(F.col(text_col).outer())).drop(text_col)
+    herbs = tuple(herbs)
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _reader(herbs)
+        for batch in batches:
+            # each different text of a batch is read once, and its items are dealt out to its rows
+            texts = batch.column(1).dictionary_encode(null_encoding="encode")
+            found = [own(t) for t in texts.dictionary.to_pylist()]
+            table = pa.array([item for of in found for item in of], _ARROW)
+            sizes = np.array([len(of) for of in found], np.int64)
+            starts, codes = np.cumsum(sizes) - sizes, texts.indices.to_numpy()
+            n = sizes[codes]
+            rows = np.repeat(np.arange(len(codes)), n)
+            at = np.repeat(starts[codes] - (np.cumsum(n) - n), n) + np.arange(len(rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *table.take(pa.array(at)).flatten()], [id_col, *_ARROW.names])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, text_col).mapInArrow(items, f"`{id_col}` {kind}, {_ITEM}")
 
 
 def to_grams(items: DataFrame, factors: DataFrame, id_col: str) -> DataFrame:
@@ -154,9 +177,10 @@ def to_grams(items: DataFrame, factors: DataFrame, id_col: str) -> DataFrame:
     (``factors``: id, unit, factor), one for each of its units and none besides."""
     confirmed = factors.filter(F.col("unit").isin(*OLD_WEIGHTS) & (F.col("factor") > 0))
     given = confirmed.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("unit", F.col("factor").cast("decimal(20,9)")))).alias("__given"))
-    used = F.filter(F.flatten(F.collect_list(F.transform(F.coalesce("quantities", F.array().cast("array<struct<amount:decimal(20,6),unit:string>>")), lambda q: q["unit"]))), lambda u: u.isin(*OLD_WEIGHTS))
-    units = items.groupBy(id_col).agg(F.array_sort(F.array_distinct(used)).alias("units"))
-    joined = items.join(units, id_col).join(given, id_col, "left")
+    own = F.transform(F.coalesce("quantities", F.array().cast("array<struct<amount:decimal(20,6),unit:string>>")), lambda q: q["unit"])
+    # a window over an entry's items: these are not made twice, and do not move twice
+    used = F.filter(F.flatten(F.collect_list(own).over(Window.partitionBy(id_col))), lambda u: u.isin(*OLD_WEIGHTS))
+    joined = items.withColumn("units", F.array_sort(F.array_distinct(used))).join(given, id_col, "left")
     fits = F.array_sort(F.map_keys("__given")) == F.col("units")
     metric = F.create_map(*(F.lit(x) for kv in METRIC.items() for x in kv)).cast("map<string,decimal(20,9)>")
     known = F.when(fits, F.map_concat(metric, "__given")).otherwise(metric)
