@@ -36,22 +36,18 @@ def phrase_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""
 WITH p AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(trim(text)), '[\s,，、;；。.!！?？:：/|]+')) AS phrase FROM benchmark),
      u AS (SELECT DISTINCT phrase FROM p WHERE phrase <> ''),
-     g AS (SELECT phrase, list_distinct(regexp_extract_all(phrase, '[a-z0-9]+')) AS grams FROM u),
-     d AS (SELECT lower(trim(text)) AS text FROM documents WHERE trim(text) <> ''),
-     s AS (SELECT phrase, CASE WHEN contains(text, phrase) THEN 1.0 ELSE coalesce(list_avg(list_transform(grams, lambda g: CAST(contains(text, g) AS INTEGER))), 0.0) END AS similarity FROM g CROSS JOIN d),
-     a AS (SELECT phrase, count(*) FILTER (similarity >= 0.5) AS n_like, count(*) FILTER (similarity >= 0.65) AS n_hit, count(*) FILTER (similarity = 1) AS n_whole, round(sum(similarity) FILTER (similarity >= 0.5), 4) AS total FROM s GROUP BY phrase)
-SELECT item_id, a.* FROM p JOIN a USING (phrase)
+     g AS (SELECT phrase, list_distinct(flatten(list_transform(regexp_extract_all(phrase, '[a-z0-9]+|[㐀-鿿]+'), lambda r: CASE WHEN r < '㐀' OR length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) END))) AS grams FROM u),
+     d AS (SELECT doc_id, lower(trim(text)) AS text FROM documents WHERE trim(text) <> ''),
+     s AS (SELECT phrase, doc_id, CASE WHEN contains(text, phrase) THEN 1.0 ELSE coalesce(list_avg(list_transform(grams, lambda g: CAST(contains(text, g) AS INTEGER))), 0.0) END AS similarity FROM g CROSS JOIN d)
+SELECT p.item_id, p.phrase, s.doc_id, s.similarity FROM p LEFT JOIN s ON s.phrase = p.phrase AND s.similarity >= 0.5 WHERE p.phrase <> ''
 """)
 def phrase_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many entries resemble each phrase of each query, from the thresholds of
-    reranking (0.5) and of routing (0.65) on."""
-    phrases = search.stored(table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.split_phrases(F.col("text"))).alias("phrase")))
+    """Each phrase of each query with every entry that resembles it, from the threshold of
+    reranking (0.5) on; a phrase that no entry resembles has a row without one."""
+    phrases = search.stored(table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.split_phrases(F.col("text"))).alias("phrase")).distinct())
     entries = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), X.normalize(F.col("text")).alias("text"))
-    like = passes.similarity_counts(entries, phrases).withColumnRenamed("similarity", "s").filter("s >= 0.5")
-    of = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    counts = like.groupBy("phrase").agg(F.sum("n").alias("n_like"), of(F.col("s") >= 0.65).alias("n_hit"), of(F.col("s") == 1).alias("n_whole"), F.round(F.sum(F.col("s") * F.col("n")), 4).alias("total"))
-    none = F.lit(0).cast("long")
-    return phrases.join(counts, "phrase", "left").select("item_id", "phrase", *(F.coalesce(c, none).alias(c) for c in ("n_like", "n_hit", "n_whole")), "total")
+    alike = passes.similar_pairs(entries, phrases, search.LIKE)
+    return phrases.join(alike, "phrase").select("item_id", "phrase", F.col("id").alias("doc_id"), "similarity")
 
 
 @query("""
